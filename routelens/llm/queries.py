@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree
+from . import bpe_tree, hilbert_packing
 
 QUERIES = {
+    "op4_hilbert_packing": hilbert_packing.query,
     "op5_bpe_tree": bpe_tree.query,
 }
 ORACLES: dict[str, str] = {}
