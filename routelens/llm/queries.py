@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, hilbert_packing
+from . import bpe_tree, hilbert_packing, lz_fingerprint
 
 QUERIES = {
+    "op2_lz_fingerprint": lz_fingerprint.query,
     "op4_hilbert_packing": hilbert_packing.query,
     "op5_bpe_tree": bpe_tree.query,
 }
