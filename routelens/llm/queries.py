@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, hilbert_packing, lz_fingerprint, progressive_jpeg
+from . import bpe_tree, hilbert_packing, lz_fingerprint, progressive_jpeg, pu_quality
 
 QUERIES = {
+    "op6_pu_quality": pu_quality.query,
     "op7_progressive_jpeg": progressive_jpeg.query,
     "op2_lz_fingerprint": lz_fingerprint.query,
     "op4_hilbert_packing": hilbert_packing.query,
