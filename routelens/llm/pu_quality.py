@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled good documents; unlabelled text is everything
-else that may be learnt from, whatever its label. The class prior is estimated by
+Trusted positives are labelled good documents; unlabelled text is all that may be
+learnt from, whatever its label, and so has the mixture's own share of good
+documents. The class prior is estimated by
 the best bin: the least ratio of the tails of unlabelled to positive scores of a
 first classifier, over halves that it wasn't fitted on. A small network then
 minimises the non-negative unbiased risk
@@ -12,8 +13,7 @@ lengths, repetition of neighbouring words, line shape. The fit reads at most
 ``FIT_ROWS`` positives and ``FIT_ROWS`` unlabelled rows, those with the smallest
 hash of their text; every row is scored.
 
-Null texts count as empty and are scored as such. Without a trusted positive (or
-without any other text) every score is 0.5. Repeated rows repeat; a doc_id with
+Null texts count as empty and are scored as such. Without a trusted positive every score is 0.5. Repeated rows repeat; a doc_id with
 several labels is a positive if any of them says so.
 """
 
@@ -199,13 +199,12 @@ def _learnable(df: DataFrame) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], list[str]]:
-    """Positives and unlabelled texts of rows that may be learnt from, each kind bounded by ``rows``."""
+    """Positive texts, and texts of all rows that may be learnt from; either kind bounded by ``rows``."""
     good = _learnable(labels).where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
     own = _learnable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    size = F.length("text") + 1
     # The smallest hashes of either kind: ids and hashes first, so that no text is shuffled.
-    keys = own.select("doc_id", F.xxhash64("text").alias("h"), size.alias("size")).join(good, "doc_id", "left")
-    first = [keys.where(F.col("good") if kind else F.col("good").isNull()).select("doc_id", "h").orderBy("h", "doc_id").limit(rows) for kind in (True, False)]
+    keys = own.select("doc_id", F.xxhash64("text").alias("h")).join(good, "doc_id", "left")
+    first = [part.select("doc_id", "h").orderBy("h", "doc_id").limit(rows) for part in (keys.where("good"), keys)]
     wanted = [{r.h for r in part.collect()} for part in first]
     goods = wanted[0]
     both = sorted(goods | wanted[1])
