@@ -65,19 +65,24 @@ def _fast(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_texts(texts: list[str], path: str) -> list[list[int]]:
+def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, without special tokens."""
     if fast := _fast(path):
-        return [fast.encode_ordinary(t) for t in texts]
-    return [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        return [fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    return [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+
+#: Tokens summed at a time, so that a packed count stays below its 20 bits.
+_SUMMED = 1 << 20
+_COUNT_BITS = 21
 
 
 @lru_cache(maxsize=1)
 def _directions(size: int = 1 << 16) -> np.ndarray:
-    """A row of -1 and 1 for each hashed id."""
+    """For each hashed id, its signs in all dimensions: a bit for each, packed as counts into one integer."""
     with np.errstate(over="ignore"):
         h = mix(np.arange(size, dtype=U64) + U64(0xA5A5))
-    return (((h[:, None] >> np.arange(DIMENSIONS, dtype=U64)) & U64(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+    return sum((((h >> U64(k)) & U64(1)) << U64(_COUNT_BITS * k) for k in range(DIMENSIONS)), np.zeros(size, U64)).astype(np.int64)
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -106,13 +111,16 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """Hilbert index of a document's hashed, projected token vector."""
-    v = _directions()[ids & 0xFFFF].sum(0, dtype=np.float64) / math.sqrt(max(1, len(ids)))
+def cell(ids: np.ndarray) -> list[int]:
+    """Cell of a document's hashed, projected token vector; its Hilbert index is the curve key."""
+    table, plus = _directions(), [0] * DIMENSIONS
+    for at in range(0, len(ids), _SUMMED):
+        packed = int(table[ids[at : at + _SUMMED] & 0xFFFF].sum())
+        for k in range(DIMENSIONS):
+            plus[k] += packed >> (_COUNT_BITS * k) & ((1 << _COUNT_BITS) - 1)
     # Each dimension drifts with the length of the text; the normal score spreads it over the cells.
-    score = [0.5 * (1 + math.erf(c / 4)) for c in v]
-    cells = np.array([[min((1 << BITS) - 1, int(s * (1 << BITS))) for s in score]])
-    return int(hilbert(cells)[0])
+    score = [0.5 * (1 + math.erf((2 * p - len(ids)) / (4 * math.sqrt(max(1, len(ids)))))) for p in plus]
+    return [min((1 << BITS) - 1, int(s * (1 << BITS))) for s in score]
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -125,11 +133,12 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 own = batch.slice(at, 512)
                 out: list[list] = [[], [], [], []]
                 for ids in encode_texts(texts_of(own["text"]), path):
-                    ids.append(0)
-                    a = np.array(ids, "<u4")
+                    a = np.zeros(len(ids) + 1, "<u4")
+                    a[:-1] = ids
                     raw = (a.astype("<u2") if a.max() < 1 << 16 else a).tobytes()
-                    for column, value in zip(out, (curve_key(a), len(a), zlib.crc32(raw), press.compress(raw)), strict=True):
+                    for column, value in zip(out, (cell(a), len(a), zlib.crc32(raw), press.compress(raw)), strict=True):
                         column.append(value)
+                out[0] = hilbert(np.array(out[0]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([own["doc_id"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "key", "n", "digest", "ids"])
 
