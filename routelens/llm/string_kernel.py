@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel.
 
 A text is read as words of folded symbols: letters in lower case, digits that
-stand for letters, marks inside a word dropped, runs of single letters joined,
+stand for letters beside them, marks inside a word dropped, runs of single letters joined,
 each word opened by a start sign. Two words are alike by the subsequences of
 ``ORDER`` symbols they share, each step at most ``REACH`` symbols long and each
 skipped symbol costing a factor ``DECAY`` - so inserted characters only weaken a
@@ -35,7 +35,7 @@ from .common import slices, spread, table, texts_of
 
 #: Most toxic labelled texts that the fit reads, and half the most others.
 FIT_ROWS = 2000
-ORDER, REACH, DECAY = 4, 2, 0.6
+ORDER, REACH, DECAY = 4, 2, 0.8
 LANDMARKS = 160
 #: Symbols: 0 between words, 1 the start of a word, 2-27 letters, 28-34 accented letters by base, 35 any other letter.
 SYMBOLS = 36
@@ -50,8 +50,6 @@ def _fold() -> np.ndarray:
         c = chr(i)
         if c.isspace():
             out[i] = _BREAK
-        elif c in _LOOKS_LIKE and c not in "@$":
-            out[i] = ord(_LOOKS_LIKE[c]) - 95
         elif c.isalpha():
             plain = unicodedata.normalize("NFKD", c.lower())[0]
             if c.lower() == plain and "a" <= plain <= "z":
@@ -64,6 +62,7 @@ def _fold() -> np.ndarray:
 
 
 FOLD = _fold()
+LOOKS = np.array([ord(_LOOKS_LIKE[chr(i)]) - 95 if chr(i) in _LOOKS_LIKE else 0 for i in range(128)], np.uint8)
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +71,12 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
     raw = np.where(units < 0x3000, FOLD[np.minimum(units, 0x2FFF)], 35).astype(np.uint8)
-    # An at or dollar sign is a letter where a letter follows.
-    sign = np.flatnonzero((units == 64) | (units == 36))
-    sign = sign[raw[np.minimum(sign + 1, len(raw) - 1)] < SYMBOLS]
-    raw[sign] = np.where(units[sign] == 64, 2, 20)
+    # Digits and signs are letters where a letter stands beside them (signs: follows them).
+    sign = np.flatnonzero((units < 128) & (LOOKS[np.minimum(units, 127)] > 0))
+    follows = raw[np.minimum(sign + 1, len(raw) - 1)] < SYMBOLS
+    beside = follows | ((units[sign] >= 48) & (units[sign] < 58) & (raw[np.maximum(sign - 1, 0)] < SYMBOLS))
+    sign = sign[beside]
+    raw[sign] = LOOKS[units[sign]]
     at = np.flatnonzero(raw != _DROP)
     raw = raw[at]
     edge = np.diff((raw != _BREAK).astype(np.int8), prepend=0, append=0)
@@ -232,9 +233,13 @@ def _spread_out(words: list[bytes], n: int) -> list[bytes]:
     return found
 
 
-def _families(bags: list[list[bytes]]) -> list[int]:
-    """Number of the family of each text: texts that share a smallest word hash are near copies of one."""
-    root = list(range(len(bags)))
+def _families(texts: list[str]) -> list[int]:
+    """Number of the family of each text: texts that share a smallest hash of four words are near copies of one."""
+    root = list(range(len(texts)))
+    runs = []
+    for t in texts:
+        words = t.split()
+        runs.append({" ".join(words[i : i + 4]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 3))})
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -243,19 +248,17 @@ def _families(bags: list[list[bytes]]) -> list[int]:
 
     for salt in (b"1", b"2", b"3", b"4"):
         seen: dict[bytes, int] = {}
-        for i, bag in enumerate(bags):
-            pairs = [w for w in bag if len(w) > 8] or bag
-            if pairs:
-                key = min(hashlib.blake2b(w, digest_size=8, salt=salt).digest() for w in pairs)
-                root[top(i)] = top(seen.setdefault(key, i))
-    return [top(i) for i in range(len(bags))]
+        for i, own in enumerate(runs):
+            key = min(hashlib.blake2b(r, digest_size=8, salt=salt).digest() for r in own)
+            root[top(i)] = top(seen.setdefault(key, i))
+    return [top(i) for i in range(len(texts))]
 
 
 def _parts(word: bytes) -> set[bytes]:
     return {word[i : i + ORDER] for i in range(len(word) - ORDER + 1)}
 
 
-def _telling_words(bags: list[list[bytes]], other: list[str], clean: Counter, least: float = 3.0) -> Counter:
+def _telling_words(bags: list[list[bytes]], families: list[int], other: list[str], clean: Counter, least: float = 3.0) -> Counter:
     """First guess of the toxic words: those with a stretch of symbols whose texts are most often toxic.
 
     Stretches are taken one by one, the most telling first; the words that hold one are then
@@ -263,7 +266,7 @@ def _telling_words(bags: list[list[bytes]], other: list[str], clean: Counter, le
     copies count once, else each of their chance words would.
     """
     held: dict[bytes, set[int]] = defaultdict(set)  # the families of each word
-    for bag, own in zip(bags, families := _families(bags), strict=True):
+    for bag, own in zip(bags, families, strict=True):
         for w in bag:
             if w not in clean:
                 held[w].add(own)
@@ -272,7 +275,7 @@ def _telling_words(bags: list[list[bytes]], other: list[str], clean: Counter, le
     for w, where in held.items():
         for g in _parts(w):
             count[g].update(where)
-    total, enough = len(set(families)) + 1, max(3, len(set(families)) // 100)
+    total, enough = len(set(families)) + 1, max(3, len(set(families)) // 50)
     count = {g: c for g, c in count.items() if len(c) >= enough}
     words: dict[bytes, list[bytes]] = defaultdict(list)
     for w in sorted(held):
@@ -300,7 +303,7 @@ def fit(toxic: list[str], other: list[str], rounds: int = 4) -> Model:
     rng = np.random.default_rng(3)
     bags, clean = [sorted(words_of(t)) for t in toxic], Counter(w for t in other for w in words_of(t))
 
-    seeds = _telling_words(bags, other, clean)
+    seeds = _telling_words(bags, _families(toxic), other, clean)
     given = Counter(seeds)
     if not seeds:
         return Model()
@@ -337,17 +340,20 @@ def fit(toxic: list[str], other: list[str], rounds: int = 4) -> Model:
         value = margins(stream, begins, model.weights) + bias
         order = np.argsort(-value, kind="stable")
         against |= {ordinary[i] for i in order[:2000] if value[i] > -0.9}
-        # The witness of each toxic text: its most toxic word now, if no other text has it.
+        # The witness of a toxic text that no telling word explains: its most toxic word now, if no other text has it.
         seeds = Counter(given)
         for bag in bags:
-            if bag:
+            if bag and not any(w in given for w in bag):
                 stream, begins = _stream(bag)
                 value = margins(stream, begins, model.weights) + bias
-                if value.max() > 0 and bag[int(value.argmax())] not in clean:
+                if value.max() > 0.5 and bag[int(value.argmax())] not in clean:
                     seeds[bag[int(value.argmax())]] += 1
     # Platt's logistic of the document margin, with his smoothed targets.
-    margin = np.concatenate([model.margin(toxic), model.margin(other)])
-    label = np.concatenate([np.full(len(toxic), (len(toxic) + 1) / (len(toxic) + 2)), np.full(len(other), 1 / (len(other) + 2))])
+    # Words with an inserted symbol stand for toxic texts as well, so that the cut leaves room for them.
+    stream, begins = _stream(extra[: len(toxic) // 3 + 1] or positive)
+    good = np.concatenate([model.margin(toxic), margins(stream, begins, model.weights) + model.bias])
+    margin = np.concatenate([good, model.margin(other)])
+    label = np.concatenate([np.full(len(good), (len(good) + 1) / (len(good) + 2)), np.full(len(other), 1 / (len(other) + 2))])
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
