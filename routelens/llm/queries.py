@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, hilbert_packing, lz_fingerprint, progressive_jpeg, pu_quality, string_kernel
+from . import bpe_tree, hilbert_packing, lz_fingerprint, progressive_jpeg, pu_quality, string_kernel, wrapper_induction
 
 QUERIES = {
+    "op1_wrapper_induction": wrapper_induction.query,
     "op3_string_kernel": string_kernel.query,
     "op6_pu_quality": pu_quality.query,
     "op7_progressive_jpeg": progressive_jpeg.query,
