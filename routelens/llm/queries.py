@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, hilbert_packing, lz_fingerprint, progressive_jpeg, pu_quality, string_kernel, wrapper_induction
+from . import bpe_tree, hilbert_packing, line_suffix_array, lz_fingerprint, progressive_jpeg, pu_quality, string_kernel, wrapper_induction
 
 QUERIES = {
+    "op9_line_suffix_array": line_suffix_array.query,
     "op1_wrapper_induction": wrapper_induction.query,
     "op3_string_kernel": string_kernel.query,
     "op6_pu_quality": pu_quality.query,
@@ -13,4 +14,6 @@ QUERIES = {
     "op4_hilbert_packing": hilbert_packing.query,
     "op5_bpe_tree": bpe_tree.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_suffix_array": line_suffix_array.ORACLE,
+}
