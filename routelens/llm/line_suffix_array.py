@@ -51,7 +51,7 @@ def _ranked(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     shared = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("members"), F.min(here).alias("first")).where("members > 1")
     # Ids that rise with the partition and the row in it keep the order of the range sort.
     order = keep(shared.repartitionByRange(parts(rows.sparkSession), a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), name)
-    return rows.join(order, [a, b])
+    return rows.join(order.hint("merge"), [a, b])
 
 
 def suffix_array(docs: DataFrame, lines: int) -> DataFrame:
@@ -102,7 +102,8 @@ def _with_places(docs: DataFrame, min_lines: int) -> DataFrame:
     """The columns of ``docs`` in one struct, and the places to delete."""
     places = removed_lines(docs.select("doc_id", "text"), min_lines)
     rows = _key(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "key", "digest")
-    return rows.join(places, _KEY, "left").select("row", "places")
+    # Merged at every size: a plan that broadcasts small tables wouldn't show what large ones cost.
+    return rows.join(places.hint("merge"), _KEY, "left").select("row", "places")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
