@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, dart_minhash, hilbert_packing, line_suffix_array, lz_fingerprint, progressive_jpeg, pu_quality, string_kernel, wrapper_induction
+from . import bpe_tree, dart_minhash, hilbert_packing, line_suffix_array, lz_fingerprint, merge_suffix_array, progressive_jpeg, pu_quality, string_kernel, wrapper_induction
 
 QUERIES = {
+    "op10_merge_suffix_array": merge_suffix_array.query,
     "op8_dart_minhash": dart_minhash.query,
     "op9_line_suffix_array": line_suffix_array.query,
     "op1_wrapper_induction": wrapper_induction.query,
