@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = keep(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
     labels = keep(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("y"), "label").hint("merge"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        lower = labels.join(near.withColumnRenamed("x", "node").hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         lower = keep(lower, "labels")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = keep(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        labels = keep(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
         if not labels.where("label < old").limit(1).count():
             return labels.select("node", "label")
