@@ -44,8 +44,8 @@ from .common import U64, keep, mix, parts, prefix_hash, span_hash, spread, table
 LENGTH = 200
 #: Bytes that windows are looked through at a time; offsets in them fit ``_PLACE`` bits beside a hash.
 CHUNK, _PLACE = 4 << 20, 24
-#: Anchors and bytes of items that a task holds before it sends a run.
-RUN_ANCHORS, RUN_BYTES = 1_000_000, 48 << 20
+#: Anchors, bytes of items, and spans that a task holds before it sends them.
+RUN_ANCHORS, RUN_BYTES, RUN_SPANS = 400_000, 16 << 20, 50_000
 #: A gram is very frequent from this number of anchors, or this share of them, on.
 HOT_LEAST, HOT_SHARE = 200_000, 1e-3
 _ENTRY, _CANDIDATE, _HOT, _RUN, _SPAN, _DOC = range(6)
@@ -341,11 +341,13 @@ def _sort_suffixes(length: int, n: int, hot: frozenset[int]) -> Callable:
 def _decoded(blob: bytes) -> Iterator[tuple[int, bytes, tuple]]:
     """Items of a front-coded run: prefix shared with the one before, item, about."""
     lcp, sizes, rest, *about = _unpack(blob)
-    rest, at, item = rest.tobytes(), 0, b""
-    for shared, size, info in zip(lcp.tolist(), sizes.tolist(), zip(*(c.tolist() for c in about), strict=True), strict=True):
-        item = item[:shared] + rest[at : at + size]
-        at += size
-        yield shared, item, info
+    at, item = 0, b""
+    for a in range(0, len(lcp), 256):
+        own = slice(a, a + 256)
+        for shared, size, info in zip(lcp[own].tolist(), sizes[own].tolist(), zip(*(c[own].tolist() for c in about), strict=True), strict=True):
+            item = item[:shared] + rest[at : at + size].tobytes()
+            at += size
+            yield shared, item, info
 
 
 def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int, bytes, tuple]]:
@@ -433,7 +435,7 @@ def _merge_round(length: int, n: int, level: int) -> Callable:
                 if children.size >= RUN_BYTES:
                     yield _batch(list(_sent(children, length, n)))
                     children = Run()
-                if len(spans) >= RUN_ANCHORS:
+                if len(spans) >= RUN_SPANS:
                     yield _batch(list(_dealt_spans(spans, n)))
                     spans.clear()
             item, near, equals = own, shared, [about]
