@@ -37,7 +37,6 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import U64, keep, mix, parts, prefix_hash, span_hash, spread, table
 
@@ -499,61 +498,82 @@ def cut(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, i
     return b"".join(kept), removed, runs
 
 
-def _with_spans(docs: DataFrame, length: int, run: Callable[[int | None, bytes, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
-    """``run`` over doc_id, text, and the spans of every document."""
+def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, list[bytes], list[tuple]], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """``run`` over batches of documents: their columns but the text, the texts, and their spans."""
     n = parts(docs.sparkSession)
-    both = repeated_spans(docs, length).union(_in_documents(docs, n, _send_documents(n, 0)))
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), text).alias("key"), "doc_id", text.cast("binary").alias("text"), F.struct(rest.alias("rest"), F.col("text").isNull().alias("void")).alias("row"))
+    kind = rows.schema["row"].dataType
+    sent = rows.mapInArrow(_send_rows(n), T.StructType.fromDDL(_ROWS).add("row", kind))
+    both = repeated_spans(docs.select("doc_id", "text"), length).withColumn("row", F.lit(None).cast(kind)).union(sent)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
         ready: tuple | None = None
-        out: list[tuple] = []
-        size = 0
-        for _, kind, key, doc, blob in _rows_of(batches):  # spans first, then documents
-            if kind == _SPAN:
-                spans.append(tuple(_unpack(blob)))
-                continue
-            if ready is None:
+        for batch in batches:  # spans first, then documents
+            kinds = batch["kind"].to_pylist()
+            spans += [tuple(_unpack(batch["blob"][i].as_py())) for i, k in enumerate(kinds) if k == _SPAN]
+            own = [i for i, k in enumerate(kinds) if k == _DOC]
+            if own and ready is None:
                 columns = [np.concatenate(c) for c in zip(*spans, strict=True)] if spans else [np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
                 order = np.argsort(columns[0], kind="stable")
                 ready = tuple(c[order] for c in columns)
-            name = np.int64(key).astype(U64)
-            a, b = np.searchsorted(ready[0], name), np.searchsorted(ready[0], name, side="right")
-            text = zstandard.ZstdDecompressor().decompress(blob) if len(blob) else b""
-            out.append(run(doc, text, ready[1][a:b], ready[2][a:b]))
-            size += len(text)
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], arrow.names)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], arrow.names)
+            for at in range(0, len(own), 256):
+                some = own[at : at + 256]
+                texts, found = [], []
+                for i in some:
+                    name = np.int64(batch["key"][i].as_py()).astype(U64)
+                    x, y = np.searchsorted(ready[0], name), np.searchsorted(ready[0], name, side="right")
+                    texts.append(zstandard.ZstdDecompressor().decompress(batch["blob"][i].as_py()))
+                    found.append((ready[1][x:y], ready[2][x:y]))
+                yield run(batch["row"].take(pa.array(some)), texts, found)
+
+    return _exchange(both, n).sortWithinPartitions("kind").mapInArrow(final, schema)
 
-    return _exchange(both, n).sortWithinPartitions("kind").mapInArrow(rows, schema)
+
+def _send_rows(n: int) -> Callable:
+    """All documents, pressed, with their other columns, to the range of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            part = pa.array(_part(np.array(batch["key"]).astype(U64), n).astype(np.int32))
+            blobs = pa.array([press.compress(t.as_buffer()) for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), _DOC, np.int32)), batch["key"], batch["doc_id"], blobs, batch["row"]], [*_NAMES, "row"])
+
+    return run
 
 
 def report_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """A row for each document: its bytes, those removed, their maximal runs, and the digest of what is kept."""
 
-    def run(doc: int | None, text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
-        kept, removed, runs = cut(text, begin, stop)
-        return doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest()
+    def run(row: pa.StructArray, texts: list[bytes], spans: list[tuple]) -> pa.RecordBatch:
+        done = [cut(t, *s) for t, s in zip(texts, spans, strict=True)]
+        columns = [pa.array(c, pa.int64()) for c in zip(*((len(t), d[1], d[2]) for t, d in zip(texts, done, strict=True)), strict=True)]
+        digest = pa.array([hashlib.sha256(d[0]).hexdigest() for d in done])
+        return pa.RecordBatch.from_arrays([row.field("rest").field("doc_id"), *columns, digest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_spans(spread(docs.select("doc_id", "text")), length, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without the repeated passages; n_chars, if there, is that of the new text."""
-
-    def run(doc: int | None, text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
-        return doc, hashlib.sha256(text).hexdigest(), cut(text, begin, stop)[0].decode("utf-8", "ignore")
-
-    new = keep(_with_spans(docs.select("doc_id", "text"), length, run, "k long, digest string, kept string").where("digest is not null").distinct(), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    both = rows.join(new.withColumn("k", F.coalesce("k", F.lit(-(1 << 63)))).hint("merge"), ["k", "digest"])
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
-    changed = {"text": text, "n_chars": F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None}
-    return both.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+    """``docs`` without the repeated passages; n_chars, if there, is that of the new text; null texts stay null."""
+    schema = docs.schema
+    names = schema.names
+
+    def run(row: pa.StructArray, texts: list[bytes], spans: list[tuple]) -> pa.RecordBatch:
+        rest = row.field("rest")
+        columns = {c: rest.field(c) for c in names if c != "text"}
+        void = row.field("void").to_pylist()
+        kept = [None if v else cut(t, *s)[0].decode("utf-8", "ignore") for t, s, v in zip(texts, spans, void, strict=True)]
+        if "n_chars" in columns:
+            old = columns["n_chars"].to_pylist()
+            columns["n_chars"] = pa.array([o if t is None else len(t) for t, o in zip(kept, old, strict=True)], columns["n_chars"].type)
+        columns["text"] = pa.array(kept, pa.string())
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return _with_spans(docs, length, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
