@@ -10,7 +10,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     base = test_string_kernel.corpus(400, 3)
     rows = [(i, t.replace(" ", "\n", 2)) for i, t, _ in base]
     passage = " ".join(t for i, t, x in test_string_kernel.corpus(12, 77) if not x)[:330]
-    rows += [(1000 + i, f"{rows[1][1][: 20 * i]} {passage}\nline one here\nline two here\n{rows[3 + i][1]}") for i in range(6)]
+    rows += [(1000 + i, f"{rows[1][1][: 20 * i]} {passage}\nline one here\nline two here\n{test_string_kernel.corpus(2, 90 + i)[1][1]} {test_string_kernel.corpus(2, 190 + i)[1][1]}") for i in range(6)]
     rows += [(2000, rows[2][1]), (2001, rows[2][1] + " more"), (2002, None), (2003, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
