@@ -82,7 +82,9 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         first = np.flatnonzero(np.diff(place, prepend=-1))
         last = np.append(first[1:], n) - 1
         spot = place[first]
-        out.append((full[spot], spot + at, spot - last, spot - first))
+        # Anchors have small hashes; mixed again, they spread over all ranges.
+        with np.errstate(over="ignore"):
+            out.append((mix(full[spot] + U64(0x632BE59BD9B4E019)), spot + at, spot - last, spot - first))
     if not out:
         return np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
