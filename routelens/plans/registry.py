@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
+_MODULES = ("usage", "simulate", "sweep", "metrics")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _name in _MODULES:
+    _module = importlib.import_module(f"routelens.operators.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
