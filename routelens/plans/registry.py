@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("usage", "simulate", "sweep", "metrics")
+_MODULES = ("usage", "simulate", "sweep", "metrics", "text", "splits", "conversations")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:
