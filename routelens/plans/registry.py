@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("usage", "simulate", "sweep", "metrics", "text", "splits", "conversations")
+_MODULES = ("operators.usage", "operators.simulate", "operators.sweep", "operators.metrics", "operators.text", "operators.splits", "operators.conversations", "operators.workspace", "ml.routers")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:
-    _module = importlib.import_module(f"routelens.operators.{_name}")
+    _module = importlib.import_module(f"routelens.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
