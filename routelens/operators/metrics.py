@@ -114,8 +114,8 @@ def random_curve(outcomes: DataFrame, seed: int = 17, trials: int = TRIALS) -> D
     pick = lambda a, b: F.when(F.col("u") >= F.col("rate"), F.col(a)).otherwise(b)
     long = rows.withColumn("rate", F.explode(F.array(*map(F.lit, GRID))))
     each = long.groupBy("rate", "trial").agg(F.avg(pick("qa", F.col("qb"))).alias("q"), F.avg(pick("ca", F.col("cb"))).alias("c"), F.avg(pick("ea", F.lit(1))).alias("strong"), F.avg(pick("ua", F.lit(0))).alias("unsafe"))
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return each.groupBy("rate").agg(mean("q", "quality_mean"), F.round(F.stddev_pop("q"), 6).alias("quality_std"), F.round(F.percentile("q", F.lit(0.025)), 6).alias("quality_lo"), F.round(F.percentile("q", F.lit(0.975)), 6).alias("quality_hi"), mean("c", "cost_mean"), mean("strong", "remote_call_rate"), mean("unsafe", "unsafe_local_rate"))
+    mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    return each.groupBy("rate").agg(mean("q", "quality_mean"), F.round(F.stddev_pop("q"), 9).alias("quality_std"), F.round(F.percentile("q", F.lit(0.025)), 9).alias("quality_lo"), F.round(F.percentile("q", F.lit(0.975)), 9).alias("quality_hi"), mean("c", "cost_mean"), mean("strong", "remote_call_rate"), mean("unsafe", "unsafe_local_rate"))
 
 
 def interpolate(curve: DataFrame, at: DataFrame) -> DataFrame:
@@ -193,8 +193,8 @@ _SCORE_Q = f"SELECT task_id AS key, quality AS v FROM ({SYSTEMS_SQL}) WHERE syst
 _DIFF = f"SELECT task_id AS key, sum(quality) FILTER (WHERE system = 'score') - sum(quality) FILTER (WHERE system = 'oracle') AS v FROM ({SYSTEMS_SQL}) GROUP BY task_id"
 _ESC = "(post_check_problem IS NOT NULL OR coalesce(local_confidence < 0.4, false))"
 _CURVE = f"""
-SELECT rate, round(avg(q), 6) AS quality_mean, round(stddev_pop(q), 6) AS quality_std, round(quantile_cont(q, 0.025), 6) AS quality_lo, round(quantile_cont(q, 0.975), 6) AS quality_hi,
-  round(avg(c), 6) AS cost_mean, round(avg(s), 6) AS remote_call_rate, round(avg(x), 6) AS unsafe_local_rate
+SELECT rate, round(avg(q), 9) AS quality_mean, round(stddev_pop(q), 9) AS quality_std, round(quantile_cont(q, 0.025), 9) AS quality_lo, round(quantile_cont(q, 0.975), 9) AS quality_hi,
+  round(avg(c), 9) AS cost_mean, round(avg(s), 9) AS remote_call_rate, round(avg(x), 9) AS unsafe_local_rate
 FROM (SELECT rate, trial, avg(CASE WHEN u >= rate THEN qa ELSE remote_quality END) AS q, avg(CASE WHEN u >= rate THEN ca ELSE remote_cost END) AS c,
   avg(CASE WHEN u >= rate THEN e::INT ELSE 1 END) AS s, avg(CASE WHEN u >= rate THEN ua ELSE 0 END) AS x
   FROM (SELECT *, CASE WHEN e THEN remote_quality ELSE local_quality END AS qa, CASE WHEN e THEN local_cost + remote_cost ELSE local_cost END AS ca, (NOT e AND NOT local_ok)::INT AS ua,
