@@ -38,7 +38,7 @@ from .graph import components
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Rows of the second banding, and its bands: subsets of the coordinates.
-SUBSET, SUBSETS = 8, 60
+SUBSET, SUBSETS = 6, 28
 #: Least share of agreeing coordinates of a pair worth comparing: six deviations below ``LIKENESS``.
 LEAST_AGREEMENT = 0.55
 _SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
@@ -191,10 +191,9 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(several.hint("merge"), "key").select("node", "key")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the label of their component: their own node if it has no link."""
-    labels = components(links).hint("merge")
-    return keep(members.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "members")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with a label: their own node if it has no link."""
+    return members.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -265,20 +264,22 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = keep(_packed(docs).withColumn("k", F.coalesce("doc_id", low)).join(wanted, ["k", "a", "b"]).select("node", "blob").dropDuplicates(["node"]), "texts")
     marks = nodes.select("node", "marks", "weight")
     links = keep(_links(_agreeing(_stars(members), marks), texts), "links")
-    members = _labelled(members, links)
+    # One round of labels is enough here: equal labels are of one component, unequal ones cost comparisons at most.
+    labels = components(links, rounds=1)
     # Documents that merely share a passage meet in a few buckets; those still apart meet again on more rows.
-    apart = keep(_mixed(members).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
-    alone = keep(_alone_weight(apart.select("node"), texts), "alone")
-    weights = apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common"))
-    members = _labelled(keep(_crowded(_subset_keys(apart)), "members"), links)
-    members = members.join(weights.hint("merge"), "node").withColumn("own_share", 1 - F.col("common") / F.col("weight"))
+    apart = keep(_mixed(_labelled(members, labels)).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
+    alone = _alone_weight(apart.select("node"), texts)
+    weights = keep(apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common")), "weights")
+    members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", 1 - F.col("common") / F.col("weight"))
+    members = keep(members, "members")
     links = keep(links.union(_links(_agreeing(_stars(members), marks), texts)), "links")
-    left = _mixed(_labelled(members, links)).join(weights.hint("merge"), "node")
     # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
-    left = keep(left.withColumn("most", F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6).where(F.col("most") >= F.col("weight") * LIKENESS), "left")
+    able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
+    left = _labelled(members, components(links, rounds=1)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
+    left = keep(_mixed(left), "left")
     other = left.select("key", F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
-    able = "node < y and label <> own and v <= most and weight <= most_y"
-    pairs = left.join(other.hint("merge"), "key").where(able).select(F.col("node").alias("x"), "y").distinct()
+    fit = "node < y and label <> own and v <= most and weight <= most_y"
+    pairs = left.join(other.hint("merge"), "key").where(fit).select(F.col("node").alias("x"), "y").distinct()
     links = keep(links.union(_links(_agreeing(pairs, marks), texts)), "links")
     own_label = nodes.join(components(links).hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
     least = own_label.groupBy("label").agg(F.min(F.struct("doc_id", "a", "b")).alias("least"))
