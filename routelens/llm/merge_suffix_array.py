@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, keep, mix, parts, prefix_hash, span_hash, spread, table
+from .common import U64, keep, mix, prefix_hash, span_hash, spread, table
 
 LENGTH = 200
 #: Bytes that windows are looked through at a time; offsets in them fit ``_PLACE`` bits beside a hash.
 CHUNK, _PLACE = 4 << 20, 24
 #: Anchors, bytes of items, and spans that a task holds before it sends them.
 RUN_ANCHORS, RUN_BYTES, RUN_SPANS = 400_000, 16 << 20, 50_000
+#: Bytes of text for each range of the order, and most ranges.
+RANGE_BYTES, MOST_RANGES = 12 << 20, 50_000
 #: A gram is very frequent from this number of anchors, or this share of them, on.
 HOT_LEAST, HOT_SHARE = 200_000, 1e-3
 _ENTRY, _CANDIDATE, _HOT, _RUN, _SPAN, _DOC = range(6)
@@ -54,9 +56,14 @@ _KNOWN, _FREQUENT = 1, 2
 _HEAD = 10  # bytes of an item before its text: hash of the shared bytes, and the interval
 
 
+def gram_of(length: int) -> int:
+    """Bytes of the grams among which anchors are chosen."""
+    return max(2, length * 5 // 16)
+
+
 def widths(length: int) -> list[int]:
     """Numbers of offsets in an interval, round by round."""
-    out = [length - length // 2 + 1]
+    out = [length - gram_of(length) + 1]
     while out[-1] > 1:
         out.append(-(-out[-1] // 4))
     return out
@@ -64,7 +71,7 @@ def widths(length: int) -> list[int]:
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor, and the least and greatest offset of the windows it stands for."""
-    gram = length // 2
+    gram = gram_of(length)
     wide = length - gram + 1
     out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, max(0, len(text) - length + 1), CHUNK):
@@ -109,6 +116,11 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _joined(blobs: list[bytes]) -> bytes:
+    """The arrays of several strings, one after another, in one."""
+    return _pack(*(np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)))
+
+
 def _part(values: np.ndarray, n: int) -> np.ndarray:
     """The range, of n equal ranges of 64 bits, of each value."""
     return ((values >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
@@ -191,13 +203,15 @@ def _shared_hashes(n: int) -> Callable:
     """Anchors whose hash occurs again, dealt by document; and how often the most frequent hashes occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = []
+        entries, ready = [], []
         for row in _rows_of(batches):
             if row[1] == _CANDIDATE:
-                yield _batch([row])
+                ready.append(row[4])
             else:
                 hashes, count, names, index, place, low, high = _unpack(row[4])
                 entries.append((hashes, count, names[index], place, low, high))
+        if ready:
+            yield _batch([(row[0], _CANDIDATE, None, None, _joined(ready))])
         if not entries:
             return
         hashes, count, doc, place, low, high = (np.concatenate(c) for c in zip(*entries, strict=True))
@@ -401,12 +415,14 @@ def _merge_round(length: int, n: int, level: int) -> Callable:
     next_wide = [*widths(length), 0][level + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = []
+        runs, settled = [], []
         for row in _rows_of(batches):
             if row[1] == _RUN:
                 runs.append(_decoded(row[4]))
             else:
-                yield _batch([row])
+                settled.append(row[4])
+        if settled:
+            yield _batch([(row[0], _SPAN, None, None, _joined(settled))])
         spans: list[tuple[int, int, int]] = []
         children = Run()
         equals: list[tuple] = []
@@ -451,7 +467,7 @@ def _send_documents(n: int, least: int) -> Callable:
     """Documents of at least so many bytes, pressed, to the range of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             part = _part(np.array(batch["key"]).astype(U64), n).tolist()
             rows = zip(part, batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True)
@@ -464,11 +480,16 @@ def _exchange(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartitionById(n, F.col("part"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def ranges(docs: DataFrame) -> int:
+    """Number of ranges for so much text: a task holds the runs of one."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(MOST_RANGES, -(-size // RANGE_BYTES)))
+
+
+def repeated_spans(docs: DataFrame, length: int, n: int) -> DataFrame:
     """Rows of packed (key, begin, end) of the repeated passages, dealt by document."""
-    if not 8 <= length <= 400:
-        raise ValueError("length must be from 8 to 400 bytes")
-    n = parts(docs.sparkSession)
+    if not 8 <= length <= 360:
+        raise ValueError("length must be from 8 to 360 bytes")
     entries = _in_documents(docs, n, _send_hashes(length, n))
     found = keep(_exchange(entries, n).mapInArrow(_shared_hashes(n), _ROWS), "anchors")
     counts = found.where(F.col("kind") == _HOT).select("key", "blob").collect()  # a row for each range
@@ -502,13 +523,13 @@ def cut(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, i
 
 def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, list[bytes], list[tuple]], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """``run`` over batches of documents: their columns but the text, the texts, and their spans."""
-    n = parts(docs.sparkSession)
+    n = ranges(docs)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), text).alias("key"), "doc_id", text.cast("binary").alias("text"), F.struct(rest.alias("rest"), F.col("text").isNull().alias("void")).alias("row"))
     kind = rows.schema["row"].dataType
     sent = rows.mapInArrow(_send_rows(n), T.StructType.fromDDL(_ROWS).add("row", kind))
-    both = repeated_spans(docs.select("doc_id", "text"), length).withColumn("row", F.lit(None).cast(kind)).union(sent)
+    both = repeated_spans(docs.select("doc_id", "text"), length, n).withColumn("row", F.lit(None).cast(kind)).union(sent)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
@@ -538,7 +559,7 @@ def _send_rows(n: int) -> Callable:
     """All documents, pressed, with their other columns, to the range of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             part = pa.array(_part(np.array(batch["key"]).astype(U64), n).astype(np.int32))
             blobs = pa.array([press.compress(t.as_buffer()) for t in batch["text"]], pa.binary())

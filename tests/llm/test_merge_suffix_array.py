@@ -70,7 +70,7 @@ def test_very_frequent_grams(spark):
     common = "".join(rng.choice("abcdef") for _ in range(30))
     rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(50)) + common + "".join(rng.choice("ab") for _ in range(30))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    n = ms.parts(spark)
+    n = 4
     found = ms.keep(ms._exchange(ms._in_documents(docs, n, ms._send_hashes(32, n)), n).mapInArrow(ms._shared_hashes(n), ms._ROWS), "test")
     hashes = frozenset(int(h) for r in found.where(f"kind = {ms._CANDIDATE}").collect() for h in ms._unpack(bytes(r.blob))[1])
     both = found.where(f"kind = {ms._CANDIDATE}").union(ms._in_documents(docs, n, ms._send_documents(n, 32)))
@@ -87,6 +87,14 @@ def test_very_frequent_grams(spark):
     assert len(spans) == 1 and hashes
 
 
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ms, "RANGE_BYTES", 1000)
+    rows = corpus(random.Random(11), 40, 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ms.ranges(docs) > 5
+    assert sorted((tuple(r) for r in ms.report_passages(docs, 64).collect()), key=str) == brute(rows, 64)
+
+
 def test_merge_gives_order_and_shared_prefixes():
     rng = random.Random(9)
     for k in (0, 1, 2, 3, 7, 8):
