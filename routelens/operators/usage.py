@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..sources.views import view, with_views
 
 #: Dollars per million tokens of the billed provider, in and out.
-CHEAP_IN, CHEAP_OUT, STRONG_IN, STRONG_OUT = 0.2, 0.2, 0.9, 0.9
+CHEAP_IN, CHEAP_OUT, STRONG_IN, STRONG_OUT = 0.05, 0.2, 0.15, 0.6
 BILLED = "fireworks"
 #: Thresholds of the lowering replay.
 CANDIDATES = (0.3, 0.4, 0.5, 0.55, 0.6, 0.7)
