@@ -112,7 +112,32 @@ for _code, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;",
     _HTML = f"replace({_HTML}, '{_code}', '{_mark}')"
 _HTML = f"trim(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', '\n', 'g'))"
 _ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_PLAIN = "regexp_replace(prompt, '[^\\x00-\\x7F]', 'x', 'g')"
+_COUNT = lambda pattern, of="prompt": f"len(regexp_extract_all({of}, '{pattern}'))::DOUBLE"
+_SPLIT = "list_filter(regexp_split_to_array(prompt, '[\\s\\x{00A0}]+'), lambda x: x <> '')"
+_SIGNAL_SQL = ", ".join(f"CASE WHEN {_signal_sql(n)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal_{n}" for n in sorted(T.SIGNALS))
+_FEATURES = f"""
+SELECT sha256(prompt) AS key, round(ln(1 + length(prompt)), 6) AS n_chars_log, round(ln(1 + {_WORDS}), 6) AS n_words_log,
+  round(coalesce(list_sum(list_transform({_SPLIT}, lambda x: length(x)))::DOUBLE / nullif({_WORDS}, 0), 0.0), 6) AS avg_word_len,
+  {_COUNT("[.!?]+")} AS n_sentences, {_COUNT(chr(10))} + 1 AS n_lines, {_COUNT("[?]")} AS n_question_marks,
+  round(coalesce({_COUNT("[0-9]")} / nullif(length(prompt), 0), 0.0), 6) AS digit_ratio, round(coalesce({_COUNT("[\\p{{Lu}}]".replace("{{", "{").replace("}}", "}"))} / nullif(length(prompt), 0), 0.0), 6) AS upper_ratio,
+  {_COUNT("[0-9]\\s*[-+*/^%=]\\s*[0-9]")} AS n_math_ops, CASE WHEN contains(prompt, '```') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_code_fence,
+  CASE WHEN regexp_matches({_PLAIN}, '^\\s*(what|who|when|where|which|why|how|is|are|do|does|can|did)\\b', 'i') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS starts_with_question_word,
+  {_COUNT("\\b[A-Z][A-Z]+\\b", _PLAIN)} AS n_allcaps_words, round({_LENGTH}, 6) AS heuristic_length_score, round({_COMPLEX}, 6) AS heuristic_complexity_score, {_SIGNAL_SQL}
+FROM {_P}"""
+_HEDGE = "|".join(h.replace("'", "''") for h in T.HEDGES)
+_CHECKED = f"""
+WITH p AS (SELECT prompt, row_number() OVER () AS i, {_SPLIT} AS w FROM {_P}),
+t AS (SELECT i, len(w) AS n, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(chr(31), w[i], w[i + 1], w[i + 2]))) AS x FROM p WHERE len(w) >= 12),
+m AS (SELECT i, max(c)::DOUBLE / (any_value(n) - 2) AS share FROM (SELECT i, any_value(n) AS n, count(*) AS c FROM t GROUP BY i, x) GROUP BY i)
+SELECT sha256(prompt) AS key, concat_ws(',', CASE WHEN length(trim(prompt, ' ' || chr(9) || chr(10) || chr(13))) < 3 THEN 'empty_or_truncated' END,
+  CASE WHEN regexp_matches(regexp_replace(substr(lower(trim(prompt, ' ' || chr(9) || chr(10) || chr(13))), 1, 120), '[^\\x00-\\x7F]', 'x', 'g'), '\\b({_HEDGE})\\b') THEN 'hedging_or_refusal' END,
+  CASE WHEN starts_with(lower(prompt), 'unrelated question of some length') THEN 'prompt_echo' END, CASE WHEN share > 0.3 THEN 'degenerate_repetition' END) AS problems
+FROM p LEFT JOIN m USING (i)"""
 ORACLES = {
+    "engineered_features": _FEATURES,
+    "post_check": _CHECKED,
+    "extract_urls": "SELECT page_id, concat_ws(' ', regexp_replace(url, '[.,;:!?)\\]}''\"]+$', ''), 'http://a.b/c', 'https://x.y/') AS urls FROM pages",
     "normalize_prompt": f"SELECT doc_id, {_NORM} AS norm FROM documents",
     "default_group_id": f"SELECT doc_id, concat('g-', substr(sha256({_NORM}), 1, 16)) AS group_id FROM documents",
     "length_score": f"SELECT sha256(prompt) AS key, round({_LENGTH}, 6) AS score FROM {_P}",
