@@ -38,7 +38,7 @@ from .graph import components
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Rows of the second banding, and its bands: subsets of the coordinates.
-SUBSET, SUBSETS = 6, 28
+SUBSET, SUBSETS = 8, 40
 #: Least share of agreeing coordinates of a pair worth comparing: six deviations below ``LIKENESS``.
 LEAST_AGREEMENT = 0.55
 _SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
@@ -203,7 +203,10 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its centre: the member with the least share of its own, then by hash."""
+    """Pairs of each bucket's members with its centre: a member that has little of its own, the first of those by hash.
+
+    Both orders are the same in all buckets, so a group meets few centres.
+    """
     if "label" not in members.columns:
         members = members.withColumn("label", F.col("node"))
     share = F.col("own_share") if "own_share" in members.columns else F.lit(0.0)
@@ -264,18 +267,17 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = keep(_packed(docs).withColumn("k", F.coalesce("doc_id", low)).join(wanted, ["k", "a", "b"]).select("node", "blob").dropDuplicates(["node"]), "texts")
     marks = nodes.select("node", "marks", "weight")
     links = keep(_links(_agreeing(_stars(members), marks), texts), "links")
-    # One round of labels is enough here: equal labels are of one component, unequal ones cost comparisons at most.
-    labels = components(links, rounds=1)
+    labels = components(links)
     # Documents that merely share a passage meet in a few buckets; those still apart meet again on more rows.
     apart = keep(_mixed(_labelled(members, labels)).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
     alone = _alone_weight(apart.select("node"), texts)
     weights = keep(apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common")), "weights")
-    members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", 1 - F.col("common") / F.col("weight"))
+    members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", F.floor(20 * (1 - F.col("common") / F.col("weight"))))
     members = keep(members, "members")
     links = keep(links.union(_links(_agreeing(_stars(members), marks), texts)), "links")
     # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
     able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
-    left = _labelled(members, components(links, rounds=1)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
+    left = _labelled(members, components(links)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
     left = keep(_mixed(left), "left")
     other = left.select("key", F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
     fit = "node < y and label <> own and v <= most and weight <= most_y"

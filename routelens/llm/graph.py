@@ -7,26 +7,28 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
+#: Every so many rounds a label jumps to the label of its node, which shortens long chains.
+JUMP = 3
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes of ``edges`` (x, y: long).
 
-    Labels fall to the smallest of a node's neighbours, then jump to the label of the
-    label, until none changes - or for a number of rounds, after which nodes of one label
-    are of one component, but a component may still have several. Every step is joins and aggregates on nodes, written to
-    the shared folder; only a count comes to the driver.
+    A node's label falls to the smallest of its neighbours' and its own; now and then it jumps to
+    the label of its label; until none changes. Every step is joins and aggregates on nodes,
+    written to the shared folder; only whether any label changed comes to the driver.
     """
     both = keep(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
-    labels = keep(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), "labels")
-    if rounds == 1:
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        return keep(labels.join(jump.hint("merge"), "label").select("node", F.least("label", "next").alias("label")), "labels")
+    labels = keep(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    turn = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "label").hint("merge"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("x", "node").hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        turn += 1
+        told = both.join(labels.select(F.col("node").alias("y"), "label").hint("merge"), "y").select(F.col("x").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        lower = told.union(labels.select("node", "label", F.col("label").alias("own"))).groupBy("node").agg(F.min("label").alias("label"), F.min("own").alias("own"))
         lower = keep(lower, "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = keep(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        done = rounds is not None and (rounds := rounds - 1) <= 1
-        if done or not labels.where("label < old").limit(1).count():
-            return labels.select("node", "label")
+        if not lower.where("label < own").limit(1).count():
+            return lower.select("node", "label")
+        labels = lower.select("node", "label")
+        if turn % JUMP == 0:
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = keep(labels.join(up.hint("merge"), "label").select("node", F.least("label", "next").alias("label")), "labels")
