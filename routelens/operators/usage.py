@@ -45,7 +45,7 @@ def usage_summary(log: DataFrame, *by: str) -> DataFrame:
         F.coalesce(F.sum(billed("prompt")), F.lit(0)).alias("billable_prompt_tokens"),
         F.coalesce(F.sum(billed("completion")), F.lit(0)).alias("billable_completion_tokens"),
         F.coalesce(F.sum("billable_tokens"), F.lit(0)).alias("billable_total_tokens"),
-        F.round(F.coalesce(F.sum("estimated_cost_usd"), F.lit(0.0)), 6).alias("estimated_cost_usd"),
+        F.round(F.coalesce(F.sum("estimated_cost_usd"), F.lit(0.0)), 9).alias("estimated_cost_usd"),
         F.coalesce(F.sum(_if(F.col("cheap_provider") == "local", F.col("cheap_prompt_tokens") + F.col("cheap_completion_tokens"))), F.lit(0)).alias("free_local_tokens"),
         F.round(F.coalesce(F.try_divide(cheap, n), F.lit(0.0)), 3).alias("local_share"),
     )
@@ -127,7 +127,7 @@ QUERIES = {
     "logprob_reco": lambda s, d: logprob_reco(logprob_rows(_log(s, d), view(s, d, "grades"))),
     "join_usage_grades": lambda s, d: _log(s, d).join(view(s, d, "grades"), "task_id").select("task_id", "run_id", "route", "grade"),
     "session_totals": lambda s, d: session_totals(_log(s, d)),
-    "ext_usage_rollup": lambda s, d: usage_cost(_log(s, d)).rollup("run_id", "route").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum("estimated_cost_usd"), 6).alias("cost")),
+    "ext_usage_rollup": lambda s, d: usage_cost(_log(s, d)).rollup("run_id", "route").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum("estimated_cost_usd"), 9).alias("cost")),
 }
 
 _RUN_STATS = """
@@ -147,7 +147,7 @@ SELECT count(*) AS tasks, count(*) FILTER (WHERE route = 'cheap') AS final_local
   count(*) FILTER (WHERE route = 'error') AS errors, count(*) FILTER (WHERE escalated) AS escalations,
   sum(CASE WHEN cheap_provider = 'fireworks' THEN cheap_prompt_tokens ELSE 0 END + CASE WHEN strong_provider = 'fireworks' THEN strong_prompt_tokens ELSE 0 END)::BIGINT AS billable_prompt_tokens,
   sum(CASE WHEN cheap_provider = 'fireworks' THEN cheap_completion_tokens ELSE 0 END + CASE WHEN strong_provider = 'fireworks' THEN strong_completion_tokens ELSE 0 END)::BIGINT AS billable_completion_tokens,
-  sum(billable_tokens)::BIGINT AS billable_total_tokens, round(sum({_COST}), 6) AS estimated_cost_usd,
+  sum(billable_tokens)::BIGINT AS billable_total_tokens, round(sum({_COST}), 9) AS estimated_cost_usd,
   sum(CASE WHEN cheap_provider = 'local' THEN cheap_prompt_tokens + cheap_completion_tokens ELSE 0 END)::BIGINT AS free_local_tokens,
   round(count(*) FILTER (WHERE route = 'cheap')::DOUBLE / count(*), 3) AS local_share FROM usage_log""", "usage_log"),
     "usage_cost": with_views(f"SELECT task_id, {_COST} AS estimated_cost_usd FROM usage_log", "usage_log"),
@@ -167,5 +167,5 @@ SELECT t AS threshold, round(acc, 6) AS accuracy, kept, wasted FROM p WHERE kept
 SELECT task_id, run_id, count(*) OVER w AS asked, count(*) FILTER (WHERE route = 'cheap') OVER w AS cheap, (sum(billable_tokens) OVER w)::BIGINT AS billable,
   (sum(cheap_prompt_tokens + cheap_completion_tokens) OVER w)::BIGINT AS local_tokens FROM usage_log
 WINDOW w AS (PARTITION BY run_id ORDER BY ord ROWS UNBOUNDED PRECEDING)""", "usage_log"),
-    "ext_usage_rollup": with_views(f"SELECT run_id, route, count(*) AS tasks, round(sum({_COST}), 6) AS cost FROM usage_log GROUP BY ROLLUP (run_id, route)", "usage_log"),
+    "ext_usage_rollup": with_views(f"SELECT run_id, route, count(*) AS tasks, round(sum({_COST}), 9) AS cost FROM usage_log GROUP BY ROLLUP (run_id, route)", "usage_log"),
 }
