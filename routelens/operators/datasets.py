@@ -132,6 +132,48 @@ ASKED = (("Write a report as a docx", "docx"), ("what is csv?", None), ("Export
 BACK = (("What about it?", True), ("Capital of France", False), ("Explain the previous answer", True), ("Theory of sets", False))
 
 
+#: Search replies with what is found in them, targets and worked answers with their references.
+FOUND = (
+    ("Title: One\nURL: https://a.b/c\nHighlights: some text\nmore\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e\nText: end", "One|https://a.b/c|some text more;Three|http://d.e|end"),
+    ("nothing here", ""),
+)
+TARGETS = (("(C)", "C"), (" yes ", "yes"), ("(AB)", "(AB)"))
+WORKED = (("so it is\n#### 1,200", "1200"), ("#### many", None), ("none", None))
+
+
+def gsm8k_reference(answer: Column) -> Column:
+    """The number after the last ####, or null."""
+    number = F.replace(F.trim(F.regexp_extract(answer, r"####\s*([^\n]+)\s*$", 1)), F.lit(","), F.lit(""))
+    return F.when(number.try_cast("double").isNotNull(), number)
+
+
+def _shown_blocks(body: Column) -> Column:
+    one = lambda r: F.concat_ws("|", r["title"], r["url"], F.replace(r["snippet"], F.lit("\n"), F.lit(" ")))
+    return F.array_join(F.transform(search_blocks(body), one), ";")
+
+
+def _mmlu(s, d) -> DataFrame:
+    rows = table(s, d, "benchmark").select("item_id", files.mmlu_prompt("world_history", F.substring("text", 1, 60), [F.lit(" one"), F.lit("two "), F.lit("three"), F.lit("four")]).alias("prompt"))
+    return rows.select("item_id", F.sha2("prompt", 256).alias("digest"))
+
+
+def receipts(steps: DataFrame, keys: tuple[str, ...] = ("k",)) -> DataFrame:
+    """The chosen keys of each step's JSON payload, as one JSON text; absent keys are left out."""
+    parts = F.create_map(*[x for k in keys for x in (F.lit(k), F.get_json_object("payload", f"$.{k}"))])
+    return steps.select("id", F.to_json(F.map_filter(parts, lambda _, v: v.isNotNull())).alias("receipt"))
+
+
+def scope_filter(items: DataFrame, scope: str) -> DataFrame:
+    """Items of a user's own scope (the default) or of the given one."""
+    return items.where(F.coalesce(F.get_json_object("meta", "$.scope"), F.lit("user")).isin("user", scope))
+
+
+def _scoped(s, d) -> DataFrame:
+    k = F.col("event_id")
+    meta = F.when(k % 4 == 0, F.lit('{"scope": "team"}')).when(k % 4 == 1, F.lit('{"scope": "user"}')).when(k % 4 == 2, F.lit('{"scope": "other"}')).otherwise(F.lit("{}"))
+    return scope_filter(table(s, d, "events").select("event_id", meta.alias("meta")), "team").select("event_id")
+
+
 def _cases(spark, cases, rule, kind) -> DataFrame:
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, x string")
     return rows.select("id", rule(F.col("x")).alias(kind))
@@ -156,6 +198,12 @@ QUERIES = {
     "route_intent": lambda s, d: _cases(s, REPLIES, route_intent, "route"),
     "requested_format": lambda s, d: _cases(s, ASKED, requested_format, "format"),
     "is_followup": lambda s, d: _cases(s, BACK, is_followup, "followup"),
+    "parse_search_blocks": lambda s, d: _cases(s, FOUND, _shown_blocks, "found"),
+    "bbh_reference": lambda s, d: _cases(s, TARGETS, files.bbh_reference, "reference"),
+    "gsm8k_reference": lambda s, d: _cases(s, WORKED, gsm8k_reference, "reference"),
+    "mmlu_prompt": _mmlu,
+    "receipts": lambda s, d: receipts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload")), ("k", "absent")),
+    "scope_filter": _scoped,
     "safe_basename": lambda s, d: table(s, d, "pages").select("page_id", safe_basename(F.col("url")).alias("name")),
     "gen_toy_outcomes": lambda s, d: toy_outcomes(s, 900),
     "ordered_distinct": lambda s, d: view(s, d, "messages").groupBy("conversation_id").agg(F.concat_ws(",", F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda m: m["role"]))).alias("roles")),
@@ -193,6 +241,12 @@ FROM outcomes o LEFT JOIN (SELECT event_id FROM events WHERE event_id < 400) e O
     "route_intent": _case_sql(REPLIES, "route"),
     "requested_format": _case_sql(ASKED, "format"),
     "is_followup": _case_sql(BACK, "followup"),
+    "parse_search_blocks": _case_sql(FOUND, "found"),
+    "bbh_reference": _case_sql(TARGETS, "reference"),
+    "gsm8k_reference": _case_sql(WORKED, "reference"),
+    "mmlu_prompt": "SELECT item_id, sha256(concat('Answer this world history multiple-choice question. Reply with exactly one option letter: A, B, C, or D.', chr(10), chr(10), trim(substr(text, 1, 60)), chr(10), 'Options:', chr(10), '(A) one', chr(10), '(B) two', chr(10), '(C) three', chr(10), '(D) four')) AS digest FROM benchmark",
+    "receipts": """SELECT event_id AS id, concat('{"k":"', json_extract_string(props, '$.k'), '"}') AS receipt FROM events""",
+    "scope_filter": "SELECT event_id FROM events WHERE event_id % 4 <> 2",
     "safe_basename": "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), 1, 70) AS n FROM pages)",
     "gen_toy_outcomes": f"""
 SELECT concat('toy-', lpad(id::VARCHAR, 6, '0')) AS task_id, concat('g-', (id // 2)::VARCHAR) AS group_id, c::INT AS category, q AS local_quality, round(0.75::DOUBLE + {_TOY('r')} / 4, 4) AS remote_quality, q >= 0.6::DOUBLE AS local_ok
