@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spread, table, texts_of
+from .common import mapped, spread, table, texts_of
 
 LEAF_CHARS = 512
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -97,7 +97,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ids = [bpe.encode(t) for t in texts_of(own["text"])]
                 yield pa.RecordBatch.from_arrays([own["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -114,7 +114,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Text bytes that a Python worker expands into numpy arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+
+#: Rows of an Arrow batch, where the session leaves Spark's default: whole texts are long rows.
+BATCH_ROWS, DEFAULT_ROWS = 1024, "10000"
+
+
+def _release() -> None:
+    """Give freed memory back: a worker is used again, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in small batches, with memory given back after each partition."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keep, mix, prefix_hash, span_hash, spread, table, texts_of
+from .common import U64, keep, mapped, mix, prefix_hash, span_hash, spread, table, texts_of
 from .graph import components
 
 WORDS, LIKENESS = 5, 0.8
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         keys.append(np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([own["doc_id"], own["a"], own["b"], pa.array(weight, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "a", "b", "weight", "bands", "marks"])
 
-    return _keyed(docs).select("doc_id", "a", "b", "text").mapInArrow(run, "doc_id long, a long, b long, weight long, bands array<long>, marks binary")
+    return _keyed(docs).select("doc_id", "a", "b", "text").transform(mapped, run, "doc_id long, a long, b long, weight long, bands array<long>, marks binary")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             blobs = [press.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["a"], batch["b"], pa.array(blobs, pa.binary())], ["doc_id", "a", "b", "blob"])
 
-    return _keyed(docs).select("doc_id", "a", "b", "text").mapInArrow(run, "doc_id long, a long, b long, blob binary")
+    return _keyed(docs).select("doc_id", "a", "b", "text").transform(mapped, run, "doc_id long, a long, b long, blob binary")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(likeness(read(batch["one"][i].as_py()), last[1]) >= LIKENESS)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.transform(mapped, run, "x long, y long")
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 one, other = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("one", "other"))
                 yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array((one == other).mean(1) >= LEAST_AGREEMENT))
 
-    return near.select("x", "y", "one", "other").mapInArrow(run, "x long, y long")
+    return near.select("x", "y", "one", "other").transform(mapped, run, "x long, y long")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _alone_weight(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 hashes, counts = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own["node"]), sizes), pa.int64()), pa.array(hashes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["node", "shingle", "n"])
 
-    rows = texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingle long, n long")
+    rows = texts.join(nodes.hint("merge"), "node", "left_semi").transform(mapped, run, "node long, shingle long, n long")
     # A shingle that one node alone holds is one row; all of a node's make the weight it shares with none.
     alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"), F.min("n").alias("n")).where("holders = 1")
     return alone.groupBy("node").agg(F.sum("n").alias("alone"))
@@ -250,7 +250,7 @@ def _subset_keys(apart: DataFrame) -> DataFrame:
                         key = mix(key * U64(0x9E3779B97F4A7C15) + values[:, column])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own["node"]), SUBSETS), pa.int64()), pa.array(key.reshape(-1).astype(np.int64), pa.int64())], ["node", "key"])
 
-    return apart.select("node", "marks").mapInArrow(run, "node long, key long")
+    return apart.select("node", "marks").transform(mapped, run, "node long, key long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

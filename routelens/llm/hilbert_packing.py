@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keep, mix, parts, spread, table, texts_of
+from .common import U64, keep, mapped, mix, parts, spread, table, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
@@ -142,7 +142,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([own["doc_id"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "key", "n", "digest", "ids"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, key long, n long, digest long, ids binary")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, key long, n long, digest long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
                     start, used = start + size, used + size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [c.split()[0] for c in PIECES.split(", ")])
 
-    return rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(run, PIECES)
+    return rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").transform(mapped, run, PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

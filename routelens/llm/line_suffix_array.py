@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, parts, spread, table, texts_of
+from .common import keep, mapped, parts, spread, table, texts_of
 
 MIN_LINES = 2
 _KEY = ["key", "digest"]
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(rows["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return _with_places(docs, min_lines).mapInArrow(run, schema)
+    return _with_places(docs, min_lines).transform(mapped, run, schema)
 
 
 def report_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -139,7 +139,7 @@ def report_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 names = [c.split()[0] for c in REPORT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names)
 
-    return _with_places(docs.select("doc_id", "text"), min_lines).mapInArrow(run, REPORT)
+    return _with_places(docs.select("doc_id", "text"), min_lines).transform(mapped, run, REPORT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, parts, prefix_hash, span_hash, spread, table, texts_of
+from .common import U64, mapped, parts, prefix_hash, span_hash, spread, table, texts_of
 
 SKETCH = 128
 _LOWEST = -(1 << 63)
@@ -130,7 +130,7 @@ def _ranges(docs: DataFrame) -> tuple[list[int], dict[int, list[int]], int]:
                 best[int(k)] = max(best.get(int(k), _LOWEST), int(values[where == k].max()))
         yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int32()), pa.array(best.values(), pa.int64())], ["k", "top"])
 
-    tops = sorted((r.k, r.top) for r in ids.mapInArrow(top, "k int, top long").groupBy("k").agg(F.max("top").alias("top")).collect())
+    tops = sorted((r.k, r.top) for r in ids.transform(mapped, top, "k int, top long").groupBy("k").agg(F.max("top").alias("top")).collect())
     guests: dict[int, list[int]] = defaultdict(list)
     for i, (k, _) in enumerate(tops):
         guests[tops[i - 1][1]].append(k)  # below the lowest range, the highest again
@@ -187,8 +187,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    sent = spread(docs).mapInArrow(send, "k int, guest boolean, doc_id long, blob binary").repartitionById(n, F.col("k"))
-    return sent.sortWithinPartitions("k", "guest", F.desc("doc_id"), "blob").mapInArrow(rows, OUT)
+    sent = spread(docs).transform(mapped, send, "k int, guest boolean, doc_id long, blob binary").repartitionById(n, F.col("k"))
+    return sent.sortWithinPartitions("k", "guest", F.desc("doc_id"), "blob").transform(mapped, rows, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

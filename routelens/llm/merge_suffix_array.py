@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, keep, mix, prefix_hash, span_hash, spread, table
+from .common import U64, keep, mapped, mix, prefix_hash, span_hash, spread, table
 
 LENGTH = 200
 #: Bytes that windows are looked through at a time; offsets in them fit ``_PLACE`` bits beside a hash.
-CHUNK, _PLACE = 4 << 20, 24
+CHUNK, _PLACE = 1 << 20, 24
 #: Anchors, bytes of items, and spans that a task holds before it sends them.
-RUN_ANCHORS, RUN_BYTES, RUN_SPANS = 400_000, 16 << 20, 50_000
+RUN_ANCHORS, RUN_BYTES, RUN_SPANS = 250_000, 10 << 20, 50_000
 #: Bytes of text for each range of the order, and most ranges.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 50_000
 #: A gram is very frequent from this number of anchors, or this share of them, on.
@@ -153,7 +153,7 @@ def _in_documents(docs: DataFrame, n: int, run: Callable) -> DataFrame:
     """``run`` over (key, doc_id, text as bytes) of all rows; the key is a hash of doc_id and text."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), text).alias("key"), "doc_id", text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, _ROWS)
+    return rows.transform(mapped, run, _ROWS)
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -491,14 +491,14 @@ def repeated_spans(docs: DataFrame, length: int, n: int) -> DataFrame:
     if not 8 <= length <= 360:
         raise ValueError("length must be from 8 to 360 bytes")
     entries = _in_documents(docs, n, _send_hashes(length, n))
-    found = keep(_exchange(entries, n).mapInArrow(_shared_hashes(n), _ROWS), "anchors")
+    found = keep(_exchange(entries, n).transform(mapped, _shared_hashes(n), _ROWS), "anchors")
     counts = found.where(F.col("kind") == _HOT).select("key", "blob").collect()  # a row for each range
     total = sum(r.key for r in counts)
     hot = frozenset(int(h) for r in counts for h, c in zip(*_unpack(bytes(r.blob)), strict=True) if c >= max(HOT_LEAST, HOT_SHARE * total))
     both = found.where(F.col("kind") == _CANDIDATE).union(_in_documents(docs, n, _send_documents(n, length)))
-    rows = _exchange(both, n).sortWithinPartitions("kind").mapInArrow(_sort_suffixes(length, n, hot), _ROWS)
+    rows = _exchange(both, n).sortWithinPartitions("kind").transform(mapped, _sort_suffixes(length, n, hot), _ROWS)
     for level in range(len(widths(length))):
-        rows = _exchange(rows, n).mapInArrow(_merge_round(length, n, level), _ROWS)
+        rows = _exchange(rows, n).transform(mapped, _merge_round(length, n, level), _ROWS)
     return rows
 
 
@@ -528,7 +528,7 @@ def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, lis
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), text).alias("key"), "doc_id", text.cast("binary").alias("text"), F.struct(rest.alias("rest"), F.col("text").isNull().alias("void")).alias("row"))
     kind = rows.schema["row"].dataType
-    sent = rows.mapInArrow(_send_rows(n), T.StructType.fromDDL(_ROWS).add("row", kind))
+    sent = rows.transform(mapped, _send_rows(n), T.StructType.fromDDL(_ROWS).add("row", kind))
     both = repeated_spans(docs.select("doc_id", "text"), length, n).withColumn("row", F.lit(None).cast(kind)).union(sent)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,7 +552,7 @@ def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, lis
                     found.append((ready[1][x:y], ready[2][x:y]))
                 yield run(batch["row"].take(pa.array(some)), texts, found)
 
-    return _exchange(both, n).sortWithinPartitions("kind").mapInArrow(final, schema)
+    return _exchange(both, n).sortWithinPartitions("kind").transform(mapped, final, schema)
 
 
 def _send_rows(n: int) -> Callable:

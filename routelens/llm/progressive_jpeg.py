@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spread, table, texts_of
+from .common import mapped, spread, table, texts_of
 
 BLOCK = 64
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -374,7 +374,7 @@ def media_column(docs: DataFrame) -> DataFrame:
                     ["doc_id", "media", "height", "width", "rgb"],
                 )
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, media binary, height int, width int, rgb binary")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, media binary, height int, width int, rgb binary")
 
 
 def digest_media(docs: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def digest_media(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, OUT)
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

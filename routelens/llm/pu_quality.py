@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, mix, prefix_hash, slices, spread, table, texts_of
+from .common import POWERS, U64, mapped, mix, prefix_hash, slices, spread, table, texts_of
 
 #: Most rows of either kind that the fit reads.
 FIT_ROWS = 6000
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 scores = model.score(features(texts_of(batch["text"])))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

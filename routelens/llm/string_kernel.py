@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table, texts_of
+from .common import mapped, slices, spread, table, texts_of
 
 #: Most toxic labelled texts that the fit reads, and half the most others.
 FIT_ROWS = 2000
@@ -397,7 +397,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(texts_of(batch["text"])), pa.float64())], ["doc_id", "score"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
+    return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, columns: list[str], threshold: float = 0.5) -> DataFrame:
@@ -408,7 +408,7 @@ def clean_documents(docs: DataFrame, model: Model, columns: list[str], threshold
         for batch in batches:
             yield batch.filter(pa.array(model.score(texts_of(batch["text"])) < threshold))
 
-    return spread(docs.select(*columns)).mapInArrow(run, schema)
+    return spread(docs.select(*columns)).transform(mapped, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
