@@ -266,24 +266,26 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = wanted.select("node", F.coalesce("doc_id", low).alias("k"), "a", "b").hint("merge")
     texts = keep(_packed(docs).withColumn("k", F.coalesce("doc_id", low)).join(wanted, ["k", "a", "b"]).select("node", "blob").dropDuplicates(["node"]), "texts")
     marks = nodes.select("node", "marks", "weight")
-    links = keep(_links(_agreeing(_stars(members), marks), texts), "links")
-    labels = components(links)
+    labels = components(_links(_agreeing(_stars(members), marks), texts))
     # Documents that merely share a passage meet in a few buckets; those still apart meet again on more rows.
     apart = keep(_mixed(_labelled(members, labels)).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
     alone = _alone_weight(apart.select("node"), texts)
     weights = keep(apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common")), "weights")
     members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", F.floor(20 * (1 - F.col("common") / F.col("weight"))))
     members = keep(members, "members")
-    links = keep(links.union(_links(_agreeing(_stars(members), marks), texts)), "links")
+    # A component's labels are links as good as all of its own, and fewer.
+    stars = labels.where("node <> label").toDF("x", "y")
+    labels = components(stars.union(_links(_agreeing(_stars(members), marks), texts)))
     # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
     able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
-    left = _labelled(members, components(links)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
+    left = _labelled(members, labels).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
     left = keep(_mixed(left), "left")
     other = left.select("key", F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
     fit = "node < y and label <> own and v <= most and weight <= most_y"
     pairs = left.join(other.hint("merge"), "key").where(fit).select(F.col("node").alias("x"), "y").distinct()
-    links = keep(links.union(_links(_agreeing(pairs, marks), texts)), "links")
-    own_label = nodes.join(components(links).hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
+    stars = labels.where("node <> label").toDF("x", "y")
+    labels = components(stars.union(_links(_agreeing(pairs, marks), texts)))
+    own_label = nodes.join(labels.hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
     least = own_label.groupBy("label").agg(F.min(F.struct("doc_id", "a", "b")).alias("least"))
     named = keep(own_label.join(least.hint("merge"), "label").select("a", "b", "least"), "classes")
     best = F.struct("doc_id", "a", "b") == F.col("least")
