@@ -210,9 +210,12 @@ def _stars(members: DataFrame) -> DataFrame:
     if "label" not in members.columns:
         members = members.withColumn("label", F.col("node"))
     share = F.col("own_share") if "own_share" in members.columns else F.lit(0.0)
-    place = F.struct(share.alias("share"), F.xxhash64("node").alias("h"), F.col("node").alias("y"), F.col("label").alias("own"))
-    centres = members.groupBy("key").agg(F.min(place).alias("c")).select("key", "c.y", "c.own")
-    return members.join(centres.hint("merge"), "key").where("label <> own").select(F.col("node").alias("x"), "y").distinct()
+    bound = F.col("most") if "most" in members.columns else F.lit(float("inf"))
+    size = F.col("weight") if "weight" in members.columns else F.lit(0)
+    members = members.withColumns({"most": bound, "weight": size})
+    place = F.struct(share.alias("share"), F.xxhash64("node").alias("h"), F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
+    centres = members.groupBy("key").agg(F.min(place).alias("c")).select("key", "c.y", "c.own", "c.v", "c.most_y")
+    return members.join(centres.hint("merge"), "key").where("label <> own and v <= most and weight <= most_y").select(F.col("node").alias("x"), "y").distinct()
 
 
 def _alone_weight(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -270,15 +273,16 @@ def classes(docs: DataFrame) -> DataFrame:
     # Documents that merely share a passage meet in a few buckets; those still apart meet again on more rows.
     apart = keep(_mixed(_labelled(members, labels)).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
     alone = _alone_weight(apart.select("node"), texts)
-    weights = keep(apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common")), "weights")
-    members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", F.floor(20 * (1 - F.col("common") / F.col("weight"))))
-    members = keep(members, "members")
+    # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
+    weights = apart.select("node", "weight").join(alone.hint("merge"), "node", "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0)))
+    weights = weights.withColumn("most", F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6).where(F.col("most") >= F.col("weight") * LIKENESS)
+    weights = keep(weights.select("node", "weight", "most", F.floor(20 * (1 - F.col("common") / F.col("weight"))).alias("own_share")), "weights")
+    able = apart.join(weights.select("node").hint("merge"), "node", "left_semi")
+    members = keep(_labelled(_crowded(_subset_keys(able)), labels).join(weights.hint("merge"), "node"), "members")
     # A component's labels are links as good as all of its own, and fewer.
     stars = labels.where("node <> label").toDF("x", "y")
     labels = components(stars.union(_links(_agreeing(_stars(members), marks), texts)))
-    # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
-    able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
-    left = _labelled(members, labels).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
+    left = _labelled(members, labels)
     left = keep(_mixed(left), "left")
     other = left.select("key", F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
     fit = "node < y and label <> own and v <= most and weight <= most_y"
