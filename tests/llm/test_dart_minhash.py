@@ -88,3 +88,27 @@ def test_one_large_group_and_odd_rows(spark):
     assert {r.class_id for r in got if r.doc_id is not None and r.doc_id >= 500} == {500}
     assert dm.dedup_documents(docs).count() == 4
     assert dm.classes(docs.limit(0)).count() == 0 and dm.dedup_documents(docs.limit(0)).count() == 0
+
+
+def test_link_that_no_subset_shows(spark):
+    """Two texts 0.8 alike that share none of the subsets of coordinates, among decoys that take the centres of their buckets."""
+    order = np.random.default_rng(17)
+    subsets = [order.permutation(dm.BANDS * dm.ROWS)[: dm.SUBSET] for _ in range(dm.SUBSETS)]
+    sign = lambda t: dm.signature(*(lambda e, n: (e, n.astype(float)))(*dm.shingles(t)))
+    rng = random.Random(8)
+    base = ["w%d" % i for i in range(300)]
+
+    def edited(at, size):
+        return " ".join(base[:at] + ["x%d" % rng.randrange(1 << 40) for _ in range(size)] + base[at + size :])
+
+    for _ in range(5000):
+        pair = [edited(100, 28) for _ in range(2)]
+        one, other = map(sign, pair)
+        if not any((one[s] == other[s]).all() for s in subsets):
+            break
+    same = (one == other).reshape(dm.BANDS, dm.ROWS).all(1)
+    assert same.any() and jaccard(*map(plain, pair)) >= 0.8
+    decoys = [edited(rng.randrange(235), 60) for _ in range(150)]
+    rows = list(enumerate(decoys + pair))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in dm.classes(docs).collect()} == expected(rows)
