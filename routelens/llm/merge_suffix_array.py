@@ -311,6 +311,17 @@ def _dealt_spans(spans: list[tuple[int, int, int]], n: int) -> Iterator[tuple]:
         yield from _dealt(_SPAN, key[first].astype(U64), n, begin[first].astype(np.int32), (reach[last] - shift[last]).astype(np.int32))
 
 
+def _one_a_place(doc: np.ndarray, hashes: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors sorted by document and place, one for each: a repeated row's come as often as the row.
+
+    An anchor on either side of a chunk's boundary comes twice, each time with the offsets of one side.
+    """
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], hashes[first], place[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+
 def _sort_suffixes(length: int, n: int, hot: frozenset[int]) -> Callable:
     """Runs of the first round, from documents and their anchors whose hash occurs again."""
     wide = widths(length)[0]
@@ -329,18 +340,14 @@ def _sort_suffixes(length: int, n: int, hot: frozenset[int]) -> Callable:
             if ready is None:
                 columns = [np.concatenate(c) for c in zip(*wanted, strict=True)]
                 order = np.lexsort((columns[2], columns[0]))
-                ready = tuple(c[order] for c in columns)
+                ready = _one_a_place(*(c[order] for c in columns))
             name = np.int64(key).astype(U64)
             a, b = np.searchsorted(ready[0], name), np.searchsorted(ready[0], name, side="right")
             if a == b:
                 continue
             # A byte that no text has stands beyond either end.
             text = before + zstandard.ZstdDecompressor().decompress(blob) + after
-            last = -1
             for h, place, low, high in zip(*(c[a:b].tolist() for c in ready[1:]), strict=True):
-                if place == last:  # a repeated row: its anchors come as often as the row
-                    continue
-                last = place
                 cover = text[place : place + wide - 1 + length]
                 item = _item(cover, 0, wide - 1, 0, wide - 1, length, h.to_bytes(8, "big"))
                 own.add(item, key, place, low, high, 0, wide - 1, _FREQUENT if h in hot else 0)

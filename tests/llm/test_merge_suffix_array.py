@@ -118,3 +118,13 @@ def test_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr(ms, "CHUNK", 333)
     parts = {(p, o) for _, p, low, high in zip(*ms.anchors(text, 20), strict=True) for o in range(low, high + 1)}
     assert whole == parts and len({p - o for p, o in whole}) == 5000 - 19
+
+
+def test_passages_at_the_boundary_of_a_chunk(spark):
+    """Repeats that begin, end or lie across the place where windows are looked through anew."""
+    rng, length, edge = random.Random(4), 64, ms.CHUNK
+    text = "".join(rng.choices("abcdefghijklmnop", k=edge + 4000))
+    places = [edge + at for at in (-length - 1, -length, 1 - length, -40, -20, -3, -1, 0, 1, 2)]
+    rows = [(0, text)] + [(at, "<" + text[at : at + length] + ">") for at in places]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in ms.report_passages(docs, length).collect()), key=str) == brute(rows, length)
