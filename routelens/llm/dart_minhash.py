@@ -16,7 +16,7 @@ rows, with the centre that shares most of its text. At last come the pairs acros
 components that share a bucket of either banding and that the weight of what a text
 shares with none, and then the signatures, don't rule out. A link between texts that
 no chain joins is lost only if none of the first bands shows it: they are disjoint
-sets of coordinates, so that is a chance of (1 - 0.8 ** 4) ** 24, or 3.3e-6, at a
+sets of coordinates, so that is a chance of (1 - 0.8 ** 4) ** 24, or 3.2e-6, at a
 likeness of 0.8, and falling fast.
 
 Null texts count as empty. Texts without words have no shingles: such a text is
@@ -279,7 +279,7 @@ def classes(docs: DataFrame) -> DataFrame:
     links = keep(links.union(_links(_agreeing(_stars(members), marks), texts)), "links")
     # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
     able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
-    # The subsets reuse coordinates and miss 1 % of the pairs at 0.8; the first bands, as good as none.
+    # The subsets reuse coordinates and miss pairs far more often than the first bands do.
     both = members.select("node", "key").union(banded.select("node", "key")).join(weights.hint("merge"), "node")
     left = _labelled(both, components(links)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
     left = keep(_mixed(left), "left")
