@@ -10,14 +10,14 @@ likeness. Only darts up to a rank that suffices to fill the coordinates are thro
 
 Equal texts are one node first. Nodes that agree on all rows of a band are
 candidates. A bucket isn't expanded into pairs: its members are compared with one
-centre, in full, by weighted Jaccard of the shingles; links make components. The
-members of buckets that still hold several components meet again in bands of more
-rows, with the centre that shares most of its text. At last come the pairs across
-components that share a bucket of either banding and that the weight of what a text
-shares with none, and then the signatures, don't rule out. A link between texts that
-no chain joins is lost only if none of the first bands shows it: they are disjoint
-sets of coordinates, so that is a chance of (1 - 0.8 ** 4) ** 24, or 3.2e-6, at a
-likeness of 0.8, and falling fast.
+centre, in full, by weighted Jaccard of the shingles; links make components. Where a
+bucket still holds several components, its other members are dealt to blocks, so that
+every two of different components meet in one task, and are compared there, first by
+their signatures and then in full. Such a task returns rows of nodes or the tree that
+joins them, never pairs: what is written grows with the members times the blocks of
+their bucket. The largest component of a bucket isn't compared with itself. A link is
+lost only if none of the bands shows it: a chance of (1 - 0.8 ** 4) ** 24, or 3.2e-6,
+at a likeness of 0.8, and falling fast.
 
 Null texts count as empty. Texts without words have no shingles: such a text is
 alike only to equal texts. Rows that repeat a doc_id are nodes by their text. A
@@ -39,8 +39,10 @@ from .graph import components
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Rows of the second banding, and its bands: subsets of the coordinates.
-SUBSET, SUBSETS = 8, 40
+#: Most members of a block, and their weight, on the mean; two blocks meet in a task.
+BLOCK_ROWS, BLOCK_WEIGHT = 1024, 1 << 20
+#: Most cells of a table of members by shingles.
+CELLS = 1 << 22
 #: Least share of agreeing coordinates of a pair worth comparing: six deviations below ``LIKENESS``.
 LEAST_AGREEMENT = 0.55
 _SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
@@ -193,101 +195,180 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(several.hint("merge"), "key").select("node", "key")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with a label: their own node if it has no link."""
-    return members.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _centred(members: DataFrame) -> DataFrame:
+    """Members with their bucket's centre y: the first by hash, the same order in all buckets, so that a group meets few centres."""
+    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("y"))).alias("c")).select("key", "c.y")
+    return members.join(centres.hint("merge"), "key")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return members.join(several.hint("merge"), "key")
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label of the members of buckets that hold several components; the centre, compared with all, is left out."""
+    rows = members.where("node <> y").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return rows.join(several.hint("merge"), "key")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its centre: a member that has little of its own, the first of those by hash.
+def _dealt(apart: DataFrame, rows: int, weight: int) -> DataFrame:
+    """The members once for each pair (i, j) of blocks in which they are compared; ``block`` is their own.
 
-    Both orders are the same in all buckets, so a group meets few centres.
+    Blocks 0 to ``others`` - 1 hold the members outside the bucket's largest component, the
+    further ones that component: it meets the others, not itself.
     """
-    if "label" not in members.columns:
-        members = members.withColumn("label", F.col("node"))
-    share = F.col("own_share") if "own_share" in members.columns else F.lit(0.0)
-    place = F.struct(share.alias("share"), F.xxhash64("node").alias("h"), F.col("node").alias("y"), F.col("label").alias("own"))
-    centres = members.groupBy("key").agg(F.min(place).alias("c")).select("key", "c.y", "c.own")
-    return members.join(centres.hint("merge"), "key").where("label <> own").select(F.col("node").alias("x"), "y").distinct()
+    sizes = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("n", "label", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.lit(1.0), F.ceil(n / rows), F.ceil(w / weight)).cast("int")
+    sizes = sizes.select("key", F.col("main.label").alias("most"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"), blocks(F.col("main.n"), F.col("main.w")).alias("own"))
+    inner, place = F.col("label") == F.col("most"), F.xxhash64(F.lit(3), "node")
+    block = F.when(inner, F.col("others") + F.pmod(place, "own")).otherwise(F.pmod(place, "others")).cast("int")
+    meets = F.sequence(F.lit(0), F.when(inner, F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1))
+    dealt = apart.join(sizes.hint("merge"), "key").withColumn("block", block).withColumn("m", F.explode(meets))
+    return dealt.select("key", F.least("m", "block").alias("i"), F.greatest("m", "block").alias("j"), "block", "node", "label", "weight")
 
 
-def _alone_weight(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node and alone: the weight of its shingles that no other of the nodes holds."""
+_PAIR = ["key", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
-                found = [shingles(unpress.decompress(b.as_py()).decode("utf-8", "surrogatepass")) for b in own["blob"]]
-                sizes = [len(f[0]) for f in found]
-                hashes, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own["node"]), sizes), pa.int64()), pa.array(hashes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["node", "shingle", "n"])
 
-    rows = texts.join(nodes.hint("merge"), "node", "left_semi").transform(mapped, run, "node long, shingle long, n long")
-    # A shingle that one node alone holds is one row; all of a node's make the weight it shares with none.
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"), F.min("n").alias("n")).where("holders = 1")
-    return alone.groupBy("node").agg(F.sum("n").alias("alone"))
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "node")
 
 
-def _subset_keys(apart: DataFrame) -> DataFrame:
-    """(node, key) for each fixed subset of the coordinates of its signature."""
-    rng = np.random.default_rng(17)
-    subsets = np.array([rng.permutation(BANDS * ROWS)[:SUBSET] for _ in range(SUBSETS)])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """The rows of each pair of blocks, as they come sorted, with the numbers of those of its two sides."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                own = batch.slice(at, 1024)
-                values = np.frombuffer(b"".join(own["marks"].to_pylist()), "<u4").reshape(own.num_rows, -1).astype(U64)
-                with np.errstate(over="ignore"):
-                    key = np.broadcast_to(np.arange(SUBSETS, dtype=U64) + U64(1 << 20), (own.num_rows, SUBSETS))
-                    for column in subsets.T:
-                        key = mix(key * U64(0x9E3779B97F4A7C15) + values[:, column])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(own["node"]), SUBSETS), pa.int64()), pa.array(key.reshape(-1).astype(np.int64), pa.int64())], ["node", "key"])
+    def sides(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block, i, j = (np.array(rows[c]) for c in ("block", "i", "j"))
+        return rows, np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([np.array(batch[c]).astype(np.int64) for c in _PAIR])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and (keys[a] != last).any():
+                yield sides(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield sides(held)
 
-    return apart.select("node", "marks").transform(mapped, run, "node long, key long")
 
+def _possible(label: np.ndarray, weight: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of the two sides are of different components and of sizes that can be alike."""
+    w, v = weight[one][:, None], weight[other][None]
+    return (label[one][:, None] != label[other][None]) & (np.minimum(w, v) >= LIKENESS * np.maximum(w, v))
 
-def classes(docs: DataFrame) -> DataFrame:
+
+def _agreeing_members(dealt: DataFrame) -> DataFrame:
+    """The dealt rows (with marks) that have a partner in their pair of blocks whose signature agrees enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, one, other in _groups(batches):
+            marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), "<u4").reshape(rows.num_rows, -1)
+            fit = _possible(np.array(rows["label"]), np.array(rows["weight"]), one, other)
+            same = np.zeros(fit.shape, np.uint8)
+            for a, b in zip(marks[one].T, marks[other].T, strict=True):
+                same += a[:, None] == b[None]
+            fit &= same >= LEAST_AGREEMENT * marks.shape[1]
+            good = np.zeros(rows.num_rows, bool)
+            good[one[fit.any(1)]] = good[other[fit.any(0)]] = True
+            if good.any():
+                yield from rows.drop_columns(["marks"]).filter(pa.array(good)).to_batches()
+
+    return _together(dealt).transform(mapped, run, "key long, i int, j int, block int, node long, label long, weight long")
+
+
+def shared_weight(one: list[tuple[np.ndarray, np.ndarray]], other: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weight that each of the first sets shares with each of the others: products of members by shingles, some shingles at a time."""
+
+    def units(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        e, n = (np.concatenate(c) for c in zip(*sets, strict=True))
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets]), n)
+        with np.errstate(over="ignore"):
+            return of, mix(np.repeat(e, n) + copy.astype(U64) * U64(0x2545F4914F6CDD1D))
+
+    (a, x), (b, y) = units(one), units(other)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(one), len(other)), np.float32)
+    step = max(1, CELLS // max(len(one), len(other)))
+    sides = []
+    for of, e, n in ((a, x, len(one)), (b, y, len(other))):
+        at = np.minimum(np.searchsorted(both, e), max(0, len(both) - 1))
+        held = both[at] == e if len(both) else np.zeros(len(e), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((of[held][order], at[held][order], n))
+    for begin in range(0, len(both), step):
+        tables = []
+        for of, at, n in sides:
+            lo, hi = np.searchsorted(at, [begin, begin + step])
+            cells = np.zeros((n, min(step, len(both) - begin)), np.float32)
+            cells[of[lo:hi], at[lo:hi] - begin] = 1
+            tables.append(cells)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _joined(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a table of links between two sides: for the members of each, the number of its first, counted over both sides."""
+    a, b = np.arange(links.shape[0]), links.shape[0] + np.arange(links.shape[1])
+    far = sum(links.shape)
+    while True:
+        low_b = np.minimum(b, np.where(links, a[:, None], far).min(0))
+        low_a = np.minimum(a, np.where(links, low_b[None], far).min(1))
+        if (low_a == a).all() and (low_b == b).all():
+            return a, b
+        a, b = low_a, low_b
+
+
+def _block_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """x, y: components that links of their members join, as a tree for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for rows, one, other in _groups(batches):
+            label, weight = np.array(rows["label"]), np.array(rows["weight"])
+            sets = [shingles(unpress.decompress(b).decode("utf-8", "surrogatepass")) for b in rows["blob"].to_pylist()]
+            if not len(one) or not len(other):
+                continue
+            shared = shared_weight([sets[k] for k in one], [sets[k] for k in other])
+            links = _possible(label, weight, one, other) & (shared / (weight[one][:, None] + weight[other][None] - shared) >= LIKENESS)
+            if links.any():
+                member = label[np.concatenate([one, other])]
+                root = member[np.concatenate(_joined(links))]
+                pairs = np.unique(np.column_stack([member, root])[member != root], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+    return _together(dealt.join(texts.hint("merge"), "node")).select(*_PAIR, "block", "label", "weight", "blob").transform(mapped, run, "x long, y long")
+
+
+def classes(docs: DataFrame, block_rows: int = BLOCK_ROWS, block_weight: int = BLOCK_WEIGHT) -> DataFrame:
     """doc_id, a, b (hashes of the text), class_id of every row of ``docs``, and whether it is the one to keep (or repeats it)."""
     docs = spread(docs.select("doc_id", "text"))
     own = keep(sketches(docs), "sketches")
     groups = own.groupBy("a", "b").agg(F.min(F.struct("doc_id")).alias("least"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     nodes = keep(groups.select("a", "b", F.col("least.doc_id").alias("doc_id"), "weight", "bands", "marks", F.monotonically_increasing_id().alias("node")), "nodes")
-    banded = keep(_crowded(nodes.select("node", F.explode("bands").alias("key"))), "members")
-    wanted = banded.select("node").distinct().join(nodes.select("node", "doc_id", "a", "b").hint("merge"), "node")
+    members = keep(_centred(_crowded(nodes.select("node", F.explode("bands").alias("key")))), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "a", "b").hint("merge"), "node")
     # Texts of all that may be compared, fetched once.
     low = F.lit(-(1 << 63))
     wanted = wanted.select("node", F.coalesce("doc_id", low).alias("k"), "a", "b").hint("merge")
     texts = keep(_packed(docs).withColumn("k", F.coalesce("doc_id", low)).join(wanted, ["k", "a", "b"]).select("node", "blob").dropDuplicates(["node"]), "texts")
     marks = nodes.select("node", "marks", "weight")
-    links = keep(_links(_agreeing(_stars(banded), marks), texts), "links")
-    labels = components(links)
-    # Documents that merely share a passage meet in a few buckets; those still apart meet again on more rows.
-    apart = keep(_mixed(_labelled(banded, labels)).select("node").distinct().join(marks.hint("merge"), "node"), "apart")
-    alone = _alone_weight(apart.select("node"), texts)
-    weights = keep(apart.select("node", "weight").join(alone.hint("merge"), "node", "left").select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("common")), "weights")
-    members = _labelled(_crowded(_subset_keys(apart)), labels).join(weights.hint("merge"), "node").withColumn("own_share", F.floor(20 * (1 - F.col("common") / F.col("weight"))))
-    members = keep(members, "members")
-    links = keep(links.union(_links(_agreeing(_stars(members), marks), texts)), "links")
-    # No text shares more with another than its common weight: that bounds the weight of the texts it can be like.
-    able = F.col("common") * ((1 + LIKENESS) / LIKENESS) - F.col("weight") + 1e-6
-    # The subsets reuse coordinates and miss pairs far more often than the first bands do.
-    both = members.select("node", "key").union(banded.select("node", "key")).join(weights.hint("merge"), "node")
-    left = _labelled(both, components(links)).withColumn("most", able).where(F.col("most") >= F.col("weight") * LIKENESS)
-    left = keep(_mixed(left), "left")
-    other = left.select("key", F.col("node").alias("y"), F.col("label").alias("own"), F.col("weight").alias("v"), F.col("most").alias("most_y"))
-    fit = "node < y and label <> own and v <= most and weight <= most_y"
-    pairs = left.join(other.hint("merge"), "key").where(fit).select(F.col("node").alias("x"), "y").distinct()
-    links = keep(links.union(_links(_agreeing(pairs, marks), texts)), "links")
-    own_label = nodes.join(components(links).hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
+    stars = members.where("node <> y").select(F.col("node").alias("x"), "y").distinct()
+    labels = components(keep(_links(_agreeing(stars, marks), texts), "links"))
+    # Documents that merely share a passage meet in a few buckets, and no centre links them.
+    apart = keep(_apart(members, labels).join(nodes.select("node", "weight").hint("merge"), "node"), "apart")
+    dealt = _dealt(apart, block_rows, block_weight).join(marks.select("node", "marks").hint("merge"), "node")
+    near = keep(_agreeing_members(dealt.select(*_PAIR, "block", "node", "label", "weight", "marks")), "near")
+    joined = components(keep(_block_links(near, texts), "links"))
+    label = nodes.join(labels.hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("node"))
+    label = label.join(joined.hint("merge"), "node", "left").select("a", "b", "doc_id", F.coalesce("label", "node").alias("label"))
+    own_label = keep(label, "labels")
     least = own_label.groupBy("label").agg(F.min(F.struct("doc_id", "a", "b")).alias("least"))
     named = keep(own_label.join(least.hint("merge"), "label").select("a", "b", "least"), "classes")
     best = F.struct("doc_id", "a", "b") == F.col("least")

@@ -90,25 +90,32 @@ def test_one_large_group_and_odd_rows(spark):
     assert dm.classes(docs.limit(0)).count() == 0 and dm.dedup_documents(docs.limit(0)).count() == 0
 
 
-def test_link_that_no_subset_shows(spark):
-    """Two texts 0.8 alike that share none of the subsets of coordinates, among decoys that take the centres of their buckets."""
-    order = np.random.default_rng(17)
-    subsets = [order.permutation(dm.BANDS * dm.ROWS)[: dm.SUBSET] for _ in range(dm.SUBSETS)]
-    sign = lambda t: dm.signature(*(lambda e, n: (e, n.astype(float)))(*dm.shingles(t)))
+def test_links_among_members_that_no_centre_joins(spark):
+    """A large group of near copies with their own edits, most of them no links; blocks far smaller than its buckets."""
     rng = random.Random(8)
-    base = ["w%d" % i for i in range(300)]
-
-    def edited(at, size):
-        return " ".join(base[:at] + ["x%d" % rng.randrange(1 << 40) for _ in range(size)] + base[at + size :])
-
-    for _ in range(5000):
-        pair = [edited(100, 28) for _ in range(2)]
-        one, other = map(sign, pair)
-        if not any((one[s] == other[s]).all() for s in subsets):
-            break
-    same = (one == other).reshape(dm.BANDS, dm.ROWS).all(1)
-    assert same.any() and jaccard(*map(plain, pair)) >= 0.8
-    decoys = [edited(rng.randrange(235), 60) for _ in range(150)]
-    rows = list(enumerate(decoys + pair))
+    base = ["w%d" % i for i in range(120)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4])):
+            words[rng.randrange(len(words))] = "x%d" % rng.randrange(1 << 40)
+        rows.append((i, " ".join(words)))
+    want = expected(rows)
+    assert 20 < len(set(want.values())) < 250
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.class_id for r in dm.classes(docs).collect()} == expected(rows)
+    for rows_, weight in ((7, 1 << 20), (1024, 2000), (dm.BLOCK_ROWS, dm.BLOCK_WEIGHT)):
+        assert {r.doc_id: r.class_id for r in dm.classes(docs, rows_, weight).collect()} == want
+
+
+def test_shared_weight_and_joined():
+    rng = np.random.default_rng(5)
+    sets = [tuple(np.unique(rng.integers(1, 40, 30).astype(np.uint64), return_counts=True)) for _ in range(9)] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    got = dm.shared_weight(sets[:4], sets[4:])
+    for i in range(4):
+        for j in range(4, 10):
+            a, b = (dict(zip(*(c.tolist() for c in s))) for s in (sets[i], sets[j]))
+            assert got[i, j - 4] == sum(min(n, b.get(e, 0)) for e, n in a.items())
+    links = np.zeros((3, 3), bool)
+    links[0, 0] = links[1, 0] = links[1, 1] = True
+    a, b = dm._joined(links)
+    assert a.tolist() == [0, 0, 2] and b.tolist() == [0, 0, 5]
