@@ -2,29 +2,39 @@
 
 A text is read as words of folded symbols: letters in lower case, digits that
 stand for letters beside them, marks inside a word dropped, runs of single letters joined,
-each word opened by a start sign. Two words are alike by the subsequences of
-``ORDER`` symbols they share, each step at most ``REACH`` symbols long and each
-skipped symbol costing a factor ``DECAY`` - so inserted characters only weaken a
-match. A Nystroem map on landmark words makes the machine linear; and because the
-kernel is a product of explicit subsequence counts, the sum over landmarks folds
-into one weight for each subsequence, so that whole texts are scored by table
-look-ups. A document's margin is that of its most toxic word (multiple instances:
-which word it is, is learnt with the machine), and the score its logistic.
-
-The fit reads at most ``FIT_ROWS`` toxic and ``2 * FIT_ROWS`` other labelled texts,
-those with the smallest hashes. Null texts count as empty; a text without words
-has the lowest margin, and so a score near 0. Without both kinds of label every
-score is 0. Repeated rows repeat.
+each word opened by a start sign. Letters outside Latin are dealt to ``OTHER`` symbols by
+a hash of the code point. Two words are alike by the subsequences of ``ORDER`` symbols they
+share, each step at most ``REACH`` symbols long and each skipped symbol costing a factor
+``DECAY`` - so inserted characters only weaken a match. A Nystroem map on landmark words
+makes the machine linear; and because the kernel is a product of explicit subsequence
+counts, the sum over landmarks folds into one weight for each subsequence, so that whole
+texts are scored by table look-ups.
+
+The labels are those of whole texts. Words are first taken as toxic by the stretches that
+they hold: one that toxic texts hold ``TELLING`` times as often as others, by the lower
+bound of its odds, whatever the language and however rare. The machine learns those words
+against words of the other texts, each as far as its stretch is a mark of toxic texts. A text is
+then judged by how many of its words the machine finds toxic, how toxic the worst is, and
+how dense they are: one insult that clean texts never hold is enough, a stem that clean
+texts hold now and then must come often. That step is logistic, learnt from the labelled
+texts, and gives the score.
+
+The fit reads at most ``FIT_ROWS`` distinct toxic and ``2 * FIT_ROWS`` distinct other
+labelled texts, those with the smallest hashes, of at most ``FIT_CHARS`` code points for
+either kind. A text labelled both ways is toxic. Null texts count as empty; a text without
+words has the lowest score. Without both kinds of label, or without a word in any toxic
+text, every score is 0. Repeated rows repeat; a null doc_id isn't held out, and no label
+belongs to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import product
+from dataclasses import dataclass, field
+from itertools import product, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +43,29 @@ from pyspark.sql import functions as F
 
 from .common import mapped, slices, spread, table, texts_of
 
-#: Most toxic labelled texts that the fit reads, and half the most others.
-FIT_ROWS = 2000
+#: Most toxic labelled texts that the fit reads, and half the most others; most code points of either kind.
+FIT_ROWS, FIT_CHARS = 2000, 1 << 25
 ORDER, REACH, DECAY = 4, 2, 0.8
-LANDMARKS = 160
-#: Symbols: 0 between words, 1 the start of a word, 2-27 letters, 28-34 accented letters by base, 35 any other letter.
-SYMBOLS = 36
+LANDMARKS = 240
+#: A stretch tells if its odds are this many times even, less so many deviations.
+TELLING, DEVIATIONS = 6.0, 3.5
+#: Word margins above which a text's words are counted.
+CUTS = (-0.4, 0.0, 0.5, 0.95)
+#: Symbols: 0 between words, 1 the start of a word, 2-27 letters, 28-34 accented letters by base, then other letters by a hash.
+OTHER = 13
+SYMBOLS = 35 + OTHER
 _BREAK, _DROP = 255, 254
 _LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 STEPS = list(product(range(1, REACH + 1), repeat=ORDER - 1))
 
 
+def _other(units):
+    """Symbols of letters outside Latin."""
+    return 35 + (np.asarray(units, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(OTHER)
+
+
 def _fold() -> np.ndarray:
-    out = np.full(0x3000, _DROP, np.uint8)
+    out = np.full(0x3003, _DROP, np.uint8)
     for i in range(0x3000):
         c = chr(i)
         if c.isspace():
@@ -57,7 +77,8 @@ def _fold() -> np.ndarray:
             elif plain in "aeiounc":
                 out[i] = 28 + "aeiounc".index(plain)
             else:
-                out[i] = ord(plain) - 95 if "a" <= plain <= "z" else 35
+                out[i] = ord(plain) - 95 if "a" <= plain <= "z" else _other(i)
+    out[0x3000:] = _BREAK  # space and stops of wide scripts
     return out
 
 
@@ -70,7 +91,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     units = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
-    raw = np.where(units < 0x3000, FOLD[np.minimum(units, 0x2FFF)], 35).astype(np.uint8)
+    raw = np.where(units < len(FOLD), FOLD[np.minimum(units, len(FOLD) - 1)], _other(units)).astype(np.uint8)
     # Digits and signs are letters where a letter stands beside them (signs: follows them).
     sign = np.flatnonzero((units < 128) & (LOOKS[np.minimum(units, 127)] > 0))
     follows = raw[np.minimum(sign + 1, len(raw) - 1)] < SYMBOLS
@@ -190,30 +211,52 @@ def _variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [put(i), put(k), word[:j] + word[j : j + 1] + word[j:]]
 
 
+def _judged(worst: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What the logistic step reads: the worst margin, and for each cut how many words lie above it and how densely."""
+    dense = counts / np.maximum(words, 1)[:, None]
+    return np.column_stack([np.clip(worst, -2, 2), np.log1p(counts), np.log1p(100 * dense), np.ones(len(worst))])
+
+
 @dataclass
 class Model:
-    """A weight for each subsequence, the bias, and the logistic of the document margin."""
+    """The machine (landmarks and their shares, folded into a weight for each subsequence, and a bias) and the logistic step."""
 
-    weights: np.ndarray | None = None
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
     landmarks: tuple[bytes, ...] = ()
-
-    def margin(self, texts: list[str]) -> np.ndarray:
-        """The largest word margin of each whole text; the bias alone where there is no word."""
-        out = np.full(len(texts), min(self.bias, -1.0))
+    shares: tuple[float, ...] = ()
+    judge: np.ndarray | None = None
+    _table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}  # a worker spreads the weights out itself
+
+    def word_margins(self, stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            self._table = np.zeros(SYMBOLS**ORDER, np.float32)
+            self._table[self.codes] = self.values
+        return margins(stream, begins, self._table) + np.float32(self.bias)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each whole text its worst word margin (-2 without words), words above each cut, and words."""
+        worst, counts, words = np.full(len(texts), -2.0), np.zeros((len(texts), len(CUTS))), np.zeros(len(texts))
         for a, b in slices([len(t) + 1 for t in texts]):
             stream, begins, text = symbols(texts[a:b])
             if len(begins):
+                value = self.word_margins(stream, begins)
                 first = np.flatnonzero(np.diff(text, prepend=-1))
-                out[a + text[first]] = np.maximum.reduceat(margins(stream, begins, self.weights), first) + self.bias
-        return out
+                at = a + text[first]
+                worst[at] = np.maximum.reduceat(value, first)
+                words[at] = np.diff(np.append(first, len(text)))
+                for k, cut in enumerate(CUTS):
+                    counts[at, k] = np.add.reduceat((value > cut).astype(np.int64), first)
+        return worst, counts, words
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
+        if self.judge is None:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(texts) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(_judged(*self.read(texts)) @ self.judge, -40, 40)))
 
 
 def _spread_out(words: list[bytes], n: int) -> list[bytes]:
@@ -258,114 +301,134 @@ def _parts(word: bytes) -> set[bytes]:
     return {word[i : i + ORDER] for i in range(len(word) - ORDER + 1)}
 
 
-def _telling_words(bags: list[list[bytes]], families: list[int], other: list[str], clean: Counter, least: float = 3.0) -> Counter:
-    """First guess of the toxic words: those with a stretch of symbols whose texts are most often toxic.
+def _telling_words(toxic: Counter, clean: Counter) -> list[tuple[bytes, float, list[bytes]]]:
+    """First guess of the toxic words, in groups of one stretch of symbols each, with the share of toxic texts among those that hold it.
+
+    The counts are of texts that hold a word.
 
     Stretches are taken one by one, the most telling first; the words that hold one are then
-    explained, so that their other stretches (a common ending, say) don't seem telling. Near
-    copies count once, else each of their chance words would.
+    explained, so that their other stretches (a common ending, say) don't seem telling.
     """
-    held: dict[bytes, set[int]] = defaultdict(set)  # the families of each word
-    for bag, own in zip(bags, families, strict=True):
-        for w in bag:
-            if w not in clean:
-                held[w].add(own)
-    cold = Counter(g for t in other for g in set().union(*map(_parts, words_of(t))))
-    count: dict[bytes, Counter] = defaultdict(Counter)  # for each stretch, its words in each family
-    for w, where in held.items():
+    words = sorted(toxic)
+    number: dict[bytes, int] = {}
+    held = [np.array(sorted(number.setdefault(g, len(number)) for g in _parts(w)), np.int64) for w in words]
+    hot, cold = np.zeros(len(number)), np.zeros(len(number))
+    where: list[list[int]] = [[] for _ in number]
+    for i, (w, own) in enumerate(zip(words, held, strict=True)):
+        hot[own] += toxic[w]
+        for g in own:
+            where[g].append(i)
+    for w, n in clean.items():
         for g in _parts(w):
-            count[g].update(where)
-    total, enough = len(set(families)) + 1, max(3, len(set(families)) // 50)
-    count = {g: c for g, c in count.items() if len(c) >= enough}
-    words: dict[bytes, list[bytes]] = defaultdict(list)
-    for w in sorted(held):
-        for g in _parts(w):
-            if g in count:
-                words[g].append(w)
-    odds = lambda g: np.log((len(count[g]) + 0.1) / total) - np.log((cold[g] + 0.5) / (len(other) + 1))
-    found: Counter = Counter()
-    while count and (best := max(count, key=lambda g: (odds(g), g))) and odds(best) > least:
-        for w in words[best]:
-            if w in found:
-                continue
-            found[w] = len(held[w])
-            for g in _parts(w) & count.keys():
-                count[g].subtract(held[w])
-                count[g] = +count[g]
-        count = {g: c for g, c in count.items() if len(c) >= enough and g != best}
+            if (k := number.get(g)) is not None:
+                cold[k] += n
+    base = np.log((sum(clean.values()) + 1) / (sum(toxic.values()) + 1))
+    odds = lambda n, m: base + np.log((n + 0.1) / (m + 0.5))
+    found, open_ = [], np.ones(len(words), bool)
+    while len(hot):
+        low = odds(hot, cold) - DEVIATIONS * np.sqrt(1 / (hot + 0.5) + np.where(cold > 0, 1 / (cold + 0.5), 0))
+        best = int(low.argmax())
+        if hot[best] < 2 or low[best] < np.log(TELLING):
+            return found
+        share = (hot[best] + 0.1) / (hot[best] + cold[best] + 0.1)
+        group = [i for i in where[best] if open_[i]]
+        for i in group:
+            open_[i] = False
+            hot[held[i]] -= toxic[words[i]]
+        hot[best] = 0
+        good = [words[i] for i in group if odds(toxic[words[i]], clean[words[i]]) > 0]
+        if good:
+            found.append((next(g for g, k in number.items() if k == best), float(share), sorted(good, key=lambda w: (-toxic[w], w))))
     return found
 
 
-def fit(toxic: list[str], other: list[str], rounds: int = 4) -> Model:
+def _worst_words(bags: list[list[bytes]], toxic: Counter, clean: Counter) -> list[tuple[bytes, float, list[bytes]]]:
+    """Where nothing tells: the word of each toxic text that is most often in toxic ones."""
+    worst = sorted({max(bag, key=lambda w: ((toxic[w] + 0.1) / (clean[w] + 0.5), w)) for bag in bags if bag})
+    return [(w, (toxic[w] + 0.1) / (toxic[w] + clean[w] + 0.1), [w]) for w in worst]
+
+
+def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights of a ridge logistic regression, by damped Newton steps; the last column is constant."""
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-3
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - label) + penalty * w)
+        step *= min(1.0, 2 / max(np.abs(step).max(), 1e-9))
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fit(toxic: list[str], other: list[str], rounds: int = 2) -> Model:
     """A model from labelled texts."""
-    if not toxic or not other:
-        return Model()
     rng = np.random.default_rng(3)
-    bags, clean = [sorted(words_of(t)) for t in toxic], Counter(w for t in other for w in words_of(t))
-
-    seeds = _telling_words(bags, _families(toxic), other, clean)
-    given = Counter(seeds)
-    if not seeds:
+    bags = [sorted(words_of(t)) for t in toxic]
+    if not other or not any(bags):
         return Model()
-    ordinary = sorted(clean, key=lambda w: (-clean[w], w))
-    hard = sorted(rng.choice(len(ordinary), min(len(ordinary), 3000), replace=False))
+    # Near copies count once, else each of their chance words would seem telling.
+    of: dict[int, set[bytes]] = {}
+    for family, bag in zip(_families(toxic), bags, strict=True):
+        of.setdefault(family, set()).update(bag)
+    hot, clean = Counter(w for bag in of.values() for w in bag), Counter(w for t in other for w in words_of(t))
+    groups = _telling_words(hot, clean) or _worst_words(bags, hot, clean)
+    # The first of each stretch, the second of each, and so on: no language or insult takes all landmarks.
+    positive = list(dict.fromkeys(w for turn in zip_longest(*[own for _, _, own in groups]) for w in turn if w is not None))
+    share = {w: p for _, p, own in groups for w in own}
+    # Words of the other texts that hold such a stretch are no counterexamples: its share speaks for them.
+    stretches = {g for g, _, _ in groups}
+    ordinary = [w for w in sorted(clean, key=lambda w: (-clean[w], w)) if not any(g in w for g in stretches)]
+    hard = rng.choice(len(ordinary), min(len(ordinary), 3000), replace=False) if ordinary else []
     against = {ordinary[i] for i in hard} | set(ordinary[:500])
     model = Model()
     for _ in range(rounds):
-        positive = [w for w, _ in seeds.most_common()]
-        extra = [v for w in positive[:400] for v in _variants(w, rng)]
+        sure = [w for w in positive if share[w] > 0.98]
+        extra = [v for w in sure[:400] for v in _variants(w, rng)]
         extra = [v for v in extra if v not in clean]
         negative = sorted(against - set(positive))
         marks = _spread_out(positive, LANDMARKS * 3 // 5)
-        if model.weights is not None:
-            stream, begins = _stream(negative)
-            negative = [negative[i] for i in np.argsort(-margins(stream, begins, model.weights), kind="stable")]
+        if model.landmarks and negative:
+            negative = [negative[i] for i in np.argsort(-model.word_margins(*_stream(negative)), kind="stable")]
         marks += _spread_out(negative, LANDMARKS - len(marks))
+        if not marks:
+            return Model()
         gram = kernel(marks, marks)
-        scale = np.array([np.sqrt(gram[i, i]) for i in range(len(marks))])
+        scale = np.sqrt(np.diag(gram))
         inner = (gram / scale[:, None] + (gram / scale[:, None]).T) / 2  # of unit-norm words
         value, vector = np.linalg.eigh(inner)
         held = value > 1e-6 * value.max()
         whiten = vector[:, held] / np.sqrt(value[held])
-        words = positive + extra + negative
-        y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * len(negative))
-        w, bias = _machine(kernel(words, marks) @ whiten, y, np.full(len(y), 4.0))
+        # A word of share p is an example of either kind, by its share: its margin tends to 2 p - 1.
+        words = positive + extra + negative + positive
+        y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * (len(negative) + len(positive)))
+        own = np.array([share[w] for w in positive])
+        cost = 4 * np.concatenate([own, np.ones(len(extra) + len(negative)), 1 - own])
+        w, bias = _machine(kernel(words, marks) @ whiten, y, cost)
         alpha = whiten @ w
         weights = np.zeros(SYMBOLS**ORDER)
         for a, mark in zip(alpha, marks, strict=True):
             codes, counts = subsequences(mark)
             weights[codes] += a * counts
-        model = Model(weights.astype(np.float32), bias, landmarks=tuple(marks))
-        stream, begins = _stream(ordinary)
-        value = margins(stream, begins, model.weights) + bias
-        order = np.argsort(-value, kind="stable")
-        against |= {ordinary[i] for i in order[:2000] if value[i] > -0.9}
-        # The witness of a toxic text that no telling word explains: its most toxic word now, if no other text has it.
-        seeds = Counter(given)
-        for bag in bags:
-            if bag and not any(w in given for w in bag):
-                stream, begins = _stream(bag)
-                value = margins(stream, begins, model.weights) + bias
-                if value.max() > 0.5 and bag[int(value.argmax())] not in clean:
-                    seeds[bag[int(value.argmax())]] += 1
-    # Platt's logistic of the document margin, with his smoothed targets.
-    # Words with an inserted symbol stand for toxic texts as well, so that the cut leaves room for them.
-    stream, begins = _stream(extra[: len(toxic) // 3 + 1] or positive)
-    good = np.concatenate([model.margin(toxic), margins(stream, begins, model.weights) + model.bias])
-    margin = np.concatenate([good, model.margin(other)])
-    label = np.concatenate([np.full(len(good), (len(good) + 1) / (len(good) + 2)), np.full(len(other), 1 / (len(other) + 2))])
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        s = p * (1 - p) + 1e-9
-        g = np.array([((p - label) * margin).sum() + 1e-3 * a, (p - label).sum()])
-        hess = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(hess, g)
-        step *= min(1.0, 2 / max(np.abs(step).max(), 1e-9))
-        a, b = max(0.05, a - step[0]), b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    model.slope, model.shift = float(a), float(b)
+        codes = np.flatnonzero(weights)
+        model = Model(codes, weights[codes].astype(np.float32), bias, tuple(marks), tuple(map(float, alpha)))
+        if ordinary:
+            value = model.word_margins(*_stream(ordinary))
+            against |= {ordinary[i] for i in np.argsort(-value, kind="stable")[:2000] if value[i] > -0.9}
+    # Texts with one insult that has an inserted symbol stand for toxic texts as well, so that the step leaves room for
+    # them: those insults that are worse than the worst words of all but one in a hundred other texts.
+    bad, good = model.read(toxic), model.read(other)
+    x = [_judged(*bad), _judged(*good)]
+    label = [np.ones(len(toxic)), np.zeros(len(other))]
+    clear = [v for v, value in zip(extra, model.word_margins(*_stream(extra)), strict=True) if value > np.quantile(good[0], 0.99)] if extra else []
+    if clear:
+        chosen = [clear[i] for i in rng.integers(0, len(clear), len(toxic) // 3 + 1)]
+        value, host = model.word_margins(*_stream(chosen)), rng.integers(0, len(other), len(chosen))
+        worst, counts, words = (part[host] for part in good)
+        x.append(_judged(np.maximum(worst, value), counts + (value[:, None] > np.array(CUTS)), words + 1))
+        label.append(np.ones(len(chosen)))
+    model.judge = _logistic(np.concatenate(x), np.concatenate(label))
     return model
 
 
@@ -373,19 +436,22 @@ def _learnable(df: DataFrame) -> DataFrame:
     return df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], list[str]]:
-    """Toxic and other labelled texts of rows that may be learnt from; at most ``rows`` and twice as many."""
+def training_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list[str], list[str]]:
+    """Distinct toxic and other labelled texts of rows that may be learnt from; at most ``rows`` and twice as many, and ``chars`` each."""
     own = _learnable(labels).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = _learnable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    keys = texts.select("doc_id", F.xxhash64("text").alias("h")).join(own, "doc_id")
+    texts = _learnable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("h", F.xxhash64("text"))
+    keys = texts.select("doc_id", "h", F.length("text").alias("n")).join(own, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.max("n").alias("n"))
     chosen = {}
     for toxic, n in ((1, rows), (0, 2 * rows)):
-        for r in keys.where(F.col("toxic") == toxic).select("h", "doc_id").orderBy("h", "doc_id").limit(n).collect():
-            chosen.setdefault(r.h, toxic)
+        total = 0
+        for r in keys.where(F.col("toxic") == toxic).orderBy("h").limit(n).collect():
+            total += r.n
+            if total <= chars or total == r.n:
+                chosen[r.h] = toxic
     if not chosen:
         return [], []
     wanted = docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h long")
-    found = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), "h").dropDuplicates(["h"]).select("h", "text").collect()
+    found = texts.join(F.broadcast(wanted), "h").dropDuplicates(["h"]).select("h", "text").collect()
     found = {r.h: r.text for r in found}
     return tuple([found[h] for h in sorted(chosen) if chosen[h] == toxic] for toxic in (1, 0))
 
@@ -415,5 +481,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every whole document by a model of the learnable rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit(*training_texts(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -76,3 +76,69 @@ def test_nothing_to_learn_from(spark):
     model = sk.fit(*sk.training_texts(docs, labels))
     assert [r.score for r in sk.score_documents(docs, model).collect()] == [0.0]
     assert sk.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_word_margins_equal_plain_sum_over_landmarks():
+    model = sk.fit(*[[t for _, t, x in corpus(120, 5) if x == y] for y in (1, 0)])
+    words = sorted(sk.words_of("clompf vexquoen theresha idiot ou"))
+    got = model.word_margins(*sk._stream(words))
+    for word, value in zip(words, got, strict=True):
+        own, want = naive(word), model.bias
+        for mark, share in zip(model.landmarks, model.shares, strict=True):
+            other = naive(mark)
+            norm = np.sqrt(sum(v * v for v in other.values()))
+            want += share * sum(v * other.get(u, 0) for u, v in own.items()) / norm
+        assert abs(value - want) < 1e-3
+    text = "ou theresha clompf"
+    worst, counts, n = model.read([text, ""])
+    each = model.word_margins(*sk._stream([w for t in text.split() for w in sk.words_of(t)]))
+    assert abs(worst[0] - each.max()) < 1e-5 and n.tolist() == [3, 0] and worst[1] == -2
+    assert counts[0].tolist() == [(each > c).sum() for c in sk.CUTS]
+
+
+def test_density_other_scripts_and_rare_insults():
+    """A stem that clean texts hold now and then, an insult in Cyrillic, a rare one."""
+    rng = random.Random(7)
+    part = ["ми", "ла", "ро", "ке", "ту", "ва", "си"]
+    word = lambda: "".join(rng.choice(part) for _ in range(rng.randrange(1, 4)))
+    made = {0: [], 1: [], 2: []}
+    for i in range(700):
+        words = [word() for _ in range(60)]
+        kind = 1 if i % 7 == 0 else 2 if i % 7 == 1 else 0
+        if kind == 1:
+            words[rng.randrange(60)] = "дурхаб" if i % 70 else "гжещник"
+        else:
+            for _ in range(6 if kind == 2 else rng.random() < 0.1):
+                words[rng.randrange(60)] = "балхов" + rng.choice(part)
+        made[kind].append(" ".join(words))
+    toxic, clean = made[1][:70] + made[2][:70], made[0][:350]
+    model = sk.fit(toxic, clean)
+    for kind in (1, 2):
+        assert (model.score(made[kind][70:]) >= 0.5).mean() > 0.9
+    assert (model.score(made[0][350:]) < 0.5).mean() > 0.97
+    assert model.score([made[0][0] + " гжещник"])[0] >= 0.5 > model.score([made[0][0] + " ламике"])[0]
+
+
+def test_sample_is_of_distinct_texts(spark):
+    rows = [(i, "copy", 1) for i in range(1, 400)] + [(i, "t%d" % i, i % 2) for i in range(1000, 1040)] + [(i, None, 0) for i in range(2000, 2010)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    toxic, other = sk.training_texts(docs, labels, rows=100)
+    assert len(set(toxic)) == len(toxic) > 10 and "copy" in toxic and "" in other
+    few = sk.training_texts(docs, labels, rows=5, chars=8)
+    assert 1 <= len(few[0]) <= 5 and sum(map(len, few[0])) <= 8
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    rows = corpus(300, 3)
+    extra = [(None, "clompf"), (5, None), (5, None), (7, ""), (8, "ou " * 40000 + "dubwak")]
+    spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, x) for i, _, x in rows] + [(7, None, 0), (7, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sk.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 5 and all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+
+
+def test_texts_without_words():
+    assert sk.fit(["", "!?"], ["a b c"]).score(["a", ""]).tolist() == [0, 0]
+    assert sk.fit(["clompf dubwak"], [""]).score([""])[0] < 0.5
