@@ -9,7 +9,9 @@ pass: neighbours on the curve follow each other, cut wherever a sequence fills.
 Only the last sequence of a range can be short.
 
 Null texts count as empty: their piece is the closing id 0 alone. Repeated rows
-are packed each on their own. An empty table gives no rows.
+are packed each on their own; null doc_ids, and rows that repeat one, are packed like
+others. An empty table gives no rows. Texts may hold characters of any kind; a lone
+surrogate can't come from a table.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keep, mapped, mix, parts, spread, table, texts_of
+from .common import U64, keep, mapped, mix, spread, table, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
 DIMENSIONS, BITS = 3, 10
-#: Tokens that one range holds at least, so that the short last sequences stay few.
+#: Tokens of a range, on the mean: so many that the short last sequences stay few, and the same at every size.
 RANGE_TOKENS = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -147,10 +149,9 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
     """A row for each piece of every document; pieces of a sequence follow each other from 0."""
-    spark = docs.sparkSession
     rows = keep(tokenised(docs, path), "tokens")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, min(total // RANGE_TOKENS, max(parts(spark), spark.sparkContext.defaultParallelism)))
+    ranges = max(1, total // RANGE_TOKENS)
     order = ["key", "doc_id", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
