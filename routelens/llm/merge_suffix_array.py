@@ -16,7 +16,12 @@ known prefixes are never compared again. Equal items settle all their windows. A
 item whose neighbours share the common bytes of its interval but not the rest is
 split into shorter intervals for the next round, down to single windows; others
 have no equal window. A frequent gram's items that are equal have been kept once a
-task; those of very frequent grams are dealt by their whole string.
+task; those of very frequent grams, and the shorter intervals of these, are dealt by their
+whole string, so that different texts round one common passage don't meet in one range.
+
+A range holds ``RANGE_BYTES`` of text at every size. Beyond ``MOST_RANGES`` of them, the
+anchors are taken in several passes, each with the grams of one share of all hashes: equal
+windows have equal grams, so no match is lost, and a task's data doesn't grow.
 
 Null texts count as empty; texts are UTF-8 and matches stay within a document.
 A row that repeats doc_id and text is another document with that text. Where
@@ -45,7 +50,7 @@ LENGTH = 200
 CHUNK, _PLACE = 1 << 20, 24
 #: Anchors, bytes of items, and spans that a task holds before it sends them.
 RUN_ANCHORS, RUN_BYTES, RUN_SPANS = 250_000, 10 << 20, 50_000
-#: Bytes of text for each range of the order, and most ranges.
+#: Bytes of text for each range of the order, and most ranges of one pass.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 50_000
 #: A gram is very frequent from this number of anchors, or this share of them, on.
 HOT_LEAST, HOT_SHARE = 200_000, 1e-3
@@ -162,8 +167,8 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in batch.columns)
 
 
-def _send_hashes(length: int, n: int) -> Callable:
-    """Each task's anchors, sorted by hash; of a hash that it holds more than once, one with their number."""
+def _send_hashes(length: int, n: int, turn: int = 0, turns: int = 1) -> Callable:
+    """Each task's anchors of this pass, sorted by hash; of a hash that it holds more than once, one with their number."""
 
     def flush(found: list[tuple], keys: list[int]) -> Iterator[pa.RecordBatch]:
         hashes, place, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -186,6 +191,9 @@ def _send_hashes(length: int, n: int) -> Callable:
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
                 own = anchors(np.frombuffer(text.as_buffer(), np.uint8), length)
+                if turns > 1:
+                    now = mix(own[0]) % U64(turns) == U64(turn)
+                    own = tuple(c[now] for c in own)
                 if len(own[0]):
                     found.append(own)
                     keys.append(key)
@@ -199,7 +207,7 @@ def _send_hashes(length: int, n: int) -> Callable:
     return run
 
 
-def _shared_hashes(n: int) -> Callable:
+def _shared_hashes(n: int, hot_least: int = HOT_LEAST) -> Callable:
     """Anchors whose hash occurs again, dealt by document; and how often the most frequent hashes occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +227,7 @@ def _shared_hashes(n: int) -> Callable:
         total = np.bincount(inverse, weights=count, minlength=len(found)).astype(np.int64)
         again = total[inverse] > 1
         rows = list(_dealt(_CANDIDATE, doc[again], n, hashes[again], place[again], low[again], high[again]))
-        often = total >= HOT_LEAST
+        often = total >= hot_least
         rows.append((0, _HOT, int(total.sum()), None, _pack(found[often], total[often])))
         yield _batch(rows)
 
@@ -448,7 +456,7 @@ def _merge_round(length: int, n: int, level: int) -> Callable:
             for c1 in range(o1, o2 + 1, next_wide):
                 c2 = min(c1 + next_wide - 1, o2)
                 if low <= c2 and high >= c1:
-                    children.add(_item(cover, o1, o2, c1, c2, length), key, place, low, high, c1, c2, _KNOWN if known else 0)
+                    children.add(_item(cover, o1, o2, c1, c2, length), key, place, low, high, c1, c2, (_KNOWN if known else 0) | flags & _FREQUENT)
 
         for shared, own, about in merge(runs):
             if equals and shared == len(own) == len(item):
@@ -490,23 +498,28 @@ def _exchange(rows: DataFrame, n: int) -> DataFrame:
 def ranges(docs: DataFrame) -> int:
     """Number of ranges for so much text: a task holds the runs of one."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, min(MOST_RANGES, -(-size // RANGE_BYTES)))
+    return max(1, -(-size // RANGE_BYTES))
 
 
-def repeated_spans(docs: DataFrame, length: int, n: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, n: int, turns: int = 1, hot_least: int = HOT_LEAST) -> DataFrame:
     """Rows of packed (key, begin, end) of the repeated passages, dealt by document."""
     if not 8 <= length <= 360:
         raise ValueError("length must be from 8 to 360 bytes")
-    entries = _in_documents(docs, n, _send_hashes(length, n))
-    found = keep(_exchange(entries, n).transform(mapped, _shared_hashes(n), _ROWS), "anchors")
-    counts = found.where(F.col("kind") == _HOT).select("key", "blob").collect()  # a row for each range
-    total = sum(r.key for r in counts)
-    hot = frozenset(int(h) for r in counts for h, c in zip(*_unpack(bytes(r.blob)), strict=True) if c >= max(HOT_LEAST, HOT_SHARE * total))
-    both = found.where(F.col("kind") == _CANDIDATE).union(_in_documents(docs, n, _send_documents(n, length)))
-    rows = _exchange(both, n).sortWithinPartitions("kind").transform(mapped, _sort_suffixes(length, n, hot), _ROWS)
-    for level in range(len(widths(length))):
-        rows = _exchange(rows, n).transform(mapped, _merge_round(length, n, level), _ROWS)
-    return rows
+    out = None
+    for turn in range(turns):
+        entries = _in_documents(docs, n, _send_hashes(length, n, turn, turns))
+        found = keep(_exchange(entries, n).transform(mapped, _shared_hashes(n, hot_least), _ROWS), "anchors")
+        counts = found.where(F.col("kind") == _HOT).select("key", "blob").collect()  # a row for each range
+        total = sum(r.key for r in counts)
+        hot = frozenset(int(h) for r in counts for h, c in zip(*_unpack(bytes(r.blob)), strict=True) if c >= max(hot_least, HOT_SHARE * total))
+        both = found.where(F.col("kind") == _CANDIDATE).union(_in_documents(docs, n, _send_documents(n, length)))
+        rows = _exchange(both, n).sortWithinPartitions("kind").transform(mapped, _sort_suffixes(length, n, hot), _ROWS)
+        for level in range(len(widths(length))):
+            rows = _exchange(rows, n).transform(mapped, _merge_round(length, n, level), _ROWS)
+        if turns > 1:
+            rows = keep(rows, "spans")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def cut(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
@@ -528,15 +541,17 @@ def cut(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, i
     return b"".join(kept), removed, runs
 
 
-def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, list[bytes], list[tuple]], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, run: Callable[[pa.StructArray, list[bytes], list[tuple]], pa.RecordBatch], schema: T.StructType | str, most: int, hot_least: int) -> DataFrame:
     """``run`` over batches of documents: their columns but the text, the texts, and their spans."""
-    n = ranges(docs)
+    wanted = ranges(docs)
+    turns = -(-wanted // most)
+    n = -(-wanted // turns)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), text).alias("key"), "doc_id", text.cast("binary").alias("text"), F.struct(rest.alias("rest"), F.col("text").isNull().alias("void")).alias("row"))
     kind = rows.schema["row"].dataType
     sent = rows.transform(mapped, _send_rows(n), T.StructType.fromDDL(_ROWS).add("row", kind))
-    both = repeated_spans(docs.select("doc_id", "text"), length, n).withColumn("row", F.lit(None).cast(kind)).union(sent)
+    both = repeated_spans(docs.select("doc_id", "text"), length, n, turns, hot_least).withColumn("row", F.lit(None).cast(kind)).union(sent)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
@@ -575,7 +590,7 @@ def _send_rows(n: int) -> Callable:
     return run
 
 
-def report_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def report_passages(docs: DataFrame, length: int = LENGTH, most: int = MOST_RANGES, hot_least: int = HOT_LEAST) -> DataFrame:
     """A row for each document: its bytes, those removed, their maximal runs, and the digest of what is kept."""
 
     def run(row: pa.StructArray, texts: list[bytes], spans: list[tuple]) -> pa.RecordBatch:
@@ -584,7 +599,7 @@ def report_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         digest = pa.array([hashlib.sha256(d[0]).hexdigest() for d in done])
         return pa.RecordBatch.from_arrays([row.field("rest").field("doc_id"), *columns, digest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(spread(docs.select("doc_id", "text")), length, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(spread(docs.select("doc_id", "text")), length, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", most, hot_least)
 
 
 def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -603,7 +618,7 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         columns["text"] = pa.array(kept, pa.string())
         return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return _with_spans(docs, length, run, schema)
+    return _with_spans(docs, length, run, schema, MOST_RANGES, HOT_LEAST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

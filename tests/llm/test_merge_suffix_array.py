@@ -95,6 +95,18 @@ def test_many_ranges(spark, monkeypatch):
     assert sorted((tuple(r) for r in ms.report_passages(docs, 64).collect()), key=str) == brute(rows, 64)
 
 
+def test_passes_and_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(ms, "RANGE_BYTES", 1000)
+    rng = random.Random(12)
+    common = "".join(rng.choice("abcdef") for _ in range(90))
+    rows = corpus(rng, 40, 64)
+    rows += [(2000 + i, "".join(rng.choice("abc") for _ in range(40)) + common[i % 9 :] + "".join(rng.choice("ab") for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 64)
+    for most, hot in ((4, ms.HOT_LEAST), (ms.MOST_RANGES, 5), (9, 20)):
+        assert sorted((tuple(r) for r in ms.report_passages(docs, 64, most, hot).collect()), key=str) == want
+
+
 def test_merge_gives_order_and_shared_prefixes():
     rng = random.Random(9)
     for k in (0, 1, 2, 3, 7, 8):
