@@ -51,23 +51,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share. Only a local session may leave it unset: it then gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"routelens-{os.getuid()}")
         os.makedirs(found, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders written by ``keep`` in this process, oldest first.
+_KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/routelens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept() -> int:
+    """How many tables ``keep`` has written so far that are still there: a mark for ``forget``."""
+    return len(_KEPT)
+
+
+def forget(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the tables kept after the mark, except the last ``but``; no DataFrame that reads them may be used again."""
+    end = len(_KEPT) - but
+    for path in _KEPT[since:end]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _KEPT[since:end]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input files make fewer partitions than there are cores."""
     want = df.sparkSession.sparkContext.defaultParallelism
