@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from routelens.llm import dart_minhash, hilbert_packing, line_suffix_array, merge_suffix_array, string_kernel
-from routelens.llm.common import keep, table
+from routelens.llm.common import forget, keep, kept, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the table documents, each result written to the shared folder and read again.
+
+    What a stage kept on its way, and its predecessor's result, go as soon as its own result is written.
+    """
+    docs, mark = table(spark, sf_dir, "documents"), kept()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        forget(spark, mark, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
