@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashrng import uniform, uniform_sql
 from ..sources.views import view, with_views
+from .running import running
 from .simulate import _SUMMARY, SYSTEMS_SQL, simulate, systems
 
 ROUTE_AT = 0.5
 #: Inner edges of ten equal bins as doubles of i * 0.1.
 EDGES = tuple(i * 0.1 for i in range(1, 10))
-RESAMPLES, TRIALS, LEVEL = 200, 10, 0.05
+RESAMPLES, TRIALS, LEVEL = 1000, 50, 0.05
 GRID = tuple(i / 20 for i in range(21))
 
 
@@ -43,19 +49,18 @@ def _levels(scored: DataFrame, *by: str) -> DataFrame:
 def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve, ties counting half; null where only one label occurs.
 
-    Running sums go over distinct scores, each group on its own.
+    Running sums go over distinct scores; a group's begin where the one before it ends.
     """
-    below = (W.partitionBy(*by) if by else W).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     neg = F.col("n") - F.col("pos")
-    rows = _levels(scored, *by).select(*by, "pos", neg.alias("neg"), (F.coalesce(F.sum(neg).over(below), F.lit(0)) + neg / 2).alias("beaten"))
+    rows = running(_levels(scored, *by), [*map(F.col, by), F.col("p")], upto=neg).withColumn("neg", neg)
     pairs = F.sum("pos") * F.sum("neg")
-    return rows.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("beaten")), F.when(pairs > 0, pairs)), 6).alias("roc_auc"))
+    beaten = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) - F.min(F.col("upto") - F.col("neg")) * F.sum("pos")
+    return rows.groupBy(*by).agg(F.round(F.try_divide(beaten, F.when(pairs > 0, pairs)), 6).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Average precision of the score; null without a positive or a negative."""
-    down = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    rows = _levels(scored).select("pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"))
+    rows = running(_levels(scored), [-F.col("p")], tp=F.col("pos"), seen=F.col("n"))
     total, rest = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return rows.agg(F.round(F.when((total > 0) & (rest > 0), F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / total), 6).alias("average_precision"))
 
@@ -68,8 +73,7 @@ def pr_auc(scored: DataFrame) -> DataFrame:
 
 def rank_avg(scored: DataFrame) -> DataFrame:
     """Ascending rank of each distinct score, ties averaged, and its rows."""
-    below = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    return _levels(scored).select("p", "n", (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    return running(_levels(scored), [F.col("p")], upto=F.col("n")).select("p", "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def postgen_auc(outcomes: DataFrame, least: int = 20) -> DataFrame:
@@ -81,20 +85,43 @@ def postgen_auc(outcomes: DataFrame, least: int = 20) -> DataFrame:
     return roc_auc(long, "stat").join(sizes, "stat").where(F.col("n") >= least)
 
 
+#: Inverse of the Poisson distribution of mean 1: a draw's weight is the number of these it reaches.
+_STEPS = tuple(sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]) for k in range(8))
+_GOLDEN, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def draws(keys: list[str], seed: int, begin: int, end: int) -> np.ndarray:
+    """Numbers in [0, 1) of the resamples from begin to end, a row for each key: a counter mixed with the key's digest."""
+    base = np.array([int.from_bytes(hashlib.sha256(k.encode()).digest()[:8], "big") for k in keys], np.uint64)
+    with np.errstate(over="ignore"):
+        z = base[:, None] + (np.arange(begin, end, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) * np.uint64(_GOLDEN)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX1)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(_MIX2)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
 def bootstrap(rows: DataFrame, value: str, seed: int, resamples: int = RESAMPLES) -> DataFrame:
     """Point and percentile interval of a mean by Poisson weights of hashed draws.
 
     A row's weight in a resample depends on its key alone, so rows needn't be numbered and
-    each is read once; a partition sums all resamples before anything is shuffled.
+    each is read once; a task sums all resamples of its rows before anything is shuffled.
     """
-    u = uniform(seed, F.col("r"), F.col("key"))
-    cumulative, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(8):  # inverse of the Poisson distribution of mean 1
-        cumulative += term
-        weight = weight + F.when(u >= cumulative, 1).otherwise(0)
-        term /= k + 1
-    drawn = rows.select("key", F.col(value).alias("v")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
-    means = drawn.groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                own = batch.slice(at, 512)
+                keys, v = own["key"].to_pylist(), np.array(own["v"], np.float64)
+                for begin in range(0, resamples, 1024):
+                    end = min(begin + 1024, resamples)
+                    w = np.searchsorted(_STEPS, draws(keys, seed, begin, end), side="right").astype(np.float64)
+                    total[begin:end] += v @ w
+                    weight[begin:end] += w.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(weight)], ["r", "total", "weight"])
+
+    own = rows.where(F.col(value).isNotNull()).select("key", F.col(value).cast("double").alias("v"))
+    means = own.mapInArrow(run, "r long, total double, weight double").groupBy("r").agg((F.sum("total") / F.sum("weight")).alias("m"))
     ends = means.agg(F.percentile("m", F.lit(LEVEL / 2)).alias("lo"), F.percentile("m", F.lit(1 - LEVEL / 2)).alias("hi"))
     return rows.agg(F.avg(value).alias("point")).crossJoin(F.broadcast(ends)).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
 
@@ -108,12 +135,17 @@ def _two_outcomes(outcomes: DataFrame) -> DataFrame:
 def random_curve(outcomes: DataFrame, seed: int = 17, trials: int = TRIALS) -> DataFrame:
     """Outcomes of random routing at each rate of strong answers, over hashed trials.
 
-    One hashed number for each row and trial serves all rates.
+    One hashed number for each row and trial serves all rates: rows are summed by trial and by
+    how many rates the number reaches, and each rate's means come from those few sums.
     """
     rows = _two_outcomes(outcomes).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("u", uniform(seed, F.col("trial"), F.col("task_id")))
-    pick = lambda a, b: F.when(F.col("u") >= F.col("rate"), F.col(a)).otherwise(b)
-    long = rows.withColumn("rate", F.explode(F.array(*map(F.lit, GRID))))
-    each = long.groupBy("rate", "trial").agg(F.avg(pick("qa", F.col("qb"))).alias("q"), F.avg(pick("ca", F.col("cb"))).alias("c"), F.avg(pick("ea", F.lit(1))).alias("strong"), F.avg(pick("ua", F.lit(0))).alias("unsafe"))
+    reached = sum((F.when(F.col("u") >= g, 1).otherwise(0) for g in GRID[1:]), F.when(F.col("u") >= GRID[0], 1).otherwise(0))
+    parts = {"n": F.lit(1), "qa": F.col("qa"), "qb": F.col("qb"), "ca": F.col("ca"), "cb": F.col("cb"), "ea": F.col("ea"), "ua": F.col("ua")}
+    sums = rows.groupBy("trial", reached.alias("reached")).agg(*[F.sum(c).alias(k) for k, c in parts.items()])
+    rates = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("rate")) for i, g in enumerate(GRID)])
+    long = sums.withColumn("g", F.explode(rates)).select("*", "g.i", "g.rate")
+    pick = lambda a, b: F.sum(F.when(F.col("reached") > F.col("i"), F.col(a)).otherwise(b)) / F.sum("n")
+    each = long.groupBy("rate", "trial").agg(pick("qa", F.col("qb")).alias("q"), pick("ca", F.col("cb")).alias("c"), pick("ea", F.col("n")).alias("strong"), pick("ua", F.lit(0)).alias("unsafe"))
     mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
     return each.groupBy("rate").agg(mean("q", "quality_mean"), F.round(F.stddev_pop("q"), 9).alias("quality_std"), F.round(F.percentile("q", F.lit(0.025)), 9).alias("quality_lo"), F.round(F.percentile("q", F.lit(0.975)), 9).alias("quality_hi"), mean("c", "cost_mean"), mean("strong", "remote_call_rate"), mean("unsafe", "unsafe_local_rate"))
 
@@ -174,19 +206,19 @@ _AP = lambda y, p: f"SELECT sum(pos * tp / seen) / sum(pos) FROM (SELECT pos, su
 _AUC = "sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)::DOUBLE / count(*)"
 
 
-def _poisson(u: str) -> str:
-    cumulative, term, out = 0.0, 0.36787944117144233, []
-    for k in range(8):
-        cumulative += term
-        out.append(f"({u} >= {cumulative!r}::DOUBLE)::INT")
-        term /= k + 1
-    return " + ".join(out)
+def _draw_sql(rows: str) -> str:
+    """The same draws u of each row and resample r in 128-bit arithmetic."""
+    wrap = f"{1 << 64}::UHUGEINT"
+    return f"""SELECT r, v, (xor(z, z >> 31) >> 11)::DOUBLE / {2.0**53!r}::DOUBLE AS u FROM (
+  SELECT r, v, ((xor(z, z >> 27)::UHUGEINT * {_MIX2}::UHUGEINT) % {wrap})::UBIGINT AS z FROM (
+  SELECT r, v, ((xor(z, z >> 30)::UHUGEINT * {_MIX1}::UHUGEINT) % {wrap})::UBIGINT AS z FROM (
+  SELECT r, v, ((CAST(concat('0x', substr(sha256(key), 1, 16)) AS UBIGINT)::UHUGEINT + ((r + {17 * 1_000_003 + 1})::UHUGEINT * {_GOLDEN}::UHUGEINT) % {wrap}) % {wrap})::UBIGINT AS z FROM ({rows}), range({RESAMPLES}) t(r))))"""
 
 
 def _boot_sql(rows: str) -> str:
-    u = uniform_sql("'17'", "r::VARCHAR", "key")
+    weight = " + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in _STEPS)
     return f"""SELECT round((SELECT avg(v) FROM ({rows})), 6) AS point, round(quantile_cont(m, {LEVEL / 2}), 6) AS lo, round(quantile_cont(m, {1 - LEVEL / 2}), 6) AS hi
-FROM (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_poisson('u')} AS w FROM (SELECT r, v, {u} AS u FROM ({rows}), range({RESAMPLES}) t(r))) GROUP BY r)"""
+FROM (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {weight} AS w FROM ({_draw_sql(rows)})) GROUP BY r)"""
 
 
 _SCORE_Q = f"SELECT task_id AS key, quality AS v FROM ({SYSTEMS_SQL}) WHERE system = 'score'"

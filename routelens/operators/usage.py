@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.views import view, with_views
+from .running import running
 
 #: Dollars per million tokens of the billed provider, in and out.
 CHEAP_IN, CHEAP_OUT, STRONG_IN, STRONG_OUT = 0.05, 0.2, 0.15, 0.6
@@ -90,14 +91,15 @@ def logprob_rows(log: DataFrame, grades: DataFrame) -> DataFrame:
 def logprob_reco(rows: DataFrame, bar: float = MIN_ACCURACY) -> DataFrame:
     """The lowest gate whose kept answers' mean grade clears the bar, what it keeps, and good answers it escalates.
 
-    Answers are summed for each confidence first, so that the running sums see as many
-    rows as there are different confidences.
+    Answers are summed for each confidence first; running sums go over the confidences,
+    range-partitioned.
     """
     points = rows.groupBy(F.col("conf").alias("t")).agg(F.sum("grade").alias("g"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") >= 0.5).alias("good"))
     off = rows.agg(F.lit(0.0).alias("t"), F.lit(0.0).alias("g"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
     points = points.unionByName(off).groupBy("t").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("good").alias("good"))
-    above, below = W.orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, 0), W.orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    swept = points.select("t", F.sum("g").over(above).alias("g"), F.sum("n").over(above).alias("kept"), F.coalesce(F.sum("good").over(below), F.lit(0)).alias("wasted"))
+    everything = points.agg(F.sum("good").alias("all_good"))
+    swept = running(points, [-F.col("t")], above=F.col("g"), kept=F.col("n"), kept_good=F.col("good")).crossJoin(F.broadcast(everything))
+    swept = swept.select("t", F.col("above").alias("g"), "kept", (F.col("all_good") - F.col("kept_good")).alias("wasted"))
     return swept.where((F.col("kept") > 0) & (F.col("g") / F.col("kept") >= bar)).orderBy("t").limit(1).select(F.col("t").alias("threshold"), F.round(F.col("g") / F.col("kept"), 6).alias("accuracy"), "kept", "wasted")
 
 
