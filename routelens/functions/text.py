@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_module
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Signal names with weight and pattern (Java syntax); order is that of the sum.
 SIGNALS = {
@@ -172,16 +176,22 @@ def public_link(url: Column) -> Column:
     return (F.length(url) <= 2048) & url.rlike(r"^https?://[^/?#@]+([/?#]|$)")
 
 
-def html_lines(html: Column, cap: int | None = None) -> Column:
-    """Text of a page: scripts and styles dropped, line breaks at blocks, blank lines and blanks collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?i)<(p|div|br|li|h1|h2)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for code, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(code), F.lit(mark))
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
-    return F.substring(out, 1, cap) if cap else out
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html_module.unescape, na_action="ignore")
+
+
+def html_lines(html: Column, cap: int = 24_000) -> Column:
+    """Text of a page: scripts and styles dropped, a line break where a block ends, references decoded, blanks collapsed, at most ``cap`` characters.
+
+    Only texts that hold a reference leave the JVM.
+    """
+    out = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", "")
+    out = F.regexp_replace(out, r"(?is)<(script|style|noscript)\b[^>]*>.*?(</\1\s*>|\z)", "")
+    out = F.regexp_replace(out, r"(?i)</(p|div|br|li|h1|h2)\s*>|<(p|div|br|li|h1|h2)\b[^>]*/>", "\n")
+    out = F.regexp_replace(out, r"<[/!?a-zA-Z][^>]*>", "")
+    out = F.when(F.contains(out, F.lit("&")), _unescaped(out)).otherwise(out)
+    return F.substring(F.regexp_replace(out, r"[ \t]+", " "), 1, cap)
 
 
 def escape_html(text: Column) -> Column:
@@ -194,9 +204,26 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4))
 
 
+#: File extensions of the languages that a code fence may name.
+EXTENSIONS = {
+    "html": "html", "htm": "html", "javascript": "js", "js": "js", "typescript": "ts", "ts": "ts", "jsx": "jsx", "tsx": "tsx", "python": "py", "py": "py", "css": "css", "json": "json",
+    "csv": "csv", "markdown": "md", "md": "md", "text": "txt", "txt": "txt", "plain": "txt", "sql": "sql", "bash": "sh", "sh": "sh", "shell": "sh", "yaml": "yaml", "yml": "yaml",
+    "xml": "xml", "java": "java", "c": "c", "cpp": "cpp", "c++": "cpp", "rust": "rs", "go": "go", "swift": "swift",
+}
+_FENCE = r"(?m)^ {0,3}(`{3,}|~{3,})([^\n]*)\n((?s:.*?))^ {0,3}\1[ \t]*(?:\n|\z)"
+
+
 def fenced_blocks(text: Column) -> Column:
-    """Contents of fenced code blocks."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)(?:```|~~~)[^\n]*\n(.*?)(?:```|~~~)"), F.lit(1))
+    """language, extension and code of the fenced blocks that aren't blank; the fence that closes is that which opened."""
+    parts = [F.regexp_extract_all(text, F.lit(_FENCE), F.lit(i)) for i in (2, 3)]
+    known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+
+    def block(info: Column, code: Column) -> Column:
+        language = F.lower(F.element_at(F.split(F.trim(info), r"\s+"), 1))
+        language = F.when(language == "", "text").otherwise(language)
+        return F.struct(language.alias("language"), F.coalesce(F.try_element_at(known, language), F.lit("txt")).alias("extension"), code.alias("code"))
+
+    return F.filter(F.zip_with(*parts, block), lambda b: F.regexp_replace(b["code"], r"\s", "") != "")
 
 
 def chunk(text: Column, offset: int, length: int) -> Column:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashrng import uniform, uniform_sql
 from ..sources import files
 from ..sources.views import table, view, with_views
+from .running import quantiles
+from .text import COMPLEX_SQL, LENGTH_SQL
 from .usage import CHEAP_IN, CHEAP_OUT, STRONG_IN, STRONG_OUT
 
 DOLLARS_A_SECOND, QUALITY = 0.0001, 0.6
-ALLOWED = ("org/Model-A", "org/model-b")
+ALLOWED = ("maker/BRAND#13", "maker/brand#5 ", "other/Brand#21")
+#: What the metas of datasets must agree on to be merged.
+COMPATIBLE = ("local_model", "remote_model", "quality_threshold", "tier_mode", "system_prompt_sha256", "temperature", "cheap_max_tokens")
 
 
 def collect_cost(rows: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def merge_outcomes(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def merge_compat(metas: DataFrame, keys: list[str]) -> DataFrame:
+def merge_compat(metas: DataFrame, keys: tuple[str, ...] = COMPATIBLE) -> DataFrame:
     """Keys on which the metas differ; none if the datasets may be merged."""
     counts = metas.agg(*[F.count_distinct(F.coalesce(F.col(k).cast("string"), F.lit("\0"))).alias(k) for k in keys])
     each = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("values")) for k in keys])
@@ -63,17 +68,45 @@ def route_intent(reply: Column) -> Column:
     return F.when(found != "", found)
 
 
+def recent_turns(messages: DataFrame, turns: int = 3, chars: int = 2000) -> DataFrame:
+    """conversation_id, window: the last user and assistant messages that a router is shown.
+
+    The newest come first into the budget; the one that exceeds it keeps its end.
+    """
+    newest = W.partitionBy("conversation_id").orderBy(F.desc("turn"))
+    last = messages.where("role IN ('user', 'assistant')").withColumn("k", F.row_number().over(newest)).where(F.col("k") <= turns)
+    before = newest.rowsBetween(W.unboundedPreceding, -1)
+    room = last.withColumn("room", F.lit(chars) - F.coalesce(F.sum(F.length("content")).over(before), F.lit(0))).where("room > 0")
+    shown = F.expr("right(content, least(length(content), room))")
+    return room.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", shown.alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("window"))
+
+
+def routed(replies: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The route of each row (prompt, reply): the reply's, or where it names none the heuristic's."""
+    own = route_intent(F.col("reply"))
+    fallback = F.when(T.heuristic_score(F.col("prompt")) >= threshold, "local").otherwise("strong")
+    return replies.withColumns({"route": F.coalesce(own, fallback), "kind": F.when(own.isNull(), "heuristic-fallback").otherwise("reply")})
+
+
+#: The formats an answer can be asked in, in the order in which they are looked for, and the rules' patterns.
+FORMATS = ("docx", "html", "csv", "json", "md", "txt")
+_EXT = "docx|html|txt|md|csv|json"
+_REFUSED = r"\b(no|without|don't|do not)\s+(a\s+)?(file|download)s?\b"
+_ASKS = r"\b(write|wrike|make|create|generate|build|export|download|save|convert|give|provide)\b"
+_AS = rf"\b(as|in|to)\s+(a\s+)?(\.?({_EXT})|word (document|file))\b"
+_QUESTION = r"^\s*(what\b|why\b|explain\b|how (do|does|can|to)\b)"
+_MOVES = r"\b(export|download|save|convert)\b"
+_ABOUT = rf"\b(what|why|how)\b.*\b({_EXT})\b"
+_NAMED = (r"\b(save|export|download|create|generate|build|make|named?|called)\b[^\n]{0,60}\b[\w-]+\.", r"\b(as|in|to)\s+[\w-]+\.")
+
+
 def requested_format(prompt: Column) -> Column:
     """The file format that a prompt asks an answer in, or null."""
     low = F.lower(prompt)
-    refused = low.rlike(r"\b(no|without|don't|do not)\s+(a\s+)?(file|download)s?\b")
-    asks = low.rlike(r"\b(write|make|create|generate|build|export|download|save|convert|give|provide)\b") | low.rlike(r"\b(as|in|to)\s+(a\s+)?(\.?(docx|html|txt|md|csv|json)|word (document|file))\b")
-    about = low.rlike(r"^\s*(what\b|why\b|explain\b|how (do|does|can|to)\b)") & ~low.rlike(r"\b(export|download|save|convert)\b")
-    kind = F.lit(None).cast("string")
-    for ext in ("txt", "md", "json", "csv", "html", "docx"):
-        kind = F.when(low.rlike(rf"(?<![\w.])\.?{ext}\b"), F.lit(ext)).otherwise(kind)
-    kind = F.coalesce(kind, F.when(low.rlike(r"\bword (document|file)\b"), F.lit("docx")))
-    return F.when(asks & ~refused & ~about, kind)
+    has = low.rlike
+    silent = has(_REFUSED) | (has(_QUESTION) & ~has(_MOVES)) | ~(has(_ASKS) | has(_AS)) | (has(_ABOUT) & ~has(_ASKS))
+    kind = F.coalesce(*[F.when(has(rf"(?<![\w.])\.?{ext}\b") | has(_NAMED[0] + rf"{ext}\b") | has(_NAMED[1] + rf"{ext}\b"), F.lit(ext)) for ext in FORMATS], F.when(has(r"\bword (document|file)\b"), F.lit("docx")))
+    return F.when(~silent, kind)
 
 
 def is_followup(prompt: Column) -> Column:
@@ -105,6 +138,12 @@ def toy_outcomes(spark, n: int, seed: int = 7) -> DataFrame:
     return rows.select(F.concat(F.lit("toy-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("task_id"), F.concat(F.lit("g-"), F.col("g").cast("string")).alias("group_id"), category.cast("int").alias("category"), F.round(quality, 4).alias("local_quality"), F.round(0.75 + u("r") / 4, 4).alias("remote_quality"), (F.round(quality, 4) >= QUALITY).alias("local_ok"))
 
 
+def profile(trials: DataFrame) -> DataFrame:
+    """Trials, successes, median and greatest value of each model."""
+    sums = trials.groupBy("model").agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("value") > 10).alias("successes"), F.round(F.max("value"), 6).alias("most"))
+    return sums.join(quantiles(trials, "model", "value", median=("linear", 0.5)).withColumn("median", F.round("median", 6)), "model", "left")
+
+
 def _out(s, d):
     return view(s, d, "outcomes")
 
@@ -117,28 +156,69 @@ def _collected(s, d):
 def _verdicts(s, d):
     k = F.col("event_id")
     number = lambda on: F.when(on, (k % 7).cast("double") / F.lit(7.0))
-    v = table(s, d, "events").where("event_id < 400").select(k.cast("string").alias("task_id"), number(k % 3 != 0).alias("cheap"), number(k % 3 == 0).alias("local"), number(k % 2 != 0).alias("strong"), number(k % 2 == 0).alias("remote"))
+    v = table(s, d, "events").select(k.cast("string").alias("task_id"), number(k % 3 != 0).alias("cheap"), number(k % 3 == 0).alias("local"), number(k % 2 != 0).alias("strong"), number(k % 2 == 0).alias("remote"))
     return join_grades(_out(s, d), v).select("task_id", F.round("cheap_quality", 6).alias("cheap_quality"), F.round("strong_quality", 6).alias("strong_quality"))
 
 
 def _models(s, d):
-    rows = s.createDataFrame([("other/MODEL-a",), ("model-b ",), ("org/model-c",), ("x",)], "model string")
-    return model_allowlist(rows, ALLOWED)
+    name = F.concat(F.when(F.col("p_size") % 3 == 0, "shop/").when(F.col("p_size") % 3 == 1, "a/b/").otherwise(""), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" "))))
+    models = table(s, d, "part").select("p_partkey", name.alias("model"))
+    return models.join(model_allowlist(models.select("model").distinct(), ALLOWED), "model")
+
+
+def _replies(s, d):
+    """A router's reply to each conversation: of six kinds, whole texts in some."""
+    k, text, route = F.col("conv_id") % 6, F.col("text"), F.when(F.col("conv_id") % 4 < 2, "local").otherwise("strong")
+    quoted = lambda q: F.concat(F.lit(f"{{{q}route{q}: {q}"), route, F.lit(f"{q}}}"))
+    fenced = F.concat(F.lit("```json\n"), quoted('"'), F.lit("\n```"))
+    reply = F.when(k == 0, quoted('"')).when(k == 1, quoted("'")).when(k == 2, fenced).when(k == 3, F.concat(F.lit(" "), quoted('"'), F.lit(" "))).when(k == 4, F.lit('{"route": "other"}')).otherwise(text)
+    return table(s, d, "conversations").where("turn = 0").select("conv_id", F.concat(F.when(F.col("conv_id") % 5 == 0, "Calculate 12 * 9 and explain why. ").otherwise(""), text).alias("prompt"), reply.alias("reply"))
+
+
+def _intents(s, d):
+    shown = recent_turns(view(s, d, "messages")).select(F.col("conversation_id").alias("conv_id"), F.size("window").alias("turns"), F.aggregate("window", F.lit(0), lambda n, m: n + F.length(m["content"])).alias("chars"))
+    return routed(_replies(s, d)).select("conv_id", "route", "kind").join(shown, "conv_id", "left")
+
 
+#: How a request for a format may begin; the texts of the conversations follow.
+OPENINGS = (
+    "Write a report as a docx: ", "what is csv? ", "Export the table to csv please. ", "Create a word document. ", "make it in json ", "write a poem without a file ", "",
+    "Why is html so slow? ", "Save it to notes.md now. ", "give me report.v2.txt or so ", "How do I download a json? ", "provide an html and a csv ",
+)
 
-#: Replies with the route they name, prompts with the format they ask for, and whether they point back.
-REPLIES = (('{"route": "local"}', "local"), ("{'route': 'strong'}", "strong"), ('```json\n{"route": "local"}\n```', "local"), ('{"route": "other"}', None), ("local", None))
-ASKED = (("Write a report as a docx", "docx"), ("what is csv?", None), ("Export the table to csv please", "csv"), ("Create a word document", "docx"), ("make it in json", "json"), ("write a poem without a file", None), ("hello", None))
-BACK = (("What about it?", True), ("Capital of France", False), ("Explain the previous answer", True), ("Theory of sets", False))
 
+def _opened(s, d):
+    begin = F.element_at(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat(begin, "text").alias("prompt"))
 
-#: Search replies with what is found in them, targets and worked answers with their references.
-FOUND = (
-    ("Title: One\nURL: https://a.b/c\nHighlights: some text\nmore\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e\nText: end", "One|https://a.b/c|some text more;Three|http://d.e|end"),
-    ("nothing here", ""),
-)
-TARGETS = (("(C)", "C"), (" yes ", "yes"), ("(AB)", "(AB)"))
-WORKED = (("so it is\n#### 1,200", "1200"), ("#### many", None), ("none", None))
+
+def _searched(s, d):
+    """Search replies made of pages: a good result, one of another protocol, one with its text, one without a link."""
+    plain = F.regexp_replace(F.substring(F.regexp_replace("html", r"(?s)<[^>]*>", " "), 1, 400), r"\s+", " ")
+    first = F.concat(F.lit("intro\nTitle: Page "), F.col("page_id").cast("string"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), plain)
+    rest = F.concat(F.lit("\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e/"), F.col("page_id").cast("string"), F.lit("\nText: end\nof it\nTitle: Four\nContent: none"))
+    return table(s, d, "pages").select("page_id", F.concat(first, F.when(F.col("page_id") % 3 > 0, rest).otherwise("")).alias("body"))
+
+
+def _worked(s, d):
+    k, n = F.col("item_id"), F.format_string("%,d", F.col("item_id") * 137)
+    tail = F.when(k % 4 == 0, F.concat(F.lit("\n#### "), n)).when(k % 4 == 1, F.concat(F.lit("\n#### first\n####  "), n, F.lit(".5 "))).when(k % 4 == 2, F.lit("\n#### many")).otherwise("")
+    return table(s, d, "benchmark").select("item_id", F.concat("text", tail).alias("answer"))
+
+
+def _targets(s, d):
+    k = F.col("item_id")
+    target = F.when(k % 4 == 0, F.concat(F.lit(" ("), F.substring(F.lit("ABCDEF"), (k % 6 + 1).cast("int"), F.lit(1)), F.lit(")"))).when(k % 4 == 1, F.lit("(AB)")).otherwise(F.concat(F.lit(" "), "text"))
+    return table(s, d, "benchmark").select("item_id", target.alias("target"))
+
+
+def _metas(s, d):
+    """A meta for each nation, as datasets collected with settings of their own would have."""
+    k = F.col("n_nationkey")
+    return table(s, d, "nation").select(
+        "n_nationkey", F.concat(F.lit("m-"), (F.col("n_regionkey") % 2).cast("string")).alias("local_model"), F.lit("big").alias("remote_model"), F.lit(0.6).alias("quality_threshold"), F.when(k != 7, F.lit("remote_pair")).alias("tier_mode"),
+        F.sha2(F.col("n_regionkey").cast("string"), 256).alias("system_prompt_sha256"), F.lit(0.0).alias("temperature"), (256 + F.col("n_regionkey") * 0).alias("cheap_max_tokens"),
+    )
 
 
 def gsm8k_reference(answer: Column) -> Column:
@@ -153,7 +233,7 @@ def _shown_blocks(body: Column) -> Column:
 
 
 def _mmlu(s, d) -> DataFrame:
-    rows = table(s, d, "benchmark").select("item_id", files.mmlu_prompt("world_history", F.substring("text", 1, 60), [F.lit(" one"), F.lit("two "), F.lit("three"), F.lit("four")]).alias("prompt"))
+    rows = table(s, d, "benchmark").select("item_id", files.mmlu_prompt("world_history", F.col("text"), [F.lit(" one"), F.lit("two "), F.lit("three"), F.lit("four")]).alias("prompt"))
     return rows.select("item_id", F.sha2("prompt", 256).alias("digest"))
 
 
@@ -174,40 +254,30 @@ def _scoped(s, d) -> DataFrame:
     return scope_filter(table(s, d, "events").select("event_id", meta.alias("meta")), "team").select("event_id")
 
 
-def _cases(spark, cases, rule, kind) -> DataFrame:
-    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, x string")
-    return rows.select("id", rule(F.col("x")).alias(kind))
-
-
-def _case_sql(cases, kind: str) -> str:
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
-    return f"SELECT * FROM (VALUES {', '.join(f'({i}, {show(c[1])})' for i, c in enumerate(cases))}) t(id, {kind})"
-
-
 QUERIES = {
     "collect_cost": _collected,
     "join_grades": _verdicts,
     "merge_outcomes": lambda s, d: merge_outcomes([_out(s, d).where("category = 'en'"), _out(s, d).where("category <> 'en'")]).groupBy("origin", "category").agg(F.count(F.lit(1)).alias("n")),
-    "merge_compat": lambda s, d: merge_compat(_out(s, d).groupBy("category").agg(F.min("remote_quality").alias("least"), F.max(F.lit(1)).alias("version")), ["least", "version"]),
+    "merge_compat": lambda s, d: merge_compat(_metas(s, d)),
     "model_allowlist": _models,
     "anti_missing_split": lambda s, d: _out(s, d).join(_out(s, d).where("ord % 9 <> 0").select("task_id"), "task_id", "left_anti").select("task_id"),
     "anti_done_tasks": lambda s, d: _out(s, d).join(view(s, d, "grades").select("task_id"), "task_id", "left_anti").select("task_id", "category"),
     "resume_collect": lambda s, d: files.latest_by(view(s, d, "usage_log").select((F.col("ord") % 500).alias("k"), "ord", "route"), "k", "ord"),
     "split_filter": lambda s, d: _out(s, d).join(table(s, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("task_id")), "task_id").select("task_id", "category"),
     "sink_results": lambda s, d: files.results(_out(s, d), view(s, d, "grades").select("task_id", F.col("grade").cast("string").alias("answer"))).select("task_id", "answer"),
-    "route_intent": lambda s, d: _cases(s, REPLIES, route_intent, "route"),
-    "requested_format": lambda s, d: _cases(s, ASKED, requested_format, "format"),
-    "is_followup": lambda s, d: _cases(s, BACK, is_followup, "followup"),
-    "parse_search_blocks": lambda s, d: _cases(s, FOUND, _shown_blocks, "found"),
-    "bbh_reference": lambda s, d: _cases(s, TARGETS, files.bbh_reference, "reference"),
-    "gsm8k_reference": lambda s, d: _cases(s, WORKED, gsm8k_reference, "reference"),
+    "route_intent": _intents,
+    "requested_format": lambda s, d: _opened(s, d).select("conv_id", "turn", requested_format(F.col("prompt")).alias("format")),
+    "is_followup": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", is_followup(F.col("text")).alias("followup")),
+    "parse_search_blocks": lambda s, d: _searched(s, d).select("page_id", _shown_blocks(F.col("body")).alias("found")),
+    "bbh_reference": lambda s, d: _targets(s, d).select("item_id", files.bbh_reference(F.col("target")).alias("reference")),
+    "gsm8k_reference": lambda s, d: _worked(s, d).select("item_id", gsm8k_reference(F.col("answer")).alias("reference")),
     "mmlu_prompt": _mmlu,
     "receipts": lambda s, d: receipts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload")), ("k", "absent")),
     "scope_filter": _scoped,
     "safe_basename": lambda s, d: table(s, d, "pages").select("page_id", safe_basename(F.col("url")).alias("name")),
     "gen_toy_outcomes": lambda s, d: toy_outcomes(s, 900),
     "ordered_distinct": lambda s, d: view(s, d, "messages").groupBy("conversation_id").agg(F.concat_ws(",", F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda m: m["role"]))).alias("roles")),
-    "profile_stats": lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("value") > 10).alias("successes"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.max("value"), 6).alias("most")),
+    "profile_stats": lambda s, d: profile(table(s, d, "events").select(F.col("event_type").alias("model"), "value")),
     "ext_star_revenue": lambda s, d: _star(s, d),
 }
 
@@ -222,6 +292,18 @@ def _star(s, d) -> DataFrame:
     return rows.join(names, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "year").agg(F.round(F.sum("revenue"), 2).alias("revenue"), F.count(F.lit(1)).alias("lines"))
 
 
+def _format_sql() -> str:
+    """Independent of the columns: plain letters first, each rule a column, formats by a list of tests."""
+    openings = ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS)
+    tests = " ".join(f"WHEN regexp_matches(p, '(^|[^a-z0-9_.])[.]?{e}\\b') OR regexp_matches(p, '\\b(save|export|download|create|generate|build|make|named?|called)\\b[^\\n]{{0,60}}\\b[a-z0-9_-]+[.]{e}\\b') OR regexp_matches(p, '\\b(as|in|to)\\s+[a-z0-9_-]+[.]{e}\\b') THEN '{e}'" for e in ("docx", "html", "csv", "json", "md", "txt"))
+    return f"""
+WITH o AS (SELECT conv_id, turn, regexp_replace(lower(concat([{openings}][(conv_id + turn) % {len(OPENINGS)} + 1], text)), '[^\\x00-\\x7F]', 'x', 'g') AS p FROM conversations),
+r AS (SELECT *, regexp_matches(p, '\\b(write|wrike|make|create|generate|build|export|download|save|convert|give|provide)\\b') AS asks,
+  regexp_matches(p, '\\b(as|in|to)\\s+(a\\s+)?([.]?(docx|html|txt|md|csv|json)|word (document|file))\\b') AS told, regexp_matches(p, '\\b(no|without|don''t|do not)\\s+(a\\s+)?(file|download)s?\\b') AS refused,
+  regexp_matches(p, '^\\s*(what\\b|why\\b|explain\\b|how (do|does|can|to)\\b)') AND NOT regexp_matches(p, '\\b(export|download|save|convert)\\b') AS question, regexp_matches(p, '\\b(what|why|how)\\b.*\\b(docx|html|txt|md|csv|json)\\b') AS about FROM o)
+SELECT conv_id, turn, CASE WHEN refused OR question OR NOT (asks OR told) OR (about AND NOT asks) THEN NULL {tests} WHEN regexp_matches(p, '\\bword (document|file)\\b') THEN 'docx' END AS format FROM r"""
+
+
 _TOY = lambda name, key="id": uniform_sql("'7'", f"'{name}'", f"{key}::VARCHAR")
 ORACLES = {
     "collect_cost": with_views(f"""
@@ -229,22 +311,33 @@ SELECT task_id, round(CASE WHEN ord % 3 = 0 THEN (local_prompt_tokens * {CHEAP_I
   round((remote_prompt_tokens * {STRONG_IN}::DOUBLE + remote_completion_tokens * {STRONG_OUT}::DOUBLE) / 1e6::DOUBLE, 9) AS remote_cost, local_quality >= 0.6::DOUBLE AS local_ok FROM outcomes WHERE ord % 10 <> 4""", "outcomes"),
     "join_grades": with_views("""
 SELECT o.task_id, round(coalesce((e.event_id % 7)::DOUBLE / 7.0::DOUBLE, o.local_quality), 6) AS cheap_quality, round(coalesce((e.event_id % 7)::DOUBLE / 7.0::DOUBLE, o.remote_quality), 6) AS strong_quality
-FROM outcomes o LEFT JOIN (SELECT event_id FROM events WHERE event_id < 400) e ON e.event_id::VARCHAR = o.task_id""", "outcomes"),
+FROM outcomes o LEFT JOIN events e ON e.event_id::VARCHAR = o.task_id""", "outcomes"),
     "merge_outcomes": with_views("SELECT (category <> 'en')::INT AS origin, category, count(*) AS n FROM outcomes GROUP BY ALL", "outcomes"),
-    "merge_compat": with_views("SELECT 'least' AS key, count(DISTINCT least) AS values FROM (SELECT min(remote_quality) AS least FROM outcomes GROUP BY category) HAVING count(DISTINCT least) > 1", "outcomes"),
-    "model_allowlist": "SELECT * FROM (VALUES ('other/MODEL-a', 'org/Model-A'), ('model-b ', 'org/model-b'), ('org/model-c', NULL), ('x', NULL)) t(model, resolved)",
+    "merge_compat": "SELECT * FROM (SELECT 'local_model' AS key, count(DISTINCT n_regionkey % 2) AS values FROM nation UNION ALL SELECT 'tier_mode', count(DISTINCT n_nationkey <> 7) FROM nation UNION ALL SELECT 'system_prompt_sha256', count(DISTINCT n_regionkey) FROM nation) WHERE values > 1",
+    "model_allowlist": """
+SELECT p_partkey, model, CASE lower(trim(string_split(model, '/')[-1])) WHEN 'brand#13' THEN 'maker/BRAND#13' WHEN 'brand#5' THEN 'maker/brand#5 ' WHEN 'brand#21' THEN 'other/Brand#21' END AS resolved
+FROM (SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN 'shop/' WHEN 1 THEN 'a/b/' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE concat(' ', p_brand, ' ') END) AS model FROM part)""",
     "anti_missing_split": with_views("SELECT task_id FROM outcomes WHERE ord % 9 = 0", "outcomes"),
     "anti_done_tasks": with_views("SELECT task_id, category FROM outcomes WHERE task_id NOT IN (SELECT task_id FROM grades)", "outcomes", "grades"),
     "resume_collect": with_views("SELECT k, ord, route FROM (SELECT ord % 500 AS k, ord, route, row_number() OVER (PARTITION BY ord % 500 ORDER BY ord DESC) AS i FROM usage_log) WHERE i = 1", "usage_log"),
     "split_filter": with_views("SELECT task_id, category FROM outcomes WHERE label_quality = 1", "outcomes"),
     "sink_results": with_views("SELECT o.task_id, coalesce(CASE WHEN g.grade = 1 THEN '1.0' WHEN g.grade = 0 THEN '0.0' END, '') AS answer FROM outcomes o LEFT JOIN grades g USING (task_id)", "outcomes", "grades"),
-    "route_intent": _case_sql(REPLIES, "route"),
-    "requested_format": _case_sql(ASKED, "format"),
-    "is_followup": _case_sql(BACK, "followup"),
-    "parse_search_blocks": _case_sql(FOUND, "found"),
-    "bbh_reference": _case_sql(TARGETS, "reference"),
-    "gsm8k_reference": _case_sql(WORKED, "reference"),
-    "mmlu_prompt": "SELECT item_id, sha256(concat('Answer this world history multiple-choice question. Reply with exactly one option letter: A, B, C, or D.', chr(10), chr(10), trim(substr(text, 1, 60)), chr(10), 'Options:', chr(10), '(A) one', chr(10), '(B) two', chr(10), '(C) three', chr(10), '(D) four')) AS digest FROM benchmark",
+    "route_intent": f"""
+WITH t AS (SELECT conv_id, conv_id % 6 AS k, concat(CASE WHEN conv_id % 5 = 0 THEN 'Calculate 12 * 9 and explain why. ' ELSE '' END, text) AS prompt FROM conversations WHERE turn = 0),
+r AS (SELECT conv_id, CASE WHEN k < 4 THEN CASE WHEN conv_id % 4 < 2 THEN 'local' ELSE 'strong' END END AS own, CASE WHEN round(round({LENGTH_SQL}, 3) * 0.4::DOUBLE + round({COMPLEX_SQL}, 3) * 0.6::DOUBLE, 3) >= 0.5 THEN 'local' ELSE 'strong' END AS other FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, length(text) AS n FROM conversations WHERE role IN ('user', 'assistant')),
+w AS (SELECT conv_id, 2000 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room, n FROM m WHERE k <= 3),
+c AS (SELECT conv_id, count(*)::INT AS turns, sum(least(n, room))::INT AS chars FROM w WHERE room > 0 GROUP BY conv_id)
+SELECT conv_id, coalesce(own, other) AS route, CASE WHEN own IS NULL THEN 'heuristic-fallback' ELSE 'reply' END AS kind, turns, chars FROM r LEFT JOIN c USING (conv_id)""",
+    "requested_format": _format_sql(),
+    "is_followup": "SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(lower(text), '[^\\pL\\pN\\pM_]+'), string_split('he she they him her them it its his hers their that this those these my mine me i we our us you your again earlier before previous last same above also too', ' '))) > 0 AS followup FROM conversations",
+    "parse_search_blocks": """
+WITH p AS (SELECT page_id, url, regexp_replace(substr(regexp_replace(html, '<[^>]*>', ' ', 'gs'), 1, 400), '\\s+', ' ', 'g') AS plain FROM pages)
+SELECT page_id, concat(CASE WHEN length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') THEN concat('Page ', page_id, '|', url, '|', ltrim(plain)) ELSE '' END,
+  CASE WHEN page_id % 3 > 0 THEN concat(CASE WHEN regexp_matches(url, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') THEN ';' ELSE '' END, 'Three|http://d.e/', page_id, '|end of it') ELSE '' END) AS found FROM p""",
+    "bbh_reference": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN substr('ABCDEF', item_id % 6 + 1, 1) WHEN 1 THEN '(AB)' ELSE trim(text) END AS reference FROM benchmark",
+    "gsm8k_reference": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN (item_id * 137)::VARCHAR WHEN 1 THEN concat((item_id * 137)::VARCHAR, '.5') END AS reference FROM benchmark",
+    "mmlu_prompt": "SELECT item_id, sha256(concat('Answer this world history multiple-choice question. Reply with exactly one option letter: A, B, C, or D.', chr(10), chr(10), trim(text), chr(10), 'Options:', chr(10), '(A) one', chr(10), '(B) two', chr(10), '(C) three', chr(10), '(D) four')) AS digest FROM benchmark",
     "receipts": """SELECT event_id AS id, concat('{"k":"', json_extract_string(props, '$.k'), '"}') AS receipt FROM events""",
     "scope_filter": "SELECT event_id FROM events WHERE event_id % 4 <> 2",
     "safe_basename": "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), 1, 70) AS n FROM pages)",

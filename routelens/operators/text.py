@@ -37,20 +37,31 @@ def _docs(s, d) -> DataFrame:
 
 
 def _grades(s, d) -> DataFrame:
-    rows = s.createDataFrame([(i, *r) for i, r in enumerate(GRADED)], "id int, kind string, answer string, reference string")
+    """Answers made of the benchmark's texts, one kind after another, right and wrong."""
+    k, text = F.col("item_id"), F.col("text")
+    word = F.element_at(F.split(text, " "), 2)
+    letter = F.substring(F.lit("ABCD"), (k % 4 + 1).cast("int"), F.lit(1))
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "contains", "choice", "numeric"))), (F.floor(k / 3) % 4 + 1).cast("int"))
+    right = k % 3 > 0
+    answer = (
+        F.when(F.col("kind") == "exact", F.concat(F.lit("  "), text, F.lit("!! ")))
+        .when(F.col("kind") == "contains", F.concat(F.lit("I think: "), text))
+        .when(F.col("kind") == "choice", F.concat(F.lit("The answer is ("), letter, F.lit(").")))
+        .otherwise(F.concat(F.lit("so 3 + 4 = "), F.format_string("%,d", k * 1009), F.lit(".0")))
+    )
+    reference = (
+        F.when(F.col("kind") == "exact", F.when(right, text).otherwise(F.concat(text, F.lit(" x"))))
+        .when(F.col("kind") == "contains", F.when(right, word).otherwise("no such words"))
+        .when(F.col("kind") == "choice", F.when(right, letter).otherwise("E"))
+        .otherwise(F.when(right, (k * 1009).cast("string")).otherwise("none"))
+    )
+    rows = table(s, d, "benchmark").withColumn("kind", kind).select("item_id", "kind", answer.alias("answer"), reference.alias("reference"))
     graded = F.lit(None).cast("double")
-    for kind in ("exact", "contains", "choice", "numeric"):
-        graded = F.when(F.col("kind") == kind, T.grade(kind, F.col("answer"), F.col("reference"))).otherwise(graded)
-    return rows.select("id", "kind", graded.alias("grade"))
+    for each in ("exact", "contains", "choice", "numeric"):
+        graded = F.when(F.col("kind") == each, T.grade(each, F.col("answer"), F.col("reference"))).otherwise(graded)
+    return rows.select("item_id", "kind", graded.alias("grade"))
 
 
-#: Small cases of the graders.
-GRADED = (
-    ("exact", " The  Answer! ", "the answer"), ("exact", "no", "yes"), ("contains", "I think it is Paris, France.", "paris"), ("contains", "London", "paris"),
-    ("choice", "The answer is (B).", "B"), ("choice", "Because", "B"), ("numeric", "so 3 + 4 = 1,007.0", "1007"), ("numeric", "about 12", "13"), ("numeric", "none", "13"),
-)
-_GRADES = (1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0)
-
 QUERIES = {
     "normalize_prompt": lambda s, d: _docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("norm")),
     "default_group_id": lambda s, d: _docs(s, d).select("doc_id", T.default_group(F.col("text")).alias("group_id")),
@@ -76,21 +87,37 @@ QUERIES = {
 }
 
 
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and item_id where a document's normal form (answer) holds an item's (reference).
+
+    An item of seven words and more is met by its first inner run of five whole words. A shorter one's words may be
+    parts of longer ones at either end: its inner words are the key, all runs of that many words its partners; one of
+    two words or fewer has none, and is looked for in all documents, a block of rows against the few such items.
+    """
+    words = F.size(F.split("reference", " "))
+    sized = items.withColumn("w", F.least(F.lit(5), words - 2))
+    keyed = sized.where("w > 0").withColumn("k", F.xxhash64("w", F.concat_ws(" ", F.expr("slice(split(reference, ' '), 2, w)"))))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.concat_ws(" ", F.slice(w, i, n))))
+    lengths = [r.w for r in keyed.select("w").distinct().collect()]  # five at most
+    met = None
+    if lengths:
+        every = T.let(F.split("answer", " "), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in sorted(lengths)])))
+        met = docs.select("doc_id", "answer", F.explode(every).alias("k")).join(keyed, "k").where(F.contains("answer", "reference")).select("doc_id", "item_id").distinct()
+    short = docs.join(sized.where("w <= 0").select("item_id", "reference"), F.contains("answer", "reference")).select("doc_id", "item_id")
+    return short if met is None else met.unionByName(short)
+
+
 def _contains(s, d) -> DataFrame:
-    """Documents that hold a benchmark passage: rare word runs first, the whole passage after."""
-    item = table(s, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("reference"))
-    docs = _docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("answer"))
-    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, 5)))))
-    # A passage's words stand in a document in order; its first inner run of five whole words is the join key.
-    first = F.concat_ws(" ", F.slice(F.split("reference", " "), 2, 5))
-    probes = item.withColumn("k", F.xxhash64(first))
-    return docs.select("doc_id", "answer", F.explode(T.let(F.split("answer", " "), runs)).alias("k")).join(probes, "k").where(F.contains("answer", "reference")).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark passage, or one of its first four words (each item's, told by 100000 and more)."""
+    text = table(s, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("reference"))
+    short = text.select((F.col("item_id") + 100000).alias("item_id"), F.array_join(F.slice(F.split("reference", " "), 2, 4), " ").alias("reference"))
+    return contained(_docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("answer")), text.unionByName(short))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM_\\s\\x{00A0}]', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))"
 _WORDS = "len(list_filter(regexp_split_to_array(prompt, '[\\s\\x{00A0}]+'), lambda x: x <> ''))"
 _P = f"(SELECT text AS prompt FROM documents UNION SELECT * FROM (VALUES {_VALUES}))"
-_LENGTH = f"CASE WHEN {_WORDS} <= 15 THEN 1.0::DOUBLE WHEN {_WORDS} >= 120 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - ({_WORDS} - 15)::DOUBLE / 105.0::DOUBLE END"
+LENGTH_SQL = f"CASE WHEN {_WORDS} <= 15 THEN 1.0::DOUBLE WHEN {_WORDS} >= 120 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - ({_WORDS} - 15)::DOUBLE / 105.0::DOUBLE END"
 
 
 def _signal_sql(name: str) -> str:
@@ -101,16 +128,17 @@ def _signal_sql(name: str) -> str:
     return f"regexp_matches(regexp_replace(prompt, '[^\\x00-\\x7F]', 'x', 'g'), '{body}', '{flags}')"
 
 
-_COMPLEX = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (0.0::DOUBLE" + "".join(f" + CASE WHEN {_signal_sql(n)} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for n, (w, _) in T.SIGNALS.items()) + ")))"
+COMPLEX_SQL = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (0.0::DOUBLE" + "".join(f" + CASE WHEN {_signal_sql(n)} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for n, (w, _) in T.SIGNALS.items()) + ")))"
 _HTML = "html"
 for _pattern, _to, _flags in (
-    ("<script\\b[^>]*>.*?</script\\s*>", "", "gis"), ("<style\\b[^>]*>.*?</style\\s*>", "", "gis"), ("<noscript\\b[^>]*>.*?</noscript\\s*>", "", "gis"), ("<!--.*?-->", "", "gs"),
-    ("<(p|div|br|li|h1|h2)\\b[^>]*>", "\n", "gi"), ("<[^>]*>", "", "g"),
+    ("<!--.*?-->", "", "gs"), ("<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>", "", "gis"),
+    ("</(p|div|br|li|h1|h2)\\s*>|<(p|div|br|li|h1|h2)\\b[^>]*/>", "\n", "gi"), ("<[/!?a-zA-Z][^>]*>", "", "g"),
 ):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_to}', '{_flags}')"
-for _code, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+# The references that occur in the pages; the operator knows all.
+for _code, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", "\u00a0"), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_code}', '{_mark}')"
-_HTML = f"trim(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', '\n', 'g'))"
+_HTML = f"substr(regexp_replace({_HTML}, '[ \\t]+', ' ', 'g'), 1, 24000)"
 _ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _PLAIN = "regexp_replace(prompt, '[^\\x00-\\x7F]', 'x', 'g')"
 _COUNT = lambda pattern, of="prompt": f"len(regexp_extract_all({of}, '{pattern}'))::DOUBLE"
@@ -123,7 +151,7 @@ SELECT sha256(prompt) AS key, round(ln(1 + length(prompt)), 6) AS n_chars_log, r
   round(coalesce({_COUNT("[0-9]")} / nullif(length(prompt), 0), 0.0), 6) AS digit_ratio, round(coalesce({_COUNT("[\\p{{Lu}}]".replace("{{", "{").replace("}}", "}"))} / nullif(length(prompt), 0), 0.0), 6) AS upper_ratio,
   {_COUNT("[0-9]\\s*[-+*/^%=]\\s*[0-9]")} AS n_math_ops, CASE WHEN contains(prompt, '```') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_code_fence,
   CASE WHEN regexp_matches({_PLAIN}, '^\\s*(what|who|when|where|which|why|how|is|are|do|does|can|did)\\b', 'i') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS starts_with_question_word,
-  {_COUNT("\\b[A-Z][A-Z]+\\b", _PLAIN)} AS n_allcaps_words, round({_LENGTH}, 6) AS heuristic_length_score, round({_COMPLEX}, 6) AS heuristic_complexity_score, {_SIGNAL_SQL}
+  {_COUNT("\\b[A-Z][A-Z]+\\b", _PLAIN)} AS n_allcaps_words, round({LENGTH_SQL}, 6) AS heuristic_length_score, round({COMPLEX_SQL}, 6) AS heuristic_complexity_score, {_SIGNAL_SQL}
 FROM {_P}"""
 _HEDGE = "|".join(h.replace("'", "''") for h in T.HEDGES)
 _CHECKED = f"""
@@ -140,10 +168,10 @@ ORACLES = {
     "extract_urls": "SELECT page_id, concat_ws(' ', regexp_replace(url, '[.,;:!?)\\]}''\"]+$', ''), 'http://a.b/c', 'https://x.y/') AS urls FROM pages",
     "normalize_prompt": f"SELECT doc_id, {_NORM} AS norm FROM documents",
     "default_group_id": f"SELECT doc_id, concat('g-', substr(sha256({_NORM}), 1, 16)) AS group_id FROM documents",
-    "length_score": f"SELECT sha256(prompt) AS key, round({_LENGTH}, 6) AS score FROM {_P}",
+    "length_score": f"SELECT sha256(prompt) AS key, round({LENGTH_SQL}, 6) AS score FROM {_P}",
     "signals": f"SELECT sha256(prompt) AS key, {', '.join(f'{_signal_sql(n)} AS {n}' for n in T.SIGNALS)} FROM {_P}",
-    "complexity_score": f"SELECT sha256(prompt) AS key, round({_COMPLEX}, 6) AS score FROM {_P}",
-    "heuristic_score": f"SELECT sha256(prompt) AS key, round((round({_LENGTH}, 3) * 0.4::DOUBLE + round({_COMPLEX}, 3) * 0.6::DOUBLE) / 1.0::DOUBLE, 3) AS score FROM {_P}",
+    "complexity_score": f"SELECT sha256(prompt) AS key, round({COMPLEX_SQL}, 6) AS score FROM {_P}",
+    "heuristic_score": f"SELECT sha256(prompt) AS key, round((round({LENGTH_SQL}, 3) * 0.4::DOUBLE + round({COMPLEX_SQL}, 3) * 0.6::DOUBLE) / 1.0::DOUBLE, 3) AS score FROM {_P}",
     "trigram_dominance": """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x{00A0}]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(chr(31), w[i], w[i + 1], w[i + 2]))) AS x FROM w WHERE len(w) >= 3)
@@ -155,8 +183,8 @@ SELECT d.doc_id, round(m.c::DOUBLE / m.n, 6) AS share FROM documents d LEFT JOIN
     "escape_html": f"SELECT page_id, sha256({_ESCAPED}) AS digest FROM pages",
     "chunk_read": "SELECT doc_id, substr(text, 101, 500) AS text, length(text)::INT AS total, CASE WHEN length(text) > 600 THEN 600 END AS next_offset FROM documents",
     "offload": "SELECT doc_id, CASE WHEN length(text) > 5000 THEN sha256(text) END AS key, CASE WHEN length(text) > 5000 THEN substr(text, 1, 1000) ELSE text END AS preview FROM documents",
-    "grade": f"SELECT id, kind, grade FROM (VALUES {', '.join(f'({i}, {chr(39)}{g[0]}{chr(39)}, {v}::DOUBLE)' for i, (g, v) in enumerate(zip(GRADED, _GRADES, strict=True)))}) t(id, kind, grade)",
-    "grade_contains": f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {_NORM} AS a FROM documents) d JOIN (SELECT item_id, {_NORM} AS r FROM benchmark) b ON contains(d.a, b.r)",
+    "grade": "SELECT item_id, ['exact', 'contains', 'choice', 'numeric'][item_id // 3 % 4 + 1] AS kind, CASE WHEN item_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade FROM benchmark",
+    "grade_contains": f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {_NORM} AS a FROM documents) d JOIN (SELECT item_id, {_NORM} AS r FROM benchmark UNION ALL SELECT item_id + 100000, array_to_string(string_split({_NORM}, ' ')[2:5], ' ') FROM benchmark) b ON contains(d.a, b.r)",
     "manifest_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
     "cost_ceiling": "SELECT sum(octet_length(encode(text)) + 71)::BIGINT AS bytes, count(*) AS tasks FROM documents",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.views import table, view, with_views
+from .running import quantiles
 
 NOW = "2024-01-20 12:00:00"
 #: Most requests, tokens, dollars, seconds and validation errors of a run.
@@ -79,6 +80,13 @@ def run_states(events: DataFrame) -> DataFrame:
     return last.select("run_id", F.when(F.col("state").isin("queued", "running"), "interrupted").otherwise(F.col("state")).alias("state"))
 
 
+def latencies(rows: DataFrame) -> DataFrame:
+    """Median, 95th percentile by nearest rank, and number of each model's values."""
+    found = quantiles(rows, "model", "value", median=("linear", 0.5), p95=("nearest", 0.95))
+    sizes = rows.groupBy("model").agg(F.count("value").alias("n"))
+    return found.join(sizes, "model").select("model", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "n")
+
+
 def _jobs(s, d):
     return view(s, d, "jobs")
 
@@ -120,11 +128,11 @@ QUERIES = {
     "revisions": lambda s, d: revisions(_changes(s, d)),
     "run_state_machine": lambda s, d: run_states(_runs(s, d)),
     "orphan_jobs": lambda s, d: _jobs(s, d).where("status = 'failed'").select("job_id").distinct().join(_jobs(s, d).where("repeat_minutes > 100").select("job_id").distinct(), "job_id", "left_anti"),
-    "occurrence_status": lambda s, d: _jobs(s, d).select("ord", (F.col("ord") % 300).alias("run_id")).join(run_states(_runs(s, d)).where("run_id < 200"), "run_id", "left").select("ord", F.coalesce("state", F.lit("interrupted")).alias("status")),
+    "occurrence_status": lambda s, d: _jobs(s, d).select("ord", (F.col("ord") % 300).alias("run_id")).join(run_states(_runs(s, d)).where("state <> 'failed'"), "run_id", "left").select("ord", F.coalesce("state", F.lit("interrupted")).alias("status")),
     "item_search": lambda s, d: table(s, d, "documents").where(F.col("text").ilike("%licensed%")).select("doc_id", "lang"),
     "items_list": lambda s, d: table(s, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(500).select("doc_id", "n_chars"),
     "json_decode": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k")),
-    "median_p95": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.count(F.lit(1)).alias("n")),
+    "median_p95": lambda s, d: latencies(table(s, d, "events").select(F.col("event_type").alias("model"), "value")),
 }
 ORACLES = {
     "next_due": with_views(f"SELECT ord, CASE WHEN repeat_minutes > 0 THEN make_timestamp(epoch_us(due) + greatest(1, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(due))::DOUBLE / (repeat_minutes * 60000000::BIGINT))::BIGINT + 1) * repeat_minutes * 60000000) END AS next FROM jobs", "jobs"),
@@ -142,9 +150,9 @@ WITH u AS (SELECT run_id, sum(attempts) AS requests, sum(tokens) AS tokens, roun
     "revisions": "SELECT user_id % 40 AS item, event_id AS ord, (row_number() OVER w)::INT AS version, lag(json_extract_string(props, '$.k')) OVER w AS replaced, lead(event_id) OVER w IS NULL AS current FROM events WINDOW w AS (PARTITION BY user_id % 40 ORDER BY event_id)",
     "run_state_machine": "SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1)",
     "orphan_jobs": with_views("SELECT DISTINCT job_id FROM jobs WHERE status = 'failed' AND job_id NOT IN (SELECT job_id FROM jobs WHERE repeat_minutes > 100)", "jobs"),
-    "occurrence_status": "SELECT event_id AS ord, coalesce(s.state, 'interrupted') AS status FROM events e LEFT JOIN (SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1) WHERE run_id < 200) s ON s.run_id = e.event_id % 300",
+    "occurrence_status": "SELECT event_id AS ord, coalesce(s.state, 'interrupted') AS status FROM events e LEFT JOIN (SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1) WHERE state <> 'failed') s ON s.run_id = e.event_id % 300",
     "item_search": "SELECT doc_id, lang FROM documents WHERE text ILIKE '%licensed%'",
     "items_list": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500",
     "json_decode": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
-    "median_p95": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS n FROM events GROUP BY event_type",
+    "median_p95": "SELECT event_type AS model, round(quantile_cont(value, 0.5), 6) AS median, round(list_sort(list(value))[round_even(0.95 * (count(*) - 1), 0)::INT + 1], 6) AS p95, count(*) AS n FROM events GROUP BY event_type",
 }

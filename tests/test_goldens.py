@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from routelens.functions import text as T
-from routelens.operators import conversations, metrics, simulate, splits, sweep, text, usage, workspace
+from routelens.operators import conversations, datasets, metrics, running, simulate, splits, sweep, text, usage, workspace
+from routelens.sources import files
 
 
 def one(spark, **columns):
@@ -42,12 +43,81 @@ def test_post_check(spark):
 
 
 def test_graders(spark):
-    assert [g.grade for g in text._grades(spark, "").orderBy("id").collect()] == list(text._GRADES)
+    cases = (
+        ("exact", " The  Answer! ", "the answer", 1.0), ("exact", "no", "yes", 0.0), ("contains", "I think it is Paris, France.", "paris", 1.0), ("contains", "London", "paris", 0.0),
+        ("choice", "The answer is (B).", "B", 1.0), ("choice", "Because", "B", 0.0), ("numeric", "so 3 + 4 = 1,007.0", "1007", 1.0), ("numeric", "about 12", "13", 0.0), ("numeric", "none", "13", 0.0),
+    )
+    for kind, answer, reference, want in cases:
+        assert one(spark, g=T.grade(kind, F.lit(answer), F.lit(reference))).g == want, (kind, answer)
+
+
+@pytest.mark.parametrize(
+    ("rule", "cases"),
+    [
+        (datasets.route_intent, (('{"route": "local"}', "local"), ("{'route': 'strong'}", "strong"), ('```json\n{"route": "local"}\n```', "local"), ('{"route": "other"}', None), ("local", None))),
+        (datasets.requested_format, (("Write a report as a docx", "docx"), ("what is csv?", None), ("Export the table to csv please", "csv"), ("Create a word document", "docx"), ("make it in json", "json"), ("write a poem without a file", None), ("hello", None), ("tell me how csv works in json", None), ("save it as notes.md", "md"), ("read my.csv", None))),
+        (datasets.is_followup, (("What about it?", True), ("Capital of France", False), ("Explain the previous answer", True), ("Theory of sets", False))),
+        (datasets._shown_blocks, (("Title: One\nURL: https://a.b/c\nHighlights: some text\nmore\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e\nText: end", "One|https://a.b/c|some text more;Three|http://d.e|end"), ("nothing here", ""))),
+        (files.bbh_reference, (("(C)", "C"), (" yes ", "yes"), ("(AB)", "(AB)"))),
+        (datasets.gsm8k_reference, (("so it is\n#### 1,200", "1200"), ("#### many", None), ("none", None))),
+    ],
+)
+def test_rules_of_text(spark, rule, cases):
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, x string")
+    assert [r.y for r in rows.orderBy("i").select(rule(F.col("x")).alias("y")).collect()] == [c[1] for c in cases]
+
+
+def test_models_and_unmatched_joins(spark):
+    models = spark.createDataFrame([("other/MODEL-a",), ("model-b ",), ("org/model-c",)], "model string")
+    got = dict(map(tuple, datasets.model_allowlist(models, ("org/Model-A", "org/model-b")).collect()))
+    assert got == {"other/MODEL-a": "org/Model-A", "model-b ": "org/model-b", "org/model-c": None}
+    rows = spark.createDataFrame([("a", 0.1, 0.2), ("b", 0.3, 0.4)], "task_id string, local_quality double, remote_quality double")
+    verdicts = spark.createDataFrame([("b", None, 1.0, 0.0, None)], "task_id string, cheap double, local double, strong double, remote double")
+    assert sorted(map(tuple, datasets.join_grades(rows, verdicts).collect())) == [("a", 0.1, 0.2), ("b", 1.0, 0.0)]
+
+
+def test_recent_turns_and_fallback(spark):
+    rows = [(1, 0, "user", "a" * 1500), (1, 1, "assistant", "b" * 900), (1, 2, "tool", "z"), (1, 3, "user", "c" * 700), (1, 4, "assistant", "d" * 600), (2, 0, "user", "x")]
+    got = {r.conversation_id: [(m.role, m.content) for m in r.window] for r in datasets.recent_turns(spark.createDataFrame(rows, "conversation_id long, turn long, role string, content string")).collect()}
+    assert got == {1: [("assistant", "b" * 700), ("user", "c" * 700), ("assistant", "d" * 600)], 2: [("user", "x")]}
+    r = datasets.routed(spark.createDataFrame([("Calculate 2 * 3, prove it and write an algorithm", "no"), ("hi", "no"), ("hi", "{'route': 'strong'}")], "prompt string, reply string")).collect()
+    assert [(x.route, x.kind) for x in r] == [("strong", "heuristic-fallback"), ("local", "heuristic-fallback"), ("strong", "reply")]
+
+
+def test_html_lines(spark):
+    page = "<p>one</p>two <b>three</b><br/>four<br>five<script>x<p></p></script><!-- <p>no</p> --> caf&eacute;&#8217;s &lt;b&gt;<style>never closed"
+    assert one(spark, t=T.html_lines(F.lit(page))).t == "one\ntwo three\nfourfive café’s <b>"
+    assert len(one(spark, t=T.html_lines(F.lit("<p>" + "x" * 30000))).t) == 24000
+
+
+def test_contained_passages_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta end"), (2, "xalpha beta gammay"), (3, "gamma"), (4, "one two three four five six seven eight")], "doc_id long, answer string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["beta gamma delta", "alpha beta gamma", "gamma", "eta gam", "two three four five six seven", "delta end x", "wo three four fiv"])], "item_id long, reference string")
+    got = {tuple(r) for r in text.contained(docs, items).collect()}
+    assert got == {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.reference in d.answer}
+
+
+def test_running_sums_and_quantiles(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randrange(40)), rng.randrange(9)) for _ in range(500)] + [("c", 1.5, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, n long").repartition(6).withColumn("i", F.monotonically_increasing_id())
+    got = running.running(df, [F.col("x"), F.col("i")], s=F.col("n"), k=F.lit(1)).collect()
+    so_far = 0
+    for place, r in enumerate(sorted(got, key=lambda r: (r.x, r.i)), 1):
+        so_far += r.n
+        assert (r.s, r.k) == (so_far, place)
+    found = {r.g: r for r in running.quantiles(df, "g", "x", median=("linear", 0.5), p95=("nearest", 0.95)).collect()}
+    for g in "abc":
+        values = sorted(r[1] for r in rows if r[0] == g)
+        assert found[g].median == statistics.median(values) and found[g].p95 == values[round(0.95 * (len(values) - 1))]
 
 
 def test_web_text(spark):
     r = one(spark, u=T.urls(F.lit("see https://a.b/c), https://a.b/c. http://x")), ok=T.public_link(F.lit("https://a.b/c")), bad=T.public_link(F.lit("https://u@a.b/c")), ftp=T.public_link(F.lit("ftp://a")), code=T.fenced_blocks(F.lit("x\n```py\n1\n2\n```\ny")), c=T.chunk(F.lit("abcdef"), 2, 3), n=T.token_estimate(F.lit("")))
-    assert r.u == ["https://a.b/c", "http://x"] and r.ok and not r.bad and not r.ftp and r.code == ["1\n2\n"]
+    assert r.u == ["https://a.b/c", "http://x"] and r.ok and not r.bad and not r.ftp and [tuple(c) for c in r.code] == [("py", "py", "1\n2\n")]
     assert (r.c.text, r.c.total, r.c.next_offset) == ("cde", 6, 5) and r.n == 1
 
 
