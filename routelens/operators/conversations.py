@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.views import table, view, with_views
+from .running import settled
 
 #: Characters of context, of memory, and memories of it.
 CONTEXT, MEMORY, TOP = 2000, 5000, 6
@@ -51,28 +57,100 @@ def context_budget(messages: DataFrame, chars: int = CONTEXT) -> DataFrame:
 
 
 def memory_budget(messages: DataFrame, chars: int = MEMORY) -> DataFrame:
-    """Messages of each conversation, newest first, taken if they still fit; others are passed over."""
-    items = messages.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("turn")).alias("k"), "id", F.length("content").alias("size")))).alias("m"))
-    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(a, x):
-        fits = a["used"] + x["size"] <= chars
-        return F.struct((a["used"] + F.when(fits, x["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(a["ids"], F.array(x["id"]))).otherwise(a["ids"]).alias("ids"))
-
-    return items.select("conversation_id", F.aggregate("m", zero, step).alias("r")).select("conversation_id", "r.used", F.size("r.ids").alias("n"), F.concat_ws(",", F.transform("r.ids", lambda i: i.cast("string"))).alias("ids"))
+    """Messages of each conversation, newest first, taken if they still fit; others are passed over.
 
+    Sizes are streamed in order through the task that has their conversation; only what is taken comes out.
+    """
 
-def relevant_topk(items: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """For each query (qid, text), the k items (id, text, updated) that share most of its words of three letters up.
-
-    Words are joined, not pairs of texts; counts are summed before they are ranked.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, 0
+        for batch in batches:
+            good = []
+            for own, size in zip(batch["conversation_id"].to_pylist(), batch["size"].to_pylist(), strict=True):
+                key, used = own, used if own == key else 0
+                good.append(used + size <= chars)
+                used += size if good[-1] else 0
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    sizes = messages.select("conversation_id", "turn", "id", F.length("content").alias("size"))
+    ordered = sizes.repartition("conversation_id").sortWithinPartitions("conversation_id", F.desc("turn"), "id")
+    taken = ordered.mapInArrow(run, "conversation_id long, turn long, id long, size int").groupBy("conversation_id").agg(F.sum("size").cast("int").alias("used"), F.sort_array(F.collect_list(F.struct((-F.col("turn")).alias("k"), "id"))).alias("m"))
+    ids = F.concat_ws(",", F.transform("m", lambda x: x["id"].cast("string")))
+    everyone = messages.select("conversation_id").distinct().join(taken, "conversation_id", "left")
+    return everyone.select("conversation_id", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce(F.size("m"), F.lit(0)).alias("n"), F.coalesce(F.when(F.col("m").isNotNull(), ids), F.lit("")).alias("ids"))
+
+
+def rendered(messages: DataFrame) -> DataFrame:
+    """Digest of each conversation as text, a line for each message, read in order and never put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            out = []
+            for own, role, content in zip(*(batch[c].to_pylist() for c in ("conversation_id", "role", "content")), strict=True):
+                if digest is None or own != key:
+                    if digest is not None:
+                        out.append((key, digest.hexdigest()))
+                    key, digest = own, hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(f"{role}: {content}".encode())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["conversation_id", "digest"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([digest.hexdigest()])], ["conversation_id", "digest"])
+
+    ordered = messages.select("conversation_id", "turn", "role", "content").repartition("conversation_id").sortWithinPartitions("conversation_id", "turn")
+    return ordered.mapInArrow(run, "conversation_id long, digest string")
+
+
+#: Words of items that are looked up at a time: an index of so many is sent to all executors.
+POSTINGS = 2_000_000
+
+
+def relevant_topk(items: DataFrame, queries: DataFrame, k: int = TOP, postings: int = POSTINGS) -> DataFrame:
+    """For each query (qid, text), the k items (id, text, updated, perhaps pinned) that share most of its words of three letters up.
+
+    A pinned item scores two more. Items are taken in blocks of about ``postings`` words, each an index that is sent out
+    and read by all queries in one pass without a shuffle; a block's best k of a query are enough for the whole.
     """
     bag = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w{3,})"), F.lit(1)), lambda w: w != ""))
-    q = queries.select("qid", F.explode(bag("text")).alias("w"))
-    i = items.select("id", "updated", F.explode(bag("text")).alias("w"))
-    score = q.join(i, "w").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"), F.first("updated").alias("updated"))
-    best = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("updated"), "id")
-    return score.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("qid", "id", "score", "place")
+    pinned = F.col("pinned").cast("int") * 2 if "pinned" in items.columns else F.lit(0)
+    words = settled(items.select("id", F.col("updated").cast("long").alias("updated"), pinned.alias("more"), bag("text").alias("w")))
+    blocks = max(1, -(-(words.agg(F.sum(F.size("w"))).first()[0] or 0) // postings))
+    asked, out = queries.select("qid", bag("text").alias("w")), None
+    if blocks > 1:
+        asked = settled(asked)
+    for block in range(blocks):
+        own = words.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
+        best = asked.mapInArrow(_best_of(own, k), "qid long, id long, score long, updated long")
+        out = best if out is None else out.unionByName(best)
+    order = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("updated"), "id")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("qid", "id", "score", "place")
+
+
+def _best_of(items: list, k: int):
+    """A pass over queries that finds the best k of these items for each."""
+    index: dict[str, list[int]] = {}
+    for i, item in enumerate(items):
+        for w in item.w or ():
+            index.setdefault(w, []).append(i)
+    where = {w: np.array(at, np.int32) for w, at in index.items()}
+    ids, updated, more = (np.array([r[c] for r in items], np.int64) for c in ("id", "updated", "more"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
+            for qid, words in zip(batch["qid"].to_pylist(), batch["w"].to_pylist(), strict=True):
+                hits = [where[w] for w in words or () if w in where]
+                score = (np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), np.int64)) + more
+                found = np.flatnonzero(score > 0)
+                best = found[np.lexsort((ids[found], -updated[found], -score[found]))[:k]]
+                parts.append((np.full(len(best), qid, np.int64), ids[best], score[best].astype(np.int64), updated[best]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["qid", "id", "score", "updated"])
+
+    return run
 
 
 def echo_guard(messages: DataFrame) -> DataFrame:
@@ -110,7 +188,7 @@ QUERIES = {
     "relevant_topk": _relevant,
     "echo_guard": lambda s, d: echo_guard(_m(s, d)),
     "compaction": lambda s, d: compaction(_m(s, d)),
-    "render_prompt": lambda s, d: _m(s, d).groupBy("conversation_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n"), 256).alias("digest")),
+    "render_prompt": lambda s, d: rendered(_m(s, d)),
 }
 
 _TURNS = "SELECT conversation_id, user_id, id AS assistant_id, length(content) + length(user_content) AS chars FROM (SELECT *, lag(role) OVER w AS before, lag(id) OVER w AS user_id, lag(content) OVER w AS user_content FROM messages WINDOW w AS (PARTITION BY conversation_id ORDER BY turn)) WHERE role = 'assistant' AND before = 'user'"

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,8 +10,11 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..functions.hashrng import uniform, uniform_sql
 from ..sources.views import table, view, with_views
+from .running import running, settled
 
 QUALITY, NEAR, SEED = 0.6, 0.85, 7
+#: Groups that one fold of the split assigns, on the mean.
+FOLD = 10_000
 #: Shares of train, validation and test.
 RATIOS = (("train", 0.7), ("val", 0.15), ("test", 0.15))
 
@@ -37,46 +39,71 @@ def validate(rows: DataFrame, threshold: float = QUALITY) -> DataFrame:
 
 def exact_dup_conflicts(rows: DataFrame) -> DataFrame:
     """(first, later) tasks of one normal form in different groups; first is the earliest by order."""
-    keyed = rows.select("task_id", "group_id", "ord", F.sha2(T.normalize(F.col("prompt")), 256).alias("norm"))
+    keyed = settled(rows.select("task_id", "group_id", "ord", F.sha2(T.normalize(F.col("prompt")), 256).alias("norm")))
     first = keyed.groupBy("norm").agg(F.min(F.struct("ord", F.col("task_id").alias("first"), F.col("group_id").alias("g"))).alias("f")).select("norm", "f.first", "f.g")
     return keyed.join(first, "norm").where("group_id <> g").select("first", F.col("task_id").alias("later"))
 
 
-def near_dup_pairs(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """Cross-group pairs (a before b) whose sets of 5-character shingles are alike by Jaccard.
+def near_dup_classes(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Members (task_id, group_id, ord, h) of each distinct set of 5-character shingles, and pairs (x, y, score) of alike ones.
 
-    Alike sets share one of the rarest shingles of either: only those are joined, under
-    the bound on the sizes, and the candidates are compared in full.
+    Equal sets are one row before anything is joined, so copies are never expanded. Alike sets share one of the rarest
+    shingles of either: only those are joined, under the bound on the sizes, and the candidates are compared in full.
     """
-    sets = rows.select("task_id", "group_id", "ord", F.transform(T.shingles(F.col("prompt")), lambda x: F.xxhash64(x)).alias("s")).withColumn("n", F.size("s"))
-    flat = sets.select("task_id", "group_id", "ord", "n", F.explode("s").alias("x"))
+    shingled = F.array_sort(F.transform(T.shingles(F.col("prompt")), lambda x: F.xxhash64(x)))
+    members = settled(rows.select("task_id", "group_id", "ord", shingled.alias("s")).withColumn("h", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
+    sets = members.groupBy("h").agg(F.first("s").alias("s")).withColumn("n", F.size("s"))
+    flat = sets.select("h", "n", F.explode("s").alias("x"))
     seen = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    rare = W.partitionBy("task_id").orderBy("df", "x")
+    rare = W.partitionBy("h").orderBy("df", "x")
     prefix = flat.join(seen, "x").withColumn("k", F.row_number().over(rare)).where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
-    right = prefix.select("x", F.col("task_id").alias("b"), F.col("group_id").alias("gb"), F.col("ord").alias("ob"), F.col("n").alias("nb"))
-    able = (F.col("ord") < F.col("ob")) & (F.col("group_id") != F.col("gb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * threshold)
-    pairs = prefix.join(right, "x").where(able).select(F.col("task_id").alias("a"), "b").distinct()
-    full = pairs.join(sets.select(F.col("task_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("task_id").alias("b"), F.col("s").alias("sb")), "b")
-    return full.withColumn("score", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("score") >= threshold).select("a", "b", F.round("score", 6).alias("score"))
+    right = prefix.select("x", F.col("h").alias("y"), F.col("n").alias("ny"))
+    able = (F.col("h") < F.col("y")) & (F.least("n", "ny") >= F.greatest("n", "ny") * threshold)
+    pairs = prefix.join(right, "x").where(able).select(F.col("h").alias("a"), "y").distinct()
+    full = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
+    alike = full.withColumn("score", T.jaccard(F.col("sa"), F.col("sy"))).where(F.col("score") >= threshold).select(F.col("a").alias("x"), "y", "score")
+    return members.drop("s"), settled(alike)
+
+
+def near_dup_pairs(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """Cross-group pairs (a before b) whose sets of 5-character shingles are alike by Jaccard, equal ones included.
+
+    ``near_dup_classes`` tells the same without a row for each pair of copies.
+    """
+    members, alike = near_dup_classes(rows, threshold)
+    left = members.select(F.col("h").alias("x"), F.col("task_id").alias("a"), F.col("group_id").alias("ga"), F.col("ord").alias("oa"))
+    right = members.select(F.col("h").alias("y"), F.col("task_id").alias("b"), F.col("group_id").alias("gb"), F.col("ord").alias("ob"))
+    both = alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "score"))
+    equal = members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(1.0).alias("score"))
+    return both.unionByName(equal).join(left, "x").join(right, "y").where("ga <> gb AND oa < ob").select("a", "b", F.round("score", 6).alias("score"))
+
+
+def near_dup_groups(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """group_id and root of groups merged where they hold near copies; and the links (x, y, score) between groups that do it."""
+    members, alike = near_dup_classes(rows, threshold)
+    least = members.groupBy("h").agg(F.min("group_id").alias("g"))
+    own = members.select("h", "group_id").distinct().join(least, "h").where("group_id <> g").select(F.col("group_id").alias("x"), F.col("g").alias("y"), F.lit(1.0).alias("score"))
+    between = alike.join(least.select(F.col("h").alias("x"), F.col("g").alias("gx")), "x").join(least.select(F.col("h").alias("y"), F.col("g").alias("gy")), "y")
+    links = settled(own.unionByName(between.where("gx <> gy").select(F.greatest("gx", "gy").alias("x"), F.least("gx", "gy").alias("y"), "score")).groupBy("x", "y").agg(F.max("score").alias("score")))
+    return components(links.select("x", "y"), rows.select(F.col("group_id").alias("node")).distinct()).select(F.col("node").alias("group_id"), "root"), links
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """The session's shared checkpoint folder; a local one only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="routelens-"))
+def near_dup_merge_report(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """Each group that is merged into another for splitting: its root, how many links it has, and the score of the closest."""
+    roots, links = near_dup_groups(rows, threshold)
+    ends = links.select(F.explode(F.array("x", "y")).alias("group_id"), "score").groupBy("group_id").agg(F.count(F.lit(1)).alias("links"), F.round(F.max("score"), 6).alias("score"))
+    return roots.where("group_id <> root").join(ends, "group_id")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root: the least node of its component. Labels fall along edges and jump until none changes."""
-    _checkpoints(edges)
-    both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
+    both = settled(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = nodes.select("node", F.col("node").alias("root"))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         lower = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = lower.join(jump, "root").select("node", "old", F.least("root", "next").alias("root")).checkpoint()
+        labels = settled(lower.join(jump, "root").select("node", "old", F.least("root", "next").alias("root")))
         if not labels.where("root < old").limit(1).count():
             return labels.select("node", "root")
         labels = labels.select("node", "root")
@@ -90,23 +117,45 @@ def group_components(rows: DataFrame) -> DataFrame:
     return components(edges, rows.select(F.col("group_id").alias("node")).distinct()).select(F.col("node").alias("group_id"), "root")
 
 
-def greedy_split(rows: DataFrame, seed: int = SEED) -> DataFrame:
+def greedy_split(rows: DataFrame, seed: int = SEED, fold: int = FOLD) -> DataFrame:
     """task_id and split: groups in hashed order, each to the split that lacks most rows.
 
-    The fold runs over one row for each group, not over the records.
+    The fold runs over one row for each group. Beyond ``fold`` groups, ranges of the hashed order are folded each on
+    their own, to the same shares: no task holds all groups, and the splits keep their shares.
     """
     sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("u", uniform(seed, F.col("group_id")))
-    order = sizes.agg(F.array_sort(F.collect_list(F.struct("u", "group_id", "n"))).alias("g"), F.sum("n").alias("total"))
-    zero = F.struct(F.lit(0).cast("long").alias("train"), F.lit(0).cast("long").alias("val"), F.lit(0).cast("long").alias("test"), F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
+    ranges = sizes.agg(F.ceil(F.count(F.lit(1)) / fold).alias("ranges"))
+    ranged = sizes.crossJoin(F.broadcast(ranges)).select("group_id", "n", "u", F.floor(F.col("u") * F.col("ranges")).alias("range"))
+
+    def assign(groups: pd.DataFrame) -> pd.DataFrame:
+        groups = groups.sort_values(["u", "group_id"])
+        wanted, out = {s: r * int(groups["n"].sum()) for s, r in RATIOS}, []
+        filled = dict.fromkeys(wanted, 0)
+        for n in groups["n"].tolist():
+            split = max(filled, key=lambda s: wanted[s] - filled[s])  # the first of equals
+            filled[split] += n
+            out.append(split)
+        return pd.DataFrame({"group_id": groups["group_id"].to_numpy(), "split": out})
+
+    assigned = ranged.groupBy("range").applyInPandas(assign, "group_id string, split string")
+    return rows.select("task_id", "group_id", "local_ok").join(assigned, "group_id")
 
-    def step(a, x):
-        lack = {s: F.lit(r) * F.col("total") - a[s] for s, r in RATIOS}
-        split = F.when((lack["train"] >= lack["val"]) & (lack["train"] >= lack["test"]), "train").when(lack["val"] >= lack["test"], "val").otherwise("test")
-        fill = [(a[s] + F.when(split == s, x["n"]).otherwise(0)).alias(s) for s, _ in RATIOS]
-        return F.struct(*fill, F.concat(a["out"], F.array(F.struct(x["group_id"].alias("group_id"), split.alias("split")))).alias("out"))
 
-    assigned = order.select(F.explode(F.aggregate("g", zero, step)["out"]).alias("o")).select("o.group_id", "o.split")
-    return rows.select("task_id", "group_id", "local_ok").join(assigned, "group_id")
+def make_splits(rows: DataFrame, seed: int = SEED, threshold: float = NEAR) -> DataFrame:
+    """task_id, group_id (merged), local_ok and split; near copies never stand in two splits.
+
+    ValueError where prompts of one normal form stand in different groups: that is a fault of the grouping.
+    """
+    if bad := exact_dup_conflicts(rows).limit(3).collect():
+        raise ValueError(f"equal prompts in different groups, among them {[tuple(r) for r in bad]}")
+    roots, _ = near_dup_groups(rows, threshold)
+    merged = rows.join(roots, "group_id").withColumn("group_id", F.col("root")).drop("root")
+    return greedy_split(merged, seed)
+
+
+def grouped_by_prompt(rows: DataFrame) -> DataFrame:
+    """Rows grouped by their prompts' normal form, as rows without a group of their own are."""
+    return rows.withColumn("group_id", T.default_group(F.col("prompt")))
 
 
 def split_stats(assigned: DataFrame) -> DataFrame:
@@ -116,6 +165,13 @@ def split_stats(assigned: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(gap)).select("split", "n", "groups", F.round("rate", 6).alias("rate"), "unbalanced")
 
 
+def serial_ids(rows: DataFrame) -> DataFrame:
+    """Rows numbered within their source by order, by running counts over all sources."""
+    told = running(rows.select("task_id", "source", "ord"), [F.col("source"), F.col("ord"), F.col("task_id")], k=F.lit(1))
+    first = told.groupBy("source").agg(F.min("k").alias("first"))
+    return told.join(first, "source").select("task_id", F.concat(F.col("source"), F.lit("-"), F.format_string("%03d", F.col("k") - F.col("first"))).alias("serial"))
+
+
 def _out(s, d):
     return view(s, d, "outcomes")
 
@@ -137,6 +193,8 @@ QUERIES = {
     "exact_dup_conflicts": lambda s, d: exact_dup_conflicts(_out(s, d)),
     "near_dup_pairs": lambda s, d: near_dup_pairs(_out(s, d)),
     "group_components": lambda s, d: group_components(_out(s, d)),
+    "near_dup_merge_report": lambda s, d: near_dup_merge_report(grouped_by_prompt(_out(s, d))),
+    "make_splits": lambda s, d: make_splits(grouped_by_prompt(_out(s, d))).select("task_id", "group_id", "split"),
     "greedy_split": lambda s, d: greedy_split(_out(s, d)).select("task_id", "split"),
     "split_stats": lambda s, d: split_stats(greedy_split(_out(s, d))),
     "merge_dup_check": lambda s, d: _out(s, d).groupBy(F.sha2(T.normalize(F.col("prompt")), 256).alias("norm")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).where("n > 1"),
@@ -144,7 +202,7 @@ QUERIES = {
     "stable_sample": lambda s, d: _out(s, d).orderBy(uniform(21, F.col("task_id")), "task_id").limit(100).select("task_id", "ord"),
     "anti_exclusions": lambda s, d: _out(s, d).join(table(s, d, "labels").select(F.col("doc_id").cast("string").alias("task_id")), "task_id", "left_anti").select("task_id", "category"),
     "ab_shuffle": lambda s, d: _out(s, d).select("task_id", F.when(uniform(5, F.col("task_id")) < 0.5, "A").otherwise("B").alias("label")),
-    "serial_ids": lambda s, d: _out(s, d).select("task_id", F.concat(F.col("source"), F.lit("-"), F.format_string("%03d", F.row_number().over(W.partitionBy("source").orderBy("ord")) - 1)).alias("serial")),
+    "serial_ids": lambda s, d: serial_ids(_out(s, d)),
 }
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(prompt), '[^\\pL\\pN\\pM_\\s\\x{00A0}]', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))"

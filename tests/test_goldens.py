@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routelens.functions import text as T
-from routelens.operators import conversations, datasets, metrics, running, simulate, splits, sweep, text, usage, workspace
+from routelens.operators import chatlog, contracts, conversations, datasets, metrics, running, simulate, splits, sweep, text, usage, workspace
 from routelens.sources import files
 
 
@@ -216,3 +216,70 @@ def test_context_stops_at_the_first_that_overflows(spark):
     messages = spark.createDataFrame(rows, "id long, conversation_id long, turn long, role string, content string")
     assert [r.user_id for r in conversations.context_budget(messages, 100).collect()] == [5]
     assert conversations.memory_budget(messages, 40).first().ids == "7,6,5,4,2,1"
+
+
+def test_split_of_many_groups_and_merged_groups(spark):
+    rows = outcomes(spark, [row(i, group=f"g{i // 3}", prompt=f"prompt number {i}") for i in range(600)])
+    parts = {r.task_id: r.split for r in splits.greedy_split(rows, fold=20).collect()}
+    counts = [list(parts.values()).count(s) for s, _ in splits.RATIOS]
+    assert len(parts) == 600 and all(abs(n - 600 * r) < 60 for n, (_, r) in zip(counts, splits.RATIOS))
+    assert all(parts[str(i)] == parts[str(3 * (i // 3))] for i in range(600))
+    base = "the quick brown fox jumps over the lazy dog and runs far away into the deep green forest "
+    near = [row(i, group=f"g{i % 4}", prompt=base * 3 + "word%d" % (i % 2)) for i in range(2)] + [row(9, group="z", prompt="something else entirely")] + [row(10 + i, group=f"h{i}", prompt="copy of this text, again") for i in range(1)]
+    merged = {r.group_id: (r.root, r.links) for r in splits.near_dup_merge_report(outcomes(spark, near)).collect()}
+    assert merged == {"g1": ("g0", 1)}
+    got = {r.task_id: (r.group_id, r.split) for r in splits.make_splits(outcomes(spark, near)).collect()}
+    assert got["0"] == got["1"] and got["0"][0] == "g0" and got["9"][0] == "z"
+    with pytest.raises(ValueError, match="equal prompts"):
+        splits.make_splits(outcomes(spark, [row(1, group="a", prompt="Same!"), row(2, group="b", prompt="same")]))
+
+
+def test_relevant_items_in_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["w%02d" % i for i in range(60)] + ["ab"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(12)), rng.randrange(5), rng.random() < 0.2) for i in range(90)]
+    queries = [(i, " ".join(rng.choice(words) for _ in range(9))) for i in range(40)] + [(99, ""), (98, None)]
+    bag = lambda t: {w for w in (t or "").split() if len(w) > 2}
+    want = set()
+    for qid, text_ in queries:
+        scored = sorted(((len(bag(text_) & bag(t)) + 2 * p, u, i) for i, t, u, p in items), key=lambda x: (-x[0], -x[1], x[2]))
+        want |= {(qid, i, n, place + 1) for place, (n, _, i) in enumerate([x for x in scored if x[0] > 0][:6])}
+    frames = spark.createDataFrame(items, "id long, text string, updated long, pinned boolean"), spark.createDataFrame(queries, "qid long, text string")
+    for postings in (10_000, 200):
+        assert {tuple(r) for r in conversations.relevant_topk(*frames, postings=postings).collect()} == want
+
+
+def test_contracts(spark):
+    tools = {"labels": contracts.LABELS}
+    cases = (
+        ('{"answer": "hi"}', ("answer", None)), ('```\n{"answer": "hi"}\n```', ("answer", None)), ('{"answer": ""}', (None, "empty answer")), ("{", (None, "invalid JSON")),
+        ('{"tool": "labels", "arguments": {"id": "a", "add": []}}', ("tool", None)), ('{"tool": "labels", "arguments": {"id": "a", "add": [true]}}', (None, "arguments.add[]: expected string")),
+        ('{"tool": "labels", "arguments": {"id": "a", "add": [], "n": true}}', (None, "arguments.n: expected integer")), ('{"tool": "x", "arguments": {}}', (None, "neither an enabled tool nor an answer")),
+    )
+    for reply, (kind, error) in cases:
+        r = one(spark, x=contracts.decision(F.lit(reply), tools)).x
+        assert r.error == error and (kind is None or r[kind] is not None), reply
+    with pytest.raises(ValueError, match="vocabulary"):
+        contracts.violation(F.lit("{}"), {"type": "object", "pattern": "x"})
+    r = one(spark, a=contracts.tool_call_text(F.lit("f"), F.lit('{"a": "`"}')), b=contracts.tool_call_text(F.lit("9"), F.lit("{}")), c=contracts.tool_call_text(F.lit("f"), F.lit("[]")), d=contracts.tool_call_text(F.lit("f"), F.lit(None)))
+    assert r.a == '```f\n{"a":"\\u0060"}\n```' and r.b is None and r.c is None and r.d == "```f\n{}\n```"
+
+
+def test_throttled_progress(spark):
+    at = [0.0, 0.1, 0.31, 0.5, 0.62, 0.7, 2.0]
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(seconds=x), i) for k in (1, 2) for i, x in enumerate(at)]
+    got = sorted(map(tuple, chatlog.throttled(spark.createDataFrame(rows, "run_id long, at timestamp, ord long").repartition(3)).collect()))
+    assert got == [(k, i) for k in (1, 2) for i in (0, 2, 4, 6)]
+
+
+def test_file_hashes(spark):
+    import hashlib
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if os.path.isdir(folder):
+        got = {r.file: r.sha256 for r in contracts._file_hashes(spark, folder).collect()}
+        assert got == {f"{t}.parquet": hashlib.sha256(open(f"{folder}/{t}.parquet", "rb").read()).hexdigest() for t in ("region", "nation", "benchmark")}
