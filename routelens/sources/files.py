@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splits import validate
+
 _KINDS = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "long": T.LongType(), "map": T.MapType(T.StringType(), T.StringType()), "strings": T.ArrayType(T.StringType())}
 
 
@@ -30,28 +34,90 @@ def scan_tasks(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
 
 
-def scan_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an outcome dataset with their defaults; another schema version fails."""
-    raw = spark.read.schema(DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    checked = raw.select(F.when(F.col("schema_version") == VERSION, F.col("records")).otherwise(F.raise_error(F.concat(F.lit("unsupported schema_version "), F.coalesce("schema_version", F.lit("null")))).cast(T.ArrayType(RECORD))).alias("records"))
-    rows = checked.select(F.inline("records"))
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def scan_outcomes(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Records of an outcome dataset with their defaults: a JSON file, or a folder that ``sink_outcomes`` wrote.
+
+    Another schema version fails, and so, unless ``check`` is off, does a record that breaks a rule.
+    """
+    if _there(spark, f"{path}/records"):
+        version = spark.read.option("wholetext", True).text(f"{path}/meta.json").select(F.get_json_object("value", "$.schema_version")).first()[0]
+        if version != VERSION:
+            raise ValueError(f"unsupported schema_version {version}")
+        rows = spark.read.schema(RECORD).option("mode", "FAILFAST").json(f"{path}/records")
+    else:
+        raw = spark.read.schema(DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        checked = raw.select(F.when(F.col("schema_version") == VERSION, F.col("records")).otherwise(F.raise_error(F.concat(F.lit("unsupported schema_version "), F.coalesce("schema_version", F.lit("null")))).cast(T.ArrayType(RECORD))).alias("records"))
+        rows = checked.select(F.inline("records"))
     zero = {c: F.coalesce(c, F.lit(0).cast(RECORD[c].dataType)) for c in RECORD.names if c.endswith(("_tokens", "_cost", "_latency_s"))}
     named = {c: F.coalesce(c, F.lit("unknown")) for c in ("category", "source")}
-    return rows.withColumns(zero | named | {"post_check_problems": F.coalesce("post_check_problems", F.array().cast("array<string>"))})
+    rows = rows.withColumns(zero | named | {"post_check_problems": F.coalesce("post_check_problems", F.array().cast("array<string>"))})
+    if check and (bad := validate(rows).limit(20).collect()):
+        raise ValueError(f"invalid dataset {path}: {[tuple(b) for b in bad]}")
+    return rows
 
 
-def sink_outcomes(rows: DataFrame, path: str, problems: DataFrame) -> None:
-    """Write records as JSON lines once a validation has found nothing."""
+def sink_outcomes(rows: DataFrame, path: str, problems: DataFrame, meta: dict | None = None) -> None:
+    """Write records, and beside them version and meta, once a validation has found nothing: records as JSON lines, so in parallel."""
     if bad := problems.limit(3).collect():
         raise ValueError(f"refusing to write an invalid dataset: {bad}")
-    rows.write.mode("overwrite").json(path)
+    rows.select(*[c for c in RECORD.names if c in rows.columns]).write.mode("overwrite").json(f"{path}/records")
+    put_text(rows.sparkSession, f"{path}/meta.json", json.dumps({"schema_version": VERSION, "meta": meta or {}}))
+
+
+def sink_usage_log(rows: DataFrame, path: str) -> None:
+    """Append one JSON line for each record, in files of this write's own."""
+    rows.write.mode("append").json(path)
+
+
+def scan_splits(spark: SparkSession, path: str) -> DataFrame:
+    """task_id and split: of a training report's folder, or of a JSON file whose ``assignment`` maps one to the other."""
+    if _there(spark, f"{path}/splits"):
+        return spark.read.schema("task_id string, split string").json(f"{path}/splits")
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "assignment map<string,string>").alias("v"))
+    return whole.select(F.explode("v.assignment").alias("task_id", "split"))
+
+
+def sink_train_report(report: dict, splits: DataFrame, path: str) -> None:
+    """report.json, the splits as JSON lines, and a summary of the candidates."""
+    spark = splits.sparkSession
+    splits.select("task_id", "split").write.mode("overwrite").json(f"{path}/splits")
+    put_text(spark, f"{path}/report.json", json.dumps(report, indent=1, default=float, sort_keys=True))
+    lines = [f"{'candidate':<20} {'roc_auc':>8} {'brier':>7} {'ece':>6} {'threshold':>9} {'quality':>8} {'cost':>9}"]
+    number = lambda v, width, places: f"{'n/a':>{width}}" if v is None else f"{v:>{width}.{places}f}"
+    for name, c in report["candidates"].items():
+        point = c["point"]
+        lines.append(" ".join([f"{name:<20}", number(c["roc_auc"], 8, 3), number(c["brier"], 7, 3), number(c["ece"], 6, 3), number(point["threshold"], 9, 3), number(point["quality_mean"], 8, 3), number(point["cost_total"], 9, 4)]))
+    put_text(spark, f"{path}/summary.txt", "\n".join([f"rows by split: {report['sizes']}", f"policy: {report['policy']}", "", *lines, "", f"selected: {report['selected']}", ""]))
+
+
+def sink_eval_report(results: DataFrame, page: str, path: str) -> None:
+    """results.json, a row for each system, and the chart as pareto.html."""
+    rows = [r.asDict() for r in results.orderBy("system").collect()]  # one for each system
+    put_text(results.sparkSession, f"{path}/results.json", json.dumps({"systems": rows}, indent=1, default=float))
+    put_text(results.sparkSession, f"{path}/pareto.html", page)
 
 
 def scan_usage_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank and malformed ones are passed over."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record")
 
 
 def scan_grades(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,10 @@ def test_outcome_dataset(spark, tmp_path):
     r = rows.first()
     assert (r.category, r.local_cost, r.local_prompt_tokens, r.post_check_problems, r.local_confidence) == ("unknown", 0.0, 0, [], None)
     files.sink_outcomes(rows, f"{tmp_path}/out", splits.validate(rows))
-    assert spark.read.json(f"{tmp_path}/out").count() == 1
+    again = files.scan_outcomes(spark, f"{tmp_path}/out")
+    assert again.columns == rows.columns and [tuple(x) for x in again.collect()] == [tuple(r)]
+    with pytest.raises(ValueError, match="invalid dataset"):
+        files.scan_outcomes(spark, write(tmp_path / "bad.json", json.dumps({"schema_version": "1.0", "meta": {}, "records": [record | {"local_quality": 7.0}]})))
     bad = rows.selectExpr("* EXCEPT (local_quality)", "2.0D AS local_quality")
     with pytest.raises(ValueError):
         files.sink_outcomes(bad, f"{tmp_path}/out2", splits.validate(bad))
@@ -53,3 +56,15 @@ def test_graded_sources(spark, tmp_path):
     assert got.first().reference == "B" and got.first().prompt.endswith("What, now?\nOptions:\n(A) 1\n(B) 2\n(C) 3\n(D) 4") and got.count() == 1
     got = files.scan_bbh(spark, write(tmp_path / "b.json", json.dumps({"examples": [{"input": "i", "target": "(C)"}, {"input": "j", "target": " yes "}]}))).collect()
     assert [r.reference for r in got] == ["C", "yes"]
+
+
+def test_usage_log_splits_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "task_id string, n int")
+    files.sink_usage_log(rows, f"{tmp_path}/log")
+    files.sink_usage_log(rows.limit(1), f"{tmp_path}/log")
+    assert files.scan_usage_log(spark, f"{tmp_path}/log", rows.schema).count() == 3
+    got = files.scan_splits(spark, write(tmp_path / "splits.json", json.dumps({"seed": 7, "assignment": {"a": "train", "b": "test"}})))
+    assert dict(map(tuple, got.collect())) == {"a": "train", "b": "test"}
+    files.sink_eval_report(spark.createDataFrame([("x", 0.5), ("oracle", 0.9)], "system string, quality_mean double"), "<p>chart</p>", f"{tmp_path}/eval")
+    assert [r["system"] for r in json.loads((tmp_path / "eval" / "results.json").read_text())["systems"]] == ["oracle", "x"]
+    assert (tmp_path / "eval" / "pareto.html").read_text() == "<p>chart</p>"

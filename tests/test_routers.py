@@ -1,9 +1,12 @@
+import json
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from routelens.ml import routers
+from routelens.ml import routers, train
+from routelens.sources import files
 from routelens.sources.views import view
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -33,3 +36,55 @@ def test_platt_recovers_a_logistic(spark):
         rows.append((1 / (1 + math.exp(-z)), float(rng.random() < 1 / (1 + math.exp(-(0.5 * z - 1))))))
     a, b = routers.platt(spark.createDataFrame(rows, "p double, label double"))
     assert abs(a - 0.5) < 0.1 and abs(b + 1) < 0.15
+
+
+def learnable(spark, n=420):
+    """Prompts whose words tell the label, some of them near copies."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        ok = rng.random() < 0.55
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "omega", "kappa"]) for _ in range(12)]
+        words[rng.randrange(12)] = rng.choice(["easy", "simple"] if ok else ["tangled", "twisted"])
+        lq = (0.7 if ok else 0.2) + rng.random() * 0.2
+        rows.append((f"t{i}", i, " ".join(words) + f" number {i}", "c", "s", f"g{i // 2}", lq, 0.95, lq >= 0.6, 0.01, 0.1, 0.3, 1.0, rng.random(), 0.5, 0.5, None, 0.5, 30))
+    names = "task_id string, ord long, prompt string, category string, source string, group_id string, local_quality double, remote_quality double, local_ok boolean, local_cost double, remote_cost double, local_latency_s double, remote_latency_s double, local_confidence double, local_min_token_prob double, local_low_token_frac double, post_check_problem string, p_local double, n_chars long"
+    return spark.createDataFrame(rows, names)
+
+
+def test_training_chooses_and_routes(spark, tmp_path):
+    rows = learnable(spark)
+    router, report, splits, routers = train.train(rows, rounds=3)
+    assert set(report["candidates"]) == {"logreg_tfidf", "gbdt_svd", "heuristic_reference"} and report["selected"] == router.name
+    assert report["candidates"]["logreg_tfidf"]["roc_auc"] > 0.95 > 0.75 > report["candidates"]["heuristic_reference"]["roc_auc"]
+    assert splits.count() == rows.count() == splits.select("task_id").distinct().count()
+    assert splits.join(rows.select("task_id", rows.group_id.alias("own")), "task_id").groupBy("own").agg({"split": "min"}).count() == splits.join(rows.select("task_id", rows.group_id.alias("own")), "task_id").select("own", "split").distinct().count()
+    assert all(r.method in ("sigmoid", "isotonic") for r in routers.values())
+    for name, own in routers.items():
+        train.save_router(own, f"{tmp_path}/{name}", {"tier_mode": "pair", "local_model": "a", "remote_model": "b"})
+        again = train.load_router(f"{tmp_path}/{name}", ("pair", "a", "b"))
+        first, second = ({r.task_id: (r.confidence, r.route) for r in train.route_learned(x, rows.limit(60)).collect()} for x in (own, again))
+        assert first == second and len(first) == 60
+        with pytest.raises(ValueError, match="trained for"):
+            train.load_router(f"{tmp_path}/{name}", ("pair", "a", "c"))
+    files.sink_train_report(report, splits, f"{tmp_path}/report")
+    assert dict(map(tuple, files.scan_splits(spark, f"{tmp_path}/report").collect())) == {r.task_id: r.split for r in splits.collect()}
+    assert json.loads((tmp_path / "report" / "report.json").read_text())["selected"] == report["selected"] and report["selected"] in (tmp_path / "report" / "summary.txt").read_text()
+
+
+def test_training_guards(spark):
+    rows = learnable(spark, 60)
+    with pytest.raises(ValueError, match="are needed"):
+        train.train(rows.limit(30))
+    with pytest.raises(ValueError, match="single class"):
+        train.train(rows.unionByName(learnable(spark, 240).withColumn("task_id", F.concat(F.lit("x"), "task_id")).withColumn("prompt", F.concat("prompt", F.lit(" more"), "task_id")).withColumn("group_id", F.concat(F.lit("y"), "group_id"))).withColumns({"local_ok": F.lit(True), "local_quality": F.lit(0.9)}))
+
+
+def test_candidates_that_fell_back_come_last(spark):
+    points = spark.createDataFrame([("a", "no threshold", 0.1, 0.9), ("b", "", 0.5, 0.8), ("c", "", 0.5, 0.9)], "candidate string, note string, cost_total double, quality_mean double")
+    assert train.candidate_select(points, "quality_floor").first().candidate == "c"
+
+
+def test_char_runs(spark):
+    got = spark.createDataFrame([("Ab abcd",)], "t string").select(train.char_runs(F.col("t")).alias("r")).first().r
+    assert sorted(got) == sorted([" ab", "ab ", " ab ", " ab", "abc", "bcd", "cd ", " abc", "abcd", "bcd ", " abcd", "abcd "])
