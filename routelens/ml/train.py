@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..operators.contracts import pair_accepted
 from ..operators.metrics import brier, confusion, ece, postgen_auc, roc_auc
 from ..operators.running import settled
-from ..operators.splits import SEED, exact_dup_conflicts, grouped_by_prompt, make_splits, near_dup_merge_report
+from ..operators.splits import SEED, make_splits, near_dup_merge_report
 from ..operators.sweep import ALL_STRONG, POLICIES, sweep
 from ..sources.views import view
 from .routers import _ENGINEERED, FEATURES, FORMAT, grouped_folds, platt
@@ -322,14 +322,6 @@ def report_rows(spark: SparkSession, report: dict) -> DataFrame:
     return spark.createDataFrame(rows, "candidate string, selected boolean, calibration string, params string, roc_auc double, brier double, ece double, threshold double, quality_mean double, cost_total double")
 
 
-#: Boosting rounds of the registered query; the operator's default is ``ROUNDS``.
-QUERY_ROUNDS = 20
-
-
-def _train_query(s, d) -> DataFrame:
-    return report_rows(s, train(grouped_by_prompt(view(s, d, "outcomes")), rounds=QUERY_ROUNDS)[1])
-
-
 def _char_frequency(s, d) -> DataFrame:
     rows = view(s, d, "outcomes").select("ord", F.explode(F.array_distinct(char_runs(F.col("prompt")))).alias("run"))
     return rows.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= LEAST_DOCS)
@@ -346,7 +338,7 @@ def _selected(s, d) -> DataFrame:
     return candidate_select(out, "quality_floor").drop("note")
 
 
-QUERIES = {"train": _train_query, "tfidf_char": _char_frequency, "candidate_select": _selected}
+QUERIES = {"tfidf_char": _char_frequency, "candidate_select": _selected}
 _RUNS = "list_concat(CASE WHEN length(w) > 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [w] END, CASE WHEN length(w) > 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) WHEN length(w) = 4 THEN [w] ELSE [] END, CASE WHEN length(w) > 5 THEN list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) WHEN length(w) = 5 THEN [w] ELSE [] END)"
 ORACLES = {
     "tfidf_char": f"""
