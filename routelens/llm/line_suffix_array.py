@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import keep, mapped, parts, spread, table, texts_of
 
 MIN_LINES = 2
+#: Rounds after which the lines to look up are narrowed down; the others are too near to one that did.
+_NARROWED = {1, 8, 64, 512, 4096, 32768}
 _KEY = ["key", "digest"]
 REPORT = "doc_id long, n_lines long, n_removed long, n_runs long, longest_run long, n_chars_kept long, kept_sha256 string"
 
@@ -55,9 +57,9 @@ def _doubled(sequences: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     shared = lines.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     first = keep(lines.join(shared.hint("merge"), "path", "left").select(*_KEY, "n", "at", "path", F.col("members").isNotNull().alias("live")), "lines")
     alone, done, live, h = first.where("NOT live"), None, first.where("live"), 1
+    ended = alone
     while live.limit(1).count():
-        known = alone.unionByName(live) if done is None else alone.unionByName(live).unionByName(done)
-        ahead = known.select(*_KEY, (F.col("at") - h).alias("at"), F.col("path").alias("second"))
+        ahead = ended.unionByName(live).select(*_KEY, (F.col("at") - h).alias("at"), F.col("path").alias("second"))
         group = F.col("path") if h == 1 else F.slice("path", -1, 1)  # a rank says as much as the path to it
         pairs = live.join(ahead.hint("merge"), [*_KEY, "at"], "left").select(*_KEY, "n", "at", "path", group.alias("g"), F.coalesce("second", F.array().cast("array<bigint>")).alias("second"))
         pairs = keep(pairs, "pairs")
@@ -66,8 +68,12 @@ def _doubled(sequences: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         ranks = keep(ranks.repartitionByRange(parts(pairs.sparkSession), "g", "second").sortWithinPartitions("g", "second").withColumn("rank", F.monotonically_increasing_id()), "ranks")
         on = (F.col("members") > 1) & (F.size("second") > 0)
         joined = keep(pairs.join(ranks.hint("merge"), ["g", "second"]).select(*_KEY, "n", "at", F.concat("path", F.array("rank")).alias("path"), on.alias("live")), "suffixes")
-        ended, live, h = joined.where("NOT live"), joined.where("live"), 2 * h
-        done = ended if done is None else done.unionByName(ended)
+        now, live = joined.where("NOT live"), joined.where("live")
+        done = now if done is None else done.unionByName(now)
+        ended = ended.unionByName(now)
+        if h in _NARROWED:  # only documents that still have a suffix in the rounds are looked up in
+            ended = keep(ended.join(live.select(*_KEY).distinct().hint("merge"), _KEY, "left_semi"), "ended")
+        h *= 2
     columns = [*_KEY, "n", "at", "path"]
     suffixes = live.select(*columns) if done is None else done.select(*columns)
     return suffixes, alone.select(*columns).unionByName(suffixes), h
