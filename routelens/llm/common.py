@@ -21,7 +21,7 @@ SLICE_BYTES = 1 << 19
 BATCH_ROWS, DEFAULT_ROWS = 1024, "10000"
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back: a worker is used again, and what it keeps counts against its executor."""
     pa.default_memory_pool().release_unused()
     try:
@@ -40,7 +40,7 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return df.mapInArrow(tidy, schema)
 

@@ -29,8 +29,10 @@ belongs to it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, spread, table, texts_of
+from .common import mapped, release, slices, spread, table, texts_of
 
 #: Most toxic labelled texts that the fit reads, and half the most others; most code points of either kind.
 FIT_ROWS, FIT_CHARS = 2000, 1 << 25
@@ -279,21 +281,21 @@ def _spread_out(words: list[bytes], n: int) -> list[bytes]:
 def _families(texts: list[str]) -> list[int]:
     """Number of the family of each text: texts that share a smallest hash of four words are near copies of one."""
     root = list(range(len(texts)))
-    runs = []
-    for t in texts:
-        words = t.split()
-        runs.append({" ".join(words[i : i + 4]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 3))})
 
     def top(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    for salt in (b"1", b"2", b"3", b"4"):
-        seen: dict[bytes, int] = {}
-        for i, own in enumerate(runs):
-            key = min(hashlib.blake2b(r, digest_size=8, salt=salt).digest() for r in own)
-            root[top(i)] = top(seen.setdefault(key, i))
+    seen: list[dict[bytes, int]] = [{} for _ in range(4)]
+    for i, t in enumerate(texts):
+        words = t.split()
+        least = [b"\xff" * 9] * len(seen)
+        for j in range(max(1, len(words) - 3)):
+            run = hashlib.blake2b(" ".join(words[j : j + 4]).encode("utf-8", "surrogatepass"), digest_size=32).digest()
+            least = [min(m, run[8 * k : 8 * k + 8]) for k, m in enumerate(least)]
+        for own, key in zip(seen, least, strict=True):
+            root[top(i)] = top(own.setdefault(key, i))
     return [top(i) for i in range(len(texts))]
 
 
@@ -311,13 +313,17 @@ def _telling_words(toxic: Counter, clean: Counter) -> list[tuple[bytes, float, l
     """
     words = sorted(toxic)
     number: dict[bytes, int] = {}
-    held = [np.array(sorted(number.setdefault(g, len(number)) for g in _parts(w)), np.int64) for w in words]
-    hot, cold = np.zeros(len(number)), np.zeros(len(number))
-    where: list[list[int]] = [[] for _ in number]
-    for i, (w, own) in enumerate(zip(words, held, strict=True)):
-        hot[own] += toxic[w]
-        for g in own:
-            where[g].append(i)
+    flat, ends = array("i"), array("i", [0])
+    for w in words:
+        flat.extend(sorted(number.setdefault(g, len(number)) for g in _parts(w)))
+        ends.append(len(flat))
+    flat, ends = np.array(flat, np.int32), np.array(ends, np.int64)
+    held = lambda i: flat[ends[i] : ends[i + 1]]  # noqa: E731  stretches of a word
+    times = np.array([toxic[w] for w in words], np.float64)
+    hot = np.bincount(flat, np.repeat(times, np.diff(ends)), len(number))
+    cold = np.zeros(len(number))
+    order = np.argsort(flat, kind="stable")
+    holders, begins = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends))[order], np.searchsorted(flat[order], np.arange(len(number) + 1))
     for w, n in clean.items():
         for g in _parts(w):
             if (k := number.get(g)) is not None:
@@ -331,10 +337,10 @@ def _telling_words(toxic: Counter, clean: Counter) -> list[tuple[bytes, float, l
         if hot[best] < 2 or low[best] < np.log(TELLING):
             return found
         share = (hot[best] + 0.1) / (hot[best] + cold[best] + 0.1)
-        group = [i for i in where[best] if open_[i]]
+        group = [i for i in holders[begins[best] : begins[best + 1]].tolist() if open_[i]]
         for i in group:
             open_[i] = False
-            hot[held[i]] -= toxic[words[i]]
+            hot[held(i)] -= times[i]
         hot[best] = 0
         good = [words[i] for i in group if odds(toxic[words[i]], clean[words[i]]) > 0]
         if good:
@@ -342,9 +348,9 @@ def _telling_words(toxic: Counter, clean: Counter) -> list[tuple[bytes, float, l
     return found
 
 
-def _worst_words(bags: list[list[bytes]], toxic: Counter, clean: Counter) -> list[tuple[bytes, float, list[bytes]]]:
+def _worst_words(texts: list[str], toxic: Counter, clean: Counter) -> list[tuple[bytes, float, list[bytes]]]:
     """Where nothing tells: the word of each toxic text that is most often in toxic ones."""
-    worst = sorted({max(bag, key=lambda w: ((toxic[w] + 0.1) / (clean[w] + 0.5), w)) for bag in bags if bag})
+    worst = sorted({max(bag, key=lambda w: ((toxic[w] + 0.1) / (clean[w] + 0.5), w)) for bag in map(words_of, texts) if bag})
     return [(w, (toxic[w] + 0.1) / (toxic[w] + clean[w] + 0.1), [w]) for w in worst]
 
 
@@ -365,15 +371,14 @@ def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.3) -> np.ndarra
 def fit(toxic: list[str], other: list[str], rounds: int = 2) -> Model:
     """A model from labelled texts."""
     rng = np.random.default_rng(3)
-    bags = [sorted(words_of(t)) for t in toxic]
-    if not other or not any(bags):
-        return Model()
     # Near copies count once, else each of their chance words would seem telling.
-    of: dict[int, set[bytes]] = {}
-    for family, bag in zip(_families(toxic), bags, strict=True):
-        of.setdefault(family, set()).update(bag)
-    hot, clean = Counter(w for bag in of.values() for w in bag), Counter(w for t in other for w in words_of(t))
-    groups = _telling_words(hot, clean) or _worst_words(bags, hot, clean)
+    families, hot = _families(toxic), Counter()
+    for family in sorted(set(families)):
+        hot.update(set().union(*(words_of(t) for t, f in zip(toxic, families, strict=True) if f == family)))
+    if not other or not hot:
+        return Model()
+    clean = Counter(w for t in other for w in words_of(t))
+    groups = _telling_words(hot, clean) or _worst_words(toxic, hot, clean)
     # The first of each stretch, the second of each, and so on: no language or insult takes all landmarks.
     positive = list(dict.fromkeys(w for turn in zip_longest(*[own for _, _, own in groups]) for w in turn if w is not None))
     share = {w: p for _, p, own in groups for w in own}
@@ -407,7 +412,7 @@ def fit(toxic: list[str], other: list[str], rounds: int = 2) -> Model:
         cost = 4 * np.concatenate([own, np.ones(len(extra) + len(negative)), 1 - own])
         w, bias = _machine(kernel(words, marks) @ whiten, y, cost)
         alpha = whiten @ w
-        weights = np.zeros(SYMBOLS**ORDER)
+        weights = np.zeros(SYMBOLS**ORDER, np.float32)
         for a, mark in zip(alpha, marks, strict=True):
             codes, counts = subsequences(mark)
             weights[codes] += a * counts
@@ -428,7 +433,7 @@ def fit(toxic: list[str], other: list[str], rounds: int = 2) -> Model:
         worst, counts, words = (part[host] for part in good)
         x.append(_judged(np.maximum(worst, value), counts + (value[:, None] > np.array(CUTS)), words + 1))
         label.append(np.ones(len(chosen)))
-    model.judge = _logistic(np.concatenate(x), np.concatenate(label))
+    model.judge, model._table = _logistic(np.concatenate(x), np.concatenate(label)), None
     return model
 
 
@@ -453,6 +458,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, cha
     wanted = docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h long")
     found = texts.join(F.broadcast(wanted), "h").dropDuplicates(["h"]).select("h", "text").collect()
     found = {r.h: r.text for r in found}
+    gc.collect()
+    release()
     return tuple([found[h] for h in sorted(chosen) if chosen[h] == toxic] for toxic in (1, 0))
 
 
@@ -462,6 +469,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(texts_of(batch["text"])), pa.float64())], ["doc_id", "score"])
+        model._table = None
 
     return spread(docs.select("doc_id", "text")).transform(mapped, run, "doc_id long, score double")
 
@@ -473,13 +481,22 @@ def clean_documents(docs: DataFrame, model: Model, columns: list[str], threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.score(texts_of(batch["text"])) < threshold))
+        model._table = None
 
     return spread(docs.select(*columns)).transform(mapped, run, schema)
 
 
+def learnt(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the labelled texts; the driver's memory of the fit is given back."""
+    model = fit(*training_texts(docs, labels))
+    gc.collect()
+    release()
+    return model
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every whole document by a model of the learnable rows."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_texts(docs, table(spark, sf_dir, "labels")))
+    model = learnt(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
