@@ -16,7 +16,7 @@ from routelens.llm.common import forget, keep, kept, table
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subsequence-kernel machine, learnt from ``labels``, doesn't reject."""
-    model = string_kernel.fit(*string_kernel.training_texts(docs, table(spark, sf_dir, "labels")))
+    model = string_kernel.learnt(docs, table(spark, sf_dir, "labels"))
     return string_kernel.clean_documents(docs, model, docs.columns)
 
 
