@@ -1,39 +1,52 @@
-"""Training of learned routers: text features, a grid by grouped folds, calibration, a threshold on validation rows, the choice between candidates."""
+"""Training of learned routers: text features, a grid by grouped folds, calibration, a threshold on validation rows, the choice between candidates.
+
+A router is the mean of as many members as there are folds: each was learnt without one fold and calibrated on it. The grid
+and the calibration use the same folds, so the members are those that the grid has fitted for the best parameters.
+"""
 
 from __future__ import annotations
 
 import json
 import math
+import pickle
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StandardScaler, StandardScalerModel, VectorAssembler
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.mllib.linalg import Vectors as RowVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..operators.contracts import pair_accepted
-from ..operators.metrics import brier, confusion, ece, postgen_auc, roc_auc
+from ..operators.metrics import brier, confusion, ece, postgen_auc, pr_auc, roc_auc
 from ..operators.running import settled
-from ..operators.splits import SEED, make_splits, near_dup_merge_report
+from ..operators.splits import SEED, grouped_by_prompt, make_splits
 from ..operators.sweep import ALL_STRONG, POLICIES, sweep
 from ..sources.views import view
-from .routers import _ENGINEERED, FEATURES, FORMAT, grouped_folds, platt
+from . import boosting
+from .boosting import Boosted
+from .routers import ENGINEERED, FEATURES, FORMAT, grouped_folds, platt
 
 #: Most words and word pairs, and most character runs, that features count; least documents of either.
 WORDS, CHARS, LEAST_DOCS = 20_000, 30_000, 2
-#: Values of the grid: strength of the ridge as its inverse, depth of the trees (the second stands for no bound).
-STRENGTHS, DEPTHS = (0.25, 1.0, 4.0), (3, 10)
-COMPONENTS, ROUNDS, RATE = 64, 200, 0.1
+#: Values of the grid: strength of the ridge as its inverse, most depth of the trees.
+STRENGTHS, DEPTHS = (0.25, 1.0, 4.0), (3, None)
+COMPONENTS, ROUNDS = 64, boosting.ROUNDS
+#: Directions beside those kept, and rounds, of the search for the main directions.
+SPARE, POWER_ROUNDS = 10, 4
 #: Least training and validation rows, and least rows for a calibration in steps.
 LEAST_TRAIN, LEAST_VALIDATION, LEAST_STEPS = 40, 10, 500
 CANDIDATES = ("logreg_tfidf", "gbdt_svd")
+#: Fits of the grid that run beside each other.
+AT_ONCE = 4
 
 
 def char_runs(text: Column) -> Column:
@@ -58,158 +71,266 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"label": F.col("local_ok").cast("double"), "terms": T.let(words, lambda w: F.concat(w, pairs(w))), "runs": char_runs(prompt)} | {f"f_{n}": c for n, c in T.features(prompt).items()})
 
 
-def _weighed(idf: np.ndarray):
-    """Counts as 1 + log, times the inverse document frequency, to unit length."""
-
-    def weigh(v):
-        if not len(v.indices):
-            return v
-        values = (1 + np.log(v.values)) * idf[v.indices]
-        return SparseVector(v.size, v.indices, values / math.sqrt(float(values @ values)))
-
-    return F.udf(weigh, VectorUDT())
-
-
 @dataclass
 class Features:
-    """Fitted features: two vocabularies with their frequencies, and the scale of the engineered columns."""
+    """Fitted features: two vocabularies with their frequencies, and the deviations of the engineered columns."""
 
     words: CountVectorizerModel
     chars: CountVectorizerModel
     idf: tuple[np.ndarray, np.ndarray]
-    scale: StandardScalerModel
+    scale: np.ndarray
 
     @staticmethod
     def fit(rows: DataFrame) -> Features:
         models, idf = [], []
-        n = rows.count()
         for column, most in (("terms", WORDS), ("runs", CHARS)):
-            model = CountVectorizer(inputCol=column, outputCol=f"{column}_tf", vocabSize=most, minDF=LEAST_DOCS).fit(rows)
-            found = dict(rows.select(F.explode(F.array_distinct(column)).alias("t")).groupBy("t").count().where(F.col("count") >= LEAST_DOCS).join(F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in model.vocabulary] or [("",)], "t string")), "t").collect())
-            idf.append(np.array([math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in model.vocabulary]))
+            model = CountVectorizer(inputCol=column, outputCol="tf", vocabSize=most, minDF=LEAST_DOCS).fit(rows)
+            seen = IDF(inputCol="tf", outputCol="idf").fit(model.transform(rows).select("tf"))
+            idf.append(np.log((1 + seen.numDocs) / (1 + np.array(seen.docFreq, float))) + 1)
             models.append(model)
-        raw = VectorAssembler(inputCols=_ENGINEERED, outputCol="raw").transform(rows)
-        return Features(*models, tuple(idf), StandardScaler(inputCol="raw", outputCol="scaled", withMean=False).fit(raw))
-
-    def of(self, rows: DataFrame) -> DataFrame:
-        out = self.chars.transform(self.words.transform(rows))
-        out = out.withColumns({"w": _weighed(self.idf[0])("terms_tf"), "c": _weighed(self.idf[1])("runs_tf")})
-        out = self.scale.transform(VectorAssembler(inputCols=_ENGINEERED, outputCol="raw").transform(out))
-        return VectorAssembler(inputCols=["w", "c", "scaled"], outputCol="features").transform(out).drop("terms", "runs", "terms_tf", "runs_tf", "raw", "scaled", "w", "c", *_ENGINEERED)
+        spread = rows.agg(*[F.stddev_pop(c) for c in ENGINEERED]).first()
+        return Features(*models, tuple(idf), np.array([x or 1.0 for x in spread], float))
+
+    @property
+    def width(self) -> int:
+        return sum(map(len, self.idf)) + len(self.scale)
+
+    def of(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` and the vectors: counts as 1 + log times their inverse frequency to unit length, and scaled engineered features."""
+        counted = rows
+        for model, name in ((self.words, "w"), (self.chars, "c")):
+            counted = model.copy({model.outputCol: name}).transform(counted)
+        counted = counted.select("w", "c", F.array(*[F.col(c).cast("double") for c in ENGINEERED]).alias("own"), *columns)
+        begins, size, idf, scale = np.cumsum([0, *map(len, self.idf)]), self.width, self.idf, self.scale  # without the models, which can't be sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, row, index, value = batch.num_rows, [], [], []
+                for i in range(2):
+                    r, at, v = sparse(batch.column(i))
+                    v = (1 + np.log(v)) * idf[i][at]
+                    length = np.sqrt(np.bincount(r, v * v, n))
+                    row.append(r)
+                    index.append(at + begins[i])
+                    value.append(v / length[r])
+                own = boosting.matrix(batch.column(2)) / scale
+                row.append(np.repeat(np.arange(n), len(scale)))
+                index.append(np.tile(np.arange(len(scale)) + begins[2], n))
+                value.append(own.ravel())
+                row, index, value = map(np.concatenate, (row, index, value))
+                order = np.argsort(row, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+                told = pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, index[order].astype(np.int32)), pa.ListArray.from_arrays(offsets, value[order])],
+                    names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[3:], told], names=[*columns, "features"])
+
+        return counted.mapInArrow(run, counted.drop("w", "c", "own").schema.add("features", VectorUDT()))
+
+
+def sparse(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index and value of what vectors hold."""
+    indices, values = column.field(2), column.field(3)
+    sizes = np.diff(indices.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), sizes), indices.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
 
 
 @dataclass
-class Router:
-    """A fitted candidate: features, perhaps a projection, a model, a calibration, and the threshold chosen for it."""
+class Member:
+    """A model learnt without one fold, with its features, perhaps their main directions, and its calibrations on that fold."""
 
-    name: str
     features: Features
     model: object
     axes: np.ndarray | None = None
-    method: str = "sigmoid"
     sigmoid: tuple[float, float] = (1.0, 0.0)
     steps: IsotonicRegressionModel | None = None
+
+    def raw(self, rows: DataFrame, name: str = "p") -> DataFrame:
+        """Prepared rows with the model's own probability."""
+        seen = self.features.of(rows, *rows.columns)
+        if self.axes is not None:
+            return self.model.probability(projected(seen, self.axes), name=name)
+        return self.model.transform(seen).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+@dataclass
+class Router:
+    """A fitted candidate: its members, how they are calibrated, and the threshold chosen for it."""
+
+    name: str
+    members: list[Member]
+    method: str = "sigmoid"
     threshold: float = ALL_STRONG
     params: dict = field(default_factory=dict)
 
     def raw(self, rows: DataFrame) -> DataFrame:
-        """Prepared rows with the model's own probability p."""
-        seen = self.features.of(rows)
-        if self.axes is not None:
-            seen = seen.withColumn("features", _projected(self.axes)("features"))
-        return self.model.transform(seen).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        """Prepared rows with each member's own probability, p0 and on."""
+        for i, member in enumerate(self.members):
+            rows = member.raw(rows, f"p{i}")
+        return rows
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Prepared rows with the calibrated probability p that the cheap answer is good."""
-        return calibrated(self.raw(rows), self)
+        return calibrated(self.raw(rows), self, self.method)
+
+
+def projected(rows: DataFrame, axes: np.ndarray, name: str = "features") -> DataFrame:
+    """``rows`` with their feature vectors along a few directions, as an array."""
+    columns = [c for c in rows.columns if c != "features"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = times(sparse(batch.column(0)), axes, batch.num_rows)
+            told = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * axes.shape[1], low.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], told], names=[*columns, name])
 
-def _projected(axes: np.ndarray):
-    return F.udf(lambda v: Vectors.dense(v.values @ axes[v.indices] if isinstance(v, SparseVector) else v.toArray() @ axes), VectorUDT())
+    own = rows.select("features", *columns)
+    return own.mapInArrow(run, own.drop("features").schema.add(name, ArrayType(DoubleType())))
 
 
-def calibrated(rows: DataFrame, router: Router) -> DataFrame:
-    if router.method == "isotonic":
-        found = router.steps.transform(rows.withColumn("features", array_to_vector(F.array("p"))))
-        return found.withColumn("p", F.col("prediction")).drop("features", "prediction")
-    a, b = router.sigmoid
-    z = F.log(F.greatest(F.col("p"), F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
-    return rows.withColumn("p", 1 / (1 + F.exp(-(z * a + b))))
+def times(vectors: tuple[np.ndarray, np.ndarray, np.ndarray], axes: np.ndarray, n: int) -> np.ndarray:
+    """n sparse rows times a dense matrix, some rows at a time."""
+    row, index, value = vectors
+    out, ends = np.zeros((n, axes.shape[1])), np.searchsorted(row, np.arange(n + 1))
+    for begin in range(0, n, 64):
+        own = slice(ends[begin], ends[min(n, begin + 64)])
+        if own.start < own.stop:
+            some, first = np.unique(row[own], return_index=True)
+            out[some] = np.add.reduceat(axes[index[own]] * value[own, None], first, axis=0)
+    return out
 
 
-def axes_of(rows: DataFrame, components: int = COMPONENTS) -> np.ndarray:
-    """The main directions of the feature vectors, by products with the distributed matrix; it is never dense."""
-    vectors = rows.select("features").rdd.map(lambda r: RowVectors.sparse(r.features.size, r.features.indices, r.features.values) if isinstance(r.features, SparseVector) else RowVectors.dense(r.features.toArray()))
-    matrix = RowMatrix(vectors)
-    found = matrix.computeSVD(max(1, min(components, matrix.numCols() - 1, matrix.numRows() - 1)))
-    return np.array(found.V.toArray())
+def _back(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> np.ndarray:
+    """X'X axes over a task's rows."""
+    out = np.zeros_like(axes)
+    for batch in batches:
+        row, index, value = sparse(batch.column(0))
+        low = times((row, index, value), axes, batch.num_rows)
+        order = np.argsort(index, kind="stable")
+        for begin in range(0, len(order), 1 << 15):
+            own = order[begin : begin + (1 << 15)]
+            some, first = np.unique(index[own], return_index=True)
+            out[some] += np.add.reduceat(low[row[own]] * value[own, None], first, axis=0)
+    return out
 
 
-def _models(name: str, rows: int, rounds: int) -> list[tuple[dict, object]]:
+def axes_of(rows: DataFrame, width: int, components: int = COMPONENTS, rounds: int = POWER_ROUNDS) -> np.ndarray:
+    """The main directions of the feature vectors, by powers of their products with random ones (a randomised SVD).
+
+    A round reads the rows once. Tasks send a matrix of features by directions, added up in a tree; the rows themselves never leave their tasks.
+    """
+    few = max(1, min(components, width))
+    axes = np.random.default_rng(SEED).standard_normal((width, min(width, few + SPARE)))
+
+    def run(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_back(batches, axes))], pa.binary())], names=["m"])
+
+    for _ in range(rounds + 1):
+        axes, _ = np.linalg.qr(axes)
+        sent = rows.sparkSession.sparkContext.broadcast(axes)
+        told = rows.select("features").mapInArrow(lambda batches, s=sent: run(batches, s.value), "m binary")
+        found = told.rdd.map(lambda r: pickle.loads(r.m)).treeAggregate(np.zeros_like(axes), lambda a, b: a + b, lambda a, b: a + b)
+        sent.destroy()
+        small = axes.T @ found
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        best, axes = axes @ turn[:, ::-1], found
+    return best[:, :few]
+
+
+def calibrated(rows: DataFrame, router: Router, method: str) -> DataFrame:
+    """Rows with members' probabilities p0 and on replaced by p, the mean of the calibrated ones."""
+    names = [f"p{i}" for i in range(len(router.members))]
+    for name, member in zip(names, router.members, strict=True):
+        if method == "isotonic":
+            found = member.steps.transform(rows.withColumn("features", array_to_vector(F.array(name))))
+            rows = found.withColumn(name, F.col("prediction")).drop("features", "prediction")
+        else:
+            a, b = member.sigmoid
+            rows = rows.withColumn(name, 1 / (1 + F.exp(-(logit(F.col(name)) * a + b))))
+    return rows.withColumn("p", sum(map(F.col, names)) / len(names)).drop(*names)
+
+
+def logit(p: Column) -> Column:
+    return F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
+
+
+def grid(name: str) -> list[dict]:
+    """Parameters that a candidate is tried with."""
     if name == "logreg_tfidf":
-        return [({"C": c}, LogisticRegression(regParam=1 / (c * rows), standardization=False, maxIter=100)) for c in STRENGTHS]
+        return [{"C": c} for c in STRENGTHS]
     if name == "gbdt_svd":
-        return [({"depth": d, "rate": RATE}, GBTClassifier(maxDepth=d, stepSize=RATE, maxIter=rounds, seed=SEED)) for d in DEPTHS]
+        return [{"depth": d, "rate": boosting.RATE} for d in DEPTHS]
     raise ValueError(f"unknown candidate {name!r}; one of {CANDIDATES}")
 
 
 def fit_candidate(name: str, rows: DataFrame, rounds: int = ROUNDS) -> tuple[Router, DataFrame]:
-    """The candidate with the parameters of the best mean ROC area over grouped folds, refitted on all rows; and its scores out of fold."""
-    folded = settled(grouped_folds(rows))
-    folds = [r.fold for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    best: tuple[float, int] | None = None
-    seen: list[list[DataFrame]] = []
-    for fold in folds:
-        own, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        if own.select("label").distinct().count() < 2:
-            continue
-        features, axes, train = _seen(name, own)
-        outer = []
-        for params, estimator in _models(name, own.count(), rounds):
-            outer.append(settled(Router(name, features, estimator.fit(train), axes, params=params).raw(held).select("task_id", "label", "p")))
-        seen.append(outer)
-        train.unpersist()
-    grid = [params for params, _ in _models(name, 1, rounds)]
-    for i in range(len(grid) if seen else 0):
-        areas = [roc_auc(s[i].select(F.col("label").alias("y"), "p")).first()[0] for s in seen]
-        known = [a for a in areas if a is not None]
-        mean = sum(known) / len(known) if known else 0.0
-        if best is None or mean > best[0]:
-            best = mean, i
-    at = best[1] if best else 0
-    features, axes, train = _seen(name, rows)
-    params, estimator = _models(name, rows.count(), rounds)[at]
-    router = Router(name, features, estimator.fit(train), axes, params=params | {"cv_roc_auc": best[0] if best else None})
-    train.unpersist()
-    outer = seen[0][at] if seen else router.raw(rows).select("task_id", "label", "p")
-    for s in seen[1:]:
-        outer = outer.unionByName(s[at])
-    return router, outer
-
-
-def _seen(name: str, rows: DataFrame) -> tuple[Features, np.ndarray | None, DataFrame]:
-    features = Features.fit(rows)
-    train = features.of(rows).select("label", "features").cache()
-    if name != "gbdt_svd":
-        return features, None, train
-    axes = axes_of(train)
-    low = train.withColumn("features", _projected(axes)("features")).cache()
-    low.count()
-    train.unpersist()
-    return features, axes, low
+    """The candidate with the parameters of the best mean ROC area over grouped folds; and its members' scores (member, label, p) out of fold.
+
+    Folds whose complement has one class are passed over; if all are, one member learns from all rows and is calibrated on them.
+    """
+    choices = grid(name)
+    rows = settled(grouped_folds(rows))
+    classes = {r.fold: (r.n, r.ok) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ok")).collect()}
+    n, ok = (sum(c[i] for c in classes.values()) for i in range(2))
+    folds = [f for f, (k, good) in sorted(classes.items()) if 0 < ok - good < n - k] or [None]
+    use = lambda f: F.lit(True) if f is None else F.col("fold") != f
+    features = _together([lambda f=f: Features.fit(rows.where(use(f))) for f in folds])
+    if name == "logreg_tfidf":
+        vectors = [f.of(rows, "task_id", "label", "fold").cache() for f in features]
+        sizes = [n - classes[f][0] if f is not None else n for f in folds]
+        models = _together([
+            lambda i=i, c=c: LogisticRegression(regParam=1 / (c["C"] * sizes[i]), standardization=False, maxIter=100).fit(vectors[i].where(use(folds[i])))
+            for i in range(len(folds)) for c in choices
+        ])
+        fitted = [[models[i * len(choices) + k] for k in range(len(choices))] for i in range(len(folds))]
+        axes: list = [None] * len(folds)
+        outer = [[m.transform(vectors[i]).select("task_id", "label", "fold", vector_to_array("probability")[1].alias("p")) for m in fitted[i]] for i in range(len(folds))]
+    else:
+        vectors = [f.of(rows, "task_id", "label", "fold").cache() for f in features]
+        axes = _together([lambda i=i: axes_of(vectors[i].where(use(folds[i])), features[i].width) for i in range(len(folds))])
+        wide = rows.select("task_id", "label", "fold", *[use(f).alias(f"u{i}") for i, f in enumerate(folds)])
+        for i in range(len(folds)):
+            wide = wide.join(projected(vectors[i].select("task_id", "features"), axes[i], f"x{i}"), "task_id")
+        wide = settled(wide)
+        models = boosting.fit(wide, "label", [(f"x{i}", f"u{i}") for i in range(len(folds))], [(i, c["depth"]) for i in range(len(folds)) for c in choices], rounds)
+        fitted = [[models[i * len(choices) + k] for k in range(len(choices))] for i in range(len(folds))]
+        outer = [[m.probability(wide.select("task_id", "label", "fold", F.col(f"x{i}").alias("features"))) for m in fitted[i]] for i in range(len(folds))]
+    told = None
+    for i, f in enumerate(folds):
+        for k in range(len(choices)):
+            own = outer[i][k].where(F.lit(True) if f is None else F.col("fold") == f).select(F.lit(i).alias("member"), F.lit(k).alias("k"), F.col("label").alias("y"), "p")
+            told = own if told is None else told.unionByName(own)
+    told = settled(told)
+    for v in vectors:
+        v.unpersist()
+    areas = told.transform(lambda t: roc_auc(t, "member", "k")).groupBy("k").agg(F.avg("roc_auc").alias("area")).collect()
+    area = {r.k: r.area for r in areas if r.area is not None}
+    best = max(range(len(choices)), key=lambda k: (area.get(k, -1.0), -k))
+    router = Router(name, [Member(features[i], fitted[i][best], axes[i]) for i in range(len(folds))], params=choices[best] | {"cv_roc_auc": area.get(best)})
+    return router, told.where(F.col("k") == best).select("member", F.col("y").alias("label"), "p")
+
+
+def _together(tasks: list) -> list:
+    """Results of tasks of which some run beside each other: each is a row of small Spark jobs."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda t: t(), tasks))
 
 
 def calibrate(router: Router, outer: DataFrame, validation: DataFrame, method: str = "auto") -> Router:
-    """Sets the calibration learnt from scores out of fold: the method of the least Brier score on validation rows."""
+    """Sets the calibrations learnt from scores out of fold, and the method of the least Brier score on validation rows."""
     outer = settled(outer)
     methods = [method] if method != "auto" else ["sigmoid", *(["isotonic"] if outer.count() >= LEAST_STEPS else [])]
-    router.sigmoid = platt(outer)
+    shapes = platt(outer, "member")
+    for i, member in enumerate(router.members):
+        member.sigmoid = shapes.get(i, (1.0, 0.0))
     if "isotonic" in methods:
-        router.steps = IsotonicRegression(featuresCol="features", labelCol="label").fit(outer.withColumn("features", array_to_vector(F.array("p"))))
-    scored, best = settled(router.raw(validation).select("label", "p")), None
+        own = outer.withColumn("features", array_to_vector(F.array("p")))
+        fits = _together([lambda i=i: IsotonicRegression(featuresCol="features", labelCol="label").fit(own.where(F.col("member") == i)) for i in range(len(router.members))])
+        for member, steps in zip(router.members, fits, strict=True):
+            member.steps = steps
+    scored, best = settled(router.raw(validation).select("label", *[f"p{i}" for i in range(len(router.members))])), None
     for m in methods:
-        router.method = m
-        own = brier(calibrated(scored, router).select(F.col("label").alias("y"), "p")).first().brier
+        own = brier(calibrated(scored, router, m).select(F.col("label").alias("y"), "p")).first().brier
         if best is None or own < best[0]:
             best = own, m
     router.method = best[1]
@@ -242,7 +363,9 @@ def train(outcomes: DataFrame, policy: str = "quality_floor", candidates: tuple[
     ValueError for too few training or validation rows, or for one class of labels.
     """
     splits = settled(make_splits(outcomes).select("task_id", F.col("group_id").alias("merged"), "split"))
-    rows = settled(prepared(outcomes.join(splits, "task_id").drop("group_id").withColumnRenamed("merged", "group_id")))
+    joined = outcomes.join(splits, "task_id")
+    merged = joined.where("group_id <> merged").select("group_id").distinct().count()
+    rows = settled(prepared(joined.drop("group_id").withColumnRenamed("merged", "group_id")))
     parts = {s: rows.where(F.col("split") == s) for s in ("train", "val", "test")}
     sizes = {s: p.count() for s, p in parts.items()}
     for part, least in (("train", LEAST_TRAIN), ("val", LEAST_VALIDATION)):
@@ -250,7 +373,6 @@ def train(outcomes: DataFrame, policy: str = "quality_floor", candidates: tuple[
             raise ValueError(f"only {sizes[part]} rows of the {part} split; {least} are needed")
     if parts["train"].select("label").distinct().count() < 2:
         raise ValueError("the training split has a single class of labels")
-    merged = near_dup_merge_report(outcomes).count()
     report: dict = {"versions": {"features": FEATURES, "format": FORMAT}, "seed": SEED, "policy": policy, "sizes": sizes, "merged_groups": merged, "candidates": {}}
     routers: dict[str, Router] = {}
     for name in candidates:
@@ -277,13 +399,23 @@ def _judged(scored: DataFrame, policy: str) -> dict:
 def save_router(router: Router, path: str, meta: dict | None = None) -> None:
     """All parts of a router in one folder, with a manifest that a loader checks."""
     spark = SparkSession.getActiveSession()
-    for name, part in (("words", router.features.words), ("chars", router.features.chars), ("scale", router.features.scale), ("model", router.model), ("steps", router.steps)):
-        if part is not None:
-            part.write().overwrite().save(f"{path}/{name}")
-    numbers = [("words", i, [float(x)]) for i, x in enumerate(router.features.idf[0])] + [("chars", i, [float(x)]) for i, x in enumerate(router.features.idf[1])]
-    numbers += [("axes", i, [float(x) for x in row]) for i, row in enumerate(router.axes if router.axes is not None else [])]
-    spark.createDataFrame(numbers, "part string, i int, x array<double>").write.mode("overwrite").parquet(f"{path}/numbers")
-    manifest = {"format": FORMAT, "features": FEATURES, "name": router.name, "threshold": router.threshold, "method": router.method, "sigmoid": list(router.sigmoid), "params": router.params, "meta": meta or {}}
+    numbers, sigmoids = [], []
+    for i, m in enumerate(router.members):
+        for name, part in (("words", m.features.words), ("chars", m.features.chars), ("steps", m.steps), ("model", m.model if m.axes is None else None)):
+            if part is not None:
+                part.write().overwrite().save(f"{path}/member{i}/{name}")
+        for name, values in (("words", m.features.idf[0]), ("chars", m.features.idf[1]), ("scale", m.features.scale)):
+            numbers += [(i, name, k, [float(x)]) for k, x in enumerate(values)]
+        if m.axes is not None:
+            numbers += [(i, "axes", k, [float(x) for x in row]) for k, row in enumerate(m.axes)]
+            numbers += [(i, "edges", k, [float(x) for x in row]) for k, row in enumerate(m.model.edges)]
+            numbers += [(i, "base", 0, [float(m.model.base)])]
+            for k, t in enumerate(m.model.trees):
+                for part in ("feature", "bin", "left", "right", "value"):
+                    numbers.append((i, f"tree_{part}", k, [float(x) for x in getattr(t, part)]))
+        sigmoids.append(list(m.sigmoid))
+    spark.createDataFrame(numbers, "member int, part string, i int, x array<double>").write.mode("overwrite").parquet(f"{path}/numbers")
+    manifest = {"format": FORMAT, "features": FEATURES, "name": router.name, "threshold": router.threshold, "method": router.method, "sigmoids": sigmoids, "params": router.params, "meta": meta or {}}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -300,14 +432,24 @@ def load_router(path: str, configured: tuple[str, str, str] | None = None) -> Ro
         trained = [F.lit(meta.get(k)).cast("string") for k in ("tier_mode", "local_model", "remote_model")]
         if not spark.range(1).select(pair_accepted(*trained, configured).alias("ok")).first().ok:
             raise ValueError(f"router trained for {meta}, configured for {configured}")
-    numbers: dict[str, list] = {"words": [], "chars": [], "axes": []}
-    for r in spark.read.parquet(f"{path}/numbers").orderBy("part", "i").collect():
-        numbers[r.part].append(r.x)
-    idf = tuple(np.array([x[0] for x in numbers[k]]) for k in ("words", "chars"))
-    features = Features(CountVectorizerModel.load(f"{path}/words"), CountVectorizerModel.load(f"{path}/chars"), idf, StandardScalerModel.load(f"{path}/scale"))
-    model = (GBTClassificationModel if manifest["name"] == "gbdt_svd" else LogisticRegressionModel).load(f"{path}/model")
-    steps = IsotonicRegressionModel.load(f"{path}/steps") if manifest["method"] == "isotonic" else None
-    return Router(manifest["name"], features, model, np.array(numbers["axes"]) if numbers["axes"] else None, manifest["method"], tuple(manifest["sigmoid"]), steps, manifest["threshold"], manifest["params"])
+    numbers: dict[tuple, list] = {}
+    for r in spark.read.parquet(f"{path}/numbers").orderBy("member", "part", "i").collect():
+        numbers.setdefault((r.member, r.part), []).append(r.x)
+    members = []
+    for i, sigmoid in enumerate(manifest["sigmoids"]):
+        own = lambda part, i=i: numbers.get((i, part), [])
+        flat = {part: np.array([x[0] for x in own(part)]) for part in ("words", "chars", "scale")}
+        features = Features(CountVectorizerModel.load(f"{path}/member{i}/words"), CountVectorizerModel.load(f"{path}/member{i}/chars"), (flat["words"], flat["chars"]), flat["scale"])
+        axes, model = np.array(own("axes")) if own("axes") else None, None
+        if axes is None:
+            model = LogisticRegressionModel.load(f"{path}/member{i}/model")
+        else:
+            whole = lambda part: [[int(v) for v in x] for x in own(part)]
+            trees = [boosting.Tree(*t) for t in zip(whole("tree_feature"), whole("tree_bin"), whole("tree_left"), whole("tree_right"), own("tree_value"), strict=True)]
+            model = Boosted([np.array(e) for e in own("edges")], own("base")[0][0], trees)
+        steps = IsotonicRegressionModel.load(f"{path}/member{i}/steps") if manifest["method"] == "isotonic" else None
+        members.append(Member(features, model, axes, tuple(sigmoid), steps))
+    return Router(manifest["name"], members, manifest["method"], manifest["threshold"], manifest["params"])
 
 
 def route_learned(router: Router, rows: DataFrame) -> DataFrame:
@@ -327,18 +469,42 @@ def _char_frequency(s, d) -> DataFrame:
     return rows.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= LEAST_DOCS)
 
 
+#: What was trained on given tables, by session and folder: a router is fitted once however many queries use it.
+_TRAINED: dict[tuple[str, str], tuple[Router, dict, DataFrame, dict[str, Router]]] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> tuple[Router, dict, DataFrame, dict[str, Router]]:
+    """``train`` on the outcomes of given tables, grouped by their prompts."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _TRAINED:
+        _TRAINED[key] = train(grouped_by_prompt(view(spark, sf_dir, "outcomes")))
+    return _TRAINED[key]
+
+
+def _scores(name: str):
+    """A candidate's calibrated scores of all outcomes, with the split of each."""
+
+    def run(s, d) -> DataFrame:
+        _, _, splits, routers = trained(s, d)
+        rows = settled(prepared(view(s, d, "outcomes")).select("task_id", "label", "terms", "runs", *ENGINEERED))
+        return routers[name].score(rows).select("task_id", "label", "p").join(splits.select("task_id", "split"), "task_id")
+
+    return run
+
+
 def _selected(s, d) -> DataFrame:
-    """The better of three scores by the points that a policy picks for each."""
-    outcomes = view(s, d, "outcomes")
-    scores = {"score": F.col("p_local"), "turned": F.round(1 - F.col("p_local"), 6), "length": F.round((F.col("n_chars") % 100) / 100, 6)}
-    out = None
-    for name, score in scores.items():
-        own = POLICIES["quality_floor"](sweep(outcomes.withColumn("p_local", score))).select(F.lit(name).alias("candidate"), "threshold", "quality_mean", "cost_total", F.lit("").alias("note"))
-        out = own if out is None else out.unionByName(own)
-    return candidate_select(out, "quality_floor").drop("note")
+    """The candidate that the policy prefers, by its validation figures."""
+    return report_rows(s, trained(s, d)[1]).where("selected")
 
 
-QUERIES = {"tfidf_char": _char_frequency, "candidate_select": _selected}
+QUERIES = {
+    "tfidf_char": _char_frequency,
+    "logreg_tfidf": _scores("logreg_tfidf"),
+    "gbdt_svd": _scores("gbdt_svd"),
+    "candidate_select": _selected,
+    "train": lambda s, d: report_rows(s, trained(s, d)[1]),
+    "route_learned": lambda s, d: route_learned(trained(s, d)[0], view(s, d, "outcomes")),
+}
 _RUNS = "list_concat(CASE WHEN length(w) > 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [w] END, CASE WHEN length(w) > 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) WHEN length(w) = 4 THEN [w] ELSE [] END, CASE WHEN length(w) > 5 THEN list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)) WHEN length(w) = 5 THEN [w] ELSE [] END)"
 ORACLES = {
     "tfidf_char": f"""

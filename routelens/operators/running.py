@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: lineage cut, and the same rows in the same partitions from now on.
-
-    Only a local session may leave the folder unset: it then gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(context) -> None:
+    """Sets the folder for checkpoints. Only a local session may leave it unset: it then gets one of its own."""
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = SparkSession.getActiveSession().conf.get("spark.checkpoint.dir", None)
         if not found:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = os.path.join(tempfile.gettempdir(), f"routelens-{os.getuid()}")
             os.makedirs(found, exist_ok=True)
         context.setCheckpointDir(found)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: lineage cut, and the same rows in the same partitions from now on."""
+    checkpoint_dir(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 

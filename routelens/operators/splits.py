@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..functions.hashrng import uniform, uniform_sql
 from ..sources.views import table, view, with_views
+from . import nearsets
 from .running import running, settled
 
 QUALITY, NEAR, SEED = 0.6, 0.85, 7
@@ -44,55 +45,49 @@ def exact_dup_conflicts(rows: DataFrame) -> DataFrame:
     return keyed.join(first, "norm").where("group_id <> g").select("first", F.col("task_id").alias("later"))
 
 
-def near_dup_classes(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Members (task_id, group_id, ord, h) of each distinct set of 5-character shingles, and pairs (x, y, score) of alike ones.
+def near_dup_classes(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (task_id, group_id, ord, h) of each distinct set of 5-character shingles, the links of each set, and trees of alike sets.
 
-    Equal sets are one row before anything is joined, so copies are never expanded. Alike sets share one of the rarest
-    shingles of either: only those are joined, under the bound on the sizes, and the candidates are compared in full.
+    Equal sets are one row before anything is compared, and alike ones are never expanded into pairs (``nearsets``).
     """
     shingled = F.array_sort(F.transform(T.shingles(F.col("prompt")), lambda x: F.xxhash64(x)))
     members = settled(rows.select("task_id", "group_id", "ord", shingled.alias("s")).withColumn("h", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
-    sets = members.groupBy("h").agg(F.first("s").alias("s")).withColumn("n", F.size("s"))
-    flat = sets.select("h", "n", F.explode("s").alias("x"))
-    seen = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    rare = W.partitionBy("h").orderBy("df", "x")
-    prefix = flat.join(seen, "x").withColumn("k", F.row_number().over(rare)).where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
-    right = prefix.select("x", F.col("h").alias("y"), F.col("n").alias("ny"))
-    able = (F.col("h") < F.col("y")) & (F.least("n", "ny") >= F.greatest("n", "ny") * threshold)
-    pairs = prefix.join(right, "x").where(able).select(F.col("h").alias("a"), "y").distinct()
-    full = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("y"), F.col("s").alias("sy")), "y")
-    alike = full.withColumn("score", T.jaccard(F.col("sa"), F.col("sy"))).where(F.col("score") >= threshold).select(F.col("a").alias("x"), "y", "score")
-    return members.drop("s"), settled(alike)
+    sets = members.groupBy("h").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("m")).select("h", F.size("s").alias("n"), "m", "s")
+    links, trees = nearsets.classes(sets, threshold, components)
+    return members.drop("s"), links, settled(trees)
 
 
 def near_dup_pairs(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """Cross-group pairs (a before b) whose sets of 5-character shingles are alike by Jaccard, equal ones included.
-
-    ``near_dup_classes`` tells the same without a row for each pair of copies.
+    """A row for each prompt that is alike to others by the Jaccard likeness of its 5-character shingles: its class (the
+    earliest prompt of it), how many others it is alike to, the likeness of the closest, and whether its class is in several groups.
     """
-    members, alike = near_dup_classes(rows, threshold)
-    left = members.select(F.col("h").alias("x"), F.col("task_id").alias("a"), F.col("group_id").alias("ga"), F.col("ord").alias("oa"))
-    right = members.select(F.col("h").alias("y"), F.col("task_id").alias("b"), F.col("group_id").alias("gb"), F.col("ord").alias("ob"))
-    both = alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "score"))
-    equal = members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(1.0).alias("score"))
-    return both.unionByName(equal).join(left, "x").join(right, "y").where("ga <> gb AND oa < ob").select("a", "b", F.round("score", 6).alias("score"))
+    members, links, trees = near_dup_classes(rows, threshold)
+    roots = components(trees, members.select(F.col("h").alias("node")).distinct())
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("own"))
+    known = members.join(roots.select(F.col("node").alias("h"), "root"), "h").join(sizes, "h").join(links, "h", "left")
+    known = known.withColumns({"links": F.coalesce("links", F.lit(0)) + F.col("own") - 1, "score": F.when(F.col("own") > 1, 1.0).otherwise(F.col("score"))}).where("links > 0")
+    known = settled(known)
+    whole = known.groupBy("root").agg(F.min_by("task_id", "ord").alias("class"), (F.min("group_id") < F.max("group_id")).alias("across"))
+    return known.join(whole, "root").select("task_id", "class", "links", F.round("score", 6).alias("score"), "across")
 
 
 def near_dup_groups(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """group_id and root of groups merged where they hold near copies; and the links (x, y, score) between groups that do it."""
-    members, alike = near_dup_classes(rows, threshold)
-    least = members.groupBy("h").agg(F.min("group_id").alias("g"))
-    own = members.select("h", "group_id").distinct().join(least, "h").where("group_id <> g").select(F.col("group_id").alias("x"), F.col("g").alias("y"), F.lit(1.0).alias("score"))
-    between = alike.join(least.select(F.col("h").alias("x"), F.col("g").alias("gx")), "x").join(least.select(F.col("h").alias("y"), F.col("g").alias("gy")), "y")
-    links = settled(own.unionByName(between.where("gx <> gy").select(F.greatest("gx", "gy").alias("x"), F.least("gx", "gy").alias("y"), "score")).groupBy("x", "y").agg(F.max("score").alias("score")))
-    return components(links.select("x", "y"), rows.select(F.col("group_id").alias("node")).distinct()).select(F.col("node").alias("group_id"), "root"), links
+    """group_id and root of groups merged where they hold near copies; and (group_id, links, score): the links of its prompts, the closest likeness."""
+    members, links, trees = near_dup_classes(rows, threshold)
+    roots = components(trees, members.select(F.col("h").alias("node")).distinct())
+    held = settled(members.join(roots.select(F.col("node").alias("h"), "root"), "h").groupBy("root", "h", "group_id").agg(F.count(F.lit(1)).alias("k")))
+    least = held.groupBy("root").agg(F.min("group_id").alias("y"))
+    edges = held.select("root", "group_id").distinct().join(least, "root").where("group_id <> y").select(F.col("group_id").alias("x"), "y").distinct()
+    sizes = held.groupBy("h").agg(F.sum("k").alias("own"))
+    each = held.join(sizes, "h").join(links, "h", "left").withColumns({"links": F.coalesce("links", F.lit(0)) + F.col("own") - F.col("k"), "score": F.when(F.col("own") > F.col("k"), 1.0).otherwise(F.col("score"))})
+    ends = each.groupBy("group_id").agg(F.sum(F.col("k") * F.col("links")).alias("links"), F.max("score").alias("score"))
+    return components(edges, rows.select(F.col("group_id").alias("node")).distinct()).select(F.col("node").alias("group_id"), "root"), ends
 
 
 def near_dup_merge_report(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """Each group that is merged into another for splitting: its root, how many links it has, and the score of the closest."""
-    roots, links = near_dup_groups(rows, threshold)
-    ends = links.select(F.explode(F.array("x", "y")).alias("group_id"), "score").groupBy("group_id").agg(F.count(F.lit(1)).alias("links"), F.round(F.max("score"), 6).alias("score"))
-    return roots.where("group_id <> root").join(ends, "group_id")
+    """Each group that is merged into another for splitting: its root, the links of its prompts to alike ones, and the closest likeness."""
+    roots, ends = near_dup_groups(rows, threshold)
+    return roots.where("group_id <> root").join(ends, "group_id").select("group_id", "root", "links", F.round("score", 6).alias("score"))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -102,8 +97,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         lower = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = settled(lower.join(jump, "root").select("node", "old", F.least("root", "next").alias("root")))
+        # only roots that fell themselves: a giant component's root isn't among them, and its nodes may be dealt to several tasks
+        jump = lower.where("root <> node").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        labels = settled(lower.join(jump.hint("merge"), "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
         if not labels.where("root < old").limit(1).count():
             return labels.select("node", "root")
         labels = labels.select("node", "root")
