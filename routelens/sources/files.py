@@ -105,11 +105,24 @@ def sink_train_report(report: dict, splits: DataFrame, path: str) -> None:
     put_text(spark, f"{path}/summary.txt", "\n".join([f"rows by split: {report['sizes']}", f"policy: {report['policy']}", "", *lines, "", f"selected: {report['selected']}", ""]))
 
 
-def sink_eval_report(results: DataFrame, page: str, path: str) -> None:
-    """results.json, a row for each system, and the chart as pareto.html."""
-    rows = [r.asDict() for r in results.orderBy("system").collect()]  # one for each system
-    put_text(results.sparkSession, f"{path}/results.json", json.dumps({"systems": rows}, indent=1, default=float))
-    put_text(results.sparkSession, f"{path}/pareto.html", page)
+def sink_eval_report(results: dict[str, DataFrame], page: str, path: str, meta: dict | None = None) -> None:
+    """The parts of an evaluation: large ones (the curves) as JSON lines in a folder each, the others together in
+    results.json; a summary of the systems, and the chart as pareto.html.
+    """
+    spark = results["systems"].sparkSession
+    whole: dict = dict(meta or {})
+    for name, part in results.items():
+        if name == "curves":
+            part.write.mode("overwrite").json(f"{path}/curves")
+        else:  # a row for each system, category, workload or rate
+            whole[name] = sorted((r.asDict() for r in part.collect()), key=lambda r: json.dumps(r, default=str, sort_keys=True))
+    put_text(spark, f"{path}/results.json", json.dumps(whole, indent=1, default=float))
+    lines = [f"{'system':<20} {'quality':>8} {'cost':>10} {'strong':>7}"]
+    lines += [f"{r['system']:<20} {r['quality_mean']:>8.3f} {r['cost_total']:>10.4f} {r['remote_call_rate']:>7.1%}" for r in whole["systems"]]
+    for v in whole.get("verdicts", []):
+        lines += ["", f"selected: {v['system']}", f"beyond random routing at its rate of strong calls: {v['quality_advantage']:+.4f} (clear: {v['beats_random']})", f"beyond the heuristic: quality {v['quality_diff']:+.4f}, cost {v['cost_diff']:+.4f}", f"short of the oracle: quality {v['oracle_gap_quality']:+.4f}, cost {v['oracle_gap_cost']:+.4f}"]
+    put_text(spark, f"{path}/summary.txt", "\n".join([*lines, ""]))
+    put_text(spark, f"{path}/pareto.html", page)
 
 
 def scan_usage_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -65,6 +65,10 @@ def test_usage_log_splits_and_reports(spark, tmp_path):
     assert files.scan_usage_log(spark, f"{tmp_path}/log", rows.schema).count() == 3
     got = files.scan_splits(spark, write(tmp_path / "splits.json", json.dumps({"seed": 7, "assignment": {"a": "train", "b": "test"}})))
     assert dict(map(tuple, got.collect())) == {"a": "train", "b": "test"}
-    files.sink_eval_report(spark.createDataFrame([("x", 0.5), ("oracle", 0.9)], "system string, quality_mean double"), "<p>chart</p>", f"{tmp_path}/eval")
-    assert [r["system"] for r in json.loads((tmp_path / "eval" / "results.json").read_text())["systems"]] == ["oracle", "x"]
+    systems = spark.createDataFrame([("x", 0.5, 1.0, 0.2), ("oracle", 0.9, 1.0, 0.2)], "system string, quality_mean double, cost_total double, remote_call_rate double")
+    curve = spark.createDataFrame([(0.1, 0.5)], "threshold double, quality_mean double")
+    files.sink_eval_report({"systems": systems, "curves": curve}, "<p>chart</p>", f"{tmp_path}/eval", {"split": "test"})
+    found = json.loads((tmp_path / "eval" / "results.json").read_text())
+    assert [r["system"] for r in found["systems"]] == ["x", "oracle"] and found["split"] == "test"
+    assert spark.read.json(f"{tmp_path}/eval/curves").first().threshold == 0.1 and "oracle" in (tmp_path / "eval" / "summary.txt").read_text()
     assert (tmp_path / "eval" / "pareto.html").read_text() == "<p>chart</p>"

@@ -5,27 +5,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from routelens.ml import routers, train
+from routelens.ml import evaluation, routers, train
+from routelens.plans.pareto import pareto_html
 from routelens.sources import files
 from routelens.sources.views import view
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_train_score_and_artifact(spark, tmp_path):
-    rows = routers.grouped_folds(routers.prepared(view(spark, SF_DIR, "outcomes"))).cache()
-    assert rows.groupBy("group_id").agg({"fold": "min"}).count() == rows.select("group_id", "fold").distinct().count()
-    model = routers.pipeline(0.1).fit(rows.where("fold <> 0"))
-    p = {r.task_id: r.p for r in routers.scored(model, rows).collect()}
-    assert len(p) == rows.count() and all(0 <= x <= 1 for x in p.values())
-    routers.save_artifact(model, f"{tmp_path}/a", 0.5)
-    loaded, manifest = routers.load_artifact(f"{tmp_path}/a")
-    assert manifest["threshold"] == 0.5
-    again = {r.task_id: r.p for r in routers.scored(loaded, rows).collect()}
-    assert all(abs(again[k] - v) < 1e-12 for k, v in p.items())
-    routers.save_artifact(model, f"{tmp_path}/b", 2.0)
-    with pytest.raises(ValueError):
-        routers.load_artifact(f"{tmp_path}/b")
+def test_folds_keep_groups_together(spark):
+    rows = routers.grouped_folds(view(spark, SF_DIR, "outcomes"))
+    assert rows.groupBy("group_id").agg(F.min("fold")).count() == rows.select("group_id", "fold").distinct().count()
 
 
 def test_platt_recovers_a_logistic(spark):
@@ -33,9 +23,12 @@ def test_platt_recovers_a_logistic(spark):
     rows = []
     for _ in range(4000):
         z = rng.gauss(0, 2)
-        rows.append((1 / (1 + math.exp(-z)), float(rng.random() < 1 / (1 + math.exp(-(0.5 * z - 1))))))
-    a, b = routers.platt(spark.createDataFrame(rows, "p double, label double"))
-    assert abs(a - 0.5) < 0.1 and abs(b + 1) < 0.15
+        for k, slope in enumerate((0.5, 2.0)):
+            rows.append((k, 1 / (1 + math.exp(-z)), float(rng.random() < 1 / (1 + math.exp(-(slope * z - 1))))))
+    rows += [(2, p, y) for p, y in ((1e-9, 0.0), (1.0, 1.0)) for _ in range(50)]
+    shapes = routers.platt(spark.createDataFrame(rows, "k int, p double, label double"), "k")
+    assert abs(shapes[0][0] - 0.5) < 0.1 and abs(shapes[1][0] - 2) < 0.3 and all(abs(shapes[k][1] + 1) < 0.2 for k in range(2))
+    assert 0.1 < shapes[2][0] < 10  # labels that the score tells for sure give no step
 
 
 def learnable(spark, n=420):
@@ -54,19 +47,27 @@ def learnable(spark, n=420):
 
 def test_training_chooses_and_routes(spark, tmp_path):
     rows = learnable(spark)
-    router, report, splits, routers = train.train(rows, rounds=3)
+    router, report, splits, found = train.train(rows, rounds=3)
     assert set(report["candidates"]) == {"logreg_tfidf", "gbdt_svd", "heuristic_reference"} and report["selected"] == router.name
     assert report["candidates"]["logreg_tfidf"]["roc_auc"] > 0.95 > 0.75 > report["candidates"]["heuristic_reference"]["roc_auc"]
     assert splits.count() == rows.count() == splits.select("task_id").distinct().count()
     assert splits.join(rows.select("task_id", rows.group_id.alias("own")), "task_id").groupBy("own").agg({"split": "min"}).count() == splits.join(rows.select("task_id", rows.group_id.alias("own")), "task_id").select("own", "split").distinct().count()
-    assert all(r.method in ("sigmoid", "isotonic") for r in routers.values())
-    for name, own in routers.items():
+    assert all(r.method in ("sigmoid", "isotonic") for r in found.values())
+    for name, own in found.items():
         train.save_router(own, f"{tmp_path}/{name}", {"tier_mode": "pair", "local_model": "a", "remote_model": "b"})
         again = train.load_router(f"{tmp_path}/{name}", ("pair", "a", "b"))
         first, second = ({r.task_id: (r.confidence, r.route) for r in train.route_learned(x, rows.limit(60)).collect()} for x in (own, again))
         assert first == second and len(first) == 60
         with pytest.raises(ValueError, match="trained for"):
             train.load_router(f"{tmp_path}/{name}", ("pair", "a", "c"))
+    test = evaluation.scored(rows.drop("n_chars").join(splits.where("split = 'test'").select("task_id"), "task_id"), found)
+    parts = evaluation.evaluate(test, found, report["selected"])
+    files.sink_eval_report(parts, pareto_html(parts["curves"], parts["systems"], "Cost and quality"), f"{tmp_path}/eval", {"split": "test"})
+    told = json.loads((tmp_path / "eval" / "results.json").read_text())
+    quality = {r["system"]: r["quality_mean"] for r in told["systems"]}
+    assert set(quality) == {"all_local", "all_remote", "oracle", "heuristic", *found} and quality["all_local"] < quality["oracle"]
+    assert told["verdicts"][0]["system"] == report["selected"] and {r["mixture"] for r in told["mixtures"]} == {"balanced", "easy_heavy", "hard_heavy"}
+    assert all(r["quality_lo"] <= r["quality_mean"] <= r["quality_hi"] for r in told["systems"]) and len(told["random_curve"]) == 21
     files.sink_train_report(report, splits, f"{tmp_path}/report")
     assert dict(map(tuple, files.scan_splits(spark, f"{tmp_path}/report").collect())) == {r.task_id: r.split for r in splits.collect()}
     assert json.loads((tmp_path / "report" / "report.json").read_text())["selected"] == report["selected"] and report["selected"] in (tmp_path / "report" / "summary.txt").read_text()
