@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.views import table, view, with_views
-from .running import settled
+from . import indexes
+from .running import scan
 
 #: Characters of context, of memory, and memories of it.
 CONTEXT, MEMORY, TOP = 2000, 5000, 6
@@ -24,17 +25,19 @@ def conv_list(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last_turn"), F.min_by(F.substring("content", 1, 40), F.when(F.col("role") == "user", F.col("turn"))).alias("title"))
 
 
-def chat_search(messages: DataFrame, term: str) -> DataFrame:
+def chat_search(messages: DataFrame, term: str, index: DataFrame | None = None) -> DataFrame:
     """Conversations with a message that holds the term, in any case; all for a blank term."""
-    hit = messages if not term.strip() else messages.where(F.col("content").ilike(f"%{term}%"))
-    return hit.select("conversation_id").distinct()
+    if not term.strip():
+        return messages.select("conversation_id").distinct()
+    index = indexes.run_index(messages, "id", "content") if index is None else index
+    return indexes.holding(messages, index, "id", term, "content").select("conversation_id").distinct()
 
 
 def complete_turns(messages: DataFrame) -> DataFrame:
     """Adjacent pairs of a user message and the assistant's answer."""
-    order = W.partitionBy("conversation_id").orderBy("turn")
-    rows = messages.select("*", F.lag("role").over(order).alias("before"), F.lag("id").over(order).alias("user_id"), F.lag("content").over(order).alias("user_content"))
-    return rows.where("role = 'assistant' AND before = 'user'").select("conversation_id", "user_id", F.col("id").alias("assistant_id"), (F.length("content") + F.length("user_content")).alias("chars"), "content", "user_content")
+    before = F.struct("role", "id", "content")
+    rows = scan(messages, ["conversation_id"], [F.col("turn"), F.col("id")], before=("lag", before))
+    return rows.where("role = 'assistant' AND before.role = 'user'").select("conversation_id", F.col("before.id").alias("user_id"), F.col("id").alias("assistant_id"), (F.length("content") + F.length("before.content")).alias("chars"), "content", F.col("before.content").alias("user_content"))
 
 
 def turn_search(messages: DataFrame, term: str, n: int = 5) -> DataFrame:
@@ -45,9 +48,9 @@ def turn_search(messages: DataFrame, term: str, n: int = 5) -> DataFrame:
 
 
 def prev_user_message(messages: DataFrame) -> DataFrame:
-    """For each answer, the latest earlier user message of its conversation."""
-    before = W.partitionBy("conversation_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return messages.select("id", "role", F.last(F.when(F.col("role") == "user", F.col("id")), ignorenulls=True).over(before).alias("user_id")).where("role = 'assistant'").select("id", "user_id")
+    """For each answer, the last user message before it."""
+    rows = scan(messages.select("id", "conversation_id", "turn", "role"), ["conversation_id"], [F.col("turn"), F.col("id")], user_id=("last", F.when(F.col("role") == "user", F.col("id"))))
+    return rows.where("role = 'assistant'").select("id", "user_id")
 
 
 def context_budget(messages: DataFrame, chars: int = CONTEXT) -> DataFrame:
@@ -104,53 +107,9 @@ def rendered(messages: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "conversation_id long, digest string")
 
 
-#: Words of items that are looked up at a time: an index of so many is sent to all executors.
-POSTINGS = 2_000_000
-
-
-def relevant_topk(items: DataFrame, queries: DataFrame, k: int = TOP, postings: int = POSTINGS) -> DataFrame:
-    """For each query (qid, text), the k items (id, text, updated, perhaps pinned) that share most of its words of three letters up.
-
-    A pinned item scores two more. Items are taken in blocks of about ``postings`` words, each an index that is sent out
-    and read by all queries in one pass without a shuffle; a block's best k of a query are enough for the whole.
-    """
-    bag = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w{3,})"), F.lit(1)), lambda w: w != ""))
-    pinned = F.col("pinned").cast("int") * 2 if "pinned" in items.columns else F.lit(0)
-    words = settled(items.select("id", F.col("updated").cast("long").alias("updated"), pinned.alias("more"), bag("text").alias("w")))
-    blocks = max(1, -(-(words.agg(F.sum(F.size("w"))).first()[0] or 0) // postings))
-    asked, out = queries.select("qid", bag("text").alias("w")), None
-    if blocks > 1:
-        asked = settled(asked)
-    for block in range(blocks):
-        own = words.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
-        best = asked.mapInArrow(_best_of(own, k), "qid long, id long, score long, updated long")
-        out = best if out is None else out.unionByName(best)
-    order = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("updated"), "id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("qid", "id", "score", "place")
-
-
-def _best_of(items: list, k: int):
-    """A pass over queries that finds the best k of these items for each."""
-    index: dict[str, list[int]] = {}
-    for i, item in enumerate(items):
-        for w in item.w or ():
-            index.setdefault(w, []).append(i)
-    where = {w: np.array(at, np.int32) for w, at in index.items()}
-    ids, updated, more = (np.array([r[c] for r in items], np.int64) for c in ("id", "updated", "more"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for qid, words in zip(batch["qid"].to_pylist(), batch["w"].to_pylist(), strict=True):
-                hits = [where[w] for w in words or () if w in where]
-                score = (np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(len(ids), np.int64)) + more
-                found = np.flatnonzero(score > 0)
-                best = found[np.lexsort((ids[found], -updated[found], -score[found]))[:k]]
-                parts.append((np.full(len(best), qid, np.int64), ids[best], score[best].astype(np.int64), updated[best]))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["qid", "id", "score", "updated"])
-
-    return run
+def relevant_topk(items: DataFrame, queries: DataFrame, k: int = TOP, block: int = indexes.BLOCK) -> DataFrame:
+    """For each query (qid, text), the k items (id, text, updated, perhaps pinned) that share most of its words of three letters up."""
+    return indexes.best_items(items, queries, k, block)
 
 
 def echo_guard(messages: DataFrame) -> DataFrame:

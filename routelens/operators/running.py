@@ -47,6 +47,45 @@ def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return out.select(*rows.columns, *sums)
 
 
+def scan(rows: DataFrame, by: list[str], order: list[Column], **outs: tuple[str, Column]) -> DataFrame:
+    """``rows`` with values that gather over the rows of equal ``by`` in order, however many rows one key has.
+
+    Kinds: sum (up to and with the row), last (the last that isn't null, the row's own included), lag and lead (of the
+    neighbouring row; null beyond the ends). Rows are range-partitioned by key and order; a key that goes on in another
+    partition is the first or the last of each, so two rows a partition carry what is needed from one to the next.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = rows.withColumns(dict(zip(keys, order, strict=True)) | {name: F.struct(c.alias("v")) if kind in ("lag", "lead") else c for name, (kind, c) in outs.items()})
+    own = settled(own.repartitionByRange(n, *by, *keys).withColumn("_part", F.spark_partition_id()))
+    key, place = F.struct(*by), F.struct(*keys)
+    ends = own.groupBy("_part").agg(F.min(key).alias("_a"), F.max(key).alias("_z"))
+    total = {
+        "sum": lambda c: F.sum(c),
+        "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)),
+        "lag": lambda c: F.max_by(c, place),
+        "lead": lambda c: F.min_by(c, place),
+    }
+    parts = own.join(F.broadcast(ends), "_part").where(key.eqNullSafe(F.col("_a")) | key.eqNullSafe(F.col("_z"))).groupBy("_part", *by).agg(*[total[kind](F.col(name)).alias(f"_t_{name}") for name, (kind, _) in outs.items()])
+    line = W.partitionBy(*by).orderBy("_part")
+    before, after = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing)
+    carry = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, True).over(before), "lag": lambda c: F.last(c, True).over(before), "lead": lambda c: F.first(c, True).over(after)}
+    carried = parts.select(F.col("_part").alias("_p"), *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], *[carry[kind](F.col(f"_t_{name}")).alias(f"_c_{name}") for name, (kind, _) in outs.items()])
+    same = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    here = W.partitionBy("_part", *by).orderBy(*keys)
+    upto, past, next_ = here.rowsBetween(W.unboundedPreceding, 0), here.rowsBetween(W.unboundedPreceding, -1), here.rowsBetween(1, W.unboundedFollowing)
+    gathered = {
+        "sum": lambda c, more: F.when(more.isNull(), F.sum(c).over(upto)).otherwise(F.coalesce(F.sum(c).over(upto), F.lit(0)) + more),
+        "last": lambda c, more: F.coalesce(F.last(c, True).over(upto), more),
+        "lag": lambda c, more: F.coalesce(F.last(c, True).over(past), more)["v"],
+        "lead": lambda c, more: F.coalesce(F.first(c, True).over(next_), more)["v"],
+    }
+    told = own.join(F.broadcast(carried), same, "left").withColumns({name: gathered[kind](F.col(name), F.col(f"_c_{name}")) for name, (kind, _) in outs.items()})
+    return told.select(*rows.columns, *outs)
+
+
 def quantiles(rows: DataFrame, by: str, value: str, **at: tuple[str, float]) -> DataFrame:
     """Exact quantiles of each group: ("linear", q) between neighbours, ("nearest", q) at the rank rounded half to even.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.views import table, view, with_views
+from . import indexes
 
 #: Prompts that exercise the signals, which the given prose hardly does.
 PROMPTS = (
@@ -87,31 +88,11 @@ QUERIES = {
 }
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and item_id where a document's normal form (answer) holds an item's (reference).
-
-    An item of seven words and more is met by its first inner run of five whole words. A shorter one's words may be
-    parts of longer ones at either end: its inner words are the key, all runs of that many words its partners; one of
-    two words or fewer has none, and is looked for in all documents, a block of rows against the few such items.
-    """
-    words = F.size(F.split("reference", " "))
-    sized = items.withColumn("w", F.least(F.lit(5), words - 2))
-    keyed = sized.where("w > 0").withColumn("k", F.xxhash64("w", F.concat_ws(" ", F.expr("slice(split(reference, ' '), 2, w)"))))
-    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.concat_ws(" ", F.slice(w, i, n))))
-    lengths = [r.w for r in keyed.select("w").distinct().collect()]  # five at most
-    met = None
-    if lengths:
-        every = T.let(F.split("answer", " "), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in sorted(lengths)])))
-        met = docs.select("doc_id", "answer", F.explode(every).alias("k")).join(keyed, "k").where(F.contains("answer", "reference")).select("doc_id", "item_id").distinct()
-    short = docs.join(sized.where("w <= 0").select("item_id", "reference"), F.contains("answer", "reference")).select("doc_id", "item_id")
-    return short if met is None else met.unionByName(short)
-
-
 def _contains(s, d) -> DataFrame:
     """Documents that hold a benchmark passage, or one of its first four words (each item's, told by 100000 and more)."""
     text = table(s, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("reference"))
     short = text.select((F.col("item_id") + 100000).alias("item_id"), F.array_join(F.slice(F.split("reference", " "), 2, 4), " ").alias("reference"))
-    return contained(_docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("answer")), text.unionByName(short))
+    return indexes.contained(_docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("answer")), text.unionByName(short))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM_\\s\\x{00A0}]', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))"

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..sources.views import view, with_views
-from .running import running
+from .running import running, scan
 
 #: Dollars per million tokens of the billed provider, in and out.
 CHEAP_IN, CHEAP_OUT, STRONG_IN, STRONG_OUT = 0.05, 0.2, 0.15, 0.6
@@ -105,9 +104,10 @@ def logprob_reco(rows: DataFrame, bar: float = MIN_ACCURACY) -> DataFrame:
 
 def session_totals(log: DataFrame) -> DataFrame:
     """Running totals of each run, in order: asked, cheap answers, billable and local tokens."""
-    so_far = W.partitionBy("run_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     local = F.col("cheap_prompt_tokens") + F.col("cheap_completion_tokens")
-    return log.select("task_id", "run_id", F.count(F.lit(1)).over(so_far).alias("asked"), F.count_if(F.col("route") == "cheap").over(so_far).alias("cheap"), F.sum("billable_tokens").over(so_far).alias("billable"), F.sum(local).over(so_far).alias("local_tokens"))
+    sums = {"asked": F.lit(1), "cheap": (F.col("route") == "cheap").cast("int"), "billable": F.col("billable_tokens"), "local_tokens": local}
+    told = scan(log.select("task_id", "run_id", "ord", *[c.alias(f"_{n}") for n, c in sums.items()]), ["run_id"], [F.col("ord"), F.col("task_id")], **{n: ("sum", F.col(f"_{n}")) for n in sums})
+    return told.select("task_id", "run_id", *sums)
 
 
 def _log(spark, d):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.views import table, view, with_views
-from .running import quantiles
+from . import indexes
+from .running import quantiles, scan
 
 NOW = "2024-01-20 12:00:00"
 #: Most requests, tokens, dollars, seconds and validation errors of a run.
@@ -70,8 +71,8 @@ def ledger(events: DataFrame) -> DataFrame:
 
 def revisions(changes: DataFrame) -> DataFrame:
     """Changes of an item with their version, what they replaced, and whether they are current."""
-    order = W.partitionBy("item").orderBy("ord")
-    return changes.select("item", "ord", F.row_number().over(order).alias("version"), F.lag("content").over(order).alias("replaced"), F.lead("ord").over(order).isNull().alias("current"))
+    told = scan(changes.select("item", "ord", "content"), ["item"], [F.col("ord")], version=("sum", F.lit(1)), replaced=("lag", F.col("content")), later=("lead", F.col("ord")))
+    return told.select("item", "ord", F.col("version").cast("int").alias("version"), "replaced", F.col("later").isNull().alias("current"))
 
 
 def run_states(events: DataFrame) -> DataFrame:
@@ -116,6 +117,35 @@ def _runs(s, d):
     return table(s, d, "events").select((k % 300).alias("run_id"), k.alias("ord"), F.element_at(F.array(*map(F.lit, ("queued", "running", "completed", "failed", "cancelled"))), (F.col("user_id") % 5 + 1).cast("int")).alias("state"))
 
 
+def item_search(items: DataFrame, term: str, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Items (id, kind, title, content, updated) of a kind whose title or content holds the term in any case, the newest first;
+    as many as a list shows. ValueError for an unknown kind.
+    """
+    if kind is not None and kind not in ITEM_KINDS:
+        raise ValueError(f"unknown kind {kind!r}")
+    index = indexes.run_index(items, "id", "title", "content") if index is None else index
+    found = indexes.holding(items if kind is None else items.where(F.col("kind") == kind), index, "id", term, "title", "content")
+    listed = found.select("id", "kind", "updated").orderBy(F.desc("updated"), "id").limit(LISTED)
+    return listed.select("id", "kind", F.row_number().over(W.orderBy(F.desc("updated"), "id")).alias("place"))
+
+
+def _searched(s, d) -> DataFrame:
+    """Several searches over pages as items, by one index."""
+    kind = F.element_at(F.array(*map(F.lit, ITEM_KINDS)), (F.col("page_id") % len(ITEM_KINDS) + 1).cast("int"))
+    items = table(s, d, "pages").select(F.col("page_id").alias("id"), kind.alias("kind"), F.col("url").alias("title"), F.col("html").alias("content"), (F.col("page_id") * 7919 % 1000).alias("updated"))
+    index, out = indexes.run_index(items, "id", "title", "content"), None
+    for i, (term, of) in enumerate(SEARCHES):
+        own = item_search(items, term, of, index).select(F.lit(i).alias("search"), "id", "kind", "place")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: Kinds of items; the length of a list of them.
+ITEM_KINDS, LISTED = ("note", "brief", "code", "file", "action"), 500
+#: Terms and kinds that the query looks for: a word, none, one letter, one with a wildcard, one of a title.
+SEARCHES = (("Article", None), ("", "note"), ("q", "brief"), ("div%cla_s", "code"), ("HTTPS://", "file"), ("no such run", None))
+_ITEMS_SQL = "(SELECT page_id AS id, ['note', 'brief', 'code', 'file', 'action'][page_id % 5 + 1] AS kind, url AS title, html AS content, page_id * 7919 % 1000 AS updated FROM pages)"
+
 QUERIES = {
     "next_due": lambda s, d: _jobs(s, d).select("ord", next_due(F.col("due"), _now(), F.col("repeat_minutes")).alias("next")),
     "due_filter": lambda s, d: due_jobs(_jobs(s, d), _now()).select("ord", "job_id"),
@@ -129,7 +159,7 @@ QUERIES = {
     "run_state_machine": lambda s, d: run_states(_runs(s, d)),
     "orphan_jobs": lambda s, d: _jobs(s, d).where("status = 'failed'").select("job_id").distinct().join(_jobs(s, d).where("repeat_minutes > 100").select("job_id").distinct(), "job_id", "left_anti"),
     "occurrence_status": lambda s, d: _jobs(s, d).select("ord", (F.col("ord") % 300).alias("run_id")).join(run_states(_runs(s, d)).where("state <> 'failed'"), "run_id", "left").select("ord", F.coalesce("state", F.lit("interrupted")).alias("status")),
-    "item_search": lambda s, d: table(s, d, "documents").where(F.col("text").ilike("%licensed%")).select("doc_id", "lang"),
+    "item_search": _searched,
     "items_list": lambda s, d: table(s, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(500).select("doc_id", "n_chars"),
     "json_decode": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k")),
     "median_p95": lambda s, d: latencies(table(s, d, "events").select(F.col("event_type").alias("model"), "value")),
@@ -151,7 +181,7 @@ WITH u AS (SELECT run_id, sum(attempts) AS requests, sum(tokens) AS tokens, roun
     "run_state_machine": "SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1)",
     "orphan_jobs": with_views("SELECT DISTINCT job_id FROM jobs WHERE status = 'failed' AND job_id NOT IN (SELECT job_id FROM jobs WHERE repeat_minutes > 100)", "jobs"),
     "occurrence_status": "SELECT event_id AS ord, coalesce(s.state, 'interrupted') AS status FROM events e LEFT JOIN (SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1) WHERE state <> 'failed') s ON s.run_id = e.event_id % 300",
-    "item_search": "SELECT doc_id, lang FROM documents WHERE text ILIKE '%licensed%'",
+    "item_search": " UNION ALL ".join(f"(SELECT {i} AS search, id, kind, row_number() OVER (ORDER BY updated DESC, id) AS place FROM {_ITEMS_SQL} WHERE {'true' if kind is None else f"kind = '{kind}'"} AND (title ILIKE '%{term}%' OR content ILIKE '%{term}%') ORDER BY updated DESC, id LIMIT {LISTED})" for i, (term, kind) in enumerate(SEARCHES)),
     "items_list": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500",
     "json_decode": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
     "median_p95": "SELECT event_type AS model, round(quantile_cont(value, 0.5), 6) AS median, round(list_sort(list(value))[round_even(0.95 * (count(*) - 1), 0)::INT + 1], 6) AS p95, count(*) AS n FROM events GROUP BY event_type",

@@ -1,12 +1,13 @@
 """Closed-form cases."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from routelens.functions import text as T
-from routelens.operators import chatlog, contracts, conversations, datasets, metrics, running, simulate, splits, sweep, text, usage, workspace
+from routelens.operators import indexes, chatlog, contracts, conversations, datasets, metrics, running, simulate, splits, sweep, text, usage, workspace
 from routelens.sources import files
 
 
@@ -93,7 +94,7 @@ def test_html_lines(spark):
 def test_contained_passages_of_any_length(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta end"), (2, "xalpha beta gammay"), (3, "gamma"), (4, "one two three four five six seven eight")], "doc_id long, answer string")
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["beta gamma delta", "alpha beta gamma", "gamma", "eta gam", "two three four five six seven", "delta end x", "wo three four fiv"])], "item_id long, reference string")
-    got = {tuple(r) for r in text.contained(docs, items).collect()}
+    got = {tuple(r) for r in indexes.contained(docs, items, 30).collect()}
     assert got == {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.reference in d.answer}
 
 
@@ -235,6 +236,30 @@ def test_split_of_many_groups_and_merged_groups(spark):
         splits.make_splits(outcomes(spark, [row(1, group="a", prompt="Same!"), row(2, group="b", prompt="same")]))
 
 
+def test_scan_carries_from_partition_to_partition(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice((None, "a", "a", "a", "b", "c")), i, rng.choice((None, rng.randrange(9)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    got = {r.i: (r.total, r.known, r.before, r.after) for r in running.scan(df, ["k"], [F.col("i")], total=("sum", F.col("v")), known=("last", F.col("v")), before=("lag", F.col("v")), after=("lead", F.col("v"))).collect()}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        for j, (_, i, _) in enumerate(own):
+            seen = [v for _, _, v in own[: j + 1] if v is not None]
+            assert got[i] == (sum(seen) if seen else None, seen[-1] if seen else None, own[j - 1][2] if j else None, own[j + 1][2] if j + 1 < len(own) else None)
+
+
+def test_searches_by_runs(spark):
+    rows = [(1, "Ärger über", "x"), (2, None, "aBcd"), (3, "ab", None), (4, "a%c", "_"), (5, "xaXcy", "ü")]
+    df = spark.createDataFrame(rows, "id long, title string, content string")
+    index = indexes.run_index(df, "id", "title", "content")
+    for term in ("", "a", "ÄRGER", "abc", "a_c", "b%d", "%", "über x", "xaxc"):
+        want = {i for i, *texts in rows if any(t is not None and re.search(re.escape(term.lower()).replace("%", ".*").replace("_", "."), t.lower()) for t in texts)}
+        assert {r.id for r in indexes.holding(df, index, "id", term, "title", "content").collect()} == want
+    assert indexes.grams_of("ab%cdef_gh") == ["cde", "def"]
+
+
 def test_relevant_items_in_blocks(spark):
     import random
 
@@ -248,8 +273,8 @@ def test_relevant_items_in_blocks(spark):
         scored = sorted(((len(bag(text_) & bag(t)) + 2 * p, u, i) for i, t, u, p in items), key=lambda x: (-x[0], -x[1], x[2]))
         want |= {(qid, i, n, place + 1) for place, (n, _, i) in enumerate([x for x in scored if x[0] > 0][:6])}
     frames = spark.createDataFrame(items, "id long, text string, updated long, pinned boolean"), spark.createDataFrame(queries, "qid long, text string")
-    for postings in (10_000, 200):
-        assert {tuple(r) for r in conversations.relevant_topk(*frames, postings=postings).collect()} == want
+    for block in (1024, 7, 1):
+        assert {tuple(r) for r in conversations.relevant_topk(*frames, block=block).collect()} == want
 
 
 def test_contracts(spark):
