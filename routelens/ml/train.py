@@ -95,39 +95,53 @@ class Features:
     def width(self) -> int:
         return sum(map(len, self.idf)) + len(self.scale)
 
+    def counted(self, rows: DataFrame, names: tuple[str, str] = ("w", "c")) -> DataFrame:
+        """Rows with the counts of words and of character runs."""
+        for model, name in zip((self.words, self.chars), names, strict=True):
+            rows = model.copy({model.outputCol: name}).transform(rows)
+        return rows
+
     def of(self, rows: DataFrame, *columns: str) -> DataFrame:
         """``columns`` and the vectors: counts as 1 + log times their inverse frequency to unit length, and scaled engineered features."""
-        counted = rows
-        for model, name in ((self.words, "w"), (self.chars, "c")):
-            counted = model.copy({model.outputCol: name}).transform(counted)
-        counted = counted.select("w", "c", F.array(*[F.col(c).cast("double") for c in ENGINEERED]).alias("own"), *columns)
-        begins, size, idf, scale = np.cumsum([0, *map(len, self.idf)]), self.width, self.idf, self.scale  # without the models, which can't be sent
+        counted = self.counted(rows).select("w", "c", _own(), *columns)
+        size, idf, scale = self.width, self.idf, self.scale  # without the models, which can't be sent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, row, index, value = batch.num_rows, [], [], []
-                for i in range(2):
-                    r, at, v = sparse(batch.column(i))
-                    v = (1 + np.log(v)) * idf[i][at]
-                    length = np.sqrt(np.bincount(r, v * v, n))
-                    row.append(r)
-                    index.append(at + begins[i])
-                    value.append(v / length[r])
-                own = boosting.matrix(batch.column(2)) / scale
-                row.append(np.repeat(np.arange(n), len(scale)))
-                index.append(np.tile(np.arange(len(scale)) + begins[2], n))
-                value.append(own.ravel())
-                row, index, value = map(np.concatenate, (row, index, value))
-                order = np.argsort(row, kind="stable")
+                n = batch.num_rows
+                row, index, value = weighed(batch.column(0), batch.column(1), batch.column(2), idf, scale)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
                 told = pa.StructArray.from_arrays(
-                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, index[order].astype(np.int32)), pa.ListArray.from_arrays(offsets, value[order])],
+                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, index.astype(np.int32)), pa.ListArray.from_arrays(offsets, value)],
                     names=["type", "size", "indices", "values"])
                 yield pa.RecordBatch.from_arrays([*batch.columns[3:], told], names=[*columns, "features"])
 
         return counted.mapInArrow(run, counted.drop("w", "c", "own").schema.add("features", VectorUDT()))
 
 
+def _own() -> Column:
+    return F.array(*[F.col(c).cast("double") for c in ENGINEERED]).alias("own")
+
+
+def weighed(words: pa.Array, chars: pa.Array, own: pa.Array, idf: tuple[np.ndarray, np.ndarray], scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index and value of the feature vectors of rows with their counts, by row."""
+    n, row, index, value = len(own), [], [], []
+    begins = np.cumsum([0, *map(len, idf)])
+    for i, column in enumerate((words, chars)):
+        r, at, v = sparse(column)
+        v = (1 + np.log(v)) * idf[i][at]
+        length = np.sqrt(np.bincount(r, v * v, n))
+        row.append(r)
+        index.append(at + begins[i])
+        value.append(v / length[r])
+    row.append(np.repeat(np.arange(n), len(scale)))
+    index.append(np.tile(np.arange(len(scale)) + begins[2], n))
+    value.append((boosting.matrix(own) / scale).ravel())
+    row, index, value = map(np.concatenate, (row, index, value))
+    order = np.argsort(row, kind="stable")
+    return row[order], index[order], value[order]
+
+
 def sparse(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, index and value of what vectors hold."""
     indices, values = column.field(2), column.field(3)
@@ -145,12 +159,22 @@ class Member:
     sigmoid: tuple[float, float] = (1.0, 0.0)
     steps: IsotonicRegressionModel | None = None
 
-    def raw(self, rows: DataFrame, name: str = "p") -> DataFrame:
-        """Prepared rows with the model's own probability."""
-        seen = self.features.of(rows, *rows.columns)
-        if self.axes is not None:
-            return self.model.probability(projected(seen, self.axes), name=name)
-        return self.model.transform(seen).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    def sent(self) -> tuple:
+        """What a task needs to score rows: weights, and coefficients or directions and trees."""
+        linear = None if self.axes is not None else (self.model.coefficients.toArray(), self.model.intercept)
+        return self.features.idf, self.features.scale, self.axes, linear or self.model
+
+
+def probability(member: tuple, words: pa.Array, chars: pa.Array, own: pa.Array) -> np.ndarray:
+    """A member's own probability of rows with their counts."""
+    idf, scale, axes, model = member
+    vectors = weighed(words, chars, own, idf, scale)
+    if axes is not None:
+        score = model.score(times(vectors, axes, len(own)))
+    else:
+        row, index, value = vectors
+        score = np.bincount(row, value * model[0][index], len(own)) + model[1]
+    return 1 / (1 + np.exp(-score))
 
 
 @dataclass
@@ -164,10 +188,25 @@ class Router:
     params: dict = field(default_factory=dict)
 
     def raw(self, rows: DataFrame) -> DataFrame:
-        """Prepared rows with each member's own probability, p0 and on."""
+        """Prepared rows with each member's own probability, p0 and on; one pass scores all members."""
+        columns = [c for c in rows.columns if c not in ("terms", "runs", *ENGINEERED)]
+        counted = rows
         for i, member in enumerate(self.members):
-            rows = member.raw(rows, f"p{i}")
-        return rows
+            counted = member.features.counted(counted, (f"w{i}", f"c{i}"))
+        names = [n for i in range(len(self.members)) for n in (f"w{i}", f"c{i}")]
+        counted = counted.select(_own(), *names, *columns)
+        members = rows.sparkSession.sparkContext.broadcast([m.sent() for m in self.members])  # vocabularies and directions have fixed bounds
+        told = [f"p{i}" for i in range(len(self.members))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = [probability(m, batch.column(1 + 2 * i), batch.column(2 + 2 * i), batch.column(0)) for i, m in enumerate(members.value)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1 + len(names) :], *map(pa.array, p)], names=[*columns, *told])
+
+        schema = counted.select(*columns).schema
+        for name in told:
+            schema = schema.add(name, "double")
+        return counted.mapInArrow(run, schema)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Prepared rows with the calibrated probability p that the cheap answer is good."""

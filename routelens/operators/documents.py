@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
-from io import BytesIO
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.views import table
 
-#: Media types of the formats an item can be exported in; most bytes and parts of an office document.
+#: Media types of the formats an item can be exported in.
 TYPES = {"md": "text/markdown", "txt": "text/plain", "csv": "text/csv", "html": "text/html"}
-MOST_BYTES, MOST_PARTS = 20_000_000, 2000
 
 
 def export_item(title: Column, content: Column, kind: str) -> Column:
@@ -37,65 +37,151 @@ def event_line(event: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(event), F.lit("\n\n"))
 
 
-def office_text(raw: bytes, suffix: str) -> str:
-    """Text of a word, slide or sheet document; ValueError beyond the limits or for another kind."""
-    with zipfile.ZipFile(BytesIO(raw)) as parts:
-        if len(parts.infolist()) > MOST_PARTS or sum(p.file_size for p in parts.infolist()) > MOST_BYTES:
-            raise ValueError("the document expands beyond the limit")
-        tree = lambda name: ElementTree.fromstring(parts.read(name))
-        named = lambda pattern: sorted(n for n in parts.namelist() if re.fullmatch(pattern, n))
-        local = lambda e: e.tag.rpartition("}")[2]
-        if suffix == "docx":
-            return "\n".join("".join(p.itertext()) for p in tree("word/document.xml").iter() if local(p) == "p")
-        if suffix == "pptx":
-            slides = ["\n".join(e.text or "" for e in tree(n).iter() if local(e) == "t") for n in named(r"ppt/slides/slide\d+\.xml")]
-            return "\n\n".join(f"Slide {i}\n{s}" for i, s in enumerate(slides, 1))
-        if suffix != "xlsx":
-            raise ValueError(f"no reader for {suffix!r}")
-        shared = ["".join(e.itertext()) for e in tree("xl/sharedStrings.xml") if local(e) == "si"] if "xl/sharedStrings.xml" in parts.namelist() else []
-        lines = []
-        for name in named(r"xl/worksheets/sheet\d+\.xml"):
-            lines.append(f"{name} (cached values; formulas are not recalculated)")
-            for row in (e for e in tree(name).iter() if local(e) == "row"):
-                cells = []
-                for cell in (e for e in row if local(e) == "c"):
-                    value = next((e.text or "" for e in cell if local(e) == "v"), "")
-                    value = shared[int(value)] if cell.get("t") == "s" else "".join(cell.itertext()) if cell.get("t") == "inlineStr" else value
-                    cells.append(f"{cell.get('r', '')}={value}")
-                lines.append(" | ".join(cells))
-        return "\n".join(lines)
-
-
-def doc_extract(files: DataFrame) -> DataFrame:
-    """path, text and error of files (path, content): office documents, else UTF-8 text; one of the last two is null."""
+@dataclass(frozen=True)
+class Office:
+    """Where a kind of office document keeps its text: the parts' names, and the elements that end a piece."""
+
+    parts: str
+    piece: str
+    strings: str | None = None
+
+
+#: Names of parts and elements in the open formats of words, slides and sheets.
+OFFICE = {
+    "docx": Office(r"word/document\.xml", "p"),
+    "pptx": Office(r"ppt/slides/slide(\d+)\.xml", "p"),
+    "xlsx": Office(r"xl/worksheets/sheet(\d+)\.xml", "c", r"xl/sharedStrings\.xml"),
+}
+#: Bytes and parts beyond which a document isn't unpacked.
+UNPACKED, PARTS = 20_000_000, 2000
+_PIECES = "path string, part int, line int, place int, label string, ref int, text string, fault string"
+
+
+def office_pieces(raw: bytes, kind: str, unpacked: int = UNPACKED, parts: int = PARTS) -> Iterator[tuple]:
+    """(part, line, place, label, ref, text) of a document, as its elements end; a ref stands for the text of a string in part -1."""
+    layout = OFFICE[kind]
+    with zipfile.ZipFile(io.BytesIO(raw)) as packed:
+        held = packed.infolist()
+        if len(held) > parts or sum(i.file_size for i in held) > unpacked:
+            raise ValueError(f"more than {parts} parts or {unpacked} bytes")
+        if not any(re.fullmatch(layout.parts, i.filename) for i in held):
+            raise ValueError(f"no part with text of a {kind} document")
+        for info in held:
+            if layout.strings and re.fullmatch(layout.strings, info.filename):
+                for i, text in enumerate(t for name, t, _, _ in _ended(packed, info, "si") if name == "si"):
+                    yield -1, 0, i, None, None, text
+            elif found := re.fullmatch(layout.parts, info.filename):
+                number, line, place = int(found[1]) if found.groups() else 0, 0, 0
+                for name, text, at, value in _ended(packed, info, layout.piece, "row"):
+                    place += 1
+                    if name == "row":
+                        line += 1
+                    elif kind != "xlsx":
+                        line += 1
+                        yield number, line, place, None, None, text
+                    elif at.get("t") == "s":
+                        yield number, line, place, at.get("r", ""), int(value), None
+                    else:
+                        yield number, line, place, at.get("r", ""), None, text if at.get("t") == "inlineStr" else value
+
+
+def _ended(packed: zipfile.ZipFile, info: zipfile.ZipInfo, *names: str) -> Iterator[tuple[str, str, dict, str]]:
+    """Name, text, attributes and value of the named elements in the order of their ends; what has been told is let go."""
+    words, value = [], ""
+    with packed.open(info) as part:
+        for _, e in ElementTree.iterparse(part):
+            name = e.tag.rpartition("}")[2]
+            if name == "t":
+                words.append(e.text or "")
+            elif name in ("br", "cr", "tab"):
+                words.append("\t" if name == "tab" else "\n")
+            elif name == "v":
+                value = e.text or ""
+            elif name in names:
+                yield name, "".join(words), dict(e.attrib), value
+                words, value = [], ""
+                e.clear()
+
+
+def doc_extract(files: DataFrame, unpacked: int = UNPACKED, parts: int = PARTS) -> DataFrame:
+    """path, text and error of files (path, content): office documents, else UTF-8 text; one of the last two is null.
+
+    Tasks tell the pieces of a document; Spark looks up shared strings and puts lines together. A slide or sheet begins with
+    a line of its name; the cells of a row stand as "A1: value" with tabs between them. Paths are distinct.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors = [], []
             for path, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                suffix = path.rpartition(".")[2].lower()
+                kind, rows = path.rpartition(".")[2].lower(), []
                 try:
-                    texts.append(office_text(raw, suffix) if suffix in ("docx", "pptx", "xlsx") else raw.decode("utf-8-sig"))
-                    errors.append(None)
-                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as fault:
-                    texts.append(None)
-                    errors.append(f"{type(fault).__name__}: {fault}"[:200])
-            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+                    found = office_pieces(raw, kind, unpacked, parts) if kind in OFFICE else [(0, 0, 0, None, None, raw.decode("utf-8-sig"))]
+                    rows = [(path, *piece, None) for piece in found]
+                    rows.append((path, None, None, None, None, None, None, None))  # a document without text has this row
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as fault:
+                    rows = [(path, None, None, None, None, None, None, f"{type(fault).__name__}: {fault}"[:200])]
+                types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "part", "line", "place", "label", "ref", "text", "fault"])
+
+    pieces = files.select("path", "content").mapInArrow(run, _PIECES)
+    strings = pieces.where("part = -1").select("path", F.col("place").alias("ref"), F.col("text").alias("shared"))
+    known = pieces.where("part IS NULL OR part >= 0").join(strings, ["path", "ref"], "left")
+    cell = F.when(F.col("label").isNotNull(), F.concat("label", F.lit(": "), F.coalesce("shared", "text", F.lit("")))).otherwise(F.col("text"))
+    ordered = lambda *keys: F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct(*keys))))
+    lines = known.groupBy("path", "part", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", cell.alias("said")))), lambda x: x["said"]), "\t").alias("said"), F.max("fault").alias("fault"))
+    whole = lines.groupBy("path", "part").agg(F.array_join(F.transform(ordered("line", "said"), lambda x: x["said"]), "\n").alias("said"), F.max("fault").alias("fault"))
+    kind = F.lower(F.substring_index("path", ".", -1))
+    title = F.when(kind == "pptx", F.lit("slide ")).when(kind == "xlsx", F.lit("sheet "))
+    named = whole.withColumn("said", F.when(title.isNotNull(), F.concat(title, F.col("part").cast("string"), F.lit("\n"), "said")).otherwise(F.col("said")))
+    texts = named.groupBy("path").agg(F.array_join(F.transform(ordered("part", "said"), lambda x: x["said"]), "\n").alias("text"), F.max("fault").alias("error"))
+    return texts.select("path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """path and content of rows (id, text) as office documents: even ids as paragraphs, odd ones as a sheet of one column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        for batch in batches:
+            paths, files = [], []
+            for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                lines, held = [plain(t) for t in text.split("\n")], io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    if i % 2:
+                        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{t}</t></si>" for t in lines) + "</sst>")
+                        z.writestr("xl/worksheets/sheet1.xml", "<worksheet>" + "".join(f'<row><c r="A{k + 1}" t="s"><v>{k}</v></c></row>' for k in range(len(lines))) + "</worksheet>")
+                    else:
+                        z.writestr("word/document.xml", "<d>" + "".join(f"<p><r><t>{t}</t></r></p>" for t in lines) + "</d>")
+                paths.append(f"{i}.{'xlsx' if i % 2 else 'docx'}")
+                files.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(files, pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
+def _extracted(s, d) -> DataFrame:
+    """Digests of the text that documents give when they are read from office files made of them."""
+    return doc_extract(_packed(table(s, d, "documents").select("doc_id", "text"))).select("path", F.sha2("text", 256).alias("digest"), "error")
 
 
 def _exported(s, d) -> DataFrame:
-    rows = table(s, d, "pages").select("page_id", export_item(F.col("url"), F.col("html"), "html").alias("x"))
-    return rows.select("page_id", "x.name", "x.type", F.sha2("x.body", 256).alias("digest"))
+    rows = None
+    for kind in TYPES:
+        own = table(s, d, "pages").select("page_id", F.lit(kind).alias("kind"), export_item(F.col("url"), F.col("html"), kind).alias("x"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.select("page_id", "kind", "x.name", "x.type", F.sha2("x.body", 256).alias("digest"))
 
 
 QUERIES = {
     "export_item": _exported,
+    "doc_extract": _extracted,
     "sse_sink": lambda s, d: table(s, d, "events").select("event_id", event_line(F.struct(F.col("event_type").alias("type"), "user_id")).alias("frame")),
 }
 _E = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_HTML_BODY = f"concat('<!doctype html><html><meta charset=utf-8><title>', {_E('url')}, '</title><body><h1>', {_E('url')}, '</h1><pre>', {_E('html')}, '</pre></body></html>')"
 ORACLES = {
-    "export_item": f"SELECT page_id, concat(substr(regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 80), '.html') AS name, 'text/html; charset=utf-8' AS type, sha256(concat('<!doctype html><html><meta charset=utf-8><title>', {_E('url')}, '</title><body><h1>', {_E('url')}, '</h1><pre>', {_E('html')}, '</pre></body></html>')) AS digest FROM pages",
+    "export_item": " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, concat(substr(regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 80), '.{kind}') AS name, '{media}; charset=utf-8' AS type, sha256({_HTML_BODY if kind == 'html' else 'html'}) AS digest FROM pages" for kind, media in TYPES.items()),
+    "doc_extract": """SELECT concat(doc_id, CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '.xlsx' END) AS path, NULL::VARCHAR AS error, sha256(CASE WHEN doc_id % 2 = 0 THEN text
+  ELSE concat('sheet 1', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat('A', i, ': ', x)), chr(10))) END) AS digest FROM documents""",
     "sse_sink": "SELECT event_id, concat('data: {\"type\":\"', event_type, '\",\"user_id\":', user_id, '}', chr(10), chr(10)) AS frame FROM events",
 }

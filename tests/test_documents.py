@@ -18,16 +18,23 @@ def packed(**parts):
 def test_office_documents(spark):
     rows = [
         ("a.docx", packed(word__document_xml='<d xmlns:w="u"><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p><w:t>three</w:t></w:p></d>')),
-        ("b.pptx", packed(ppt__slides__slide1_xml='<d xmlns:a="u"><a:t>Head</a:t><a:t>line</a:t></d>')),
-        ("c.xlsx", packed(xl__sharedStrings_xml="<s><si><t>word</t></si></s>", xl__worksheets__sheet1_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="B1"><v>7</v></c></row></w>')),
+        ("b.pptx", packed(ppt__slides__slide1_xml='<d xmlns:a="u"><a:p><a:r><a:t>He</a:t></a:r><a:r><a:t>ad</a:t></a:r></a:p><a:p><a:t>line</a:t></a:p></d>', ppt__slides__slide10_xml='<d/>', ppt__slides__slide2_xml='<d><p><t>x</t></p></d>')),
+        ("c.xlsx", packed(xl__sharedStrings_xml="<s><si><t>word</t></si></s>", xl__worksheets__sheet1_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="B1"><v>7</v></c></row><row><c r="A2" t="inlineStr"><is><t>in &amp; out</t></is></c><c r="C2"/></row></w>')),
         ("d.txt", "café".encode()), ("e.txt", b"\xff\xfe\xff"), ("f.docx", b"no archive"), ("g.docx", packed(other_xml="<x/>")),
     ]
     got = {r.path: (r.text, r.error) for r in documents.doc_extract(spark.createDataFrame(rows, "path string, content binary")).collect()}
-    assert got["a.docx"] == ("One two\nthree", None) and got["b.pptx"] == ("Slide 1\nHead\nline", None)
-    assert got["c.xlsx"][0].endswith("recalculated)\nA1=word | B1=7") and got["d.txt"] == ("café", None)
+    assert got["a.docx"] == ("One two\nthree", None) and got["b.pptx"] == ("slide 1\nHead\nline\nslide 2\nx", None)
+    assert got["c.xlsx"] == ("sheet 1\nA1: word\tB1: 7\nA2: in & out\tC2: ", None) and got["d.txt"] == ("café", None)
     assert all(got[p][0] is None and got[p][1] for p in ("e.txt", "f.docx", "g.docx"))
 
 
+def test_limits_of_documents(spark):
+    big = packed(word__document_xml="<d><p><t>" + "x" * 500 + "</t></p></d>")
+    rows = spark.createDataFrame([("a.docx", big)], "path string, content binary")
+    assert "more than" in documents.doc_extract(rows, unpacked=100).first().error and documents.doc_extract(rows).first().text == "x" * 500
+    assert documents.doc_extract(rows.limit(0)).count() == 0
+
+
 def test_export_formats(spark):
     x = spark.range(1).select(documents.export_item(F.lit("A b/c"), F.lit("<x>"), "html").alias("h"), documents.export_item(F.lit("A b/c"), F.lit("<x>"), "md").alias("m")).first()
     assert x.h.name == "A_b_c.html" and "<pre>&lt;x&gt;</pre>" in x.h.body and (x.m.name, x.m.body) == ("A_b_c.md", "<x>")
