@@ -9,12 +9,14 @@ minimises the non-negative unbiased risk
 ``prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive))``.
 
 Inputs are statistics of the whole text only: shares of character classes, word
-lengths, repetition of neighbouring words, line shape. The fit reads at most
-``FIT_ROWS`` positives and ``FIT_ROWS`` unlabelled rows, those with the smallest
-hash of their text; every row is scored.
-
-Null texts count as empty and are scored as such. Without a trusted positive every score is 0.5. Repeated rows repeat; a doc_id with
-several labels is a positive if any of them says so.
+lengths, repetition of neighbouring words, line shape. The fit learns from at most
+``FIT_TEXTS`` distinct positive and ``FIT_TEXTS`` distinct unlabelled texts, those with the
+smallest hashes; each counts as often as rows have it, so the mixture's shares stay what they are however
+many copies a text has. Texts stay in their tasks: only their statistics come to the driver. Every row is scored.
+
+Null texts count as empty and are scored as such. Without a trusted positive every score is 0.5. Repeated rows repeat, and count
+again in the fit; a doc_id with several labels is a positive if any of them says so, conflicting ones included. A null
+doc_id is never learnt from and isn't held out. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import POWERS, U64, mapped, mix, prefix_hash, slices, spread, table, texts_of
 
-#: Most rows of either kind that the fit reads.
-FIT_ROWS = 6000
+#: Most distinct texts of either kind that the fit reads.
+FIT_TEXTS = 6000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 FEATURES = (
     "log_length", "upper", "digit", "space", "newline", "common_mark", "exclaim", "odd_mark", "other",
@@ -135,31 +137,63 @@ class Model:
         return hidden @ w2 + b2[0], z, hidden
 
 
-def _fit(positive: np.ndarray, other: np.ndarray, prior: float | None, epochs: int = 400, width: int = 24) -> Model:
+@dataclass
+class Sample:
+    """Statistics of distinct texts, and how many rows have each."""
+
+    x: np.ndarray
+    rows: np.ndarray
+
+    def part(self, begin: int) -> Sample:
+        """Every other text, or all of one."""
+        return Sample(self.x[begin::2], self.rows[begin::2]) if len(self.x) > 1 else self
+
+    @property
+    def share(self) -> np.ndarray:
+        return self.rows / self.rows.sum()
+
+    @property
+    def size(self) -> float:
+        """How many texts of equal weight tell as much."""
+        return float(self.rows.sum() ** 2 / (self.rows.astype(float) ** 2).sum())
+
+
+def risk(model: Model, positive: Sample, other: Sample, prior: float) -> tuple[float, float]:
+    """The two parts of the risk under the sigmoid loss: of positives, and of negatives as the unlabelled tell it (below 0 by overfitting alone)."""
+    sp, su = model.score(positive.x), model.score(other.x)
+    return float(prior * ((1 - sp) @ positive.share)), float(su @ other.share - prior * (sp @ positive.share))
+
+
+def gradient(model: Model, positive: Sample, other: Sample, prior: float | None) -> list[np.ndarray]:
+    """Slopes of what a step lowers: the risk, or minus its negative part where that is below 0; without a prior, the logistic loss of positive against other."""
+    (gp, zp, hp), (gu, zu, hu) = model._margin(positive.x), model._margin(other.x)
+    sp, su, wp, wu = _sigmoid(gp), _sigmoid(gu), positive.share, other.share
+    dp, du = sp * (1 - sp) * wp, su * (1 - su) * wu  # slopes of the sigmoid loss
+    if prior is None:
+        dp, du = (sp - 1) * wp, su * wu
+    elif su @ wu - prior * (sp @ wp) >= 0:
+        dp, du = -2 * prior * dp, du
+    else:
+        dp, du = prior * dp, -du
+    grads = [0.0] * 4
+    for d, z, h in ((dp, zp, hp), (du, zu, hu)):
+        back = (d[:, None] * model.weights[4]) * (1 - h * h)
+        for i, g in enumerate((z.T @ back, back.sum(0), h.T @ d, np.array([d.sum()]))):
+            grads[i] = grads[i] + g
+    return grads
+
+
+def _fit(positive: Sample, other: Sample, prior: float | None, epochs: int = 400, width: int = 24) -> Model:
     """Minimise the non-negative risk; without a prior, the plain risk of positive against other."""
     rng = np.random.default_rng(11)
-    both = np.concatenate([positive, other])
+    both = np.concatenate([positive.x, other.x])
     scale = both.std(0)
     shape = both.shape[1]
     params = [rng.normal(0, 1 / np.sqrt(shape), (shape, width)), np.zeros(width), rng.normal(0, 1 / np.sqrt(width), width), np.zeros(1)]
     model = Model((both.mean(0), np.where(scale > 1e-9, scale, 1), *params))
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
-        (gp, zp, hp), (gu, zu, hu) = model._margin(positive), model._margin(other)
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        # Sigmoid loss: 1 - s for the positive class, s for the negative; its slope is s * (1 - s).
-        dp, du = sp * (1 - sp) / len(gp), su * (1 - su) / len(gu)
-        if prior is None:
-            dp, du = (sp - 1) / len(gp), su / len(gu)  # logistic loss
-        elif su.mean() - prior * sp.mean() >= 0:
-            dp, du = -2 * prior * dp, du
-        else:  # the negative part fell below zero: step back up
-            dp, du = prior * dp, -du
-        grads = [0.0] * 4
-        for d, z, h in ((dp, zp, hp), (du, zu, hu)):
-            back = (d[:, None] * model.weights[4]) * (1 - h * h)
-            for i, g in enumerate((z.T @ back, back.sum(0), h.T @ d, np.array([d.sum()]))):
-                grads[i] = grads[i] + g
+        grads = gradient(model, positive, other, prior)
         for i, p in enumerate(params):
             g = grads[i] + 1e-4 * p
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -168,28 +202,32 @@ def _fit(positive: np.ndarray, other: np.ndarray, prior: float | None, epochs: i
     return model
 
 
-def estimate_prior(positive: np.ndarray, other: np.ndarray, confidence: float = 0.1) -> float:
+def _tails(scores: np.ndarray, share: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Share of the rows that score at least each cut."""
+    order = np.argsort(scores, kind="stable")
+    below = np.concatenate([[0.0], np.cumsum(share[order])])
+    return 1 - below[np.searchsorted(scores[order], cuts)]
+
+
+def estimate_prior(positive: Sample, other: Sample, confidence: float = 0.1) -> float:
     """Share of positives in the unlabelled text, by the best bin of held-back scores."""
-    first = _fit(positive[::2], other[::2], None, epochs=200)
-    own = positive[1::2] if len(positive) > 1 else positive
-    rest = other[1::2] if len(other) > 1 else other
-    sp, su = np.sort(first.score(own)), np.sort(first.score(rest))
+    first = _fit(positive.part(0), other.part(0), None, epochs=200)
+    own, rest = positive.part(1), other.part(1)
+    sp, su = first.score(own.x), first.score(rest.x)
     cuts = np.unique(np.concatenate([sp, su]))
-    tail_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    tail_u = 1 - np.searchsorted(su, cuts) / len(su)
-    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
-    enough = tail_p > 0
+    tail_p, tail_u = _tails(sp, own.share, cuts), _tails(su, rest.share, cuts)
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(own.size) + 1 / np.sqrt(rest.size))
+    enough = tail_p > 1e-12
     best = np.argmin(((tail_u + slack) / np.maximum(tail_p, 1e-9))[enough])
     return float(np.clip((tail_u[enough] / tail_p[enough])[best], 0.02, 0.98))
 
 
-def fit(positive: list[str], unlabelled: list[str]) -> Model:
+def fit(positive: Sample, other: Sample) -> Model:
     """A model from trusted positive and unlabelled texts."""
-    if not positive or not unlabelled:
+    if not len(positive.x) or not len(other.x):
         return Model()
-    p, u = features(positive), features(unlabelled)
-    prior = estimate_prior(p, u)
-    model = _fit(p, u, prior)
+    prior = estimate_prior(positive, other)
+    model = _fit(positive, other, prior)
     model.prior = prior
     return model
 
@@ -198,21 +236,27 @@ def _learnable(df: DataFrame) -> DataFrame:
     return df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], list[str]]:
-    """Positive texts, and texts of all rows that may be learnt from; either kind bounded by ``rows``."""
-    good = _learnable(labels).where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    own = _learnable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    # The smallest hashes of either kind: ids and hashes first, so that no text is shuffled.
-    keys = own.select("doc_id", F.xxhash64("text").alias("h")).join(good, "doc_id", "left")
-    first = [part.select("doc_id", "h").orderBy("h", "doc_id").limit(rows) for part in (keys.where("good"), keys)]
-    wanted = [{r.h for r in part.collect()} for part in first]
-    goods = wanted[0]
-    both = sorted(goods | wanted[1])
+def training_samples(docs: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS) -> tuple[Sample, Sample]:
+    """Distinct texts of positives, and of all rows that may be learnt from, at most ``texts`` each, with the rows that have them."""
+    good = _learnable(labels).where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
+    own = _learnable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("h", F.xxhash64("text"))
+    # Ids and hashes first, so that no text is shuffled; copies are one row before anything is cut.
+    keys = own.select("doc_id", "h").join(good, "doc_id", "left").groupBy("h").agg(F.count("good").alias("good"), F.count(F.lit(1)).alias("n"))
+    first = [{r.h: r.w for r in part.orderBy("h").limit(texts).collect()} for part in (keys.where("good > 0").select("h", F.col("good").alias("w")), keys.select("h", F.col("n").alias("w")))]
+    both = sorted({*first[0], *first[1]})
     if not both:
-        return [], []
+        return (Sample(np.zeros((0, len(FEATURES))), np.zeros(0)),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features(texts_of(batch["text"]))
+                yield pa.RecordBatch.from_arrays([batch["h"], pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), x.ravel())], ["h", "x"])
+
     chosen = own.sparkSession.createDataFrame([(h,) for h in both], "h long")
-    found = {r.h: r.text for r in own.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("h", "text").collect()}
-    return [found[h] for h in sorted(goods)], [found[h] for h in sorted(wanted[1])]
+    distinct = own.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"))
+    found = {r.h: r.x for r in mapped(distinct.select("h", "text"), run, "h long, x array<double>").collect()}
+    return tuple(Sample(np.array([found[h] for h in sorted(part)]).reshape(-1, len(FEATURES)), np.array([part[h] for h in sorted(part)], float)) for part in first)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,6 +274,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every whole document by a model of the learnable rows."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_texts(docs, table(spark, sf_dir, "labels")))
+    model = fit(*training_samples(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))  # a null doc_id isn't held out
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
