@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..sources.views import table, view, with_views
 from . import indexes
 from .running import quantiles, scan
+from .transitions import NEXT, OPEN, TIMEOUT, run_states, saves
 
 NOW = "2024-01-20 12:00:00"
 #: Most requests, tokens, dollars, seconds and validation errors of a run.
@@ -75,12 +76,6 @@ def revisions(changes: DataFrame) -> DataFrame:
     return told.select("item", "ord", F.col("version").cast("int").alias("version"), "replaced", F.col("later").isNull().alias("current"))
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """State of each run: the last one told, interrupted if it never ended."""
-    last = events.groupBy("run_id").agg(F.max_by("state", "ord").alias("state"))
-    return last.select("run_id", F.when(F.col("state").isin("queued", "running"), "interrupted").otherwise(F.col("state")).alias("state"))
-
-
 def latencies(rows: DataFrame) -> DataFrame:
     """Median, 95th percentile by nearest rank, and number of each model's values."""
     found = quantiles(rows, "model", "value", median=("linear", 0.5), p95=("nearest", 0.95))
@@ -113,8 +108,19 @@ def _ledger(s, d):
 
 
 def _runs(s, d):
+    """Steps of runs: most in an order that runs may take, some out of it."""
     k = F.col("event_id")
-    return table(s, d, "events").select((k % 300).alias("run_id"), k.alias("ord"), F.element_at(F.array(*map(F.lit, ("queued", "running", "completed", "failed", "cancelled"))), (F.col("user_id") % 5 + 1).cast("int")).alias("state"))
+    state = F.element_at(F.array(*map(F.lit, STEPS)), (F.floor(k / 300) % len(STEPS) + 1).cast("int"))
+    odd = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("user_id") % len(STEPS) + 1).cast("int"))
+    return table(s, d, "events").select((k % 300).alias("run_id"), F.col("ts").cast("timestamp").alias("at"), k.alias("ord"), F.when(k % 7 == 3, odd).otherwise(state).alias("state"))
+
+
+def _saves(s, d):
+    """Saves of items, most made from the version before, some from none in particular or from one that is gone."""
+    rows = _changes(s, d).select("item", F.col("ord").alias("at"), "content")
+    known = scan(rows, ["item"], [F.col("at")], before=("lag", F.col("at")))
+    expected = F.when(F.col("at") % 5 == 0, F.lit(None)).when(F.col("at") % 11 == 0, F.col("at") - 1000).otherwise(F.col("before"))
+    return saves(known.select("item", "at", expected.alias("expected"), "content"))
 
 
 def item_search(items: DataFrame, term: str, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -140,6 +146,8 @@ def _searched(s, d) -> DataFrame:
     return out
 
 
+#: States that the steps of the query's runs go through.
+STEPS = ("queued", "running", "awaiting_review", "queued", "running", "cancelling", "cancelled", "completed", "failed")
 #: Kinds of items; the length of a list of them.
 ITEM_KINDS, LISTED = ("note", "brief", "code", "file", "action"), 500
 #: Terms and kinds that the query looks for: a word, none, one letter, one with a wildcard, one of a title.
@@ -156,14 +164,26 @@ QUERIES = {
     "budget_check": lambda s, d: over_budget(run_usage(_steps(s, d))),
     "action_ledger": lambda s, d: ledger(_ledger(s, d)),
     "revisions": lambda s, d: revisions(_changes(s, d)),
+    "optimistic_revision": _saves,
     "run_state_machine": lambda s, d: run_states(_runs(s, d)),
     "orphan_jobs": lambda s, d: _jobs(s, d).where("status = 'failed'").select("job_id").distinct().join(_jobs(s, d).where("repeat_minutes > 100").select("job_id").distinct(), "job_id", "left_anti"),
-    "occurrence_status": lambda s, d: _jobs(s, d).select("ord", (F.col("ord") % 300).alias("run_id")).join(run_states(_runs(s, d)).where("state <> 'failed'"), "run_id", "left").select("ord", F.coalesce("state", F.lit("interrupted")).alias("status")),
+    "occurrence_status": lambda s, d: _jobs(s, d).select("ord", (F.col("ord") % 450).alias("run_id")).join(run_states(_runs(s, d)), "run_id", "left").select("ord", F.coalesce("state", F.lit("interrupted")).alias("status")),
     "item_search": _searched,
     "items_list": lambda s, d: table(s, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(500).select("doc_id", "n_chars"),
     "json_decode": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k")),
     "median_p95": lambda s, d: latencies(table(s, d, "events").select(F.col("event_type").alias("model"), "value")),
 }
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, follow in NEXT.items() for b in follow)
+_OPEN = ", ".join(f"'{o}'" for o in OPEN)
+_RUNS_SQL = f"""
+WITH RECURSIVE legal(a, b) AS (VALUES {_PAIRS}),
+steps AS (SELECT event_id % 300 AS run_id, ts AS tm, event_id AS ord, {list(STEPS)}[CASE WHEN event_id % 7 = 3 THEN user_id % {len(STEPS)} + 1 ELSE floor(event_id / 300)::BIGINT % {len(STEPS)} + 1 END] AS told FROM events),
+n AS (SELECT *, row_number() OVER o AS i, coalesce(epoch_us(tm) - epoch_us(lag(tm) OVER o) > {TIMEOUT} * 1000000::BIGINT, false) AS late FROM steps WINDOW o AS (PARTITION BY run_id ORDER BY tm, ord)),
+walk AS (SELECT DISTINCT run_id, 0::BIGINT AS i, '' AS state, 0::BIGINT AS accepted, 0::BIGINT AS refused FROM steps
+  UNION ALL SELECT run_id, i, CASE WHEN ok THEN told ELSE held END, accepted + ok::INT, refused + (NOT ok)::INT
+  FROM (SELECT *, EXISTS (SELECT 1 FROM legal WHERE a = held AND b = told) AS ok FROM (
+    SELECT n.run_id, n.i, n.told, w.accepted, w.refused, CASE WHEN n.late AND w.state IN ({_OPEN}) THEN 'interrupted' ELSE w.state END AS held FROM walk w JOIN n ON n.run_id = w.run_id AND n.i = w.i + 1))),
+ended AS (SELECT run_id, CASE WHEN arg_max(state, i) IN ({_OPEN}) THEN 'interrupted' ELSE arg_max(state, i) END AS state, max(accepted) AS accepted, max(refused) AS refused FROM walk GROUP BY run_id)"""
 ORACLES = {
     "next_due": with_views(f"SELECT ord, CASE WHEN repeat_minutes > 0 THEN make_timestamp(epoch_us(due) + greatest(1, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(due))::DOUBLE / (repeat_minutes * 60000000::BIGINT))::BIGINT + 1) * repeat_minutes * 60000000) END AS next FROM jobs", "jobs"),
     "due_filter": with_views(f"SELECT ord, job_id FROM jobs WHERE status = 'pending' AND due <= TIMESTAMP '{NOW}'", "jobs"),
@@ -178,9 +198,16 @@ WITH u AS (SELECT run_id, sum(attempts) AS requests, sum(tokens) AS tokens, roun
 {' UNION ALL '.join(f"SELECT run_id, '{c}' AS reached FROM u WHERE {c} >= {v}" for c, v in LIMITS.items())}""",
     "action_ledger": "SELECT substr(sha256((event_id % 700)::VARCHAR), 1, 12) AS action_id, arg_max(event_type, event_id) AS state, count(DISTINCT user_id % 2 + event_id % 700 % 2) > 1 AS mismatch, count(*) AS events FROM events GROUP BY 1",
     "revisions": "SELECT user_id % 40 AS item, event_id AS ord, (row_number() OVER w)::INT AS version, lag(json_extract_string(props, '$.k')) OVER w AS replaced, lead(event_id) OVER w IS NULL AS current FROM events WINDOW w AS (PARTITION BY user_id % 40 ORDER BY event_id)",
-    "run_state_machine": "SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1)",
+    "run_state_machine": f"{_RUNS_SQL} SELECT run_id, state, accepted, refused FROM ended",
+    "optimistic_revision": """
+WITH RECURSIVE e AS (SELECT user_id % 40 AS item, event_id AS tm, json_extract_string(props, '$.k') AS content, row_number() OVER w AS i, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id % 40 ORDER BY event_id)),
+x AS (SELECT item, tm, content, i, CASE WHEN tm % 5 = 0 THEN NULL WHEN tm % 11 = 0 THEN tm - 1000 ELSE before END AS expected FROM e),
+w AS (SELECT DISTINCT item, 0::BIGINT AS i, NULL::BIGINT AS current, 0::BIGINT AS version, NULL::VARCHAR AS held, NULL::BIGINT AS tm, NULL::BIGINT AS expected, NULL::VARCHAR AS content, NULL::BOOLEAN AS taken, NULL::VARCHAR AS replaced FROM e
+  UNION ALL SELECT item, i, CASE WHEN ok THEN tm ELSE current END, version + ok::INT, CASE WHEN ok THEN content ELSE held END, tm, expected, content, ok, CASE WHEN ok THEN held END
+  FROM (SELECT x.*, w.current, w.version, w.held, coalesce(x.expected = w.current, x.expected IS NULL) AS ok FROM w JOIN x ON x.item = w.item AND x.i = w.i + 1))
+SELECT item, tm AS "at", expected, content, taken, version, replaced FROM w WHERE i > 0""",
     "orphan_jobs": with_views("SELECT DISTINCT job_id FROM jobs WHERE status = 'failed' AND job_id NOT IN (SELECT job_id FROM jobs WHERE repeat_minutes > 100)", "jobs"),
-    "occurrence_status": "SELECT event_id AS ord, coalesce(s.state, 'interrupted') AS status FROM events e LEFT JOIN (SELECT run_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM (SELECT event_id % 300 AS run_id, arg_max(['queued', 'running', 'completed', 'failed', 'cancelled'][user_id % 5 + 1], event_id) AS state FROM events GROUP BY 1) WHERE state <> 'failed') s ON s.run_id = e.event_id % 300",
+    "occurrence_status": f"{_RUNS_SQL} SELECT event_id AS ord, coalesce(s.state, 'interrupted') AS status FROM events e LEFT JOIN ended s ON s.run_id = e.event_id % 450",
     "item_search": " UNION ALL ".join(f"(SELECT {i} AS search, id, kind, row_number() OVER (ORDER BY updated DESC, id) AS place FROM {_ITEMS_SQL} WHERE {'true' if kind is None else f"kind = '{kind}'"} AND (title ILIKE '%{term}%' OR content ILIKE '%{term}%') ORDER BY updated DESC, id LIMIT {LISTED})" for i, (term, kind) in enumerate(SEARCHES)),
     "items_list": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500",
     "json_decode": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
