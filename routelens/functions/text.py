@@ -210,6 +210,7 @@ EXTENSIONS = {
     "csv": "csv", "markdown": "md", "md": "md", "text": "txt", "txt": "txt", "plain": "txt", "sql": "sql", "bash": "sh", "sh": "sh", "shell": "sh", "yaml": "yaml", "yml": "yaml",
     "xml": "xml", "java": "java", "c": "c", "cpp": "cpp", "c++": "cpp", "rust": "rs", "go": "go", "swift": "swift",
 }
+#: Fixed value: a fenced block, of its opening, what stands beside it, and its code.
 _FENCE = r"(?m)^ {0,3}(`{3,}|~{3,})([^\n]*)\n((?s:.*?))^ {0,3}\1[ \t]*(?:\n|\z)"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.views import table, view, with_views
 from .conversations import complete_turns
-from .datasets import is_followup
+from .datasets import POINTING, is_followup
 
 #: Characters of history that go before a question; least seconds between two saves of progress.
 HISTORY, PAUSE = 8000, 0.3
@@ -141,7 +141,7 @@ QUERIES = {
     "actions_list": lambda s, d: table(s, d, "events").select("event_id", F.substring(F.sha2((F.col("event_id") % 700).cast("string"), 256), 1, 12).alias("action_id"), "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "action_id"),
 }
 
-_BACK = "he she they him her them it its his hers their that this those these my mine me i we our us you your again earlier before previous last same above also too"
+_BACK = POINTING
 _OP = "CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'error' AND event_id % 19 = 0 THEN 'delete' WHEN event_type = 'view' THEN 'message' WHEN event_type = 'click' THEN 'rename' ELSE 'settings' END"
 _STATE = "['queued', 'running', 'completed'][user_id % 3 + 1]"
 ORACLES = {

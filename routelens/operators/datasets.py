@@ -109,9 +109,13 @@ def requested_format(prompt: Column) -> Column:
     return F.when(~silent, kind)
 
 
+#: Words that point back.
+POINTING = "he she they him her them it its his hers their that this those these my mine me i we our us you your again earlier before previous last same above also too"
+
+
 def is_followup(prompt: Column) -> Column:
     """A pronoun or another word that points back."""
-    return prompt.rlike(r"(?iU)\b(he|she|they|him|her|them|it|its|his|hers|their|that|this|those|these|my|mine|me|i|we|our|us|you|your|again|earlier|before|previous|last|same|above|also|too)\b")
+    return prompt.rlike(rf"(?iU)\b({'|'.join(POINTING.split())})\b")
 
 
 def safe_basename(name: Column, default: str = "output") -> Column:
@@ -120,18 +124,39 @@ def safe_basename(name: Column, default: str = "output") -> Column:
     return F.when(stem == "", default).otherwise(stem)
 
 
-def search_blocks(body: Column, n: int = 3) -> Column:
-    """title, url and snippet of the first n results of a search reply that have a public link."""
-    blocks = F.slice(F.split(F.concat(F.lit("\n"), body), r"\nTitle: "), 2, 1000)
-    made = F.transform(blocks, lambda b: F.struct(
+#: Shape of the packets of a search reply.
+_PACKET = "id INT, error STRING, result STRUCT<isError: BOOLEAN, content: ARRAY<STRUCT<type: STRING, text: STRING>>>"
+
+
+def reply_text(body: Column) -> Column:
+    """The text in a search reply, which is JSON or lines of an event stream that hold JSON: that of its first packet of id 1;
+    null for a reply without one, or one that tells of an error.
+    """
+    lines = F.transform(F.filter(F.split(body, "\n"), lambda x: x.startswith("data: ")), lambda x: F.substr(x, F.lit(7)))
+    packets = F.transform(F.when(F.ltrim(body).startswith("{"), F.array(body)).otherwise(lines), lambda x: F.from_json(x, _PACKET))
+    own = F.filter(packets, lambda p: p["id"] == 1)
+
+    def told(found: Column) -> Column:
+        p = F.try_element_at(found, F.lit(1))
+        texts = F.transform(F.filter(p["result"]["content"], lambda c: c["type"] == "text"), lambda c: F.coalesce(c["text"], F.lit("")))
+        good = p.isNotNull() & p["error"].isNull() & ~F.coalesce(p["result"]["isError"], F.lit(False))
+        return F.when(good, F.coalesce(F.array_join(texts, "\n"), F.lit("")))
+
+    return T.let(own, told)
+
+
+def search_blocks(text: Column, n: int = 3) -> Column:
+    """title, url and snippet of the first n results in a search reply's text that have a public link."""
+    blocks = F.split(F.concat(F.lit("\n"), text), r"\nTitle: ")
+    made = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), lambda b: F.struct(
         F.substring(F.regexp_extract(b, r"^([^\n]*)", 1), 1, 300).alias("title"), F.regexp_extract(b, r"(?m)^URL: (https?://\S+)\s*$", 1).alias("url"),
         F.substring(F.regexp_replace(b, r"(?s)^.*?\n(?:Highlights|Text|Content):\s*", ""), 1, 2000).alias("snippet")))
     return F.slice(F.filter(made, lambda r: T.public_link(r["url"])), 1, n)
 
 
-def toy_outcomes(spark, n: int, seed: int = 7) -> DataFrame:
-    """A seeded dataset of eight categories in groups of two paraphrases, hard ones mostly failed by the cheap model."""
-    rows = spark.range(n).withColumn("g", F.floor(F.col("id") / 2))
+def toy_outcomes(ids: DataFrame, seed: int = 7) -> DataFrame:
+    """A seeded record for each id: eight categories in groups of two paraphrases, hard ones mostly failed by the cheap model."""
+    rows = ids.select("id").withColumn("g", F.floor(F.col("id") / 2))
     u = lambda name: uniform(seed, F.lit(name), F.col("id"))
     category = F.floor(uniform(seed, F.lit("category"), F.col("g")) * 8)
     quality = F.when(category < 4, 0.5 + u("q") / 2).otherwise(u("q") * 0.7)
@@ -193,11 +218,25 @@ def _opened(s, d):
 
 
 def _searched(s, d):
-    """Search replies made of pages: a good result, one of another protocol, one with its text, one without a link."""
-    plain = F.regexp_replace(F.substring(F.regexp_replace("html", r"(?s)<[^>]*>", " "), 1, 400), r"\s+", " ")
-    first = F.concat(F.lit("intro\nTitle: Page "), F.col("page_id").cast("string"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), plain)
-    rest = F.concat(F.lit("\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e/"), F.col("page_id").cast("string"), F.lit("\nText: end\nof it\nTitle: Four\nContent: none"))
-    return table(s, d, "pages").select("page_id", F.concat(first, F.when(F.col("page_id") % 3 > 0, rest).otherwise("")).alias("body"))
+    """Search replies made of pages, as JSON and as event lines: a good result, one of another protocol, one with its text, one
+    without a link; some replies tell of an error, some hold another packet before.
+    """
+    k = F.col("page_id")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?s)<[^>]*>", " "), r"\s+", " ")
+    first = F.concat(F.lit("intro\nTitle: Page "), k.cast("string"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), plain)
+    rest = F.concat(F.lit("Title: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e/"), k.cast("string"), F.lit("\nText: end\nof it\nTitle: Four\nContent: none"))
+    piece = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
+    content = F.when(k % 3 > 0, F.array(piece(first), piece(rest))).otherwise(F.array(piece(first), F.struct(F.lit("image").alias("type"), F.lit("Title: no").alias("text"))))
+    packet = F.to_json(F.struct(F.lit(1).alias("id"), F.when(k % 11 == 5, "refused").alias("error"), F.struct((k % 13 == 7).alias("isError"), content.alias("content")).alias("result")))
+    body = F.when(k % 2 == 0, packet).otherwise(F.concat(F.lit('event: message\ndata: {"id": 2, "result": null}\n\ndata: '), packet, F.lit("\n\n")))
+    return table(s, d, "pages").select("page_id", F.when(k % 17 == 4, "data: {}").otherwise(body).alias("body"))
+
+
+def _fenced(s, d):
+    """Code in the answers of conversations, each made to hold three fenced blocks, one of them blank."""
+    shown = F.concat(F.lit("See:\n```Python title\n"), "text", F.lit("\n```\n~~~\n \n~~~\n````\n```\n"), "role", F.lit("\n````\nend"))
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(T.fenced_blocks(shown)).alias("place", "b"))
+    return rows.select("conv_id", "turn", "place", "b.language", "b.extension", F.sha2("b.code", 256).alias("digest"))
 
 
 def _worked(s, d):
@@ -229,7 +268,7 @@ def gsm8k_reference(answer: Column) -> Column:
 
 def _shown_blocks(body: Column) -> Column:
     one = lambda r: F.concat_ws("|", r["title"], r["url"], F.replace(r["snippet"], F.lit("\n"), F.lit(" ")))
-    return F.array_join(F.transform(search_blocks(body), one), ";")
+    return F.array_join(F.transform(search_blocks(reply_text(body)), one), ";")
 
 
 def _mmlu(s, d) -> DataFrame:
@@ -275,7 +314,8 @@ QUERIES = {
     "receipts": lambda s, d: receipts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload")), ("k", "absent")),
     "scope_filter": _scoped,
     "safe_basename": lambda s, d: table(s, d, "pages").select("page_id", safe_basename(F.col("url")).alias("name")),
-    "gen_toy_outcomes": lambda s, d: toy_outcomes(s, 900),
+    "gen_toy_outcomes": lambda s, d: toy_outcomes(table(s, d, "documents").select(F.col("doc_id").alias("id"))),
+    "fenced_blocks": _fenced,
     "ordered_distinct": lambda s, d: view(s, d, "messages").groupBy("conversation_id").agg(F.concat_ws(",", F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda m: m["role"]))).alias("roles")),
     "profile_stats": lambda s, d: profile(table(s, d, "events").select(F.col("event_type").alias("model"), "value")),
     "ext_star_revenue": lambda s, d: _star(s, d),
@@ -330,11 +370,15 @@ w AS (SELECT conv_id, 2000 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY
 c AS (SELECT conv_id, count(*)::INT AS turns, sum(least(n, room))::INT AS chars FROM w WHERE room > 0 GROUP BY conv_id)
 SELECT conv_id, coalesce(own, other) AS route, CASE WHEN own IS NULL THEN 'heuristic-fallback' ELSE 'reply' END AS kind, turns, chars FROM r LEFT JOIN c USING (conv_id)""",
     "requested_format": _format_sql(),
-    "is_followup": "SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(lower(text), '[^\\pL\\pN\\pM_]+'), string_split('he she they him her them it its his hers their that this those these my mine me i we our us you your again earlier before previous last same above also too', ' '))) > 0 AS followup FROM conversations",
+    "is_followup": "SELECT conv_id, turn, len(list_intersect(regexp_split_to_array(lower(text), '[^\\pL\\pN\\pM_]+'), string_split('" + POINTING + "', ' '))) > 0 AS followup FROM conversations",
     "parse_search_blocks": """
-WITH p AS (SELECT page_id, url, regexp_replace(substr(regexp_replace(html, '<[^>]*>', ' ', 'gs'), 1, 400), '\\s+', ' ', 'g') AS plain FROM pages)
-SELECT page_id, concat(CASE WHEN length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') THEN concat('Page ', page_id, '|', url, '|', ltrim(plain)) ELSE '' END,
-  CASE WHEN page_id % 3 > 0 THEN concat(CASE WHEN regexp_matches(url, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') THEN ';' ELSE '' END, 'Three|http://d.e/', page_id, '|end of it') ELSE '' END) AS found FROM p""",
+WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g') AS plain, length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') AS ok FROM pages)
+SELECT page_id, CASE WHEN page_id % 17 <> 4 AND page_id % 11 <> 5 AND page_id % 13 <> 7 THEN concat(CASE WHEN ok THEN concat('Page ', page_id, '|', url, '|', substr(ltrim(plain), 1, 2000)) ELSE '' END,
+  CASE WHEN page_id % 3 > 0 THEN concat(CASE WHEN ok THEN ';' ELSE '' END, 'Three|http://d.e/', page_id, '|end of it') ELSE '' END) END AS found FROM p""",
+    "fenced_blocks": """
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS place, language, extension, sha256(code) AS digest FROM (
+  SELECT conv_id, turn, 1 AS k, 'python' AS language, 'py' AS extension, concat(text, chr(10)) AS code FROM conversations WHERE regexp_matches(text, '\\S')
+  UNION ALL SELECT conv_id, turn, 2, 'text', 'txt', concat('```', chr(10), role, chr(10)) FROM conversations)""",
     "bbh_reference": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN substr('ABCDEF', item_id % 6 + 1, 1) WHEN 1 THEN '(AB)' ELSE trim(text) END AS reference FROM benchmark",
     "gsm8k_reference": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN (item_id * 137)::VARCHAR WHEN 1 THEN concat((item_id * 137)::VARCHAR, '.5') END AS reference FROM benchmark",
     "mmlu_prompt": "SELECT item_id, sha256(concat('Answer this world history multiple-choice question. Reply with exactly one option letter: A, B, C, or D.', chr(10), chr(10), trim(text), chr(10), 'Options:', chr(10), '(A) one', chr(10), '(B) two', chr(10), '(C) three', chr(10), '(D) four')) AS digest FROM benchmark",
@@ -343,7 +387,7 @@ SELECT page_id, concat(CASE WHEN length(url) <= 2048 AND regexp_matches(url, '^h
     "safe_basename": "SELECT page_id, CASE WHEN n = '' THEN 'output' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), 1, 70) AS n FROM pages)",
     "gen_toy_outcomes": f"""
 SELECT concat('toy-', lpad(id::VARCHAR, 6, '0')) AS task_id, concat('g-', (id // 2)::VARCHAR) AS group_id, c::INT AS category, q AS local_quality, round(0.75::DOUBLE + {_TOY('r')} / 4, 4) AS remote_quality, q >= 0.6::DOUBLE AS local_ok
-FROM (SELECT id, c, round(CASE WHEN c < 4 THEN 0.5::DOUBLE + {_TOY('q')} / 2 ELSE {_TOY('q')} * 0.7::DOUBLE END, 4) AS q FROM (SELECT id, floor({_TOY('category', '(id // 2)')} * 8) AS c FROM range(900) t(id)))""",
+FROM (SELECT id, c, round(CASE WHEN c < 4 THEN 0.5::DOUBLE + {_TOY('q')} / 2 ELSE {_TOY('q')} * 0.7::DOUBLE END, 4) AS q FROM (SELECT id, floor({_TOY('category', '(id // 2)')} * 8) AS c FROM (SELECT doc_id AS id FROM documents)))""",
     "ordered_distinct": with_views("SELECT conversation_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conversation_id, role, min(turn) AS t FROM messages GROUP BY ALL) GROUP BY conversation_id", "messages"),
     "profile_stats": "SELECT event_type AS model, count(*) AS trials, count(*) FILTER (WHERE value > 10) AS successes, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS most FROM events GROUP BY event_type",
     "ext_star_revenue": "SELECT n_name, year(o_orderdate)::INT AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",

@@ -139,6 +139,17 @@ def scan_grades(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("task_id", F.when(F.col("v") == "true", 1.0).when(F.col("v") == "false", 0.0).otherwise(F.col("v").cast("double")).alias("grade"))
 
 
+def scan_work_log(spark: SparkSession, path: str, schema: T.StructType, key: str = "task_id") -> DataFrame:
+    """The last line of each key in a log of JSON lines, of one file or many, however they are split into tasks.
+
+    A line's place is the time and path of its file, where its block begins there, and its number in the block: all that
+    Spark tells of where it read. Blank lines are passed over; a malformed one raises.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.struct("t", "p", "b", "i").alias("place"))
+    return rows.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", "place").alias("r")).select("r.*")
+
+
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key: what a resumed collection counts as done."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
