@@ -2,19 +2,24 @@
 
 A text is cut into halves until a leaf is short; a leaf is encoded directly. Two
 neighbours are joined by re-encoding a window around the cut that grows, on both
-sides, to the nearest *sync point*: a space that follows a letter. The split
-pattern never matches across such a point, and no alternative looks past it, so
-the tokens outside the window are those of the whole text. Without a sync point
-the window grows to the whole neighbour, which is always right. Decoding joins
-the bytes of the tokens up the same kind of tree.
-
-Null texts count as empty: no tokens. Repeated rows give repeated results.
+sides, until the tokens outside can't change. They can't where the split pattern
+always ends a match: between a letter and what is none, a digit and what is none, and
+another mark and what is none (but an apostrophe, which may begin a contraction). Each
+alternative of the pattern holds one such class, with at most a blank before it, and looks no
+further than the character after a run of blanks; so matches before such a point depend on what
+is before it alone, and matches after it on what comes after. Where a window finds no such
+point it grows to the whole neighbour: one match then covers it. Decoding joins the bytes of
+the tokens up the same kind of tree.
+
+Null texts count as empty: no tokens. Repeated rows give repeated results; a null doc_id stays
+null. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +34,25 @@ LEAF_CHARS = 512
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Characters that the pattern's \\s stands for.
+_BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
+
+@lru_cache(maxsize=1 << 16)
+def _class(c: str) -> str:
+    """Letter, Number, Space or Other; empty for a character whose class isn't the same in all versions of Unicode since 3.2."""
+    if c in _BLANKS:
+        return "S"
+    kind = unicodedata.category(c)
+    if kind == "Cn" or unicodedata.ucd_3_2_0.category(c)[0] != kind[0]:
+        return ""
+    return kind[0] if kind[0] in "LN" else "O"
+
+
 def _sync(text: str, i: int) -> bool:
-    """No match of the pattern spans position i, whatever stands around."""
-    return text[i] == " " and (c := text[i - 1]).isalpha() and c < "ɐ"
+    """A match of the pattern ends, and another begins, at position i, whatever stands around."""
+    before, after = _class(text[i - 1]), _class(text[i])
+    return bool(before) and bool(after) and before != after and before != "S" and not (text[i - 1] == "'" and after == "L")
 
 
 class TreeBPE:
