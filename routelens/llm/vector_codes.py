@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import keep, mapped, parts, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Vectors that a task compares with a codebook at a time; dimensions summed between two looks at the masks.
-BLOCK, STEP = 2048, 4
+#: Vectors that a task compares with a codebook at a time; dimensions summed before the first look at the masks, and between two.
+BLOCK, FIRST, STEP = 512, 8, 4
 #: Size that |floor(1024 x)| must stay below.
 LARGEST = 1 << 27
 #: Labels up to which their sums are sent to all tasks instead of being joined by a shuffle.
@@ -79,26 +79,30 @@ def _search(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Partial-distance search of a block; dimensions are in search order already."""
     n, width = x.shape
     so_far = np.zeros((n, len(c)), x.dtype)
-    for d in range(min(STEP, width)):
-        gap = x[:, d, None] - c[None, :, d]
-        so_far += gap * gap
+    gap = np.empty_like(so_far)
+    xs, cs = np.ascontiguousarray(x.T), np.ascontiguousarray(c.T)
+    for d in range(min(FIRST, width)):
+        np.subtract(xs[d][:, None], cs[d][None, :], out=gap)
+        np.multiply(gap, gap, out=gap)
+        so_far += gap
     at = np.arange(n)
     best = ((x - c[so_far.argmin(1)]) ** 2).sum(1, dtype=x.dtype)  # complete distance to the nearest so far
     row, entry = np.nonzero(so_far <= best[:, None])  # rows ascending, entries ascending within a row
     total = so_far[row, entry]
-    for begin in range(STEP, width, STEP):
+    for begin in range(FIRST, width, STEP):
         for d in range(begin, min(begin + STEP, width)):
-            gap = x[row, d] - c[entry, d]
-            total += gap * gap
+            apart = xs[d].take(row)
+            apart -= cs[d].take(entry)
+            apart *= apart
+            total += apart
         # each row's candidate that is nearest so far is completed: a tighter best distance
-        first = np.searchsorted(row, at)
-        least = np.minimum.reduceat(total, first)
+        least = np.minimum.reduceat(total, np.searchsorted(row, at))
         lead = np.zeros(n, np.int64)
-        hit = np.nonzero(total == least[row])[0][::-1]
+        hit = np.nonzero(total == least.take(row))[0][::-1]
         lead[row[hit]] = entry[hit]
         best = np.minimum(best, ((x - c[lead]) ** 2).sum(1, dtype=x.dtype))
-        left = total <= best[row]
-        row, entry, total = row[left], entry[left], total[left]
+        left = np.nonzero(total <= best.take(row))[0]
+        row, entry, total = row.take(left), entry.take(left), total.take(left)
     least = np.minimum.reduceat(total, np.searchsorted(row, at))
     hit = np.nonzero(total == least[row])[0][::-1]  # backwards, so that the lowest entry is written last
     index = np.zeros(n, np.int64)
