@@ -21,7 +21,9 @@ at a likeness of 0.8, and falling fast.
 
 Null texts count as empty. Texts without words have no shingles: such a text is
 alike only to equal texts. Rows that repeat a doc_id are nodes by their text. A
-class is named by its smallest doc_id (null sorts first and is kept).
+class is named by its smallest doc_id (null sorts first and is kept). Where texts are
+equal, a null doc_id and the least long count as one. Other columns are kept by
+``dedup_documents`` and ignored otherwise; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ one symbol at a time where a scan isn't of the uniform kind. ``rgb`` dequantises
 inverse-transforms, upsamples chroma and gives the full-resolution tensor.
 
 Null texts count as empty. The payload is the UTF-8 text, padded by zero bytes to
-a positive multiple of 64. Equal texts have equal values; repeated rows repeat.
+a positive multiple of 64. Equal texts have equal values; repeated rows repeat; a null
+doc_id stays null. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -44,3 +44,28 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(kept[3])
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(tuple(r) for r in again.select("doc_id", "start", "length", "ids_crc32").collect()) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces)
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows; then repeated rows, nulls in all columns, and columns whose names the stages use themselves."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ", row string, key long, places long, node long, label string, h long, score double, weight long, bands string, shard int"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    base = test_string_kernel.corpus(60, 3)
+    rows = [(i, t, "en", "s", len(t)) for i, t, _ in base]
+    rows += [rows[3], rows[3], (None, None, None, None, None), (None, "no id here", None, None, None), (70, None, None, None, None), (71, "", None, None, 0), (70, rows[4][1], None, None, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3, "y", 4, 0.5, 6, "z", None) for r in rows], kinds + clash)
+    docs.write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([(i, 1, x) for i, _, x in base] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/b/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, f"{tmp_path}/b").write.parquet(f"{tmp_path}/b/{name}")
+        now = spark.read.parquet(f"{tmp_path}/b/{name}")
+        assert now.columns == docs.columns and now.where("doc_id IS NULL").count() >= 1
+    found = [r.doc_id for r in now.collect()]
+    assert found.count(3) == 1 and set(found) <= {r[0] for r in rows}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, f"{tmp_path}/b")
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(found)
