@@ -51,7 +51,7 @@ def near_dup_classes(rows: DataFrame, threshold: float = NEAR) -> tuple[DataFram
     Equal sets are one row before anything is compared, and alike ones are never expanded into pairs (``nearsets``).
     """
     shingled = F.array_sort(F.transform(T.shingles(F.col("prompt")), lambda x: F.xxhash64(x)))
-    members = settled(rows.select("task_id", "group_id", "ord", shingled.alias("s")).withColumn("h", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
+    members = settled(rows.select("task_id", "group_id", "ord", shingled.alias("s")).withColumn("h", F.concat(F.hex(F.xxhash64("s")), F.hex(F.xxhash64(F.lit(7), "s")))))
     sets = members.groupBy("h").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("m")).select("h", F.size("s").alias("n"), "m", "s")
     links, trees = nearsets.classes(sets, threshold, components)
     return members.drop("s"), links, settled(trees)
