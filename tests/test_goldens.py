@@ -1,6 +1,7 @@
 """Closed-form cases."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -52,13 +53,28 @@ def test_graders(spark):
         assert one(spark, g=T.grade(kind, F.lit(answer), F.lit(reference))).g == want, (kind, answer)
 
 
+def reply(*texts, id=1, error=None, failed=False):
+    """A search reply as JSON."""
+    return json.dumps({"id": id, "result": {"isError": failed, "content": [{"type": "text", "text": t} for t in texts]}} | ({"error": error} if error else {}))
+
+
 @pytest.mark.parametrize(
     ("rule", "cases"),
     [
         (datasets.route_intent, (('{"route": "local"}', "local"), ("{'route': 'strong'}", "strong"), ('```json\n{"route": "local"}\n```', "local"), ('{"route": "other"}', None), ("local", None))),
         (datasets.requested_format, (("Write a report as a docx", "docx"), ("what is csv?", None), ("Export the table to csv please", "csv"), ("Create a word document", "docx"), ("make it in json", "json"), ("write a poem without a file", None), ("hello", None), ("tell me how csv works in json", None), ("save it as notes.md", "md"), ("read my.csv", None))),
         (datasets.is_followup, (("What about it?", True), ("Capital of France", False), ("Explain the previous answer", True), ("Theory of sets", False))),
-        (datasets._shown_blocks, (("Title: One\nURL: https://a.b/c\nHighlights: some text\nmore\nTitle: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e\nText: end", "One|https://a.b/c|some text more;Three|http://d.e|end"), ("nothing here", ""))),
+        (
+            datasets._shown_blocks,
+            (
+                (reply("Title: One\nURL: https://a.b/c\nHighlights: some text\nmore", "Title: Two\nURL: ftp://x\nText: no\nTitle: Three\nURL: http://d.e\nText: end"), "One|https://a.b/c|some text more;Three|http://d.e|end"),
+                (reply("nothing here"), ""),
+                ("event: message\ndata: " + reply("Title: no", id=2) + "\n\ndata: " + reply("".join(f"\nTitle: {i}\nURL: ftp://x" for i in range(1200)) + "\nTitle: Last\nURL: http://l.m\nText: t") + "\n", "Last|http://l.m|t"),
+                (reply("Title: One\nURL: https://a.b/c", error={"code": 3}), None),
+                (reply("Title: One\nURL: https://a.b/c", failed=True), None),
+                ("no packet", None),
+            ),
+        ),
         (files.bbh_reference, (("(C)", "C"), (" yes ", "yes"), ("(AB)", "(AB)"))),
         (datasets.gsm8k_reference, (("so it is\n#### 1,200", "1200"), ("#### many", None), ("none", None))),
     ],
@@ -308,4 +324,4 @@ def test_file_hashes(spark):
     folder = "/root/testdata/sf0.001"
     if os.path.isdir(folder):
         got = {r.file: r.sha256 for r in contracts._file_hashes(spark, folder).collect()}
-        assert got == {f"{t}.parquet": hashlib.sha256(open(f"{folder}/{t}.parquet", "rb").read()).hexdigest() for t in ("region", "nation", "benchmark")}
+        assert got == {f"{t}.parquet": hashlib.sha256(open(f"{folder}/{t}.parquet", "rb").read()).hexdigest() for t in contracts.TABLES}
