@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,18 @@ def test_html_lines(spark):
     assert len(one(spark, t=T.html_lines(F.lit("<p>" + "x" * 30000))).t) == 24000
 
 
+def test_html_references_are_closed_ones(spark):
+    assert one(spark, t=T.html_lines(F.lit("x&amp<b>To</b> &notit; &amp;lt; &#39;&nope;"))).t == "x&ampTo &notit; &lt; '&nope;"
+
+
+def test_neighbours_in_long_keys(spark):
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("item"), F.col("id").alias("ord"))
+    began = time.time()
+    got = running.scan(rows, ["item"], [F.col("ord")], before=("lag", F.col("ord")), after=("lead", F.col("ord")))
+    assert got.where("coalesce(before, ord - 2) = ord - 2 AND coalesce(after, ord + 2) = ord + 2").count() == 60_000 and got.where("after IS NULL").count() == 2
+    assert time.time() - began < 60  # frames up to the end took time with the square of a key's rows
+
+
 def test_contained_passages_of_any_length(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta end"), (2, "xalpha beta gammay"), (3, "gamma"), (4, "one two three four five six seven eight")], "doc_id long, answer string")
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["beta gamma delta", "alpha beta gamma", "gamma", "eta gam", "two three four five six seven", "delta end x", "wo three four fiv"])], "item_id long, reference string")
