@@ -108,7 +108,7 @@ def _found_in(sent):
 def run_index(rows: DataFrame, key: str, *texts: str) -> DataFrame:
     """gram, key: the runs of three characters, in lower case, that a row's texts hold, ranged by gram. Built once, read by many searches."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grams = lambda c: F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # a match at every place; a substring is sought from the text's begin each time
     lower = rows.select(key, *[F.coalesce(F.lower(t), F.lit("")).alias(f"t{i}") for i, t in enumerate(texts)])
     flat = lower.select(key, F.explode(F.array_distinct(F.concat(*[grams(F.col(f"t{i}")) for i in range(len(texts))]))).alias("gram"))
     return settled(flat.repartitionByRange(n, "gram", key))

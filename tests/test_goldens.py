@@ -338,3 +338,13 @@ def test_file_hashes(spark):
     if os.path.isdir(folder):
         got = {r.file: r.sha256 for r in contracts._file_hashes(spark, folder).collect()}
         assert got == {f"{t}.parquet": hashlib.sha256(open(f"{folder}/{t}.parquet", "rb").read()).hexdigest() for t in contracts.TABLES}
+
+
+def test_character_runs_of_long_texts(spark):
+    from routelens.operators import indexes
+
+    rows = spark.createDataFrame([(1, "Aß😀c", "\nx"), (2, None, "ab"), (3, "", "lorem ipsum €" * 40_000)], "id long, title string, content string")
+    began = time.time()
+    got = {(r.id, r.gram) for r in indexes.run_index(rows, "id", "title", "content").collect()}
+    assert {g for i, g in got if i == 1} == {"aß😀", "ß😀c"} and not any(i == 2 for i, _ in got) and {g for i, g in got if i == 3} == {("lorem ipsum €" * 2)[i : i + 3] for i in range(13)}
+    assert time.time() - began < 40  # half a million characters: time with their square before
