@@ -22,21 +22,21 @@ page's outline.
 Null or empty html gives an empty text. Pages without a host form one group of
 their own; a host's only page has no template. Repeated rows repeat; a null page_id
 sorts first. Elements may nest to any depth; where two elements have so many children that comparing each with each
-passes ``MATCH_CELLS``, children of one shape are paired in order first, and those between them by tag.
+passes ``MATCH_CELLS``, it is done by rows, to the same pairs.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import sys
 import zlib
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +48,7 @@ from .common import keep, mapped, spread, table, texts_of
 OUTSIDE, INSIDE, SHARE = 3, 12, 0.9
 #: Levels of elements that make a layout; share of the text that makes article elements the main text, and a main element that holds no article.
 LEVELS, WEIGHT, MAIN_WEIGHT = 4, 1 / 2, 1 / 3
-#: Pairs of children of two elements that are compared each with each.
+#: Pairs of children of two elements up to which they are compared one by one; beyond, by rows.
 MATCH_CELLS = 4096
 #: A table of templates up to this size is sent to all executors; a larger one is joined by host.
 BROADCAST_BYTES = 8 << 20
@@ -287,8 +287,8 @@ def align(a: Outline, b: Outline) -> list[tuple[int, int]]:
             size += 1 + a.below[x[-1]]
             tail.append((x.pop(), y.pop()))
         if len(x) * len(y) > MATCH_CELLS:
-            middle = _in_order(a, b, x, y)
-            size += sum(1 + min(a.below[p], b.below[q]) for p, q in middle)
+            middle = _in_order(a, b, x, y, lambda i, j: match(i, j)[0])
+            size += sum(match(i, j)[0] for i, j in middle)
             pairs += middle
         elif x and y:
             best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -322,39 +322,50 @@ def align(a: Outline, b: Outline) -> list[tuple[int, int]]:
     return out
 
 
-def _in_order(a: Outline, b: Outline, x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """Pairs of children by one pass: those of one shape by a longest common order, the ones between these by tag."""
-    places: dict[tuple[int, int], list[int]] = {}
-    for q, j in enumerate(y):
-        places.setdefault((b.shape[j], b.below[j]), []).append(q)
-    # the k-th child of a shape meets the k-th of that shape; what keeps the order is a longest rising row of these
-    seen: Counter[tuple[int, int]] = Counter()
-    ends: list[int] = []
-    last: list[tuple[int, int, int]] = []  # (p, q, the one before)
-    tops: list[int] = []
-    for p, i in enumerate(x):
-        key = a.shape[i], a.below[i]
-        k, found = seen[key], places.get(key, ())
-        seen[key] += 1
-        if k < len(found):
-            at = bisect_left(ends, found[k])
-            last.append((p, found[k], tops[at - 1] if at else -1))
-            ends[at : at + 1], tops[at : at + 1] = [found[k]], [len(last) - 1]
-    chain, at = [], tops[-1] if tops else -1
-    while at >= 0:
-        p, q, at = last[at]
-        chain.append((p, q))
-    out, p0, q0 = [], 0, 0
-    for p, q in [*reversed(chain), (len(x), len(y))]:
-        while p0 < p and q0 < q:
-            if a.tags[x[p0]] == b.tags[y[q0]]:
-                out.append((x[p0], y[q0]))
-                q0 += 1
-            p0 += 1
-        if p < len(x):
-            out.append((x[p], y[q]))
-        p0, q0 = p + 1, q + 1
-    return out
+def _in_order(a: Outline, b: Outline, x: list[int], y: list[int], worth: Callable[[int, int], int] | None = None) -> list[tuple[int, int]]:
+    """The pairs that comparing each child with each gives, a row at a time.
+
+    What a pair is worth depends on its shapes alone, so it is asked for once for two shapes. Every so many rows one is
+    kept; the rows between are made again on the way back.
+    """
+    worth = worth or (lambda i, j: 1 + min(a.below[i], b.below[j]) if a.tags[i] == b.tags[j] else 0)
+    kinds, numbers = [], []
+    for o, some in ((a, x), (b, y)):
+        seen: dict[tuple[int, int], int] = {}
+        numbers.append(np.array([seen.setdefault((o.shape[i], o.below[i]), len(seen)) for i in some]))
+        first: dict[int, int] = {}
+        for i, k in zip(some, numbers[-1].tolist(), strict=True):
+            first.setdefault(k, i)
+        kinds.append(list(first.values()))
+    worths = np.array([[worth(i, j) for j in kinds[1]] for i in kinds[0]], np.int64)
+
+    def row(above: np.ndarray, p: int) -> np.ndarray:
+        out = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + worths[numbers[0][p]][numbers[1]]), out=out[1:])
+        return out
+
+    step = math.isqrt(len(x))
+    kept = [np.zeros(len(y) + 1, np.int64)]
+    for begin in range(0, len(x) - step, step):
+        last = kept[-1]
+        for p in range(begin, begin + step):
+            last = row(last, p)
+        kept.append(last)
+    out, q = [], len(y)
+    for k in reversed(range(len(kept))):
+        begin, rows = k * step, [kept[k]]
+        for p in range(begin, min(len(x), begin + step)):
+            rows.append(row(rows[-1], p))
+        p = len(rows) - 1
+        while p and q:
+            if rows[p][q] == rows[p - 1][q]:
+                p -= 1
+            elif rows[p][q] == rows[p][q - 1]:
+                q -= 1
+            else:
+                out.append((x[begin + p - 1], y[q - 1]))
+                p, q = p - 1, q - 1
+    return out[::-1]
 
 
 def pack(o: Outline) -> str:

@@ -170,3 +170,16 @@ def test_long_lists_take_little_time():
     began = time.time()
     wi.parse("<div>" * 3000 + "</span></q>" * 20_000)
     assert time.time() - began < 2
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    rng = random.Random(8)
+    shapes = ["<li>a</li>", "<li><b>b</b></li>", "<li><i>c</i><b>d</b></li>", "<p>e</p>", "<li><i><b>f</b></i></li>", "<li><b>g</b><u>h</u><b>i</b></li>"]
+    for n in (3, 20, 75):
+        pages = ["<ul>" + "".join(rng.choice(shapes) for _ in range(rng.randint(n // 2, n))) + "</ul>" for _ in range(2)]
+        a, b = (wi.outline(wi.parse(p))[0] for p in pages)
+        told = []
+        for cells in (0, 1 << 30):
+            monkeypatch.setattr(wi, "MATCH_CELLS", cells)
+            told.append(sorted(wi.align(a, b)))
+        assert told[0] == told[1]
