@@ -89,3 +89,10 @@ def test_candidates_that_fell_back_come_last(spark):
 def test_char_runs(spark):
     got = spark.createDataFrame([("Ab abcd",)], "t string").select(train.char_runs(F.col("t")).alias("r")).first().r
     assert sorted(got) == sorted([" ab", "ab ", " ab ", " ab", "abc", "bcd", "cd ", " abc", "abcd", "bcd ", " abcd", "abcd "])
+
+
+def test_character_runs_are_counted_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(train, "MOST_SEEN", 5)
+    rows = spark.createDataFrame([("A bc  abcd ÀÉ😀", 0), ("abcd abcde abcd", 1), ("", 2), (None, 3), (" \n", 4), ("bc", 5)], "prompt string, i long").repartition(3)
+    want = {r.run: r.df for r in rows.select(F.explode(F.array_distinct(train.char_runs(F.col("prompt")))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("df")).collect()}
+    assert {r.run: r.df for r in train.char_frequency(rows, "prompt").collect()} == want and want[" bc "] == 2
