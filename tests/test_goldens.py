@@ -306,6 +306,20 @@ def test_relevant_items_in_blocks(spark):
         assert {tuple(r) for r in conversations.relevant_topk(*frames, block=block).collect()} == want
 
 
+def test_relevant_items_take_no_row_for_each_pair(spark, monkeypatch):
+    items = spark.range(300).select("id", F.concat(F.lit("the "), F.format_string("w%04d", F.col("id"))).alias("text"), F.col("id").alias("updated"))
+    queries = spark.range(20_000).select(F.col("id").alias("qid"), F.concat(F.lit("the "), F.format_string("w%04d", F.col("id") % 300)).alias("text"))
+    best = conversations.relevant_topk(items, queries, 2)
+    assert "explode(slots" not in best._jdf.queryExecution().toString()  # before, each pair of a query and an item was a row of an aggregate
+    got = best.collect()
+    assert len(got) == 40_000 and all((r.id, r.score) == ((r.qid % 300, 2) if r.place == 1 else (298 if r.qid % 300 == 299 else 299, 1)) for r in got)
+    # a query in several rows counts all of its words; few words to a shard, so there are many
+    monkeypatch.setattr(indexes, "SHARD_CELLS", 50)
+    parts = spark.createDataFrame([(1, "the w0001"), (1, "the w0002"), (2, None), (3, "none")], "qid long, text string")
+    assert {tuple(r) for r in conversations.relevant_topk(items, parts, 3, 4).collect()} == {(1, 2, 3, 1), (1, 1, 3, 2), (1, 299, 2, 3)}
+    assert conversations.relevant_topk(items.limit(0), parts).count() == 0 and conversations.relevant_topk(items, parts.limit(0)).count() == 0
+
+
 def test_contracts(spark):
     tools = {"labels": contracts.LABELS}
     cases = (
