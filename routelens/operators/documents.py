@@ -54,7 +54,10 @@ OFFICE = {
 }
 #: Bytes and parts beyond which a document isn't unpacked.
 UNPACKED, PARTS = 20_000_000, 2000
-_PIECES = "path string, part int, line int, place int, label string, ref int, text string, fault string"
+_CELL = pa.struct([("label", pa.string()), ("ref", pa.int32()), ("text", pa.string())])
+_READ = pa.schema([("path", pa.string()), ("strings", pa.list_(pa.string())), ("parts", pa.list_(pa.struct([("part", pa.int64()), ("lines", pa.list_(pa.list_(_CELL)))]))), ("fault", pa.string())])
+#: Bytes of files that a task reads before it tells what they hold.
+READ_BYTES = 4_000_000
 
 
 def office_pieces(raw: bytes, kind: str, unpacked: int = UNPACKED, parts: int = PARTS) -> Iterator[tuple]:
@@ -103,38 +106,57 @@ def _ended(packed: zipfile.ZipFile, info: zipfile.ZipInfo, *names: str) -> Itera
                 e.clear()
 
 
+def office_parts(raw: bytes, kind: str, unpacked: int = UNPACKED, parts: int = PARTS) -> tuple[list, list]:
+    """Shared strings of a document, and its parts with text: (part, lines), a line being a list of (label, ref, text)."""
+    strings, held, last = [], {}, None
+    for part, line, _, label, ref, text in office_pieces(raw, kind, unpacked, parts):
+        if part < 0:
+            strings.append(text)
+            continue
+        lines = held.setdefault(part, [])
+        if not lines or last != (part, line):
+            lines.append([])
+        last = part, line
+        lines[-1].append((label, ref if ref is None or 0 <= ref < 1 << 31 else -1, text))
+    return strings, sorted(held.items())
+
+
 def doc_extract(files: DataFrame, unpacked: int = UNPACKED, parts: int = PARTS) -> DataFrame:
     """path, text and error of files (path, content): office documents, else UTF-8 text; one of the last two is null.
 
-    Tasks tell the pieces of a document; Spark looks up shared strings and puts lines together. A slide or sheet begins with
-    a line of its name; the cells of a row stand as "A1: value" with tabs between them. Paths are distinct.
+    Tasks read a document's shared strings and its parts, whose size is bounded, into one row; Spark looks up the strings and
+    puts cells, lines and parts together there. A slide or sheet begins with a line of its name; the cells of a row stand
+    as "A1: value" with tabs between them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                kind, rows = path.rpartition(".")[2].lower(), []
+            rows, size = [], 0
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                path, raw = path.as_py(), raw.as_py()
+                kind = path.rpartition(".")[2].lower()
                 try:
-                    found = office_pieces(raw, kind, unpacked, parts) if kind in OFFICE else [(0, 0, 0, None, None, raw.decode("utf-8-sig"))]
-                    rows = [(path, *piece, None) for piece in found]
-                    rows.append((path, None, None, None, None, None, None, None))  # a document without text has this row
+                    strings, held = office_parts(raw, kind, unpacked, parts) if kind in OFFICE else ([], [(0, [[(None, None, raw.decode("utf-8-sig"))]])])
+                    rows.append((path, strings, held, None))
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as fault:
-                    rows = [(path, None, None, None, None, None, None, f"{type(fault).__name__}: {fault}"[:200])]
-                types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "part", "line", "place", "label", "ref", "text", "fault"])
-
-    pieces = files.select("path", "content").mapInArrow(run, _PIECES)
-    strings = pieces.where("part = -1").select("path", F.col("place").alias("ref"), F.col("text").alias("shared"))
-    known = pieces.where("part IS NULL OR part >= 0").join(strings, ["path", "ref"], "left")
-    cell = F.when(F.col("label").isNotNull(), F.concat("label", F.lit(": "), F.coalesce("shared", "text", F.lit("")))).otherwise(F.col("text"))
-    ordered = lambda *keys: F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct(*keys))))
-    lines = known.groupBy("path", "part", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", cell.alias("said")))), lambda x: x["said"]), "\t").alias("said"), F.max("fault").alias("fault"))
-    whole = lines.groupBy("path", "part").agg(F.array_join(F.transform(ordered("line", "said"), lambda x: x["said"]), "\n").alias("said"), F.max("fault").alias("fault"))
+                    rows.append((path, [], [], f"{type(fault).__name__}: {fault}"[:200]))
+                size += len(raw)
+                if size >= READ_BYTES:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+
+    read = files.select("path", "content").mapInArrow(run, "path string, strings array<string>, parts array<struct<part: bigint, lines: array<array<struct<label: string, ref: int, text: string>>>>>, fault string")
+    joined = lambda of, one, mark: F.array_join(F.transform(of, one), mark)
+    cell = lambda c: F.when(c["label"].isNotNull(), F.concat(c["label"], F.lit(": "), F.coalesce(F.get("strings", c["ref"]), c["text"], F.lit("")))).otherwise(c["text"])
     kind = F.lower(F.substring_index("path", ".", -1))
     title = F.when(kind == "pptx", F.lit("slide ")).when(kind == "xlsx", F.lit("sheet "))
-    named = whole.withColumn("said", F.when(title.isNotNull(), F.concat(title, F.col("part").cast("string"), F.lit("\n"), "said")).otherwise(F.col("said")))
-    texts = named.groupBy("path").agg(F.array_join(F.transform(ordered("part", "said"), lambda x: x["said"]), "\n").alias("text"), F.max("fault").alias("error"))
-    return texts.select("path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+    named = lambda p: F.concat(F.coalesce(F.concat(title, p["part"].cast("string"), F.lit("\n")), F.lit("")), joined(p["lines"], lambda line: joined(line, cell, "\t"), "\n"))
+    return read.select("path", F.when(F.col("fault").isNull(), joined("parts", named, "\n")).alias("text"), F.col("fault").alias("error"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:

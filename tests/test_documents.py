@@ -35,6 +35,16 @@ def test_limits_of_documents(spark):
     assert documents.doc_extract(rows.limit(0)).count() == 0
 
 
+def test_documents_are_read_once(spark):
+    strings = "<s>" + "".join(f"<si><t>s{i}</t></si>" for i in range(3)) + "</s>"
+    sheet = '<w><row/><row><c r="A2" t="s"><v>{}</v></c><c r="B2" t="s"><v>9</v></c></row></w>'
+    rows = [("a.XLSX", packed(xl__worksheets__sheet99999999999_xml=sheet.format(2), xl__worksheets__sheet2_xml=sheet.format(99999999999), xl__sharedStrings_xml=strings, xl__worksheets__sheet1_xml="<w><row/></w>")), ("b.docx", packed(word__document_xml="<d/>"))]
+    found = documents.doc_extract(spark.createDataFrame(rows, "path string, content binary"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan  # before, each document was read twice, and each line was a row of shuffles
+    assert {tuple(r) for r in found.collect()} == {("a.XLSX", "sheet 2\nA2: \tB2: \nsheet 99999999999\nA2: s2\tB2: ", None), ("b.docx", "", None)}
+
+
 def test_export_formats(spark):
     x = spark.range(1).select(documents.export_item(F.lit("A b/c"), F.lit("<x>"), "html").alias("h"), documents.export_item(F.lit("A b/c"), F.lit("<x>"), "md").alias("m")).first()
     assert x.h.name == "A_b_c.html" and "<pre>&lt;x&gt;</pre>" in x.h.body and (x.m.name, x.m.body) == ("A_b_c.md", "<x>")
