@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashrng import uniform, uniform_sql
+from ..sources.digests import file_digests
 from ..sources.views import table, view, with_views
 from .running import running
 
@@ -179,9 +180,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def _file_hashes(s, d) -> DataFrame:
-    """Digests of the files of all tables, whole. A digest is made in one go, and Spark holds a file in a row: one of 2 GB and more raises."""
-    rows = s.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in TABLES])
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    """Digests of the files of all tables, whole."""
+    rows = file_digests(s, [f"{d}/{t}.parquet" for t in TABLES])
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "length")
 
 
 QUERIES = {

@@ -1,9 +1,12 @@
+import hashlib
 import json
+import os
+import random
 
 import pytest
 
 from routelens.operators import splits
-from routelens.sources import files
+from routelens.sources import digests, files
 
 
 def write(path, text):
@@ -72,3 +75,21 @@ def test_usage_log_splits_and_reports(spark, tmp_path):
     assert [r["system"] for r in found["systems"]] == ["x", "oracle"] and found["split"] == "test"
     assert spark.read.json(f"{tmp_path}/eval/curves").first().threshold == 0.1 and "oracle" in (tmp_path / "eval" / "summary.txt").read_text()
     assert (tmp_path / "eval" / "pareto.html").read_text() == "<p>chart</p>"
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    rng = random.Random(3)
+    made = {"a b.parquet": rng.randbytes(400_000), "ends.parquet": rng.randbytes(99_999) + b"\n", "two.parquet": b"PAR1\r\n\n" * 30_000 + b"\n\n", "line.parquet": b"x" * 300_000, "marks.parquet": b"\n" * 150_000, "small.parquet": b"\xef\xbb\xbfabc"}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        for link in (50_000, 120_000, 1 << 30):
+            found = digests.file_digests(spark, [str(tmp_path)], whole=1000, link=link).collect()
+            assert {(os.path.basename(r.path), r.length, r.sha256) for r in found} == {(n, len(x), hashlib.sha256(x).hexdigest()) for n, x in made.items()}
+        (tmp_path / "mark.parquet").write_bytes(b"\xef\xbb\xbf" + b"x" * 2000)
+        with pytest.raises(Exception, match="were read as lines"):
+            digests.file_digests(spark, [str(tmp_path / "mark.parquet")], whole=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
